@@ -1,16 +1,17 @@
-"""Units and French-formatted numbers.
+"""Units and French-formatted numbers as columns.
 
-The steps depend on each other, so they are DataFrame functions: every step becomes
-a column that the next one reads, which keeps them inside generated code without
-repeating a regular expression per branch.
+Each column reads its input once (`let` where a value is needed twice), so plans stay
+small when a filter on a parsed value is moved towards the scan.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WS, squeeze, strip
+from .text import WS, const_map, const_rows, let, squeeze, strip
 
 # Unit spelling -> (unit, factor to the base currency).
 UNITS: dict[str, tuple[str, float]] = {
@@ -65,143 +66,111 @@ FACTOR_OF_UNIT = {"MAD": 1.0, "KMAD": 1e3, "MMAD": 1e6, "BMMAD": 1e9, "%": 1.0}
 UNITS_BY_LENGTH = sorted(UNITS, key=len, reverse=True)
 
 
-def unit_text(col: Column) -> Column:
-    return squeeze(F.lower(col))
+def _quoted(spelling: str) -> str:
+    return rf"(?<![a-z0-9]){re.escape(spelling)}(?![a-z0-9])"
+
+
+def _unit_rows() -> Column:
+    rows = [(s, _quoted(s), *UNITS[s]) for s in UNITS_BY_LENGTH]
+    return const_rows(("spelling", "pattern", "unit", "factor"), rows)
 
 
-def unit_of(normalised: Column, word_boundary: bool = False) -> Column:
-    """struct(unit, factor) of the longest unit spelling in an already `unit_text` column.
+def unit_of(text: Column, word_boundary: bool = False) -> Column:
+    """struct(unit, factor) of the longest unit spelling in a text; (null, 1.0) without one.
 
     The default is a plain substring test; `word_boundary=True` wants whole words.
     """
-    out = None
-    for spelling in UNITS_BY_LENGTH:
-        unit, factor = UNITS[spelling]
-        if word_boundary:
-            quoted = "".join("\\" + c if c in ".%" else c for c in spelling)
-            hit = F.regexp_like(normalised, F.lit(rf"(?<![a-z0-9]){quoted}(?![a-z0-9])"))
-        else:
-            hit = F.contains(normalised, F.lit(spelling))
-        value = F.struct(F.lit(unit).alias("unit"), F.lit(factor).alias("factor"))
-        out = F.when(hit, value) if out is None else out.when(hit, value)
-    return out.otherwise(
-        F.struct(F.lit(None).cast("string").alias("unit"), F.lit(1.0).alias("factor"))
-    )
-
-
-def add_unit(df: DataFrame, text: str, out: str = "unit_info", word_boundary: bool = False) -> DataFrame:
-    return (
-        df.withColumn("_unit_text", unit_text(F.col(text)))
-        .withColumn(out, unit_of(F.col("_unit_text"), word_boundary))
-        .drop("_unit_text")
-    )
-
-
-def _occurrences(col: Column, char: str) -> Column:
-    return F.length(col) - F.length(F.replace(col, F.lit(char), F.lit("")))
-
-
-def add_number(df: DataFrame, text: str, out: str = "value", nbsp_as_space: bool = False) -> DataFrame:
-    """Parse a French-formatted number into a double; null when there is none.
-
-    "1.245,50" reads comma as decimal mark, "(125)" is negative, a closing note or unit
-    word is ignored. Non-breaking blanks inside digits fail unless `nbsp_as_space`.
+
+    def hit(normalised):
+        def test(u):
+            if word_boundary:
+                return F.regexp_like(normalised, u["pattern"])
+            return F.contains(normalised, u["spelling"])
+
+        return let(
+            F.get(F.filter(_unit_rows(), test), F.lit(0)),
+            lambda u: F.struct(u["unit"].alias("unit"), F.coalesce(u["factor"], F.lit(1.0)).alias("factor")),
+        )
+
+    return let(squeeze(F.lower(text)), hit)
+
+
+# Marks put into a number while its separators are sorted out.
+_MARK = "\x01"
+
+
+def parse_number(text: Column, nbsp_as_space: bool = False) -> Column:
+    """French-formatted number to double; null when there is none.
+
+    "1.245,50" reads comma as decimal mark, "(125)" is negative, a closing note, star or
+    unit word is ignored. Non-breaking blanks inside digits fail unless `nbsp_as_space`.
     """
-    raw = F.col(text)
     if nbsp_as_space:
-        raw = F.translate(raw, "\u00a0\u202f", "  ")
-    a, b, c = F.col("_n1"), F.col("_n2"), F.col("_n3")
-    df = df.withColumn("_n1", strip(raw))
-    df = df.withColumn(
-        "_n1",
-        F.when(F.lower(a).isin(*NO_NUMBER), None).otherwise(
-            strip(
-                F.regexp_replace(
-                    F.regexp_replace(a, rf"{WS}*\([^)0-9-]+\){WS}*$", ""), rf"\*+{WS}*$", ""
-                )
-            )
-        ),
-    )
-    df = df.withColumn("_parens", a.startswith("(") & a.endswith(")"))
-    df = df.withColumn(
-        "_n2", F.when(F.col("_parens"), strip(F.regexp_replace(a, r"^\(|\)$", ""))).otherwise(a)
-    )
-    df = df.withColumn("_minus", b.startswith("-"))
-    df = df.withColumn(
-        "_n3",
-        strip(
-            F.regexp_replace(
-                strip(F.regexp_replace(b, "^-", "")), rf"(?i){WS}*({TRAILING_UNIT}){WS}*$", ""
-            )
-        ),
-    )
-    df = df.withColumn("_dots", _occurrences(c, ".")).withColumn("_commas", _occurrences(c, ","))
-    dots, commas = F.col("_dots"), F.col("_commas")
-    solid = F.replace(c, F.lit(" "), F.lit(""))
-    no_dots = F.replace(solid, F.lit("."), F.lit(""))
-    df = df.withColumn(
-        "_digits",
-        F.when((commas == 1) & (dots == 0), F.replace(solid, F.lit(","), F.lit(".")))
-        .when((commas == 1) & (dots >= 1), F.replace(no_dots, F.lit(","), F.lit(".")))
-        .when((commas == 0) & (dots >= 2), no_dots)
-        .when((commas == 0) & (dots == 1), solid)
-        .otherwise(F.replace(solid, F.lit(","), F.lit(""))),
-    )
-    digits = F.col("_digits")
-    plain = F.regexp_like(digits, F.lit(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"))
-    number = F.when(plain, digits.try_cast("double"))
-    negative = F.col("_parens") | F.col("_minus")
-    df = df.withColumn("_number", number)
-    return df.withColumn(
-        out, F.when(negative, -F.abs(F.col("_number"))).otherwise(F.col("_number"))
-    ).drop("_n1", "_n2", "_n3", "_parens", "_minus", "_dots", "_commas", "_digits", "_number")
-
-
-def add_value(
-    df: DataFrame, text: str, context_unit: Column | None = None, out: str = "parsed"
-) -> DataFrame:
+        text = F.translate(text, "\u00a0\u202f", "  ")
+    x = strip(text)
+    words = "|".join(re.escape(w) for w in NO_NUMBER)
+    x = F.regexp_replace(x, rf"(?iu)^({words})$", "")
+    x = F.regexp_replace(x, rf"{WS}*\([^)0-9-]+\){WS}*$", "")
+    x = strip(F.regexp_replace(x, rf"\*+{WS}*$", ""))
+    # Parentheses and a leading minus both mean "negative of the absolute value".
+    x = F.regexp_replace(x, rf"(?s)^\({WS}*-?{WS}*(.*)\)$", "-$1")
+    x = F.regexp_replace(x, rf"(?i){WS}*({TRAILING_UNIT})?{WS}*$", "")
+    x = F.regexp_replace(x, rf"^-{WS}*[+-]?", "-")
+    x = F.replace(x, F.lit(" "), F.lit(""))
+    # One comma is the decimal mark and makes dots thousands marks; so do two dots alone.
+    x = F.regexp_replace(x, r"^([^,]*),([^,]*)$", f"$1{_MARK}$2{_MARK}")
+    x = F.regexp_replace(x, rf"^([^,{_MARK}.]*\.[^,{_MARK}.]*\.[^,{_MARK}]*)$", f"$1{_MARK}")
+    x = F.regexp_replace(x, rf"\.(?=[^{_MARK}]*{_MARK})", "")
+    x = F.regexp_replace(x, rf"\.(?=.*{_MARK})", "")
+    x = F.regexp_replace(x, rf"{_MARK}(?=.*{_MARK})", ".")
+    x = F.translate(x, f",{_MARK}", "")
+    plain = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+    return F.regexp_extract(x, plain, 0).try_cast("double")
+
+
+def parse_value(text: Column, context_unit: Column | None = None) -> Column:
     """struct(value, unit, factor, is_negative, is_percentage, confidence) of a cell text.
 
     The unit is the one inside the cell, else the context unit; a percentage mark wins.
     """
-    context = (context_unit if context_unit is not None else F.lit(None)).cast("string")
-    known = F.create_map(
-        *[
-            x
-            for spelling, (unit, factor) in UNITS.items()
-            for x in (F.lit(spelling), F.struct(F.lit(unit).alias("unit"), F.lit(factor).alias("factor")))
-        ]
-    )
-    df = df.withColumn("_raw", strip(F.col(text))).withColumn("_context", F.nullif(context, F.lit("")))
-    df = add_unit(df, "_raw", "_inline")
-    df = df.withColumn("_known", F.element_at(known, strip(F.lower(F.col("_context")))))
-    df = df.withColumn(
-        "_pct",
-        F.contains(F.col(text), F.lit("%"))
-        | F.regexp_like(F.col(text), F.lit(r"(?iU)\bpct\b|\bpc\b")),
-    )
-    df = add_number(df, "_raw", "_value")
-    inline = F.col("_inline.unit").isNotNull()
-    unit = (
-        F.when(F.col("_pct"), "%")
-        .when(inline, F.col("_inline.unit"))
-        .otherwise(F.coalesce(F.col("_known.unit"), F.col("_context")))
-    )
-    factor = (
-        F.when(F.col("_pct"), 1.0)
-        .when(inline, F.col("_inline.factor"))
-        .otherwise(F.coalesce(F.col("_known.factor"), F.lit(1.0)))
-    )
-    df = df.withColumn("_unit", unit).withColumn("_factor", factor)
-    value = F.col("_value")
-    return df.withColumn(
-        out,
-        F.struct(
-            value.alias("value"),
-            F.col("_unit").alias("unit"),
-            F.col("_factor").alias("factor"),
-            F.coalesce(value < 0, F.lit(False)).alias("is_negative"),
-            F.col("_pct").alias("is_percentage"),
-            F.when(value.isNull(), 0.0).when(F.col("_unit").isNull(), 0.7).otherwise(1.0).alias("confidence"),
-        ),
-    ).drop("_raw", "_context", "_inline", "_known", "_pct", "_value", "_unit", "_factor")
+    context = F.lit(None) if context_unit is None else context_unit
+    context = F.nullif(context.cast("string"), F.lit(""))
+    unit_by_spelling = const_map({s: unit for s, (unit, _) in UNITS.items()})
+    factor_by_spelling = const_map({s: factor for s, (_, factor) in UNITS.items()})
+
+    def resolve(s):
+        inline = unit_of(s["raw"])
+        pct = F.contains(s["raw"], F.lit("%")) | F.regexp_like(s["raw"], F.lit(r"(?iU)\bpct\b|\bpc\b"))
+        return let(
+            F.struct(
+                parse_number(s["raw"]).alias("value"),
+                inline.alias("inline"),
+                pct.alias("pct"),
+                strip(F.lower(s["context"])).alias("spelling"),
+                s["context"].alias("context"),
+            ),
+            finish,
+        )
+
+    def finish(p):
+        inside = p["inline"]["unit"].isNotNull()
+        unit = (
+            F.when(p["pct"], F.lit("%"))
+            .when(inside, p["inline"]["unit"])
+            .otherwise(F.coalesce(F.element_at(unit_by_spelling, p["spelling"]), p["context"]))
+        )
+        factor = (
+            F.when(p["pct"], F.lit(1.0))
+            .when(inside, p["inline"]["factor"])
+            .otherwise(F.coalesce(F.element_at(factor_by_spelling, p["spelling"]), F.lit(1.0)))
+        )
+        return F.struct(
+            p["value"].alias("value"),
+            unit.alias("unit"),
+            factor.alias("factor"),
+            F.coalesce(p["value"] < 0, F.lit(False)).alias("is_negative"),
+            p["pct"].alias("is_percentage"),
+            F.when(p["value"].isNull(), 0.0).when(unit.isNull(), 0.7).otherwise(1.0).alias("confidence"),
+        )
+
+    return let(F.struct(strip(text).alias("raw"), context.alias("context")), resolve)

@@ -31,6 +31,39 @@ _FOLD_FROM, _FOLD_TO = _accent_table("NFD", lambda c: ord(c) < 128)
 _PLAIN_FROM, _PLAIN_TO = _accent_table("NFKD", lambda c: not unicodedata.combining(c))
 
 
+def _quote(value) -> str:
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{value!r}D" if isinstance(value, float) else repr(value)
+
+
+def const_array(values) -> Column:
+    """A constant array, written as one SQL literal."""
+    return F.expr(f"array({', '.join(_quote(v) for v in values)})")
+
+
+def const_map(pairs: dict) -> Column:
+    """A constant map, written as one SQL literal."""
+    return F.expr(f"map({', '.join(f'{_quote(k)}, {_quote(v)}' for k, v in pairs.items())})")
+
+
+def const_rows(names, rows) -> Column:
+    """A constant array of structs, written as one SQL literal."""
+    parts = (
+        "named_struct(" + ", ".join(f"'{n}', {_quote(v)}" for n, v in zip(names, row)) + ")" for row in rows
+    )
+    return F.expr(f"array({', '.join(parts)})")
+
+
+def let(value: Column, body) -> Column:
+    """Evaluate `value` once and hand it to `body`.
+
+    Predicates that Catalyst moves below a projection repeat whatever they refer to; a
+    value bound here is written once however often `body` reads it.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(col: Column) -> Column:
     return F.regexp_replace(col, f"^{WS}+|{WS}+$", "")
 

@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import FACTOR_OF_UNIT, add_unit, add_value
-from ..functions.text import YEAR_PATTERN, fold, squeeze
-from ..functions.vocab import category_of, metric_of, statement_from_hits, statement_hits, statement_of
+from ..functions.numbers import FACTOR_OF_UNIT, parse_value, unit_of
+from ..functions.text import YEAR_PATTERN, const_map, fold, let, squeeze
+from ..functions.vocab import (
+    STATEMENT_WORDS, category_of, metric_of, statement_from_hits, statement_hits, statement_of,
+)
 
 HEADER_ROWS = 5
 MIN_TABLE_ROWS = 3
@@ -35,9 +37,8 @@ def explode_tables(pages: DataFrame) -> DataFrame:
     kept as the source snippet of its facts.
     """
     clean = lambda row: F.transform(F.coalesce(row, F.array().cast("array<string>")), squeeze)
-    df = pages.withColumn("_head", F.substring(F.coalesce(F.col("text"), F.lit("")), 1, 300))
-    df = add_unit(df, "_head", "_page_unit")
-    df = df.withColumn("context_unit", F.col("_page_unit.unit")).withColumn(
+    head = F.substring(F.coalesce(F.col("text"), F.lit("")), 1, 300)
+    df = pages.withColumn("context_unit", unit_of(head)["unit"]).withColumn(
         "source_text",
         F.nullif(F.replace(F.substring("text", 1, 200), F.lit("\n"), F.lit(" ")), F.lit("")),
     )
@@ -68,60 +69,60 @@ def year_columns(row: Column) -> Column:
     )
 
 
+def _table_unit(rows: Column, header_index: Column, context: Column) -> Column:
+    """struct(unit, factor): header row, else context (factor 1), else the first rows."""
+    row_text = lambda i: F.array_join(F.get(rows, i), " ")
+    firsts = F.filter(
+        F.transform(F.expr(f"array({', '.join(map(str, range(UNIT_ROWS)))})"), lambda i: unit_of(row_text(i))),
+        lambda u: u["unit"].isNotNull(),
+    )
+    plain = F.struct(context.alias("unit"), F.lit(1.0).alias("factor"))
+    return let(
+        unit_of(row_text(header_index)),
+        lambda head: F.when(head["unit"].isNotNull(), head)
+        .when(context.isNotNull(), plain)
+        .otherwise(F.coalesce(F.get(firsts, F.lit(0)), plain)),
+    )
+
+
 def describe_tables(tables: DataFrame) -> DataFrame:
     """Add header_index, year_cols, unit, factor and statement_type to cleaned tables."""
     heads = F.transform(
         F.slice("rows", 1, HEADER_ROWS),
         lambda row, i: F.struct(i.alias("idx"), year_columns(row).alias("cols")),
     )
-    df = tables.withColumn(
-        "_head", F.get(F.filter(heads, lambda h: F.size(h["cols"]) > 0), F.lit(0))
-    )
-    usable = F.size("rows") >= MIN_TABLE_ROWS
-    df = df.withColumn("header_index", F.when(usable, F.col("_head.idx"))).withColumn(
-        "year_cols", F.when(usable, F.col("_head.cols"))
-    )
-    df = df.withColumn("_head_text", F.array_join(F.get("rows", F.col("header_index")), " "))
-    df = add_unit(df, "_head_text", "_head_unit")
-    for i in range(UNIT_ROWS):
-        df = df.withColumn("_row_text", F.array_join(F.get("rows", F.lit(i)), " "))
-        df = add_unit(df, "_row_text", f"_unit{i}").drop("_row_text")
-    header_hit = F.col("_head_unit.unit").isNotNull()
-    with_context = F.col("context_unit").isNotNull()
-    first = F.coalesce(*[F.when(F.col(f"_unit{i}.unit").isNotNull(), F.col(f"_unit{i}")) for i in range(UNIT_ROWS)])
+    head = F.get(F.filter(heads, lambda h: F.size(h["cols"]) > 0), F.lit(0))
+    df = tables.withColumn("_head", F.when(F.size("rows") >= MIN_TABLE_ROWS, head))
+    df = df.withColumn("header_index", F.col("_head.idx")).withColumn("year_cols", F.col("_head.cols"))
     found = F.col("header_index").isNotNull()
-    df = df.withColumn("_first", first)
     df = df.withColumn(
-        "unit",
-        F.when(found, F.when(header_hit, F.col("_head_unit.unit")).when(with_context, F.col("context_unit")).otherwise(F.col("_first.unit"))),
-    ).withColumn(
-        "factor",
-        F.when(found & header_hit, F.col("_head_unit.factor"))
-        .when(found & ~with_context, F.coalesce(F.col("_first.factor"), F.lit(1.0)))
-        .otherwise(F.lit(1.0)),
+        "_unit", F.when(found, _table_unit(F.col("rows"), F.col("header_index"), F.col("context_unit")))
     )
-    df = df.withColumn(
-        "_labels", F.filter(F.transform("rows", lambda r: F.get(r, F.lit(0))), lambda c: F.coalesce(c, F.lit("")) != "")
-    )
-    df = df.withColumn("_labels", F.transform("_labels", fold))
-    for name in ("income_statement", "balance_sheet", "cash_flow"):
-        df = df.withColumn(f"_{name}", statement_hits(F.col("_labels"), name))
-    return df.withColumn(
-        "statement_type",
-        F.when(
-            found,
-            statement_from_hits(F.col("_income_statement"), F.col("_balance_sheet"), F.col("_cash_flow")),
+    labels = F.filter(
+        F.transform("rows", lambda r: fold(F.get(r, F.lit(0)))), lambda c: c != ""
+    )
+    statement = let(
+        labels,
+        lambda x: let(
+            F.struct(*[statement_hits(x, name).alias(name) for name in STATEMENT_WORDS]),
+            lambda h: statement_from_hits(h["income_statement"], h["balance_sheet"], h["cash_flow"]),
         ),
-    ).drop(
-        "_head", "_head_text", "_head_unit", *[f"_unit{i}" for i in range(UNIT_ROWS)], "_first",
-        "_labels", "_income_statement", "_balance_sheet", "_cash_flow",
+    )
+    return (
+        df.withColumn("unit", F.col("_unit.unit"))
+        .withColumn("factor", F.coalesce("_unit.factor", F.lit(1.0)))
+        .withColumn("statement_type", F.when(found, statement))
+        .drop("_head", "_unit")
     )
 
 
 def melt_tables(described: DataFrame, word_boundary: bool = False) -> DataFrame:
-    """Data rows x year columns to fact rows; only known labels with a parsable cell stay."""
+    """Data rows x year columns to fact rows; only known labels with a parsable cell stay.
+
+    The facts of a row are built as one array and exploded, so nothing is parsed twice.
+    """
     keys = [c for c in described.columns if c not in ("rows", "header_index", "year_cols", "unit", "factor", "statement_type")]
-    df = described.filter(F.col("header_index").isNotNull()).select(
+    rows = described.filter(F.col("header_index").isNotNull()).select(
         *keys,
         F.col("unit").alias("table_unit"),
         F.col("factor").alias("table_factor"),
@@ -130,40 +131,53 @@ def melt_tables(described: DataFrame, word_boundary: bool = False) -> DataFrame:
         "year_cols",
         F.posexplode("rows").alias("row_index", "_row"),
     )
-    df = df.filter(F.col("row_index") > F.col("header_index"))
-    df = df.withColumn("metric_name", F.get("_row", F.lit(0))).filter(F.length("metric_name") >= 2)
-    df = df.withColumn("_folded", fold(F.col("metric_name"))).withColumn(
-        "normalized_name", metric_of(F.col("_folded"), word_boundary)
-    )
-    df = df.filter(F.col("normalized_name").isNotNull()).drop("_folded", "header_index")
-    df = df.withColumn("_yc", F.explode("year_cols")).drop("year_cols")
-    df = df.withColumn("raw_value", F.get("_row", F.col("_yc.col"))).filter(F.col("raw_value") != "")
-    df = add_value(df, "raw_value", F.col("table_unit"), "_parsed")
-    df = df.filter(F.col("_parsed.value").isNotNull())
-    same_unit = F.col("_parsed.unit") == F.col("table_unit")
-    df = df.withColumn(
-        "factor", F.when(same_unit, F.col("table_factor")).otherwise(F.col("_parsed.factor"))
+    rows = rows.filter(F.col("row_index") > F.col("header_index"))
+
+    def cells(named):
+        parsed = F.transform(
+            F.filter(F.col("year_cols"), lambda c: F.coalesce(F.get("_row", c["col"]), F.lit("")) != ""),
+            lambda c: F.struct(
+                named["label"].alias("metric_name"),
+                named["metric"].alias("normalized_name"),
+                c["col"].alias("col_index"),
+                c["year"].alias("year"),
+                F.get("_row", c["col"]).alias("raw_value"),
+                parse_value(F.get("_row", c["col"]), F.col("table_unit")).alias("parsed"),
+            ),
+        )
+        return F.filter(parsed, lambda f: f["parsed"]["value"].isNotNull())
+
+    label = F.get("_row", F.lit(0))
+    named = F.filter(
+        F.transform(
+            F.filter(F.array(label), lambda t: F.length(t) >= 2),
+            lambda t: F.struct(t.alias("label"), metric_of(t, word_boundary).alias("metric")),
+        ),
+        lambda n: n["metric"].isNotNull(),
     )
-    real = F.create_map(*[F.lit(x) for pair in FACTOR_OF_UNIT.items() for x in pair])
-    return df.select(
+    facts = rows.select(
+        *keys, "table_unit", "table_factor", "table_statement", "row_index",
+        F.explode(F.flatten(F.transform(named, cells))).alias("f"),
+    )
+    unit = F.col("f.parsed.unit")
+    real = const_map(FACTOR_OF_UNIT)
+    base = F.col("f.parsed.value") * F.coalesce(F.element_at(real, unit), F.lit(1.0))
+    return facts.select(
         *keys,
         "row_index",
-        F.col("_yc.col").alias("col_index"),
-        "metric_name",
-        "normalized_name",
-        category_of(F.col("normalized_name")).alias("metric_category"),
-        statement_of(F.col("normalized_name")).alias("statement_type"),
-        F.col("_yc.year").alias("year"),
-        "raw_value",
-        F.col("_parsed.value").alias("value"),
-        F.col("_parsed.unit").alias("unit"),
-        "factor",
-        F.when(
-            ~F.col("_parsed.is_percentage"),
-            F.col("_parsed.value") * F.coalesce(F.element_at(real, F.col("_parsed.unit")), F.lit(1.0)),
-        ).alias("value_base"),
-        F.col("_parsed.is_percentage").alias("is_percentage"),
-        F.col("_parsed.confidence").alias("value_confidence"),
+        "f.col_index",
+        "f.metric_name",
+        "f.normalized_name",
+        category_of(F.col("f.normalized_name")).alias("metric_category"),
+        statement_of(F.col("f.normalized_name")).alias("statement_type"),
+        "f.year",
+        "f.raw_value",
+        F.col("f.parsed.value").alias("value"),
+        unit.alias("unit"),
+        F.when(unit == F.col("table_unit"), F.col("table_factor")).otherwise(F.col("f.parsed.factor")).alias("factor"),
+        F.when(~F.col("f.parsed.is_percentage"), base).alias("value_base"),
+        F.col("f.parsed.is_percentage").alias("is_percentage"),
+        F.col("f.parsed.confidence").alias("value_confidence"),
         "table_unit",
         "table_statement",
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.numbers import add_number, add_unit, add_value
+from ..functions.numbers import parse_number, parse_value, unit_of
 from ..functions.text import fold, slug, squeeze, years_in
 from ..functions.vocab import METRIC_OF_ALIAS, category_of, metric_of, statement_of
 from ..operators import facts as X
@@ -63,7 +63,7 @@ def _unit_sql(expr: str) -> str:
 
 @query("x03_detect_unit", f"SELECT doc_id, {_unit_sql('lower(text)')} FROM documents")
 def _(spark, d):
-    df = add_unit(I.table(spark, d, "documents"), "text", "u")
+    df = I.table(spark, d, "documents").select("doc_id", unit_of(F.col("text")).alias("u"))
     return df.select("doc_id", "u.unit", "u.factor")
 
 
@@ -84,9 +84,11 @@ def _(spark, d):
         F.concat(text, F.lit(" MDH (estimé)")).alias("t3"),
         F.lit("néant").alias("t4"),
     )
-    for src, out in (("t1", "spaced"), ("t2", "negative"), ("t3", "with_unit"), ("t4", "nothing")):
-        df = add_number(df, src, out)
-    return df.drop("t1", "t2", "t3", "t4")
+    names = {"t1": "spaced", "t2": "negative", "t3": "with_unit", "t4": "nothing"}
+    return df.select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+        *[parse_number(F.col(src)).alias(out) for src, out in names.items()],
+    )
 
 
 @query(
@@ -102,7 +104,7 @@ def _(spark, d):
     df = I.table(spark, d, "lineitem").withColumn("cell", F.concat(I.french(F.col("l_quantity")), suffix))
     # "dirhams" is no trailing unit word of the number parser, so the amount is cut off first.
     df = df.withColumn("cell", F.regexp_replace("cell", "dirhams$", "dh"))
-    df = add_value(df, "cell", F.lit("MMAD"), "p")
+    df = df.withColumn("p", parse_value(F.col("cell"), F.lit("MMAD")))
     return df.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "p.value", "p.unit", "p.factor", "p.is_percentage", "p.confidence"
     )
@@ -127,10 +129,9 @@ def _(spark, d):
         F.col("p_partkey").alias("label_id"), F.concat_ws(" ", "p_name", "p_type").alias("label")
     )
     docs = I.table(spark, d, "documents").select(F.col("doc_id").alias("label_id"), F.col("text").alias("label"))
-    return (
-        parts.unionByName(docs)
-        .withColumn("folded", fold(F.col("label")))
-        .select("label_id", F.length("folded").alias("label_length"), metric_of(F.col("folded")).alias("metric"))
+    label = F.col("label")
+    return parts.unionByName(docs).select(
+        "label_id", F.length(fold(label)).alias("label_length"), metric_of(label).alias("metric")
     )
 
 
