@@ -375,3 +375,132 @@ def listed_companies(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "supplier").filter(F.col("s_acctbal") >= 5000).select(
         slug(F.col("s_name")).alias("normalized_name")
     )
+
+
+# ---- events --------------------------------------------------------------------------
+
+HASH_KEY = "salt"
+NOW = "2024-01-31 00:00:00"
+# (agent text, device, browser, system) for the derived user agents.
+AGENTS = (
+    ("Mozilla/5.0 (Windows NT 10.0; Win64) Chrome/120.0 Safari/537.36 Edg/120.0", "desktop", "Edge", "Windows 10/11"),
+    ("Mozilla/5.0 (iPhone; CPU iPhone OS 17_0 like Mac OS X) Version/17.0 Mobile Safari/604.1", "mobile", "Safari", "iOS"),
+    ("Mozilla/5.0 (Linux; Android 13; Tablet) Chrome/118.0 Safari/537.36", "tablet", "Chrome", "Android"),
+    ("Mozilla/5.0 (X11; Linux x86_64; rv:120.0) Gecko Firefox/120.0", "desktop", "Firefox", "Linux"),
+    ("curl/8.4.0", "desktop", "curl", "unknown"),
+    ("", "desktop", None, None),
+)
+EVENT_KINDS = (
+    ("view", ("visit",)),
+    ("click", ("chat_message",)),
+    ("purchase", ("login_attempt",)),
+    ("signup", ("signup", "demo_login", "demo_message", "pdf_open")),
+    ("error", ("error", "company_select", "demo_exhausted", "logout")),
+)
+
+
+def raw_events(spark: SparkSession, d: str) -> DataFrame:
+    """The driver's event log in the shape clients send: agent, address, role, meta."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    u = F.col("user_id")
+    kind = F.lit(None).cast("string")
+    for source, targets in reversed(EVENT_KINDS):
+        choice = F.get(F.array(*[F.lit(t) for t in targets]), F.col("k") % len(targets))
+        kind = F.when(F.col("kind") == source, choice).otherwise(kind)
+    agent = F.get(F.array(*[F.lit(a[0]) for a in AGENTS]), (u % len(AGENTS)).cast("int"))
+    ip = F.when(u % 10 == 0, F.concat(F.lit("192.168.0."), (u % 250).cast("string"))).otherwise(
+        F.concat(F.lit("::ffff:41.92."), (u / 200).cast("int").cast("string"), F.lit("."), (u % 200).cast("string"))
+    )
+    role = F.get(F.array(*[F.lit(r) for r in ("admin", "demo", "demo", "user", "")]), (u % 5).cast("int"))
+    text = lambda c: c.cast("string")
+    blank_if = lambda cond, value: F.when(cond, F.lit("")).otherwise(value)
+    return (
+        table(spark, d, "events")
+        .select(
+            F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("kind"),
+            "user_id", "value", k.alias("k"),
+        )
+        .select(
+            "seq",
+            "ts",
+            kind.alias("event_type"),
+            agent.alias("agent"),
+            F.when(F.col("k") == 99, F.lit("")).otherwise(ip).alias("ip"),
+            role.alias("role"),
+            F.struct(
+                (F.col("k") % 3 != 0).alias("ok"),
+                blank_if(F.col("k") % 11 == 0, F.concat(F.lit("User"), text(u % 30), F.lit("@Mail.ma"))).alias("email"),
+                F.lit("secret").alias("password"),
+                F.concat(F.lit("  "), F.repeat(F.concat(F.lit("question "), text(F.col("k"))), F.col("k"))).alias("question"),
+                blank_if(F.col("k") % 9 == 0, F.concat(F.lit("company "), text(F.col("k") % 9))).alias("company"),
+                text(F.col("k") % 7 + 1995).alias("year"),
+                F.concat(F.lit("sector "), text(u % 4)).alias("sector"),
+                blank_if(F.col("k") % 4 == 0, F.concat(F.lit("report_"), text(F.col("k") % 13))).alias("report"),
+                blank_if(F.col("k") % 5 == 0, F.concat(F.lit("s"), text(u), F.lit("_"), text(F.col("k") % 5))).alias("session"),
+                blank_if(F.col("k") % 2 == 0, F.concat(F.lit("kind "), text(F.col("k") % 6))).alias("kind"),
+                blank_if(F.col("k") % 4 == 2, F.concat(F.lit("/api/"), text(F.col("k") % 3))).alias("path"),
+                F.when(F.col("k") % 13 == 0, F.lit("boom")).otherwise(F.lit(" ")).alias("error"),
+                (F.col("value") * 10).alias("latency_ms"),
+                (F.col("k") % 4).alias("sources"),
+            ).alias("meta"),
+        )
+    )
+
+
+def geo_dim(spark: SparkSession, d: str) -> DataFrame:
+    """Places of the public addresses; every eighth user is unknown to the table."""
+    nation = table(spark, d, "nation").select("n_nationkey", "n_name")
+    users = table(spark, d, "events").select("user_id").distinct().filter(F.col("user_id") % 8 != 3)
+    u = F.col("user_id")
+    return users.join(nation, u % 25 == F.col("n_nationkey")).select(
+        F.concat(F.lit("41.92."), (u / 200).cast("int").cast("string"), F.lit("."), (u % 200).cast("string")).alias("ip"),
+        F.concat(F.lit("City "), (u % 12).cast("string")).alias("city"),
+        F.col("n_name").alias("country"),
+        F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("country_code"),
+        F.concat(F.lit("isp "), (u % 3).cast("string")).alias("isp"),
+    )
+
+
+def event_log(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators.events import enrich_events
+
+    return enrich_events(raw_events(spark, d), geo_dim(spark, d), HASH_KEY)
+
+
+def _pads() -> tuple[str, str]:
+    key = HASH_KEY.encode().ljust(64, b"\0")
+    blob = lambda mask: "".join(f"\\x{b ^ mask:02X}" for b in key)
+    return blob(0x36), blob(0x5C)
+
+
+def _event_sql() -> str:
+    def pick(index: int) -> str:
+        values = ", ".join("NULL" if a[index] is None else f"'{a[index]}'" for a in AGENTS)
+        return f"list_extract([{values}], CAST(user_id % {len(AGENTS)} AS INTEGER) + 1)"
+
+    kinds = " ".join(
+        f"WHEN '{source}' THEN list_extract([{', '.join(repr(t) for t in targets)}], CAST(k % {len(targets)} AS INTEGER) + 1)"
+        for source, targets in EVENT_KINDS
+    )
+    ipad, opad = _pads()
+    located = "(ip <> '' AND user_id % 10 <> 0 AND user_id % 8 <> 3)"
+    place = lambda value, local: f"CASE WHEN ip = '' THEN NULL WHEN user_id % 10 = 0 THEN '{local}' WHEN {located} THEN {value} ELSE '' END"
+    return f"""SELECT seq, ts, event_type, nullif(role, '') AS role, nullif(ip, '') AS ip,
+      CASE WHEN ip <> '' THEN substr(sha256('{opad}'::BLOB || unhex(sha256('{ipad}'::BLOB || encode(ip)))), 1, 12) END AS ip_hash,
+      device, browser, os, {place("'City ' || user_id % 12", 'Local')} AS city, {place('n_name', 'Private Network')} AS country,
+      {place("'N' || n_nationkey", '')} AS country_code, {place("'isp ' || user_id % 3", '')} AS isp,
+      k % 3 <> 0 AS ok, CASE WHEN k % 11 <> 0 THEN 'User' || user_id % 30 || '@Mail.ma' END AS email,
+      CASE WHEN k > 0 THEN CASE WHEN length(q) > 240 THEN left(q, 240) || '…' ELSE q END END AS question,
+      CASE WHEN k % 9 <> 0 THEN 'company ' || k % 9 END AS company, CAST(k % 7 + 1995 AS VARCHAR) AS year, 'sector ' || user_id % 4 AS sector,
+      CASE WHEN k % 4 <> 0 THEN 'report_' || k % 13 END AS report, CASE WHEN k % 5 <> 0 THEN 's' || user_id || '_' || k % 5 END AS session,
+      CASE WHEN k % 2 <> 0 THEN 'kind ' || k % 6 END AS kind, CASE WHEN k % 4 <> 2 THEN '/api/' || k % 3 END AS path,
+      CASE WHEN k % 13 = 0 THEN 'boom' END AS error, latency_ms, k % 4 AS sources
+     FROM (SELECT event_id AS seq, ts, user_id, k, repeat('question ' || k, k) AS q, value * 10 AS latency_ms, n_name, n_nationkey,
+       CASE event_type {kinds} END AS event_type,
+       list_extract(['admin', 'demo', 'demo', 'user', ''], CAST(user_id % 5 AS INTEGER) + 1) AS role,
+       CASE WHEN k = 99 THEN '' WHEN user_id % 10 = 0 THEN '192.168.0.' || user_id % 250 ELSE '41.92.' || user_id // 200 || '.' || user_id % 200 END AS ip,
+       {pick(1)} AS device, {pick(2)} AS browser, {pick(3)} AS os
+      FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events) JOIN nation ON n_nationkey = user_id % 25)"""
+
+
+cte("ev", _event_sql())
