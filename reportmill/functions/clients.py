@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import contains_any, first_match, let, strip
+from .text import const_array, const_rows, contains_any, first_match, let, strip
 
 # Needles tested in this order.
 TABLET_MARKS = ("ipad", "tablet")
@@ -112,18 +113,16 @@ def _groups(text: Column) -> Column:
 def _v6_text(groups: Column) -> Column:
     """Compressed text form: the first longest run of two or more zero groups becomes '::'."""
     full = F.array_join(F.transform(groups, lambda g: F.lower(F.hex(g))), ":")
+    runs = const_array([":" + "0:" * n for n in range(8, 1, -1)])
 
     def shorten(padded):
-        out = None
-        for n in range(8, 1, -1):
-            run = ":" + "0:" * n
-            hit = F.contains(padded, F.lit(run))
-            pos = F.locate(run, padded)
-            head = F.substring(padded, F.lit(1), pos - 1)
-            tail = F.substring(padded, pos + len(run), F.length(padded))
-            text = F.concat(head, F.lit("::"), tail)
-            out = F.when(hit, text) if out is None else out.when(hit, text)
-        text = out.otherwise(padded)
+        def cut(run):
+            at = F.position(run, padded)
+            head = F.substring(padded, F.lit(1), at - 1)
+            tail = F.substring(padded, at + F.length(run), F.length(padded))
+            return F.coalesce(F.concat(head, F.lit("::"), tail), padded)
+
+        text = let(F.get(F.filter(runs, lambda r: F.contains(padded, r)), F.lit(0)), cut)
         # The outer padding colons go, the two of the compressed run stay.
         return F.regexp_replace(F.regexp_replace(text, "^:(?!:)", ""), "(?<!:):$", "")
 
@@ -146,50 +145,38 @@ def normalise_ip(ip: Column) -> Column:
     return let(text, pick)
 
 
-def _v4_block(number: Column, block: str) -> Column:
-    base, bits = block.split("/")
-    start = 0
-    for part in base.split("."):
-        start = start * 256 + int(part)
-    return number.between(start, start + 2 ** (32 - int(bits)) - 1)
+def _block_rows(blocks) -> Column:
+    """Blocks as (lowest, highest) address in hex: 8 digits for IPv4, 32 for IPv6."""
+    rows = []
+    for block in blocks:
+        net = ipaddress.ip_network(block)
+        width = net.max_prefixlen // 4
+        rows.append((f"{int(net[0]):0{width}x}", f"{int(net[-1]):0{width}x}"))
+    return const_rows(("lo", "hi"), rows)
 
 
-def _v6_block(groups: Column, block: str) -> Column:
-    import ipaddress
+def is_private(address: Column) -> Column:
+    """Of a normalised address: not globally reachable. False when it is no address."""
 
-    net = ipaddress.ip_network(block)
-    words = [(int(net.network_address) >> (112 - 16 * i)) & 0xFFFF for i in range(8)]
-    test, bits = F.lit(True), net.prefixlen
-    for i in range(8):
-        take = min(16, max(0, bits - 16 * i))
-        if take:
-            mask = (0xFFFF << (16 - take)) & 0xFFFF
-            test = test & (groups[i].bitwiseAND(F.lit(mask)) == words[i])
-    return test
+    def key(t):
+        v4 = F.lower(F.lpad(F.hex(_v4_number(t)), 8, "0"))
+        v6 = F.array_join(F.transform(_groups(t), lambda g: F.lower(F.lpad(F.hex(g), 4, "0"))), "")
+        return F.when(_is_v4(t), v4).when(F.contains(t, F.lit(":")), v6)
 
+    def inside(k, blocks):
+        return F.exists(
+            _block_rows(blocks), lambda b: (F.length(k) == F.length(b["lo"])) & k.between(b["lo"], b["hi"])
+        )
 
-def _any_block(value: Column, blocks, test) -> Column:
-    out = F.lit(False)
-    for block in blocks:
-        out = out | test(value, block)
-    return out
+    found = let(
+        let(address, key),
+        lambda k: inside(k, (*PRIVATE_V4, *PRIVATE_V6)) & ~inside(k, (*PUBLIC_V4, *PUBLIC_V6)),
+    )
+    return F.coalesce(found, F.lit(False))
 
 
 def is_private_ip(ip: Column) -> Column:
-    """Not globally reachable (loopback and unspecified included); false when no address."""
-
-    def test(t):
-        v4 = let(
-            _v4_number(t),
-            lambda n: _any_block(n, PRIVATE_V4, _v4_block) & ~_any_block(n, PUBLIC_V4, _v4_block),
-        )
-        v6 = let(
-            _groups(t),
-            lambda g: _any_block(g, PRIVATE_V6, _v6_block) & ~_any_block(g, PUBLIC_V6, _v6_block),
-        )
-        return F.when(_is_v4(t), v4).when(F.contains(t, F.lit(":")), F.coalesce(v6, F.lit(False))).otherwise(False)
-
-    return let(normalise_ip(ip), test)
+    return is_private(normalise_ip(ip))
 
 
 def keyed_hash(value: Column, key: str, length: int = 12) -> Column:

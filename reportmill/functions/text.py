@@ -64,8 +64,12 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+_WS_CHARS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
+
 def strip(col: Column) -> Column:
-    return F.regexp_replace(col, f"^{WS}+|{WS}+$", "")
+    """Trim Unicode whitespace at both ends."""
+    return F.btrim(col, F.lit(_WS_CHARS))
 
 
 def squeeze(col: Column) -> Column:

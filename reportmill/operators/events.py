@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.clients import browser_of, device_of, is_private_ip, keyed_hash, normalise_ip, system_of
-from ..functions.text import strip
+from ..functions.clients import browser_of, device_of, is_private, keyed_hash, normalise_ip, system_of
+from ..functions.text import let, strip
 
 # Event types that are kept.
 EVENT_TYPES = (
@@ -49,7 +49,8 @@ def clean_meta(meta: str, fields: set[str]) -> Column:
             return value.cast(kind).alias(name)
         text = some(strip(value.cast("string")))
         if name in META_TEXT:
-            text = F.when(F.length(text) > META_LIMIT, F.concat(F.left(text, F.lit(META_LIMIT)), F.lit("…"))).otherwise(text)
+            cut = lambda t: F.when(F.length(t) > META_LIMIT, F.concat(F.left(t, F.lit(META_LIMIT)), F.lit("…"))).otherwise(t)
+            text = let(text, cut)
         return text.alias(name)
 
     return F.struct(*[one(n) for n in (*META_FLAG, *META_SHORT, *META_TEXT, *META_NUMBER)])
@@ -63,9 +64,10 @@ def enrich_events(raw: DataFrame, geo: DataFrame, key: str) -> DataFrame:
     """
     fields = set(raw.schema["meta"].dataType.fieldNames())
     df = raw.filter(F.col("event_type").isin(*EVENT_TYPES)).withColumn("ip", normalise_ip(F.col("ip")))
+    df = df.withColumn("_private", is_private(F.col("ip")))
     df = df.join(geo.select(F.col("ip"), *[F.col(c).alias(f"g_{c}") for c in ("city", "country", "country_code", "isp")]), "ip", "left")
     has_ip = F.col("ip") != ""
-    private = is_private_ip(F.col("ip"))
+    private = F.col("_private")
 
     def place(name: str, local: str) -> Column:
         return F.when(has_ip, F.when(private, local).otherwise(_blank(f"g_{name}"))).alias(name)
