@@ -63,37 +63,55 @@ def _best(order_key: np.ndarray, ord_: np.ndarray, k: int) -> np.ndarray:
     return cand[np.lexsort((ord_[cand], order_key[cand]))][:k]
 
 
-def _keyword_keys(queries: pd.DataFrame) -> Callable[[pd.DataFrame], Iterator[np.ndarray]]:
+def _keyword_keys(queries: pd.DataFrame) -> Callable:
     """Per question the negated keyword score of each chunk; chunks without a hit are infinite."""
     words = [[(k["word"], k["weight"]) for k in ks] for ks in queries["keywords"]]
-    ids: dict[str, int] = {}
-    for ks in words:
-        for w, _ in ks:
-            ids.setdefault(w, len(ids))
+    ids = {w for ks in words for w, _ in ks}
 
-    def keys(chunks: pd.DataFrame):
+    def keys(chunks: pd.DataFrame, visible, k: int) -> Iterator[np.ndarray]:
         texts = chunks["folded"].tolist()
         hit = {w: np.fromiter((w in t for t in texts), dtype=bool, count=len(texts)) for w in ids}
-        for ks in words:
+        for i, ks in enumerate(words):
             score = np.zeros(len(texts))
             for w, weight in ks:
                 score += np.where(hit[w], weight, 0.0)
-            yield np.where(score > 0, -score, np.inf)
+            mask = visible(i)
+            yield np.where((score > 0) if mask is None else (score > 0) & mask, -score, np.inf)
 
     return keys
 
 
-def _vector_keys(queries: pd.DataFrame, metric: str) -> Callable[[pd.DataFrame], Iterator[np.ndarray]]:
+def _vector_keys(queries: pd.DataFrame, metric: str) -> Callable:
+    """Per question the distance of each chunk that can be among its k nearest, else infinite.
+
+    One matrix product finds the candidates (with a margin far above its rounding error);
+    their distances are then taken from the differences, so equal vectors tie exactly.
+    """
     wanted = np.array(queries["embedding"].tolist(), dtype=np.float64)
 
-    def keys(chunks: pd.DataFrame):
+    def exact(have: np.ndarray, q: np.ndarray) -> np.ndarray:
+        if metric == "cosine":
+            return 1.0 - (have * q).sum(axis=1) / (np.linalg.norm(have, axis=1) * np.linalg.norm(q))
+        return ((have - q) ** 2).sum(axis=1)
+
+    def keys(chunks: pd.DataFrame, visible, k: int) -> Iterator[np.ndarray]:
         have = np.array(chunks["embedding"].tolist(), dtype=np.float64)
-        for q in wanted:
+        dots = have @ wanted.T
+        sizes = (have**2).sum(axis=1)
+        for i, q in enumerate(wanted):
+            size = float((q**2).sum())
             if metric == "cosine":
-                norm = np.linalg.norm(have, axis=1) * np.linalg.norm(q)
-                yield 1.0 - (have * q).sum(axis=1) / norm
+                rough, margin = 1.0 - dots[:, i] / np.sqrt(sizes * size), 1e-9
             else:
-                yield ((have - q) ** 2).sum(axis=1)
+                rough, margin = sizes + size - 2.0 * dots[:, i], 1e-9 * (1.0 + size + float(sizes.max()))
+            mask = visible(i)
+            if mask is not None:
+                rough = np.where(mask, rough, np.inf)
+            limit = np.partition(rough, k - 1)[k - 1] if len(rough) > k else np.inf
+            out = np.full(len(rough), np.inf)
+            near = np.flatnonzero((rough <= limit + margin) & np.isfinite(rough))
+            out[near] = exact(have[near], q)
+            yield out
 
     return keys
 
@@ -116,10 +134,8 @@ def _fold_batches(queries: pd.DataFrame, batches: Iterator[pd.DataFrame], k: int
         if not len(chunks):
             continue
         ids, ords = chunks["chunk_id"].to_numpy(), chunks["ord"].to_numpy()
-        for i, key in enumerate(score(chunks)):
-            mask = _visible(rows[i], chunks)
-            ok = np.isfinite(key) if mask is None else mask & np.isfinite(key)
-            at = np.flatnonzero(ok)
+        for i, key in enumerate(score(chunks, lambda i: _visible(rows[i], chunks), k)):
+            at = np.flatnonzero(np.isfinite(key))
             if not len(at):
                 continue
             at = at[_best(key[at], ords[at], k)]
