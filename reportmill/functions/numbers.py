@@ -107,7 +107,17 @@ def parse_number(text: Column, nbsp_as_space: bool = False) -> Column:
     """
     if nbsp_as_space:
         text = F.translate(text, "\u00a0\u202f", "  ")
-    x = strip(text)
+    # Digits in groups with an optional decimal comma need no further care.
+    simple = r"^-?[0-9][0-9 ]*(,[0-9]+)?$"
+    return let(
+        strip(text),
+        lambda t: F.when(F.regexp_like(t, F.lit(simple)), F.translate(t, ", ", ".").try_cast("double")).otherwise(
+            _parse_any(t)
+        ),
+    )
+
+
+def _parse_any(x: Column) -> Column:
     words = "|".join(re.escape(w) for w in NO_NUMBER)
     x = F.regexp_replace(x, rf"(?iu)^({words})$", "")
     x = F.regexp_replace(x, rf"{WS}*\([^)0-9-]+\){WS}*$", "")

@@ -114,50 +114,68 @@ def _latest(name: str) -> Column:
 
 
 def visitors(events: DataFrame) -> DataFrame:
-    """One row per address hash: counts per type, span, latest attributes, logins, latencies."""
+    """One row per address hash: counts per type, span, latest attributes, logins, latencies.
+
+    Events fold to (address, company) first and those rows to the address, so explored
+    companies are counted without an expansion per distinct count and a busy address is
+    merged from few rows. "Latest" is the greatest (ts, -seq, value) of non-blank values.
+    """
     df = events.filter(_blank("ip_hash") != "")
-    kind, meta_company = F.col("event_type"), some("meta.company")
+    kind = F.col("event_type")
     login = kind == "login_attempt"
     ok = F.coalesce(F.col("meta.ok"), F.lit(False))
     latency = F.when(F.col("meta.latency_ms") >= 0, F.col("meta.latency_ms"))
-    order = F.struct("ts", "seq")
-    marked = F.col("role").isin("demo", "admin")
-    base = df.groupBy("ip_hash").agg(
+
+    def dated(value: Column, sign: int = -1) -> Column:
+        return F.when(value.isNotNull(), F.struct(F.col("ts").alias("t"), (F.col("seq") * sign).alias("s"), value.alias("v")))
+
+    marked = F.when(F.col("role").isin("demo", "admin"), F.col("role"))
+    parts = df.groupBy("ip_hash", some("meta.company").alias("company")).agg(
         F.min("ts").alias("first_seen"),
         F.max("ts").alias("last_seen"),
-        *[_latest(a).alias(a) for a in ATTRIBUTES],
-        F.max_by("role", F.when(marked, order)).alias("_marked"),
-        F.min_by(_blank("role"), order).alias("_first_role"),
+        *[F.max(dated(some(a))).alias(a) for a in ATTRIBUTES],
+        F.max(dated(marked, 1)).alias("_marked"),
+        F.min(dated(_blank("role"), 1)).alias("_first_role"),
         *[F.count_if(kind == t).alias(t) for t in EVENT_TYPES],
         F.count(F.lit(1)).alias("total_events"),
         F.count_if(login & ok).alias("logins_ok"),
         F.count_if(login & ~ok).alias("logins_fail"),
-        F.floor(F.avg(latency)).cast("bigint").alias("avg_latency_ms"),
-        F.floor(F.max(latency)).cast("bigint").alias("max_latency_ms"),
-    )
-    explored = (
-        df.select("ip_hash", meta_company.alias("v")).filter("v is not null").distinct()
-        .groupBy("ip_hash").agg(F.count(F.lit(1)).alias("companies_explored"))
+        F.sum(latency).alias("_ms"),
+        F.count(latency).alias("_timed"),
+        F.max(latency).alias("_max_ms"),
+    )
+    total = lambda c: F.sum(c).alias(c)
+    base = parts.groupBy("ip_hash").agg(
+        F.min("first_seen").alias("first_seen"),
+        F.max("last_seen").alias("last_seen"),
+        *[F.max(a)["v"].alias(a) for a in ATTRIBUTES],
+        F.coalesce(F.max("_marked")["v"], F.min("_first_role")["v"]).alias("role"),
+        *[total(t) for t in EVENT_TYPES],
+        total("total_events"),
+        F.count("company").alias("companies_explored"),
+        total("logins_ok"),
+        total("logins_fail"),
+        F.floor(F.try_divide(F.sum("_ms"), F.sum("_timed"))).cast("bigint").alias("avg_latency_ms"),
+        F.floor(F.max("_max_ms")).cast("bigint").alias("max_latency_ms"),
     )
     sessions = (
         df.filter(login).select("ip_hash", F.coalesce(some("meta.session"), F.col("ts").cast("string")).alias("v")).distinct()
         .groupBy("ip_hash").agg(F.count(F.lit(1)).alias("sessions"))
     )
-    out = base.join(explored, "ip_hash", "left").join(sessions, "ip_hash", "left")
-    return out.select(
+    return base.join(sessions, "ip_hash", "left").select(
         "ip_hash",
         *[_blank(a).alias(a) for a in ATTRIBUTES[:5]],
         F.coalesce("device", F.lit("desktop")).alias("device"),
         F.coalesce("browser", F.lit("unknown")).alias("browser"),
         F.coalesce("os", F.lit("unknown")).alias("os"),
-        F.coalesce("_marked", "_first_role").alias("role"),
+        "role",
         location_label(F.col("city"), F.col("country")).alias("location"),
         "first_seen",
         "last_seen",
         *EVENT_TYPES,
         F.col("chat_message").alias("questions"),
         "total_events",
-        F.coalesce("companies_explored", F.lit(0)).alias("companies_explored"),
+        "companies_explored",
         F.coalesce("sessions", F.lit(0)).alias("sessions"),
         "logins_ok",
         "logins_fail",

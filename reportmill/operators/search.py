@@ -63,14 +63,45 @@ def _best(order_key: np.ndarray, ord_: np.ndarray, k: int) -> np.ndarray:
     return cand[np.lexsort((ord_[cand], order_key[cand]))][:k]
 
 
+def _automaton(words: list[str]):
+    """Multi-pattern matcher where the package is there; one pass finds all words of a text."""
+    try:
+        import ahocorasick
+    except ImportError:
+        return None
+    matcher = ahocorasick.Automaton()
+    for i, word in enumerate(words):
+        if word:
+            matcher.add_word(word, i)
+    if len(matcher):
+        matcher.make_automaton()
+        return matcher
+    return None
+
+
+def _contained(texts: list[str], words: list[str], automaton) -> dict[str, np.ndarray]:
+    """Per word the texts that contain it."""
+    if automaton is None:
+        return {w: np.fromiter((w in t for t in texts), dtype=bool, count=len(texts)) for w in words}
+    table = np.zeros((len(words), len(texts)), dtype=bool)
+    for j, text in enumerate(texts):
+        for i in {i for _, i in automaton.iter(text)}:
+            table[i, j] = True
+    found = dict(zip(words, table))
+    if "" in found:
+        found[""][:] = True
+    return found
+
+
 def _keyword_keys(queries: pd.DataFrame) -> Callable:
     """Per question the negated keyword score of each chunk; chunks without a hit are infinite."""
     words = [[(k["word"], k["weight"]) for k in ks] for ks in queries["keywords"]]
-    ids = {w for ks in words for w, _ in ks}
+    ids = sorted({w for ks in words for w, _ in ks})
+    automaton = _automaton(ids)
 
     def keys(chunks: pd.DataFrame, visible, k: int) -> Iterator[np.ndarray]:
         texts = chunks["folded"].tolist()
-        hit = {w: np.fromiter((w in t for t in texts), dtype=bool, count=len(texts)) for w in ids}
+        hit = _contained(texts, ids, automaton)
         for i, ks in enumerate(words):
             score = np.zeros(len(texts))
             for w, weight in ks:

@@ -18,7 +18,7 @@ WS_SQL = "[\\s\\x0b\\x1c-\\x1f\\x85\\xa0]+"
 
 def document_pages(spark, d):
     """Documents as pages: the source is the report, the document number its page."""
-    return I.table(spark, d, "documents").select(
+    return I.spread_table(spark, d, "documents", "doc_id").select(
         F.col("source").alias("report"), (F.col("doc_id") + 1).cast("int").alias("page"), "text", F.col("source").alias("source")
     )
 

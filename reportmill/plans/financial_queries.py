@@ -41,7 +41,7 @@ FACT_COLUMNS = (
 
 @query("x01_fold_text", f"SELECT doc_id, {fold_sql('text')} AS folded FROM documents")
 def _(spark, d):
-    return I.table(spark, d, "documents").select("doc_id", fold(F.col("text")).alias("folded"))
+    return I.spread_table(spark, d, "documents", "doc_id").select("doc_id", fold(F.col("text")).alias("folded"))
 
 
 @query(
@@ -77,7 +77,7 @@ def _(spark, d):
 )
 def _(spark, d):
     text = I.french(F.col("l_extendedprice"))
-    df = I.table(spark, d, "lineitem").select(
+    df = I.spread_table(spark, d, "lineitem", "l_orderkey").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
         text.alias("t1"),
         F.concat(F.lit("("), text, F.lit(")")).alias("t2"),
@@ -101,7 +101,7 @@ def _(spark, d):
 )
 def _(spark, d):
     suffix = F.get(F.array(F.lit(" %"), F.lit(" dirhams"), F.lit("")), (F.col("l_linenumber") % 3).cast("int"))
-    df = I.table(spark, d, "lineitem").withColumn("cell", F.concat(I.french(F.col("l_quantity")), suffix))
+    df = I.spread_table(spark, d, "lineitem", "l_orderkey").withColumn("cell", F.concat(I.french(F.col("l_quantity")), suffix))
     # "dirhams" is no trailing unit word of the number parser, so the amount is cut off first.
     df = df.withColumn("cell", F.regexp_replace("cell", "dirhams$", "dh"))
     df = df.withColumn("p", parse_value(F.col("cell"), F.lit("MMAD")))
@@ -128,7 +128,7 @@ def _(spark, d):
     parts = I.table(spark, d, "part").select(
         F.col("p_partkey").alias("label_id"), F.concat_ws(" ", "p_name", "p_type").alias("label")
     )
-    docs = I.table(spark, d, "documents").select(F.col("doc_id").alias("label_id"), F.col("text").alias("label"))
+    docs = I.spread_table(spark, d, "documents", "doc_id").select(F.col("doc_id").alias("label_id"), F.col("text").alias("label"))
     label = F.col("label")
     return parts.unionByName(docs).select(
         "label_id", F.length(fold(label)).alias("label_length"), metric_of(label).alias("metric")

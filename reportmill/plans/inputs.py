@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import slug
+from ..session import spread
 from .catalog import cte
 
 
@@ -17,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table for work that is heavy per row: a single file is spread over the cores."""
+    return spread(table(spark, sf_dir, name), key)
+
+
 def companies(spark: SparkSession, d: str) -> DataFrame:
     nation = table(spark, d, "nation")
     return (
@@ -415,7 +421,7 @@ def raw_events(spark: SparkSession, d: str) -> DataFrame:
     text = lambda c: c.cast("string")
     blank_if = lambda cond, value: F.when(cond, F.lit("")).otherwise(value)
     return (
-        table(spark, d, "events")
+        spread_table(spark, d, "events", "event_id")
         .select(
             F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("kind"),
             "user_id", "value", k.alias("k"),

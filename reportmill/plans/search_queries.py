@@ -18,7 +18,7 @@ WS_SQL = WORDS.strip().strip("'")
 
 def corpus(spark, d):
     """Chunks of all documents; the first chunk of a document has the vector of that number."""
-    docs = I.table(spark, d, "documents").select("doc_id", "lang", "source", F.posexplode(chunk_words(F.col("text"))).alias("pos", "text"))
+    docs = I.spread_table(spark, d, "documents", "doc_id").select("doc_id", "lang", "source", F.posexplode(chunk_words(F.col("text"))).alias("pos", "text"))
     vectors = I.table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(0).alias("pos"), "embedding")
     return docs.join(vectors, ["doc_id", "pos"], "left").select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("::"), F.col("pos").cast("string")).alias("chunk_id"),

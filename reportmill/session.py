@@ -56,6 +56,15 @@ def within(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n")).first()["n"] <= max_rows
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give a table that arrives in fewer splits than there are cores to all cores.
+
+    Only such small inputs are shuffled; a table with enough splits is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def salted_lookup(
     big: DataFrame, small: DataFrame, keys: list[str], salt_by: str, how: str = "left", salts: int = 32
 ) -> DataFrame:
