@@ -65,14 +65,23 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
 
 
+HOT_ROWS = 1_000_000
+
+
 def salted_lookup(
-    big: DataFrame, small: DataFrame, keys: list[str], salt_by: str, how: str = "left", salts: int = 32
+    big: DataFrame, small: DataFrame, keys: list[str], salt_by: str, how: str = "left",
+    salts: int = 64, hot_rows: int | None = None,
 ) -> DataFrame:
     """Join a key-unique side onto rows of which one key may hold a large share.
 
-    The big side is spread over `salts` slices per key by a hash of `salt_by`; the small
-    side (one row per key) is repeated once per slice, so no task gets a whole hot key.
+    Keys with more than `hot_rows` rows are found by a count that combines before its
+    shuffle. Only their rows are dealt to `salts` slices, and only their row of the small
+    side is repeated once per slice; all other keys join as they are. The list of hot keys
+    is at most rows / hot_rows long; Spark broadcasts it only under its own size limit.
     """
-    left = big.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    limit = HOT_ROWS if hot_rows is None else hot_rows
+    hot = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).select(*keys, F.lit(salts).alias("_slices"))
+    slices = F.coalesce("_slices", F.lit(1))
+    left = big.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(salt_by), slices).cast("int")).drop("_slices")
+    right = small.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), slices - 1))).drop("_slices")
     return left.join(right, [*keys, "_salt"], how).drop("_salt")

@@ -22,7 +22,7 @@ COMPANY_COLUMNS = (
 DONE_STATUSES = ("downloaded", "skipped")
 CHUNK_SCHEMA = "id INT, page INT, report STRING, text STRING, source STRING, company STRING, company_normalized STRING, year STRING, sector STRING, url STRING"
 FLAT_SCHEMA = "page INT, tableau INT, ligne INT, " + ", ".join(f"col{i} STRING" for i in range(1, 13))
-EVENT_SCHEMA = T.StructType.fromDDL(
+EVENT_SCHEMA = (
     "seq BIGINT, ts TIMESTAMP, event_type STRING, role STRING, ip STRING, ip_hash STRING, device STRING, browser STRING, os STRING, "
     "city STRING, country STRING, country_code STRING, isp STRING, meta STRUCT<ok: BOOLEAN, email: STRING, year: STRING, sector: STRING, "
     "page: STRING, scope: STRING, screen: STRING, lang: STRING, kind: STRING, session: STRING, reason: STRING, question: STRING, error: STRING, "
@@ -144,8 +144,7 @@ def write_flat_tables(flat: DataFrame, path: str) -> None:
 
 
 def read_flat_tables(spark: SparkSession, path: str) -> DataFrame:
-    schema = T.StructType.fromDDL(FLAT_SCHEMA).add("report", T.StringType())
-    return _read_csv(spark, path, schema)
+    return _read_csv(spark, path, FLAT_SCHEMA + ", report STRING")
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
@@ -158,14 +157,12 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    schema = T.StructType.fromDDL(CHUNK_SCHEMA).add("stem", T.StringType())
-    return spark.read.schema(schema).json(path)
+    return spark.read.schema(CHUNK_SCHEMA + ", stem STRING").json(path)
 
 
 def read_event_log(spark: SparkSession, path: str) -> DataFrame:
     """Event records from JSON lines; lines that are no record are left out."""
-    schema = T.StructType(EVENT_SCHEMA.fields + [T.StructField("_bad", T.StringType())])
-    raw = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_bad").option("mode", "PERMISSIVE").json(path)
+    raw = spark.read.schema(EVENT_SCHEMA + ", _bad STRING").option("columnNameOfCorruptRecord", "_bad").option("mode", "PERMISSIVE").json(path)
     return raw.filter(F.col("_bad").isNull() & F.col("event_type").isNotNull()).drop("_bad")
 
 
