@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 WS = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
-NOT_WS = "[^" + WS[1:]
-
-
 def _accent_table(form: str, keep) -> tuple[str, str]:
     """(from, to) strings for `translate`: code points that decompose to one kept character."""
     src, dst = [], []

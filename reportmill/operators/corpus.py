@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import NOT_WS, WS, let, squeeze, stem_slug
+from ..functions.text import WS, let, squeeze, stem_slug
 from ..session import salted_lookup
 
 CHUNK_WORDS, CHUNK_OVERLAP = 300, 50
@@ -71,21 +71,18 @@ def page_offsets(counts: DataFrame) -> DataFrame:
     A two-level running sum: pages are summed per bucket of pages, buckets are summed per
     report, so a report with a large share of all pages is still many small groups.
     """
-    # One exchange serves the bucket sums and the running sums inside the buckets.
-    bucketed = counts.withColumn("_b", F.floor(F.col("page") / PAGE_BUCKET)).repartition("report", "_b")
+    bucketed = counts.withColumn("_b", F.floor(F.col("page") / PAGE_BUCKET))
+    earlier = Window.partitionBy("report", "_b").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    inside = bucketed.withColumn("_in", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    # The bucket sums reuse the exchange of the window, so words are counted once.
     before = Window.partitionBy("report").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        bucketed.groupBy("report", "_b")
-        .agg(F.sum("n").alias("_n"))
+        inside.groupBy("report", "_b")
+        .agg(F.max(F.col("_in") + F.col("n")).alias("_n"))
         .withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .drop("_n")
     )
-    earlier = Window.partitionBy("report", "_b").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        bucketed.withColumn("_in", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-        .join(starts, ["report", "_b"])
-        .select("report", "page", (F.col("_start") + F.col("_in")).alias("offset"))
-    )
+    return inside.join(starts, ["report", "_b"]).select("report", "page", (F.col("_start") + F.col("_in")).alias("offset"))
 
 
 def chunk_pages(pages: DataFrame, size: int = CHUNK_WORDS, overlap: int = CHUNK_OVERLAP) -> DataFrame:
@@ -98,7 +95,7 @@ def chunk_pages(pages: DataFrame, size: int = CHUNK_WORDS, overlap: int = CHUNK_
         df = df.withColumn("text", page_body(F.col("text"), real_tables(F.col("tables")), F.col("page")))
     source = F.col("source") if "source" in pages.columns else F.col("report")
     df = df.select("report", F.col("page").cast("int").alias("page"), source.alias("source"), F.coalesce("text", F.lit("")).alias("text"))
-    counts = df.select("report", "page", window_count(F.regexp_count("text", F.lit(f"{NOT_WS}+")), size, overlap).alias("n"))
+    counts = df.select("report", "page", window_count(F.size(words_of(F.col("text"))), size, overlap).alias("n"))
     numbered = df.join(page_offsets(counts), ["report", "page"])
     return numbered.select(
         "report", "page", "source", "offset", F.posexplode(chunk_words(F.col("text"), size, overlap)).alias("pos", "text")
