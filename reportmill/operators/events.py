@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clients import browser_of, device_of, is_private, keyed_hash, normalise_ip, system_of
 from ..functions.text import let, strip
+from ..session import beside
 
 # Event types that are kept.
 EVENT_TYPES = (
@@ -274,8 +275,7 @@ def summary(events: DataFrame, now: str) -> DataFrame:
             F.count_if(F.col("g") == "demo").alias("unique_demo_visitors"),
         )
     )
-    # Both sides are one row by construction (global aggregates).
-    return counts.withColumn("_k", F.lit(1)).join(keys.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    return beside(counts, keys)
 
 
 def device_mix(events: DataFrame) -> DataFrame:
@@ -436,8 +436,7 @@ def chat_stats(events: DataFrame) -> DataFrame:
         F.coalesce(F.max(F.when(F.col("name") == "p50", F.col("value"))), F.lit(0)).alias("p50_latency_ms"),
         F.coalesce(F.max(F.when(F.col("name") == "p95", F.col("value"))), F.lit(0)).alias("p95_latency_ms"),
     )
-    one = lambda df: df.withColumn("_k", F.lit(1))
-    out = one(stats).join(one(askers), "_k").join(one(picks), "_k").drop("_k")
+    out = beside(stats, askers, picks)
     ratio = F.coalesce(F.bround(F.try_divide(F.col("total_questions"), F.col("unique_askers")), 2), F.lit(0.0))
     return out.withColumn("questions_per_asker", ratio)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.html import absolute, anchors, attribute, blocks, cells, links, table_rows, text_of
 from ..functions.text import company_key, let, sector_key
+from ..session import beside
 from ..sources.files import DONE_STATUSES, MANIFEST_COLUMNS
 from .warehouse import best_row
 
@@ -252,8 +253,4 @@ def run_summary(emitter_rows: DataFrame, documents: DataFrame, selected: DataFra
             F.count_if(F.col("download_status").isin("failed", "invalid_pdf")).alias("failed"),
         ),
     ]
-    out = None
-    for part in parts:  # every part is a single row
-        part = part.withColumn("_k", F.lit(1))
-        out = part if out is None else out.join(part, "_k")
-    return out.drop("_k")
+    return beside(*parts)

@@ -68,6 +68,11 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 HOT_ROWS = 1_000_000
 
 
+def beside(row: DataFrame, *others: DataFrame) -> DataFrame:
+    """Put one-row results side by side, as scalar subqueries instead of a join."""
+    return row.select("*", *[o.select(c).scalar().alias(c) for o in others for c in o.columns])
+
+
 def salted_lookup(
     big: DataFrame, small: DataFrame, keys: list[str], salt_by: str, how: str = "left",
     salts: int = 64, hot_rows: int | None = None,
