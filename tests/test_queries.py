@@ -6,9 +6,10 @@ import pytest
 
 import __spark_entry__ as entry
 from harness import compare, connect
+from reportmill.plans import all_oracles, all_queries
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = all_queries(), all_oracles()
 
 
 @pytest.fixture(scope="module")
@@ -26,6 +27,11 @@ def test_query(spark, con, name):
     assert problem is None, problem
 
 
+def test_entry_lists_every_query():
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(ORACLES) <= set(entry.oracle_sql()) <= set(entry.queries())
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns[:4] == ["company", "sector", "year", "value"]
