@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, pii, quality_rules, simhash, url_filter
+from . import bpe, decontaminate, pii, quality_rules, quotes, simhash, url_filter
 from .common import table
 
 RUNNERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,6 +63,51 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, url_filter.spam_pages(pages)).withColumnRenamed("id", "page_id")
 
 
+@query("op9_quotation", r"""
+WITH RECURSIVE raw AS (
+  SELECT conv_id, turn, role, string_split(coalesce(text, ''), chr(10)) AS ls FROM conversations
+), numbered AS (
+  SELECT conv_id, turn, role, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM raw
+), parsed AS (
+  SELECT *, length(replace(regexp_extract(line, '^(?:[ \t]*>)+'), ' ', '')) -
+    length(replace(replace(regexp_extract(line, '^(?:[ \t]*>)+'), ' ', ''), '>', '')) AS level,
+    CASE WHEN regexp_extract(line, '^(?:[ \t]*>)+') = '' THEN line
+      ELSE trim(substr(line, length(regexp_extract(line, '^(?:[ \t]*>)+')) + 1)) END AS content
+  FROM numbered
+), said AS (
+  SELECT conv_id, turn, level, trim(regexp_replace(lower(content), '[^\p{L}\p{N}]+', ' ', 'g')) AS passage FROM parsed
+), originals AS (
+  SELECT conv_id, passage, min(turn) AS original FROM said WHERE level = 0 AND passage <> '' GROUP BY ALL
+), weight AS (
+  SELECT q.conv_id, q.turn, q.level, o.original, sum(length(q.passage)) AS chars
+  FROM said q JOIN originals o USING (conv_id, passage) WHERE q.level > 0 AND o.original < q.turn GROUP BY ALL
+), links AS (
+  SELECT conv_id, turn, arg_max(original, row(-level, chars, original)) AS parent FROM weight GROUP BY ALL
+), up AS (
+  SELECT conv_id, turn, turn AS top FROM conversations
+  UNION SELECT u.conv_id, u.turn, l.parent FROM up u JOIN links l ON u.conv_id = l.conv_id AND u.top = l.turn
+), root AS (
+  SELECT conv_id, turn, min(top) AS root_turn FROM up GROUP BY ALL
+), clean AS (
+  SELECT conv_id, turn, role, max(level) AS quote_depth,
+    regexp_replace(coalesce(string_agg(content, chr(10) ORDER BY i) FILTER (WHERE level = 0 AND NOT introduces), ''), '^\n+|\n+$', '', 'g') AS text
+  FROM (SELECT *, regexp_matches(content, '(?i)(wrote|writes|schrieb|écrit|escribió)[ \t]*:[ \t\r]*$')
+      AND coalesce(lead(level) OVER (PARTITION BY conv_id, turn ORDER BY i) > 0, false) AS introduces FROM parsed)
+  GROUP BY ALL
+)
+SELECT c.conv_id, c.turn, c.role, c.text, c.quote_depth::INT AS quote_depth, l.parent AS parent_turn, r.root_turn,
+  row_number() OVER (PARTITION BY c.conv_id ORDER BY r.root_turn, c.turn) AS position,
+  '<|im_start|>' || coalesce(c.role, 'user') || chr(10) || c.text || '<|im_end|>' || chr(10) AS formatted
+FROM clean c JOIN root r USING (conv_id, turn) LEFT JOIN links l USING (conv_id, turn)
+""")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quotes.thread(table(spark, sf_dir, "conversations"))
+    return rows.select(
+        F.col("conv").alias("conv_id"), "turn", "role", "text", "quote_depth", F.col("parent").alias("parent_turn"),
+        F.col("root").alias("root_turn"), "position", "formatted",
+    )
+
+
 @query("op10_pii")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
