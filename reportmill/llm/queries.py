@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, pii, quality_rules, quotes, simhash, url_filter
-from .common import table
+from . import bpe, decontaminate, pii, quality_rules, quotes, simhash, toxicity, url_filter
+from .common import held_out, table
 
 RUNNERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,6 +31,16 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+TOXIC_AT = 0.3
+
+
+@query("op1_toxicity")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = toxicity.score(docs, table(spark, sf_dir, "labels"), ~held_out("doc_id", 4, 2))
+    return rows.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"))
+
+
 @query("op2_quality_rules")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.clean_lines(table(spark, sf_dir, "documents"))
