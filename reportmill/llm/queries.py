@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, pii, quality_rules, quotes, simhash, toxicity, url_filter
+from . import bpe, decontaminate, gru_lm, pii, quality_rules, quotes, simhash, toxicity, url_filter
 from .common import held_out, table
 
 RUNNERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,14 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op4_gru_lm")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = gru_lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"), ~held_out("doc_id", 7, 2))
+    return rows.select(
+        F.col("id").alias("doc_id"), held_out("id", 7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score",
+    )
+
+
 @query("op5_decontamination")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
