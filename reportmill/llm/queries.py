@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, gru_lm, pii, quality_rules, quotes, simhash, toxicity, url_filter
+from . import bpe, decontaminate, gru_lm, html_blocks, pii, quality_rules, quotes, simhash, toxicity, url_filter
 from .common import held_out, table
 
 RUNNERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op3_html_blocks")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = html_blocks.extract(table(spark, sf_dir, "pages"))
+    return rows.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @query("op4_gru_lm")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = gru_lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"), ~held_out("doc_id", 7, 2))
