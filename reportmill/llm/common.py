@@ -34,7 +34,7 @@ def ascii_lower(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Words of a text as an array, in order."""
-    return F.filter(F.split(text, GAP), lambda w: w != "")
+    return F.array_remove(F.split(text, GAP), "")
 
 
 def held_out(doc_id: str, parts: int, part: int) -> Column:

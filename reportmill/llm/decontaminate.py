@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import within
+from ..session import materialise, within
 from .common import let, text_of, words
 
 WINDOW = 8
@@ -15,6 +15,8 @@ MIN_PLAIN = 4
 MIN_SHARE = 50
 #: Template windows that may be sent to every task; a larger benchmark is joined by shuffle.
 MAX_SENT = 200_000
+#: Windows are first tried by their two leading words in a table of this many bits.
+GATES = 1 << 16
 
 UNITS = (
     "mm cm m km in ft yd mi mg g kg t lb oz ml l gal s sec min h hr hrs day days week weeks month months year years "
@@ -26,7 +28,7 @@ SLOTS = (NUMBER, NAME, UNIT)
 _PUNCTUATION = "\"'“”‘’«»()[]{}.,;:!?…"
 _IS_NUMBER = r"(?<![^\s(\[\"'“‘«])[$€£]?[+-]?[0-9][0-9.,:/]*(?:st|nd|rd|th)?%?(?![^\s.,;:!?)\]\"'”’»…])"
 _IS_UNIT = rf"(?<=<number>[\s])(?:{'|'.join(UNITS)})(?![^\s.,;:!?)\]\"'”’»…])"
-_IS_NAME = r"(?<=[^.!?:…\"'“”‘’)\]»\s]\s)\p{Lu}\p{Ll}[\p{L}’'-]*"
+_IS_NAME = r"\p{Lu}(?<=[^.!?:…\"'“”‘’)\]»\s]\s\p{Lu})\p{Ll}[\p{L}’'-]*"
 
 
 def _split(text: Column) -> Column:
@@ -36,27 +38,39 @@ def _split(text: Column) -> Column:
 def _templated(text: Column) -> Column:
     """Text with names, numbers and units replaced inside their words, so words stay in place."""
     named = F.regexp_replace(text, _IS_NAME, NAME)
-    return F.regexp_replace(F.regexp_replace(named, _IS_NUMBER, NUMBER), _IS_UNIT, UNIT)
+    return let(named, lambda t: F.when(
+        t.rlike("[0-9]"), F.regexp_replace(F.regexp_replace(t, _IS_NUMBER, NUMBER), _IS_UNIT, UNIT)
+    ).otherwise(t))
 
 
-def _windows(text: Column, sizes: list[int]) -> Column:
-    """(at, size, key, said) of every window; said holds its words where it has a placeholder.
+def _gate(hashes: Column, i: Column, size: int) -> Column:
+    """Number of a window's two leading words, below GATES."""
+    both = hashes[i] if size == 1 else hashes[i].bitwiseXOR(F.shiftleft(hashes[i + 1], 1))
+    return both.bitwiseAND(F.lit(GATES - 1)).cast("int")
+
+
+def _windows(text: Column, sizes: list[int], sieve: Column | None = None) -> Column:
+    """(at, size, gate, key, said) of every window; said holds its words where it has a placeholder.
 
     Words are in lower case without punctuation; a number, a unit after a number and a
-    capitalised word inside a sentence become typed placeholders.
+    capitalised word inside a sentence become typed placeholders. Windows whose gate is not
+    set in the sieve (an array of booleans) are left out.
     """
     def searched(slots: Column, said: Column, plain: Column) -> Column:
         def of(size: int) -> Column:
             def window(hashes: Column, i: Column) -> Column:
                 key = F.xxhash64(*[hashes[i + k] for k in range(size)])
-                return F.struct(i.cast("int").alias("at"), F.lit(size).alias("size"), key.alias("key"), F.when(
+                return F.struct(i.cast("int").alias("at"), F.lit(size).alias("size"), _gate(hashes, i, size).alias("gate"), key.alias("key"), F.when(
                     ~plain & F.exists(F.slice(slots, i + 1, size), lambda w: w.isin(*SLOTS)), F.slice(said, i + 1, size)
                 ).alias("said"))
 
-            made = let(F.transform(slots, lambda w: F.xxhash64(w)), lambda h: F.transform(
-                F.sequence(F.lit(0), F.size(slots) - size), lambda i: window(h, i)
-            ))
-            none = F.array().cast("array<struct<at:int,size:int,key:bigint,said:array<string>>>")
+            def tried(hashes: Column) -> Column:
+                places = F.sequence(F.lit(0), F.size(slots) - size)
+                open_at = places if sieve is None else let(sieve, lambda s: F.filter(places, lambda i: s[_gate(hashes, i, size)]))
+                return F.transform(open_at, lambda i: window(hashes, i))
+
+            made = let(F.transform(slots, lambda w: F.xxhash64(w)), tried)
+            none = F.array().cast("array<struct<at:int,size:int,gate:int,key:bigint,said:array<string>>>")
             return F.when(F.size(slots) >= size, made).otherwise(none)
 
         return F.concat(*map(of, sizes)) if len(sizes) > 1 else of(sizes[0])
@@ -70,6 +84,12 @@ def _windows(text: Column, sizes: list[int]) -> Column:
     return let(made, both)
 
 
+def _sieve(wanted: DataFrame) -> Column:
+    """Which gates the benchmark's windows use, as a constant array of GATES booleans."""
+    used = {r["gate"] for r in wanted.select("gate").distinct().collect()}  # at most GATES
+    return F.split(F.lit(",".join("1" if g in used else "0" for g in range(GATES))), ",").cast("array<boolean>")
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, min_share: int = MIN_SHARE) -> DataFrame:
     """(id, item, found, wanted, changed): every row that takes over a benchmark item.
 
@@ -91,15 +111,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     sizes = [r["n"] for r in asked.select(F.least("n_asked", F.lit(window)).alias("n")).distinct().collect()] or [window]
     plain_words = F.size(F.filter(F.coalesce("w.asked_slots", F.array().cast("array<string>")), lambda x: ~x.isin(*SLOTS)))
     slots = let(_split(_templated(F.col("text"))), lambda s: F.transform("w", lambda x: F.struct(
-        x["at"].alias("item_at"), x["size"].alias("size"), x["key"].alias("key"), x["said"].alias("asked"), F.slice(s, x["at"] + 1, x["size"]).alias("asked_slots"),
+        x["at"].alias("item_at"), x["size"].alias("size"), x["gate"].alias("gate"), x["key"].alias("key"), x["said"].alias("asked"), F.slice(s, x["at"] + 1, x["size"]).alias("asked_slots"),
     )))
     wanted = asked.withColumn("w", _windows(F.col("text"), sizes)).select("item", "n_asked", F.explode(slots).alias("w")).filter(
         (F.col("w.size") == F.least("n_asked", F.lit(window))) & (plain_words >= F.least(F.lit(MIN_PLAIN), (F.col("w.size") + 1) / 2))
     ).select("item", "w.*")
+    wanted = materialise(wanted, "benchmark-windows")
     total = wanted.groupBy("item").agg(F.count(F.lit(1)).alias("wanted"))
     sent = F.broadcast(wanted) if within(wanted, MAX_SENT) else wanted
 
-    said = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.explode(_windows(text_of(text_col), sizes)).alias("w"))
+    said = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.explode(_windows(text_of(text_col), sizes, _sieve(wanted))).alias("w"))
     hits = said.select("id", "w.key", "w.size", "w.at", "w.said").join(sent, ["key", "size"])
     pairs = F.filter(F.transform("asked_slots", lambda s, k: F.struct(
         s.alias("slot"), F.get("asked", k).alias("asked"), F.get("said", k).alias("said"),
