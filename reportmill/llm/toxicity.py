@@ -17,7 +17,7 @@ MIN_TEXTS, COUNT_BITS = 3, 26
 SIEVE_BITS = 22
 #: Bound on the labelled rows that a model is fitted on, by hash of their id.
 MAX_TRAIN = 20_000
-EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 0.3, 0.1
+EPOCHS, ALPHA, BETA, L1, L2 = 6, 1.0, 1.0, 4.0, 0.1
 #: Words apart in a pair: neighbours and skip-grams over one and two words.
 GAPS = (1, 2, 3)
 _SALT = (0x632BE59BD9B4E019, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
