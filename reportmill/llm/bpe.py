@@ -33,6 +33,7 @@ _PLAIN_BELOW = "\u0530"
 _END = "</w>"
 _CACHE = 200_000
 _LONG = 64
+_TEXT_PART = 1 << 20
 
 
 def _splitter(late: bool) -> regex.Pattern:
@@ -67,7 +68,6 @@ class Encoder:
         letters = _byte_letters()
         self.inner = [vocab[c] for c in letters]
         self.last = [vocab[c + _END] for c in letters]
-        self.tokens = {i: t for t, i in vocab.items()} | {a["id"]: a["content"] for a in spec["added_tokens"]}
         self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(merges)}
         code = {c: b for b, c in enumerate(letters)}
         self.inside = np.zeros((256, 512), bool)
@@ -158,7 +158,13 @@ class Encoder:
         flat = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         flat = (flat if plain else flat.translate(_LATE_LOWER)).lower()
         word, known, pieces = self.word, self.words, self.pieces if plain else self.any_pieces
-        return b"".join([known.get(w) or word(w) for w in (m.group() for m in pieces.finditer(flat))])
+        out, at = [], 0
+        while at < len(flat):  # pieces hold no space, so a long text is cut at one
+            cut = flat.find(" ", at + _TEXT_PART)
+            cut = len(flat) if cut < 0 else cut
+            out.append(b"".join([known.get(w) or word(w) for w in pieces.findall(flat, at, cut)]))
+            at = cut
+        return b"".join(out)
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; a null text has none."""
@@ -171,20 +177,30 @@ class Encoder:
             out.append(np.array([self.special[piece]], "<u4").tobytes() if k % 2 else self._plain(piece) if piece else b"")
         return b"".join(out)
 
+
+class Decoder:
+    """The tokens of a vocabulary by id."""
+
+    def __init__(self, model: str) -> None:
+        spec = json.loads(model)
+        self.tokens = {i: t for t, i in spec["model"]["vocab"].items()} | {a["id"]: a["content"] for a in spec["added_tokens"]}
+
     def decode(self, ids: bytes) -> str:
         """Tokens joined by a space: the vocabulary names no decoder."""
         tokens = self.tokens
         return " ".join([tokens[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
-_LOADED: dict[str, Encoder] = {}
+_LOADED: dict[tuple[type, int], Encoder | Decoder] = {}
 
 
-def _encoder(model: str) -> Encoder:
-    if model not in _LOADED:
+def _tool(kind: type, model: str):
+    """One coder per worker process and vocabulary."""
+    key = (kind, hash(model))
+    if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[model] = Encoder(model)
-    return _LOADED[model]
+        _LOADED[key] = kind(model)
+    return _LOADED[key]
 
 
 def read_model(path: str) -> str:
@@ -204,7 +220,7 @@ def encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: s
     model = docs.sparkSession.sparkContext.broadcast(read_model(vocab_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = _encoder(model.value)
+        tool = _tool(Encoder, model.value)
         for batch in batches:
             ids = [tool.encode(t.as_py()) for t in batch.column(1)]
             yield pa.record_batch(
@@ -221,7 +237,7 @@ def decode(encoded: DataFrame, vocab_path: str) -> DataFrame:
     kind = encoded.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = _encoder(model.value)
+        tool = _tool(Decoder, model.value)
         for batch in batches:
             texts = [tool.decode(i.as_py() or b"") for i in batch.column(1)]
             yield pa.record_batch([*batch.columns, pa.array(texts, pa.string())], names=["id", "ids", "n_tokens", "decoded"])

@@ -190,9 +190,11 @@ def _cleaned(text: Column, spans: Column) -> Column:
     return let(spans, lambda s: F.when(F.size(s) == 0, text).otherwise(build(s)))
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """docs with personal data replaced in the text column; other columns are unchanged.
 
+    length_col, where given, gets the length of the new text in code points.
+
     Base spans become [EMAIL], [IP], [CARD] or [PHONE]. A disclosing term is generalised to
     [NUMBER] or [WORD], or removed where it gives away REMOVE_AT or more of an entity. A
     null text stays null; a text without spans is returned as it is.
@@ -202,4 +204,8 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     terms = F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.when(
         s["disclosure"] >= REMOVE_AT, F.lit("")).when(s["value"].rlike("[0-9]"), F.lit("[NUMBER]")).otherwise(F.lit("[WORD]")).alias("shown")))
     found = find(docs, id_col, text_col).withColumn("spans", F.sort_array(F.concat(base, terms)))
-    return found.withColumn(text_col, _cleaned(F.col(text_col), F.col("spans"))).select(*docs.columns)
+    cleaned = found.withColumn(text_col, _cleaned(F.col(text_col), F.col("spans")))
+    if length_col:
+        changed = F.when(F.size("spans") > 0, F.length(text_col)).otherwise(F.col(length_col))
+        cleaned = cleaned.withColumn(length_col, changed.cast(docs.schema[length_col].dataType))
+    return cleaned.select(*docs.columns)

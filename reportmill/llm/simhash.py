@@ -123,5 +123,50 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, blocks
     return prints.join(named, "fp").select("id", "fp", "component_id")
 
 
+def similar_links(classes: DataFrame, tables: int, max_bits: int, blocks: int = 6, whole: int = 2) -> DataFrame:
+    """Links (a, b) between keys k of classes (k, fps) whose fingerprints differ in max_bits bits in all.
+
+    Each of the `tables` fingerprints is cut in blocks; classes that share a choice of
+    `whole` blocks meet in a bucket and are compared with its least fingerprint only, so a
+    bucket of any size gives one candidate per member. Every fingerprint orders its buckets
+    anew, which makes many leaders of a large group. Candidates are verified over all bits.
+    """
+    masks, _ = _plan(blocks, whole)
+    keys = F.array(*[
+        F.struct(F.xxhash64(F.lit(t * len(masks) + i), F.col("fps")[t].bitwiseAND(F.lit(m))).alias("bucket"), F.col("fps")[t].alias("fp"))
+        for t in range(tables) for i, m in enumerate(masks)
+    ])
+    keyed = classes.select("k", F.explode(keys).alias("x")).select("k", "x.bucket", "x.fp")
+    leads = keyed.groupBy("bucket").agg(F.min(F.struct("fp", "k")).alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    leads = leads.select("bucket", F.col("lead.k").alias("b"), F.col("lead.fp").alias("lead_fp"))
+    near = (F.col("k") != F.col("b")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("lead_fp"))) <= max_bits // 4)
+    pairs = keyed.join(leads, "bucket").filter(near).select(F.col("k").alias("a"), "b").distinct()
+    with_a = pairs.join(classes.select(F.col("k").alias("a"), F.col("fps").alias("fa")), "a")
+    both = with_a.join(classes.select(F.col("k").alias("b"), F.col("fps").alias("fb")), "b")
+    differ = sum((F.bit_count(F.col("fa")[t].bitwiseXOR(F.col("fb")[t])) for t in range(tables)), F.lit(0))
+    return both.filter(differ <= max_bits).select("a", "b")
+
+
+def keep_first(docs: DataFrame, shingle: int = 5, tables: int = 6, max_bits: int = 62, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of docs, one of each group of copies and near copies: the one with the least id.
+
+    Near copies are texts whose sets of 5-word shingles have a similarity of about 0.8 or
+    more, seen as at most 62 differing bits of 6 x 64 (0.8 gives 58 on average), linked
+    over chains. Null texts count as empty and empty texts are copies of each other; a null
+    id comes first; of rows repeated as a whole one stays; an empty table gives no rows.
+    All columns are kept, and texts are shuffled once.
+    """
+    rows = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.col(id_col).alias("own"), F.col(text_col).alias("text"))
+    key = F.struct("row", "own")
+    prints = fingerprints(rows.select(key.alias("id"), "text"), shingle, tables, "id", "text")
+    prints = materialise(prints.select("id.row", "id.own", F.xxhash64("fps").alias("k"), "fps"), "near-prints")
+    classes = materialise(prints.groupBy("k").agg(F.first("fps").alias("fps"), F.min(F.struct("own", "row")).alias("first")), "near-classes")
+    roots = components(similar_links(classes, tables, max_bits), "near-links")
+    rooted = classes.select("k", "first").join(roots, F.col("k") == F.col("node"), "left").select(F.coalesce("root", "k").alias("root"), "first")
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_row"))
+    keyed = docs.withColumn("_row", F.xxhash64(F.col(id_col), F.col(text_col)))
+    return keyed.join(kept, "_row").dropDuplicates(["_row"]).drop("_row")
+
+
 def fingerprint_hex(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
