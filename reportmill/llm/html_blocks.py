@@ -327,7 +327,8 @@ def fit(pages: DataFrame, id_col: str, html_col: str, max_train: int = MAX_TRAIN
         yield pa.record_batch([pa.array([model.save()], pa.binary())], names=["model"])
 
     rows = pages.select(F.xxhash64(id_col).alias("place"), F.col(html_col).alias("html")).repartition(1)
-    return bytes(rows.mapInArrow(learn, "model binary").first()["model"])
+    fitted = rows.mapInArrow(learn, "model binary").first()
+    return bytes(fitted["model"]) if fitted else Labeller().save()
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", max_train: int = MAX_TRAIN) -> DataFrame:
