@@ -19,35 +19,40 @@ def _stream(spark, d, name):
 
 
 def _raw_stream(spark, d):
-    """Raw events written to two folders' worth of files and read as a stream of two batches."""
+    """Raw events written by two appends and read as a stream of several batches."""
     path = scratch_path(spark, "raw-events")
     raw = I.raw_events(spark, d)
-    raw.repartition(2).write.parquet(path)
-    return spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    for part in (0, 1):
+        raw.filter(F.pmod(F.xxhash64("seq"), F.lit(2)) == part).write.mode("append").parquet(path)
+    files = len(spark.read.parquet(path).inputFiles())
+    return spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", max(1, files // 2)).parquet(path)
 
 
-def _finish(q, seconds=1800):
-    if not q.awaitTermination(seconds):
-        q.stop()
-        raise TimeoutError("the stream did not finish")
+def _finish(q):
+    q.awaitTermination()
     if q.exception():
         raise q.exception()
 
 
-@query("t01_watch_reports", "SELECT source AS stem, count(*) AS n_chunks, CAST(max(page) AS INTEGER) AS pages FROM (SELECT report AS source, page FROM doc_chunks) GROUP BY 1", uses=("doc_chunks",))
+@query(
+    "t01_watch_reports",
+    "SELECT report || '::' || id AS chunk_id, report, page, id, text, CAST(max(page) OVER (PARTITION BY report) AS INTEGER) AS pages FROM doc_chunks",
+    uses=("doc_chunks",),
+)
 def _(spark, d):
     folder, out, check = (scratch_path(spark, n) for n in ("pages-in", "index", "ck"))
-    pages = document_pages(spark, d).withColumn("mtime", F.lit("2024-01-01").cast("timestamp"))
-    # The folder gets every report once, then half of them again.
-    pages.hint("rebalance", "report").withColumn("stem", F.col("report")).write.partitionBy("stem").json(folder)
-    watch = lambda: _finish(T.watch_reports(spark, folder, out, check, every=None))
+    pages = document_pages(spark, d).withColumn("mtime", F.lit("2024-01-01").cast("timestamp")).withColumn("stem", F.col("report"))
+    # The folder gets a report's pages over several files and batches, then half of them again.
+    pages.repartition(6, F.xxhash64("page")).write.partitionBy("stem").json(folder)
+    files = len(spark.read.schema(T.PAGE_SCHEMA).json(folder).inputFiles())
+    watch = lambda: _finish(T.watch_reports(spark, folder, out, check, every=None, files_per_batch=max(1, files // 3)))
     watch()
-    again = pages.filter(F.col("report").rlike("[02468]$")).withColumn("stem", F.col("report"))
+    again = pages.filter(F.col("report").rlike("[02468]$"))
     again.hint("rebalance", "report").write.mode("append").partitionBy("stem").json(folder)
     watch()
-    chunks = spark.read.parquet(f"{out}/chunks").groupBy(F.col("report").alias("stem")).agg(F.count(F.lit(1)).alias("n_chunks"))
-    registry = spark.read.parquet(f"{out}/registry").select("stem", "pages")
-    return chunks.join(registry, "stem")
+    pages = T.indexed_reports(spark, out).select(F.col("stem").alias("report"), "pages")
+    chunks = T.indexed_chunks(spark, out).join(pages, "report")
+    return chunks.select(F.concat_ws("::", "report", F.col("id").cast("string")).alias("chunk_id"), "report", "page", "id", "text", "pages")
 
 
 @query("t02_ingest_events", "SELECT seq, event_type, ip_hash, device, city, company FROM ev", uses=("ev",))
@@ -100,5 +105,5 @@ def _(spark, d):
     out, check = scratch_path(spark, "failing"), scratch_path(spark, "ck")
     events = enrich_events(_raw_stream(spark, d), I.geo_dim(spark, d), I.HASH_KEY)
     _finish(T.failing_address_counts(events, out, check))
-    df = T.latest_versions(spark, out, ["ip_hash"])
+    df = T.failing_address_totals(spark, out)
     return df.withColumn("last_seen", F.date_format("last_seen", "yyyy-MM-dd HH:mm:ss.SSSSSS"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,34 +41,57 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 REGISTRY_SCHEMA = "stem STRING, pages INT, chunks BIGINT, batch BIGINT"
 FAILED_SCHEMA = "stem STRING, mtime TIMESTAMP, error STRING, batch BIGINT"
+STORED_SCHEMA = "report STRING, page INT, text STRING, source STRING, batch BIGINT"
 
 
 def watch_reports(spark: SparkSession, folder: str, out: str, checkpoint: str, every: str | None = "4 seconds", files_per_batch: int = 1000) -> StreamingQuery:
-    """Index reports whose page files (JSON lines) arrive in a folder.
+    """Index reports whose page files (JSON lines) arrive in a folder, in any number of batches.
 
-    A batch takes only stems that are unknown and did not fail at the same modification
-    time, chunks them, and appends chunks, registry rows and failures. A report is one file:
-    its pages come in one batch.
+    A page counts once, however often it arrives. A report that gets new pages is chunked
+    anew from its stored and its new pages; that version replaces the older ones
+    (`indexed_chunks`, `indexed_reports`). A report with an unreadable page in a batch takes
+    none of that batch's pages and is not tried again at the same modification time.
     """
     pages = spark.readStream.schema(PAGE_SCHEMA).option("maxFilesPerTrigger", files_per_batch).json(folder)
 
     def index(batch: DataFrame, number: int) -> None:
         own = batch.sparkSession
         others = lambda name, schema: _read(own, f"{out}/{name}", schema).filter(F.col("batch") != number)
+        batch = batch.persist()
+        stored = others("pages", STORED_SCHEMA).drop("batch")
         fresh = batch.withColumn("stem", F.col("report"))
-        fresh = pending_sources(fresh, others("registry", REGISTRY_SCHEMA), others("failed", FAILED_SCHEMA))
+        fresh = pending_sources(fresh, own.createDataFrame([], REGISTRY_SCHEMA), others("failed", FAILED_SCHEMA))
         good, bad = split_failures(fresh)
-        chunks = chunk_pages(good.select("report", "page", "text", "source"))
-        empty_rows = good.select("report").filter(F.lit(False))
-        stats = report_stats(chunks, empty_rows).drop("csv_rows")
+        new = good.select("report", "page", "text", "source").distinct().join(stored.select("report", "page"), ["report", "page"], "left_anti")
         times = fresh.groupBy("stem").agg(F.max("mtime").alias("mtime"))
         failed = bad.select(F.col("report").alias("stem"), "error").join(times, "stem").select("stem", "mtime", "error")
-        for name, rows in (("chunks", chunks), ("failed", failed), ("registry", stats)):
-            rows.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
+        place = lambda name: f"{out}/{name}/batch={number}"
+        new.write.mode("overwrite").parquet(place("pages"))
+        failed.write.mode("overwrite").parquet(place("failed"))
+        batch.unpersist()
+        new = own.read.schema(new.schema).parquet(place("pages"))
+        whole = stored.join(new.select("report").distinct(), "report", "left_semi").unionByName(new)
+        chunk_pages(whole).write.mode("overwrite").parquet(place("chunks"))
+        chunks = _read(own, place("chunks"), "id BIGINT, page INT, report STRING, text STRING, source STRING")
+        report_stats(chunks, chunks.select("report").filter(F.lit(False))).drop("csv_rows").write.mode("overwrite").parquet(place("registry"))
 
     return start(pages.writeStream.foreachBatch(index), checkpoint, every)
 
 
+def indexed_reports(spark: SparkSession, out: str) -> DataFrame:
+    """Newest registry row per report, with the batch that wrote it."""
+    rows = _read(spark, f"{out}/registry", REGISTRY_SCHEMA)
+    newest = rows.groupBy("stem").agg(F.max("batch").alias("batch"))
+    return rows.join(newest, ["stem", "batch"])
+
+
+def indexed_chunks(spark: SparkSession, out: str) -> DataFrame:
+    """Chunks of the newest version of every report."""
+    chunks = spark.read.parquet(f"{out}/chunks")
+    newest = indexed_reports(spark, out).select(F.col("stem").alias("report"), "batch")
+    return chunks.join(newest, ["report", "batch"], "left_semi").drop("batch")
+
+
 def ingest_events(raw: DataFrame, geo: DataFrame, key: str, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Enrich incoming events and append them by day."""
     events = enrich_events(raw, geo, key).withColumn("day", F.to_date("ts"))
@@ -99,15 +123,29 @@ def windowed_counts(events: DataFrame, out: str, checkpoint: str, width: str = "
     return _versioned(counts, out, checkpoint, every)
 
 
-def failing_address_counts(events: DataFrame, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Failed logins per address so far, with the last time."""
+def failing_address_counts(events: DataFrame, out: str, checkpoint: str, lateness: str = "2 days", every: str | None = None) -> StreamingQuery:
+    """Failed logins per address and day, with the last time; state older than the lateness goes.
+
+    `failing_address_totals` adds the days up.
+    """
     failed = events.filter(
         (F.col("event_type") == "login_attempt") & ~F.coalesce(F.col("meta.ok"), F.lit(False)) & (_blank("ip_hash") != "")
     )
-    counts = failed.groupBy("ip_hash").agg(F.count(F.lit(1)).alias("failed"), F.max("ts").alias("last_seen"))
+    counts = (
+        failed.withWatermark("ts", lateness)
+        .groupBy(F.window("ts", "1 day").alias("w"), "ip_hash")
+        .agg(F.count(F.lit(1)).alias("failed"), F.max("ts").alias("last_seen"))
+        .select(F.col("w.start").alias("day"), "ip_hash", "failed", "last_seen")
+    )
     return _versioned(counts, out, checkpoint, every)
 
 
+def failing_address_totals(spark: SparkSession, path: str) -> DataFrame:
+    """Failed logins per address so far, with the last time."""
+    days = latest_versions(spark, path, ["day", "ip_hash"])
+    return days.groupBy("ip_hash").agg(F.sum("failed").alias("failed"), F.max("last_seen").alias("last_seen"))
+
+
 class RateLimiter(StatefulProcessor):
     """Accepts a hit while fewer than `limit` accepted hits lie in the window before it.
 
@@ -122,22 +160,26 @@ class RateLimiter(StatefulProcessor):
         self.taken = handle.getValueState("taken", "times array<bigint>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        hits = pd.concat(list(rows), ignore_index=True).sort_values(["us", "hit_id"], ignore_index=True)
+        # Only two numbers per hit are held while a batch is put in order.
+        parts = [(r["us"].to_numpy(), r["hit_id"].to_numpy()) for r in rows]
+        us, ids = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        order = np.lexsort((ids, us))
+        us, ids = us[order], ids[order]
         taken = list(self.taken.get()[0]) if self.taken.exists() else []
         accepted = []
-        for now in hits["us"]:
+        for now in us.tolist():
             while taken and now - taken[0] > self.window_us:
                 taken.pop(0)
             accepted.append(len(taken) < self.limit)
             if accepted[-1]:
-                taken.append(int(now))
+                taken.append(now)
         self.taken.update((taken,))
         # One timer after the newest accepted hit leaves the window clears the key.
         for old in list(self.handle.listTimers()):
             self.handle.deleteTimer(old)
         if taken:
             self.handle.registerTimer(taken[-1] // 1000 + self.window_us // 1000 + 1)
-        yield pd.DataFrame({"key": key[0], "hit_id": hits["hit_id"], "us": hits["us"], "accepted": accepted})
+        yield pd.DataFrame({"key": key[0], "hit_id": ids, "us": us, "accepted": accepted})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.taken.clear()
@@ -158,14 +200,24 @@ class DailyQuota(StatefulProcessor):
         self.used = handle.getValueState("used", "n int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        attempts = pd.concat(list(rows), ignore_index=True).sort_values(["us", "attempt_id"], ignore_index=True)
         used = self.used.get()[0] if self.used.exists() else 0
-        accepted = attempts.index < max(0, self.quota - used)
+        left = max(0, self.quota - used)
+        columns = ["attempt_id", "us"]
+        decided = lambda frame, accepted: frame[columns].assign(user_id=key[0], accepted=accepted)[["user_id", *columns, "accepted"]]
+        # The first `left` attempts so far are held back; all others are rejected at once.
+        first = None
+        for part in rows:
+            both = part[columns] if first is None else pd.concat([first, part[columns]])
+            both = both.sort_values(["us", "attempt_id"], ignore_index=True)
+            first = both.iloc[:left]
+            if len(both) > left:
+                yield decided(both.iloc[left:], False)
+            day = int(both["us"].iloc[0]) // 86_400_000_000
         if not self.used.exists():
-            day_ms = 24 * 3600 * 1000
-            self.handle.registerTimer((int(attempts["us"].iloc[0]) // 1000 // day_ms + 2) * day_ms)
-        self.used.update((min(self.quota, used + len(attempts)),))
-        yield pd.DataFrame({"user_id": key[0], "attempt_id": attempts["attempt_id"], "us": attempts["us"], "accepted": accepted})
+            self.handle.registerTimer((day + 2) * 86_400_000)
+        self.used.update((used + len(first),))
+        if len(first):
+            yield decided(first, True)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.used.clear()
@@ -183,7 +235,7 @@ def rate_limit_stream(hits: DataFrame, limit: int = RATE_LIMIT, window_seconds:
         .select("key", "hit_id", F.unix_micros("ts").alias("us"), "ts")
         .groupBy("key")
         .transformWithStateInPandas(
-            RateLimiter(limit, window_seconds * 1_000_000), "key BIGINT, hit_id BIGINT, us BIGINT, accepted BOOLEAN", "append", "EventTime"
+            RateLimiter(limit, window_seconds * 1_000_000), f"key {hits.schema['key'].dataType.simpleString()}, hit_id BIGINT, us BIGINT, accepted BOOLEAN", "append", "EventTime"
         )
     )
 
