@@ -10,12 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import squeeze, strip
-from ..session import salted_lookup
+from ..session import beside
 
 DAILY_QUOTA = 5
 RATE_LIMIT, RATE_WINDOW_SECONDS = 20, 60
 # A time slab of the rate limiter, in windows.
 SLAB_WINDOWS = 10
+# Form and length of an acceptable address.
 EMAIL_PATTERN = r"^[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}$"
 EMAIL_MAX = 320
 # Throw-away mail domains, and name parts of their families.
@@ -51,12 +52,12 @@ DISPOSABLE_FAMILIES = (
 )
 
 
-def users_with_usage(users: DataFrame, history: DataFrame, today: str, limit: int = 500) -> DataFrame:
-    """Newest accounts with message count, last message and today's quota.
+def users_with_usage(users: DataFrame, history: DataFrame, today: str, limit: int | None = 500) -> DataFrame:
+    """Newest accounts with message count, last message and today's quota; None means all.
 
     Accounts are cut first; the history is then folded for those accounts only.
     """
-    chosen = users.orderBy(F.desc("created_at"), "user_id").limit(min(limit, 2000))
+    chosen = users if limit is None else users.orderBy(F.desc("created_at"), "user_id").limit(limit)
     counts = (
         history.join(chosen.select("user_id"), "user_id", "left_semi")
         .groupBy("user_id")
@@ -81,7 +82,6 @@ def user_history(history: DataFrame, limit: int = 100) -> DataFrame:
     The ranked filter is cut in every partition before the shuffle, so a user of any size
     costs `limit` rows per partition.
     """
-    keep = min(limit, 500)
     newest = Window.partitionBy("user_id").orderBy(F.desc("created_at"), F.desc("history_id"))
     blank = lambda c: F.coalesce(c, F.lit(""))
     none = F.array().cast(history.schema["sources"].dataType)
@@ -94,7 +94,7 @@ def user_history(history: DataFrame, limit: int = 100) -> DataFrame:
     )
     return (
         history.withColumn("_rn", F.row_number().over(newest))
-        .filter(F.col("_rn") <= keep)
+        .filter(F.col("_rn") <= limit)
         .groupBy("user_id")
         .agg(F.sort_array(F.collect_list(entry)).alias("messages"))
     )
@@ -116,7 +116,7 @@ def quota_decisions(attempts: DataFrame, quota: int = DAILY_QUOTA) -> DataFrame:
     """Every attempt (user_id, attempt_id, ts) with `accepted`: the first `quota` of a user's day.
 
     The quota-th attempt of a day is found by a ranked filter (cut before the shuffle); all
-    attempts are then compared with it through a salted join, so no task sees a hot user whole.
+    attempts are then joined with it, one row per user and day, where Spark splits skew.
     """
     rows = attempts.withColumn("day", F.to_date("ts"))
     first = Window.partitionBy("user_id", "day").orderBy("ts", "attempt_id")
@@ -127,8 +127,7 @@ def quota_decisions(attempts: DataFrame, quota: int = DAILY_QUOTA) -> DataFrame:
         .groupBy("user_id", "day")
         .agg(F.max(F.struct("ts", "attempt_id")).alias("_last"))
     )
-    joined = salted_lookup(rows, last, ["user_id", "day"], "attempt_id", "inner")
-    return joined.withColumn("accepted", F.struct("ts", "attempt_id") <= F.col("_last")).drop("_last")
+    return rows.join(last, ["user_id", "day"]).withColumn("accepted", F.struct("ts", "attempt_id") <= F.col("_last")).drop("_last")
 
 
 def _limit_stream(batches: Iterator[pd.DataFrame], limit: int, window_us: int) -> Iterator[pd.DataFrame]:
@@ -192,7 +191,7 @@ def rate_decisions(hits: DataFrame, limit: int = RATE_LIMIT, window_seconds: int
         .withColumn("walk", F.max("busy").over(Window.partitionBy("key", "chain")))
         .select("key", "slab", "chain", "walk", "starts")
     )
-    placed = salted_lookup(rows, chains, ["key", "slab"], "hit_id", "inner")
+    placed = rows.join(chains, ["key", "slab"])
     calm = placed.filter(~F.col("walk") & ~F.col("halo")).select("key", "hit_id", "us", F.lit(True).alias("accepted"))
     # Context rows are needed only where a chain begins; there they are all accepted hits.
     walk = placed.filter(F.col("walk") & (~F.col("halo") | F.col("starts"))).select("key", "chain", "us", "hit_id", "halo")
@@ -251,13 +250,9 @@ def delete_history(history: DataFrame, users: DataFrame) -> DataFrame:
     return history.join(users.select("user_id"), "user_id", "left_anti")
 
 
-def account_overview(usage: DataFrame, conversations: DataFrame) -> DataFrame:
-    """One row: accounts with messages, their messages, anonymous questions."""
-    parts = usage.select(F.col("messages_total").alias("m"), F.lit(0).cast("bigint").alias("q")).unionByName(
-        conversations.select(F.lit(0).cast("bigint").alias("m"), F.col("questions").alias("q"))
-    )
-    return parts.agg(
-        F.count_if(F.col("m") > 0).alias("users_with_messages"),
-        F.coalesce(F.sum("m"), F.lit(0)).alias("messages"),
-        F.coalesce(F.sum("q"), F.lit(0)).alias("anonymous_questions"),
-    )
+def account_overview(users: DataFrame, history: DataFrame, events: DataFrame) -> DataFrame:
+    """One row: accounts with messages, their messages, anonymous questions. No limit."""
+    per_user = history.join(users.select("user_id"), "user_id", "left_semi").groupBy("user_id").agg(F.count(F.lit(1)).alias("m"))
+    totals = per_user.agg(F.count(F.lit(1)).alias("users_with_messages"), F.coalesce(F.sum("m"), F.lit(0)).alias("messages"))
+    anonymous = events.filter((F.col("event_type") == "chat_message") & (F.coalesce("role", F.lit("")) != "admin"))
+    return beside(totals, anonymous.agg(F.count(F.lit(1)).alias("anonymous_questions")))
