@@ -1,9 +1,8 @@
 """Hybrid retrieval for many questions at once: filters, keyword and vector top-k, contexts.
 
-Scoring pairs every question with every chunk it may see, so it never goes through a join:
-questions under a checked size go to all tasks, each task keeps the best k per question of
-its part of the corpus, and only those rows are shuffled. More questions than that are cut
-into blocks and paired block by block, with the same result.
+Questions and chunks that may meet are paired block by block: a question with a sector meets
+chunks of that sector only, one without a sector meets all. Every pair of blocks keeps the best
+k per question, and only those rows are shuffled again.
 """
 
 from __future__ import annotations
@@ -17,11 +16,10 @@ from pyspark.sql import functions as F
 
 from ..functions.routing import NAME_STOP, keyword_score, keywords
 from ..functions.text import ascii_lower
-from ..session import within
+from ..functions.vocab import STATEMENT_METRICS
 
 FILTERS = ("report", "company_normalized", "year", "sector")
-MAX_QUESTIONS = 4096
-QUESTION_BLOCK, CHUNK_BLOCK = 2048, 32768
+QUESTION_BLOCK, CHUNK_BLOCK = 2048, 4096
 TOP_K = 4
 
 
@@ -180,30 +178,27 @@ def _fold_batches(queries: pd.DataFrame, batches: Iterator[pd.DataFrame], k: int
             yield part.assign(qid=q["qid"], variant=q["variant"])[["qid", "variant", "chunk_id", "ord", "key"]]
 
 
-def _top_k(queries: DataFrame, chunks: DataFrame, k: int, kind: str, max_questions: int) -> DataFrame:
+def _top_k(queries: DataFrame, chunks: DataFrame, k: int, kind: str, question_block: int, chunk_block: int) -> DataFrame:
     payload = "keywords" if kind == "keyword" else "embedding"
     content = "folded" if kind == "keyword" else "embedding"
-    q = queries.select("qid", "variant", payload, "f_report", "f_company", "f_years", "f_sector")
+    q = queries.select("qid", "variant", F.col(payload).alias(payload), "f_report", "f_company", "f_years", "f_sector")
     c = chunks.select("chunk_id", "ord", content, *FILTERS)
-    if within(q, max_questions):
-        asked = q.toPandas()  # at most max_questions rows
-
-        def run(batches):
-            yield from _fold_batches(asked, batches, k, kind)
-
-        parts = c.mapInPandas(run, _OUT)
-    else:
-        n_q = -(-q.count() // QUESTION_BLOCK)
-        n_c = -(-c.count() // CHUNK_BLOCK)
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        qs = q.withColumn("qb", F.pmod(F.xxhash64("qid", "variant"), F.lit(n_q)).cast("int")).withColumn("cb", every(n_c))
-        cs = c.withColumn("cb", F.pmod(F.xxhash64("chunk_id"), F.lit(n_c)).cast("int")).withColumn("qb", every(n_q))
-
-        def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            out = list(_fold_batches(left, iter([right]), k, kind))
-            return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=["qid", "variant", "chunk_id", "ord", "key"])
-
-        parts = qs.groupBy("qb", "cb").cogroup(cs.groupBy("qb", "cb")).applyInPandas(pair, _OUT)
+    # A part is a sector, or everything for questions without one; blocks are sized within it.
+    part = F.coalesce(F.nullif("f_sector", F.lit("")), F.lit("*"))
+    q = q.withColumn("part", part)
+    asked = q.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / question_block).alias("n_q"))
+    c = c.withColumn("part", F.explode(F.array_distinct(F.array(F.coalesce("sector", F.lit("-")), F.lit("*"))))).join(asked, "part")
+    parts = c.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / chunk_block).alias("n_c"), F.first("n_q").alias("n_q"))
+    block = lambda key, n: F.pmod(F.xxhash64(*key), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+    qs = q.join(parts, "part").withColumn("qb", block(("qid", "variant"), "n_q")).withColumn("cb", every("n_c")).drop("n_q", "n_c")
+    cs = c.drop("n_q").join(parts, "part").withColumn("cb", block(("chunk_id",), "n_c")).withColumn("qb", every("n_q")).drop("n_q", "n_c")
+
+    def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = list(_fold_batches(left, iter([right]), k, kind))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=["qid", "variant", "chunk_id", "ord", "key"])
+
+    parts = qs.groupBy("part", "qb", "cb").cogroup(cs.groupBy("part", "qb", "cb")).applyInPandas(pair, _OUT)
     best = Window.partitionBy("qid", "variant").orderBy("key", "ord")
     return parts.withColumn("_rn", F.row_number().over(best)).filter(F.col("_rn") <= k).withColumnRenamed("_rn", "rank")
 
@@ -219,18 +214,18 @@ def prepare_questions(questions: DataFrame) -> DataFrame:
     )
 
 
-def keyword_top_k(prepared: DataFrame, chunks: DataFrame, k: int = TOP_K, max_questions: int = MAX_QUESTIONS) -> DataFrame:
+def keyword_top_k(prepared: DataFrame, chunks: DataFrame, k: int = TOP_K, question_block: int = QUESTION_BLOCK, chunk_block: int = CHUNK_BLOCK) -> DataFrame:
     """(qid, chunk_id, ord, score, rank): best keyword scores, corpus order among equals."""
     q = prepared.filter(F.size("keywords") > 0).withColumn("variant", F.lit(0))
     c = chunks.withColumn("folded", ascii_lower(F.col("text")))
-    hits = _top_k(q, c, k, "keyword", max_questions)
+    hits = _top_k(q, c, k, "keyword", question_block, chunk_block)
     return hits.select("qid", "chunk_id", "ord", (-F.col("key")).alias("score"), "rank")
 
 
-def vector_top_k(vectors: DataFrame, chunks: DataFrame, k: int = TOP_K, metric: str = "l2", max_questions: int = MAX_QUESTIONS) -> DataFrame:
+def vector_top_k(vectors: DataFrame, chunks: DataFrame, k: int = TOP_K, metric: str = "l2", question_block: int = QUESTION_BLOCK, chunk_block: int = CHUNK_BLOCK) -> DataFrame:
     """(qid, variant, chunk_id, ord, distance, rank) for question vectors (qid, variant,
     embedding and filter columns) over chunks with a vector. Metric: squared l2 or cosine."""
-    hits = _top_k(vectors, chunks.filter(F.col("embedding").isNotNull()), k, metric, max_questions)
+    hits = _top_k(vectors, chunks.filter(F.col("embedding").isNotNull()), k, metric, question_block, chunk_block)
     return hits.withColumnRenamed("key", "distance")
 
 
@@ -239,14 +234,14 @@ def best_distance(hits: DataFrame) -> DataFrame:
     return hits.groupBy("qid", "chunk_id").agg(F.min("distance").alias("distance"), F.min("ord").alias("ord"))
 
 
-def hybrid_rank(prepared: DataFrame, chunks: DataFrame, nearest: DataFrame, k: int = TOP_K, max_questions: int = MAX_QUESTIONS) -> DataFrame:
+def hybrid_rank(prepared: DataFrame, chunks: DataFrame, nearest: DataFrame, k: int = TOP_K, question_block: int = QUESTION_BLOCK, chunk_block: int = CHUNK_BLOCK) -> DataFrame:
     """Keyword hits by score, then distance, then corpus order; the rest filled by distance.
 
     `nearest` is (qid, chunk_id, ord, distance). A chunk without distance that ranks among
     the first k also ranks among the first k by (score, order) alone, so the keyword top-k
     plus the scored neighbours hold every candidate.
     """
-    by_words = keyword_top_k(prepared, chunks, k, max_questions).select("qid", "chunk_id", "ord", "score")
+    by_words = keyword_top_k(prepared, chunks, k, question_block, chunk_block).select("qid", "chunk_id", "ord", "score")
     scored = (
         nearest.join(chunks.select("chunk_id", "text"), "chunk_id")
         .join(prepared.select("qid", "keywords"), "qid")
@@ -296,8 +291,8 @@ def structured_answers(routes: DataFrame, facts: DataFrame, income: DataFrame, c
     """Rows that answer the structured part of routed questions.
 
     `routes` is (qid, query_type, company, year, metric). With metric and year: that fact;
-    with a metric: its course over the years; with a year: the income statement, or net
-    income where there is none; otherwise the years on file. Each case is one join.
+    with a metric: its course over the years; with a year: every known line of the income
+    statement, or net income where there is none; otherwise the years on file. Each case is one join.
     """
     asked = routes.filter(F.col("query_type").isin("sql", "hybrid") & (F.coalesce("company", F.lit("")) != ""))
     who = companies.select("company_id", F.col("normalized_name").alias("company"), "name")
@@ -312,10 +307,10 @@ def structured_answers(routes: DataFrame, facts: DataFrame, income: DataFrame, c
     exact = exact.withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") <= 10).select(*out)
     course = asked.filter(has_metric & ~has_year).drop("year").join(f, ["company_id", "metric"]).withColumn("source", F.lit("course")).select(*out)
     yearly = asked.filter(~has_metric & has_year).drop("metric")
-    lines = income.select("company_id", "year", "unit", F.col("revenue").cast("double").alias("revenue"), F.col("net_income").cast("double").alias("net_income"))
+    lines = income.select("company_id", "year", "unit", *[F.col(c).cast("double").alias(c) for c in STATEMENT_METRICS["income_statement"]])
     statement = (
         yearly.join(lines, ["company_id", "year"])
-        .unpivot(["qid", "name", "year", "unit"], ["revenue", "net_income"], "metric", "value")
+        .unpivot(["qid", "name", "year", "unit"], STATEMENT_METRICS["income_statement"], "metric", "value").filter("value is not null")
         .withColumn("source", F.lit("statement")).select(*out)
     )
     fallback = (

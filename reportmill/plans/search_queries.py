@@ -292,7 +292,8 @@ cte(
        SELECT qid, 'metric' AS source, f.company_id, f.year, f.normalized_metric_name AS metric, CAST(value AS DOUBLE) AS value, unit FROM r JOIN facts f ON f.company_id = r.company_id AND f.year = r.year AND f.normalized_metric_name = r.metric
        UNION ALL SELECT qid, 'course', f.company_id, f.year, r.metric, CAST(value AS DOUBLE), unit FROM r JOIN facts f ON f.company_id = r.company_id AND f.normalized_metric_name = r.metric WHERE r.year IS NULL
        UNION ALL SELECT qid, CASE WHEN w.year % 3 <> 0 THEN 'statement' ELSE 'metric' END, w.company_id, w.year, 'net_income', CAST(net_income AS DOUBLE), 'KMAD' FROM r JOIN wide w ON w.company_id = r.company_id AND w.year = r.year WHERE r.metric IS NULL
-       UNION ALL SELECT qid, 'statement', w.company_id, w.year, 'revenue', CAST(revenue AS DOUBLE), 'KMAD' FROM r JOIN wide w ON w.company_id = r.company_id AND w.year = r.year WHERE r.metric IS NULL AND w.year % 3 <> 0
+       UNION ALL SELECT qid, 'statement', w.company_id, w.year, m, CAST(CASE m WHEN 'revenue' THEN revenue WHEN 'gross_profit' THEN gross_profit ELSE income_tax END AS DOUBLE), 'KMAD'
+        FROM r JOIN wide w ON w.company_id = r.company_id AND w.year = r.year, (VALUES ('revenue'), ('gross_profit'), ('income_tax')) v(m) WHERE r.metric IS NULL AND w.year % 3 <> 0
        UNION ALL SELECT qid, 'years', p.company_id, p.year, NULL, NULL, NULL FROM r JOIN reports p ON p.company_id = r.company_id WHERE r.metric IS NULL AND r.year IS NULL""",
     uses=("cq", "facts", "wide", "reports"),
 )
