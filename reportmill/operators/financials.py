@@ -5,7 +5,7 @@ A parameter left at None adds no predicate at all, so what remains is pushed to
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.checks import balance_check, income_check, revenue_or_banking
@@ -48,7 +48,7 @@ def get_metric(facts: DataFrame, companies: DataFrame, company: str, metric: str
             "company", "year", F.col("normalized_metric_name").alias("metric"), "value", "unit",
             "currency", "confidence", "validation_warning",
         )
-        .orderBy(F.desc("year"), F.desc("confidence"))
+        .orderBy(F.desc("year"), F.desc("confidence"), F.desc_nulls_last("value"), "unit", "currency", "validation_warning")
         .limit(limit)
     )
 
@@ -77,13 +77,16 @@ def metric_over_companies(facts: DataFrame, companies: DataFrame, metric: str, y
     )
 
 
+def _best_first(df: DataFrame) -> list[Column]:
+    """Order of statements that print the same year: most confident, then the newest report, then by value."""
+    ranks = [F.desc_nulls_last(c) for c in ("confidence", "report_id") if c in df.columns]
+    return [*ranks, *[F.desc_nulls_last(c) for c in sorted(df.columns) if c not in ("confidence", "report_id")]]
+
+
 def _statement(statements: DataFrame, companies: DataFrame, company: str, year: int, columns) -> DataFrame:
-    return (
-        _where(statements, year=year)
-        .join(_company(companies, company), "company_id")
-        .select("company", "year", *columns)
-        .limit(1)
-    )
+    rows = _where(statements, year=year)
+    joined = rows.join(_company(companies, company), "company_id")
+    return joined.orderBy(*_best_first(rows)).limit(1).select("company", "year", *columns)
 
 
 def income_statement(statements: DataFrame, companies: DataFrame, company: str, year: int) -> DataFrame:
@@ -147,9 +150,17 @@ def available_years(companies: DataFrame, reports: DataFrame, company: str | Non
 
 
 def financials_bundle(keys: DataFrame, income: DataFrame, balance: DataFrame, cash: DataFrame, ratios: DataFrame) -> DataFrame:
-    """One nested record per (company_id, year): three statements and the ratio list."""
+    """One nested record per (company_id, year): three statements and the ratio list.
+
+    Of several statements of a year the first by `_best_first` is taken.
+    """
     by = ["company_id", "year"]
-    nest = lambda df, columns, name: df.groupBy(*by).agg(F.first(F.struct(*columns)).alias(name))
+
+    def nest(df: DataFrame, columns, name: str) -> DataFrame:
+        first = Window.partitionBy(*by).orderBy(*_best_first(df))
+        one = df.withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") == 1)
+        return one.select(*by, F.struct(*columns).alias(name))
+
     listed = ratios.groupBy(*by).agg(
         F.sort_array(F.collect_list(F.struct("ratio_name", "value", "formula", "source_type"))).alias("ratios")
     )
