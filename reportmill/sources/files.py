@@ -35,15 +35,17 @@ def _strings(columns) -> T.StructType:
 
 
 def file_order() -> Column:
-    """Sort key that follows the lines of a text file over its splits."""
+    """Sort key that follows the rows of text files, split or read whole."""
     return F.struct(
         F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
     )
 
 
 def _read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
-    # The schema replaces the header, so a byte-order mark in front of it does no harm.
-    return spark.read.schema(schema).csv(path, header=True, quote='"', escape='"', multiLine=False)
+    # The schema replaces the header, so a byte-order mark in front of it does no harm. A
+    # quoted line break belongs to its cell, so a file is read as a whole; writers spread
+    # large tables over many files.
+    return spark.read.schema(schema).csv(path, header=True, quote='"', escape='"', multiLine=True)
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -117,7 +119,9 @@ def read_report_files(spark: SparkSession, root: str) -> DataFrame:
 
 def report_tree(files: DataFrame, root: str, meta: DataFrame) -> DataFrame:
     """Files at root/sector/company/year/name.pdf with metadata, else with their path parts."""
-    inner = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^" + root.rstrip("/") + "/", "")
+    top = root.rstrip("/") + "/"
+    plain = F.regexp_replace("path", "^file:/+", "/")
+    inner = F.when(F.startswith(plain, F.lit(top)), F.substring(plain, F.lit(len(top) + 1), F.length(plain))).otherwise(plain)
     parts = F.split(inner, "/")
     df = files.withColumn("_p", parts).filter(F.size("_p") == 4)
     base = stem_slug(F.get("_p", F.lit(1)))
