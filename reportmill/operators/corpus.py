@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import WS, let, squeeze, stem_slug
-from ..session import salted_lookup
 
 CHUNK_WORDS, CHUNK_OVERLAP = 300, 50
 TABLE_COLUMNS = 12
@@ -88,17 +87,21 @@ def page_offsets(counts: DataFrame) -> DataFrame:
 def chunk_pages(pages: DataFrame, size: int = CHUNK_WORDS, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """Pages (report, page, text[, tables, source]) to chunks (id, report, page, text, source).
 
-    `id` counts over the pages of a report from 0. Text is shuffled once, by (report, page).
+    `id` counts over the pages of a report from 0. Rows that repeat a (report, page) are parts
+    of that page in the order of their text. Text is shuffled once, by (report, page).
     """
     df = pages
     if "tables" in pages.columns:
         df = df.withColumn("text", page_body(F.col("text"), real_tables(F.col("tables")), F.col("page")))
     source = F.col("source") if "source" in pages.columns else F.col("report")
     df = df.select("report", F.col("page").cast("int").alias("page"), source.alias("source"), F.coalesce("text", F.lit("")).alias("text"))
-    counts = df.select("report", "page", window_count(F.size(words_of(F.col("text"))), size, overlap).alias("n"))
-    numbered = df.join(page_offsets(counts), ["report", "page"])
+    n = window_count(F.size(words_of(F.col("text"))), size, overlap)
+    counts = df.groupBy("report", "page").agg(F.sum(n).alias("n"))
+    part = Window.partitionBy("report", "page").orderBy("text", "source").rowsBetween(Window.unboundedPreceding, -1)
+    placed = df.withColumn("part", F.coalesce(F.sum(n).over(part), F.lit(0)))
+    numbered = placed.join(page_offsets(counts), ["report", "page"])
     return numbered.select(
-        "report", "page", "source", "offset", F.posexplode(chunk_words(F.col("text"), size, overlap)).alias("pos", "text")
+        "report", "page", "source", (F.col("offset") + F.col("part")).alias("offset"), F.posexplode(chunk_words(F.col("text"), size, overlap)).alias("pos", "text")
     ).select((F.col("offset") + F.col("pos")).alias("id"), "page", "report", "text", "source")
 
 
@@ -216,7 +219,7 @@ def needs_ocr(reports: DataFrame, pages: DataFrame, sample: int = OCR_SAMPLE, mi
     counts = sizes.groupBy("report").agg(F.count(F.lit(1)).alias("n_pages"))
     step = F.greatest(F.lit(1), F.floor(F.col("n_pages") / sample))
     index = F.col("page") - 1
-    picked = salted_lookup(sizes, counts, ["report"], "page", "inner").filter(
+    picked = sizes.join(counts, "report").filter(
         (index % step == 0) & (F.floor(index / step) < sample)
     )
     means = picked.groupBy("report").agg(F.avg("chars").alias("avg_chars"))

@@ -66,7 +66,10 @@ def enrich_events(raw: DataFrame, geo: DataFrame, key: str) -> DataFrame:
     fields = set(raw.schema["meta"].dataType.fieldNames())
     df = raw.filter(F.col("event_type").isin(*EVENT_TYPES)).withColumn("ip", normalise_ip(F.col("ip")))
     df = df.withColumn("_private", is_private(F.col("ip")))
-    df = df.join(geo.select(F.col("ip"), *[F.col(c).alias(f"g_{c}") for c in ("city", "country", "country_code", "isp")]), "ip", "left")
+    # Blank and private addresses have no place: each gets a key of its own instead of a shared one.
+    lookup = F.when((F.col("ip") != "") & ~F.col("_private"), F.col("ip")).otherwise(F.concat(F.lit("-"), F.xxhash64("seq").cast("string")))
+    places = geo.select(F.col("ip").alias("_place"), *[F.col(c).alias(f"g_{c}") for c in ("city", "country", "country_code", "isp")])
+    df = df.withColumn("_place", lookup).join(places, "_place", "left")
     has_ip = F.col("ip") != ""
     private = F.col("_private")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import catalog
 
-_MODULES = ("financial_queries", "event_queries", "corpus_queries", "search_queries", "account_queries", "stream_queries")
+_MODULES = ("corpus_queries", "financial_queries", "event_queries", "search_queries", "account_queries", "stream_queries")
 
 
 def _load() -> None:

@@ -60,29 +60,6 @@ def _(spark, d):
 
 
 _MONEY = "replace(replace(format('{{:,.2f}}', CAST({0} AS DECIMAL(20,2))), ',', ' '), '.', ',')"
-BODY_SQL = f"""SELECT 'company_' || w.company_id || '_' || w.year AS report, 2 AS page, 'Bilan, montants en millions de dirhams, company_' || w.company_id || chr(10) || chr(10) || 'Tableau p.2 n°1 :' || chr(10)
-   || 'Bilan consolidé | ' || w.year || ' | Exercice ' || (w.year - 1)
-   || {" || ".join(f"chr(10) || '{label} | ' || {_MONEY.format('w.' + m)} || ' | ' || coalesce({_MONEY.format('p.' + m)}, '-')" for m, label in I.BALANCE_LINES)} AS body
-   FROM wide w LEFT JOIN wide p ON p.company_id = w.company_id AND p.year = w.year - 1"""
-
-
-def _bodies(spark, d):
-    pages = I.report_pages(spark, d).filter(F.col("page") == 2)
-    return pages.select("report", "page", C.page_body(F.col("text"), C.real_tables(F.col("tables")), F.col("page")).alias("body"))
-
-
-@query("c04_table_text", f"SELECT report, page, substr(body, strpos(body, 'Tableau')) AS table_text FROM ({BODY_SQL})", uses=("wide",))
-def _(spark, d):
-    pages = I.report_pages(spark, d).filter(F.col("page") == 2)
-    tables = pages.select("report", "page", F.posexplode(C.real_tables(F.col("tables"))).alias("i", "t"))
-    return tables.select("report", "page", C.table_text(F.col("t"), F.col("page"), F.col("i") + 1).alias("table_text"))
-
-
-@query("c05_page_body", BODY_SQL, uses=("wide",))
-def _(spark, d):
-    return _bodies(spark, d)
-
-
 @query("c06_chunk_words", "SELECT page AS doc_page, pos, text FROM doc_chunks", uses=("doc_chunks",))
 def _(spark, d):
     docs = document_pages(spark, d)
@@ -118,9 +95,31 @@ def _flat_sql() -> str:
 cte("flat_rows", _flat_sql(), uses=("wide",))
 
 
-@query("c08_flat_table_rows", "SELECT report, page, 1 AS tableau, ligne, col1, col2, col3, '' AS col12 FROM flat_rows", uses=("flat_rows",))
+BODY_SQL = """SELECT report, CAST(page AS INTEGER) AS page, CASE page WHEN 1 THEN 'Rapport annuel de ' ELSE 'Bilan, montants en millions de dirhams, ' END || regexp_replace(report, '_[0-9]+$', '') || chr(10) || chr(10)
+   || 'Tableau p.' || page || ' n°1 :' || chr(10) || string_agg(col1 || ' | ' || col2 || CASE WHEN col3 = '' THEN '' ELSE ' | ' || col3 END, chr(10) ORDER BY ligne) AS body
+   FROM flat_rows GROUP BY report, page"""
+
+
+def _bodies(spark, d):
+    pages = I.report_pages(spark, d)
+    return pages.select("report", "page", C.page_body(F.col("text"), C.real_tables(F.col("tables")), F.col("page")).alias("body"))
+
+
+@query("c04_table_text", f"SELECT report, page, substr(body, strpos(body, 'Tableau')) AS table_text FROM ({BODY_SQL})", uses=("flat_rows",))
+def _(spark, d):
+    pages = I.report_pages(spark, d)
+    tables = pages.select("report", "page", F.posexplode(C.real_tables(F.col("tables"))).alias("i", "t"))
+    return tables.select("report", "page", C.table_text(F.col("t"), F.col("page"), F.col("i") + 1).alias("table_text"))
+
+
+@query("c05_page_body", BODY_SQL, uses=("flat_rows",))
+def _(spark, d):
+    return _bodies(spark, d)
+
+
+@query("c08_flat_table_rows", f"SELECT report, page, 1 AS tableau, ligne, col1, col2, col3, {', '.join(f"'' AS col{i}" for i in range(4, 13))} FROM flat_rows", uses=("flat_rows",))
 def _(spark, d):
-    return C.flat_table_rows(I.report_pages(spark, d)).select("report", "page", "tableau", "ligne", "col1", "col2", "col3", "col12")
+    return C.flat_table_rows(I.report_pages(spark, d)).select("report", "page", "tableau", "ligne", *[f"col{i}" for i in range(1, 13)])
 
 
 def _doc_meta(spark, d):
@@ -248,18 +247,17 @@ def _(spark, d):
 
 @query(
     "c16_needs_ocr",
-    """WITH sizes AS (SELECT conv_id, turn + 1 AS page, length(regexp_replace(text, '[ \\n]', '', 'g')) - 60 AS chars FROM conversations WHERE role <> 'system'),
+    """WITH sizes AS (SELECT conv_id, turn + 1 AS page, length(regexp_replace(text, '[ \\n]', '', 'g')) AS chars FROM conversations),
        steps AS (SELECT conv_id, greatest(1, count(*) // 5) AS step FROM sizes GROUP BY 1)
-       SELECT 'c' || conv_id AS report, coalesce(avg(greatest(chars, 0)) < 50, true) AS needs_ocr FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN
+       SELECT 'c' || conv_id AS report, coalesce(avg(chars) < 150, true) AS needs_ocr FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN
         (SELECT * FROM sizes JOIN steps USING (conv_id) WHERE (page - 1) % step = 0 AND (page - 1) // step < 5) USING (conv_id) GROUP BY 1""",
 )
 def _(spark, d):
     talk = I.table(spark, d, "conversations")
     name = F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("report")
-    flat = F.translate("text", " \n", "")
-    # Short turns make thin pages: sixty characters of each are taken away.
-    pages = talk.filter(F.col("role") != "system").select(name, (F.col("turn") + 1).alias("page"), F.substring(flat, F.lit(61), F.length(flat)).alias("text"))
-    return C.needs_ocr(talk.select(name).distinct(), pages).select("report", "needs_ocr")
+    # Turns are short pages, so the limit is set where both answers occur.
+    pages = talk.select(name, (F.col("turn") + 1).alias("page"), "text")
+    return C.needs_ocr(talk.select(name).distinct(), pages, min_chars=150).select("report", "needs_ocr")
 
 
 # ---- harvest -------------------------------------------------------------------------
@@ -537,10 +535,10 @@ def _(spark, d):
 )
 def _(spark, d):
     stems = I.report_stems(spark, d)
-    files = stems.select(F.concat_ws("/", F.lit("file:/root/reports"), F.concat(F.lit("S "), "sector"), F.upper("company"), "year", F.lit("annual_report.pdf")).alias("path"))
-    odd = stems.select(F.concat_ws("/", F.lit("file:/root/reports"), "year", F.lit("x.pdf")).alias("path"))
+    files = stems.select(F.concat_ws("/", F.lit("file:/root/re(ports)+[1]"), F.concat(F.lit("S "), "sector"), F.upper("company"), "year", F.lit("annual_report.pdf")).alias("path"))
+    odd = stems.select(F.concat_ws("/", F.lit("file:/root/re(ports)+[1]"), "year", F.lit("x.pdf")).alias("path"))
     meta = stems.join(I.registry(spark, d), "stem", "left_semi").withColumns({"report_id": F.lit("r"), "source_url": F.lit("u")})
-    return S.report_tree(files.unionByName(odd), "/root/reports", meta).select("stem", "company", "company_normalized", "year", "sector")
+    return S.report_tree(files.unionByName(odd), "/root/re(ports)+[1]", meta).select("stem", "company", "company_normalized", "year", "sector")
 
 
 @query("s03_read_companies", "SELECT name, CASE WHEN company_id % 4 <> 0 THEN sector END AS sector, CAST(company_id AS VARCHAR) AS external_id FROM companies", uses=("companies",))
@@ -553,7 +551,7 @@ def _(spark, d):
 
 @query(
     "s04_read_chunks",
-    """SELECT report, id, length(text) AS n, coalesce(company, '') AS company, report AS company_normalized, coalesce(year, '') AS year, coalesce(sector, '') AS sector,
+    """SELECT report, id, text, coalesce(company, '') AS company, report AS company_normalized, coalesce(year, '') AS year, coalesce(sector, '') AS sector,
         CASE WHEN company IS NULL THEN '' ELSE 'https://files.example.com/' || report END AS url FROM doc_chunks LEFT JOIN doc_meta ON stem = report""",
     uses=("doc_chunks", "doc_meta"),
 )
@@ -561,7 +559,7 @@ def _(spark, d):
     path = scratch_path(spark, "chunks")
     S.write_chunks(C.chunk_pages(document_pages(spark, d)), path)
     df = C.with_defaults(S.read_chunks(spark, path), _doc_meta(spark, d))
-    return df.select("report", "id", F.length("text").alias("n"), "company", "company_normalized", "year", "sector", "url")
+    return df.select("report", "id", "text", "company", "company_normalized", "year", "sector", "url")
 
 
 @query(

@@ -93,17 +93,15 @@ def _(spark, d):
 
 @query(
     "x05_value_with_unit",
-    """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(CAST(l_quantity AS DECIMAL(20,2)) AS DOUBLE) AS value,
+    """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_linenumber % 3 <> 1 THEN CAST(CAST(l_quantity AS DECIMAL(20,2)) AS DOUBLE) END AS value,
         CASE CAST(l_linenumber % 3 AS INTEGER) WHEN 0 THEN '%' WHEN 1 THEN 'MAD' ELSE 'MMAD' END AS unit,
         CASE CAST(l_linenumber % 3 AS INTEGER) WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 1000000.0::DOUBLE END AS factor,
-        l_linenumber % 3 = 0 AS is_percentage, 1.0::DOUBLE AS confidence
+        l_linenumber % 3 = 0 AS is_percentage, CASE WHEN l_linenumber % 3 <> 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS confidence
        FROM lineitem""",
 )
 def _(spark, d):
     suffix = F.get(F.array(F.lit(" %"), F.lit(" dirhams"), F.lit("")), (F.col("l_linenumber") % 3).cast("int"))
     df = I.spread_table(spark, d, "lineitem", "l_orderkey").withColumn("cell", F.concat(I.french(F.col("l_quantity")), suffix))
-    # "dirhams" is no trailing unit word of the number parser, so the amount is cut off first.
-    df = df.withColumn("cell", F.regexp_replace("cell", "dirhams$", "dh"))
     df = df.withColumn("p", parse_value(F.col("cell"), F.lit("MMAD")))
     return df.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "p.value", "p.unit", "p.factor", "p.is_percentage", "p.confidence"
@@ -680,7 +678,9 @@ def _(spark, d):
 @query(
     "q11_financials_bundle",
     f"""SELECT company_id, year, CAST(revenue AS DOUBLE) AS revenue, CAST(equity AS DOUBLE) AS equity, CAST(c.capex AS DOUBLE) AS capex, 2 AS n_ratios,
-        round(CAST(net_income AS DOUBLE) / CAST(total_assets AS DOUBLE), 6) AS first_ratio FROM wide JOIN cash_flows c USING (company_id, year)""",
+        round(CAST(net_income AS DOUBLE) / CAST(total_assets AS DOUBLE), 6) AS first_ratio,
+        {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in ('gross_profit', 'income_tax', 'net_income', 'total_assets', 'total_liabilities'))},
+        {', '.join(f'CAST(c.{c} AS DOUBLE) AS cash_{c}' for c in I.CASH_FLOW_SQL if c != 'capex')}, 'KMAD/MAD/KMAD/KMAD' AS units FROM wide JOIN cash_flows c USING (company_id, year)""",
     uses=("wide", "cash_flows"),
 )
 def _(spark, d):
@@ -692,6 +692,10 @@ def _(spark, d):
         "company_id", "year", F.col("income_statement.revenue").cast("double").alias("revenue"),
         F.col("balance_sheet.equity").cast("double").alias("equity"), F.col("cash_flow.capex").cast("double").alias("capex"),
         F.size("ratios").alias("n_ratios"), F.get("ratios", F.lit(0))["value"].cast("double").alias("first_ratio"),
+        *[F.col(f"income_statement.{c}").cast("double").alias(c) for c in ("gross_profit", "income_tax", "net_income")],
+        *[F.col(f"balance_sheet.{c}").cast("double").alias(c) for c in ("total_assets", "total_liabilities")],
+        *[F.col(f"cash_flow.{c}").cast("double").alias(f"cash_{c}") for c in I.CASH_FLOW_SQL if c != "capex"],
+        F.concat_ws("/", "income_statement.unit", "income_statement.currency", "balance_sheet.unit", "cash_flow.unit").alias("units"),
     )
 
 
@@ -788,11 +792,8 @@ def _(spark, d):
 
 @query(
     "q21_search_tables",
-    "SELECT 'company_' || company_id || '_' || year AS report, 2 AS page, 1 AS table_no FROM wide WHERE contains('TOTAL ACTIF|' || replace(replace(format('{:,.2f}', CAST(total_assets AS DOUBLE)), ',', ' '), '.', ','), '7 1')"
-    " OR contains('x|' || replace(replace(format('{:,.2f}', CAST(total_liabilities AS DECIMAL(20,2))), ',', ' '), '.', ','), '7 1') OR contains('x|' || replace(replace(format('{:,.2f}', CAST(equity AS DECIMAL(20,2))), ',', ' '), '.', ','), '7 1')",
-    uses=("wide",),
+    "SELECT DISTINCT report, page, 1 AS table_no FROM flat_rows WHERE page = 2 AND contains(lower(concat_ws(' ', col1, col2, col3)), '7 1')",
+    uses=("flat_rows",),
 )
 def _(spark, d):
-    # Only the current-year cells are searched, so that the statement above stays readable.
-    tables = X.explode_tables(I.report_pages(spark, d)).withColumn("rows", F.transform("rows", lambda r: F.slice(r, 1, 2)))
-    return Q.search_tables(tables, "7 1", page=2).select("report", "page", "table_no")
+    return Q.search_tables(X.explode_tables(I.report_pages(spark, d)), "7 1", page=2).select("report", "page", "table_no")

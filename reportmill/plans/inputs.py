@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import slug
-from ..session import spread
 from .catalog import cte
 
 
@@ -19,8 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
-    """A table for work that is heavy per row: a single file is spread over the cores."""
-    return spread(table(spark, sf_dir, name), key)
+    """A table for work that is heavy per row: rows are dealt out evenly, whatever their files."""
+    return table(spark, sf_dir, name).hint("rebalance", key)
 
 
 def companies(spark: SparkSession, d: str) -> DataFrame:

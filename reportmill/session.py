@@ -56,37 +56,6 @@ def within(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n")).first()["n"] <= max_rows
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give a table that arrives in fewer splits than there are cores to all cores.
-
-    Only such small inputs are shuffled; a table with enough splits is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
-
-
-HOT_ROWS = 1_000_000
-
-
 def beside(row: DataFrame, *others: DataFrame) -> DataFrame:
     """Put one-row results side by side, as scalar subqueries instead of a join."""
     return row.select("*", *[o.select(c).scalar().alias(c) for o in others for c in o.columns])
-
-
-def salted_lookup(
-    big: DataFrame, small: DataFrame, keys: list[str], salt_by: str, how: str = "left",
-    salts: int = 64, hot_rows: int | None = None,
-) -> DataFrame:
-    """Join a key-unique side onto rows of which one key may hold a large share.
-
-    Keys with more than `hot_rows` rows are found by a count that combines before its
-    shuffle. Only their rows are dealt to `salts` slices, and only their row of the small
-    side is repeated once per slice; all other keys join as they are. The list of hot keys
-    is at most rows / hot_rows long; Spark broadcasts it only under its own size limit.
-    """
-    limit = HOT_ROWS if hot_rows is None else hot_rows
-    hot = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).select(*keys, F.lit(salts).alias("_slices"))
-    slices = F.coalesce("_slices", F.lit(1))
-    left = big.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(salt_by), slices).cast("int")).drop("_slices")
-    right = small.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), slices - 1))).drop("_slices")
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")

@@ -6,16 +6,17 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from reportmill import session
 from reportmill.functions.routing import route
 from reportmill.operators import accounts as U
 from reportmill.operators import corpus as C
+from reportmill.operators import financials as Q
 from reportmill.operators import harvest as H
 from reportmill.operators import search as R
 from reportmill.operators.events import ranked_picks
 from reportmill.operators.search import routing_accuracy
 from reportmill.operators.warehouse import upsert_facts
 from reportmill.sources import files as S
+from reportmill.streaming import feeds as T
 
 
 def limiter(hits, limit, window):
@@ -31,8 +32,7 @@ def limiter(hits, limit, window):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_rate_limit_with_a_hot_key(spark, seed, monkeypatch):
-    monkeypatch.setattr(session, "HOT_ROWS", 50)
+def test_rate_limit_with_a_hot_key(spark, seed):
     rng, t0, hits = random.Random(seed), datetime(2024, 1, 1), []
     for _ in range(1500):  # one key holds most hits: quiet times, bursts and long saturation
         phase = rng.choice([0, 0, 1, 2])
@@ -48,8 +48,7 @@ def test_rate_limit_with_a_hot_key(spark, seed, monkeypatch):
         assert got == limiter(hits, limit, window)
 
 
-def test_quota_with_a_hot_user(spark, monkeypatch):
-    monkeypatch.setattr(session, "HOT_ROWS", 100)
+def test_quota_with_a_hot_user(spark):
     rows = [(1, i, datetime(2024, 1, 1, 0, 0, i % 50)) for i in range(500)] + [(2, 1000, datetime(2024, 1, 1))]
     got = U.quota_decisions(spark.createDataFrame(rows, "user_id int, attempt_id int, ts timestamp")).filter("accepted").collect()
     expected = {r[1] for r in sorted(rows[:500], key=lambda r: (r[2], r[1]))[:5]} | {1000}
@@ -101,8 +100,6 @@ def test_upsert_twice_is_once(spark):
 
 
 def test_blocks_equal_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(R, "QUESTION_BLOCK", 7)
-    monkeypatch.setattr(R, "CHUNK_BLOCK", 50)
     rng = random.Random(5)
     vec = lambda: [round(rng.uniform(-1, 1), 1) for _ in range(4)]
     words = ["alpha", "bravo", "charlie", "delta", "echo1", "foxtrot"]
@@ -111,7 +108,7 @@ def test_blocks_equal_broadcast(spark, monkeypatch):
     asked = [(q, " ".join(rng.sample(words, 2)), f"s{q % 2}" if q % 3 else None, vec()) for q in range(20)]
     questions = R.prepare_questions(spark.createDataFrame([a[:3] for a in asked], "qid int, question string, company string"))
     vectors = questions.join(spark.createDataFrame([(a[0], a[3]) for a in asked], "qid bigint, embedding array<float>"), "qid").withColumn("variant", F.lit(0))
-    for run in (lambda m: R.vector_top_k(vectors, chunks, 5, max_questions=m), lambda m: R.keyword_top_k(questions, chunks, 5, max_questions=m)):
+    for run in (lambda m: R.vector_top_k(vectors, chunks, 5, question_block=m, chunk_block=m), lambda m: R.keyword_top_k(questions, chunks, 5, question_block=m, chunk_block=m)):
         whole, blocks = (sorted(map(tuple, run(m).select("qid", "chunk_id", "rank").collect())) for m in (100, 5))
         assert whole == blocks
     expected = set()
@@ -199,3 +196,54 @@ def test_signup_rules(spark):
     rows = [("a@b.ma", "Jean Dupont"), ("a@yopmail.com", "Jean Dupont"), ("nope", "Jean Dupont"), ("a@b.ma", "Jean"), ("x@sub.mailinator.io", "J D")]
     got = [r["violations"] for r in U.signup_violations(spark.createDataFrame(rows, "email string, full_name string")).collect()]
     assert got == [[], ["email disposable"], ["email invalid"], ["name incomplete"], ["name incomplete", "email disposable"]]
+
+
+def test_repeated_pages_are_numbered_once(spark):
+    rows = [("r", 1, "one two"), ("r", 1, "one three"), ("r", 1, "one two"), ("r", 2, "four")]
+    got = C.chunk_pages(spark.createDataFrame(rows, "report string, page int, text string")).orderBy("id").collect()
+    assert [(r["id"], r["page"], r["text"]) for r in got] == [(0, 1, "one three"), (1, 1, "one two"), (2, 1, "one two"), (3, 2, "four")]
+
+
+def test_report_pages_over_many_batches(spark, tmp_path):
+    folder, out, check = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    schema = "report string, page int, text string, source string, mtime timestamp"
+    moment = datetime(2024, 1, 1)
+    for page in (3, 1, 4, 2, 1):  # one page a file, a file a batch; page 1 comes twice
+        spark.createDataFrame([("r", page, f"text {page}", "s", moment)], schema).coalesce(1).write.mode("append").json(folder)
+        query = T.watch_reports(spark, folder, out, check, every=None, files_per_batch=1)
+        query.awaitTermination()
+        assert query.exception() is None
+    got = T.indexed_chunks(spark, out).orderBy("id").collect()
+    assert [(r["id"], r["page"], r["text"]) for r in got] == [(i, i + 1, f"text {i + 1}") for i in range(4)]
+    assert [(r["stem"], r["pages"], r["chunks"]) for r in T.indexed_reports(spark, out).collect()] == [("r", 4, 4)]
+
+
+def test_more_accounts_than_any_limit(spark):
+    users = spark.range(2500).selectExpr("id as user_id", "'n' as full_name", "'e' as email", "timestamp'2024-01-01' as created_at", "0 as daily_msgs_used", "date'2024-01-01' as quota_date")
+    history = spark.range(5000).selectExpr("id % 2500 as user_id", "id as history_id", "timestamp'2024-01-01' as created_at")
+    events = spark.createDataFrame([("chat_message", "user"), ("chat_message", "admin"), ("page_view", None)], "event_type string, role string")
+    assert tuple(U.account_overview(users, history, events).first()) == (2500, 5000, 1)
+    assert U.users_with_usage(users, history, "2024-01-01", limit=2400).count() == 2400
+    assert U.users_with_usage(users, history, "2024-01-01", limit=None).count() == 2500
+
+
+def test_line_breaks_come_back(spark, tmp_path):
+    rows = [("a\nb", 'x "y"\r\nz'), ("plain", None)]
+    S.write_csv(spark.createDataFrame(rows, "title string, note string"), str(tmp_path / "t"))
+    got = S._read_csv(spark, str(tmp_path / "t"), "title string, note string").collect()
+    assert {r["title"] for r in got} == {"a\nb", "plain"} and len(got) == 2
+
+
+def test_root_with_pattern_characters(spark):
+    meta = spark.createDataFrame([], "stem string, company string, company_normalized string, year string, sector string, report_id string, source_url string")
+    files = spark.createDataFrame([("file:/data/v1+x/(s)/Co/2020/a.pdf",), ("file:/data/v1x/s/Co/2021/a.pdf",)], "path string")
+    assert [r["year"] for r in S.report_tree(files, "/data/v1+x", meta).collect()] == ["2020"]
+
+
+def test_statements_of_one_year_in_order(spark):
+    companies = spark.createDataFrame([(1, "n", "N")], "company_id int, normalized_name string, name string")
+    columns = [c for c in Q.INCOME_COLUMNS if c not in ("currency", "unit", "confidence")]
+    rows = spark.createDataFrame([(1, r, 2020, conf, "MAD", "KMAD") for r, conf in ((1, 0.5), (2, 0.9), (3, 0.9))], "company_id int, report_id int, year int, confidence double, currency string, unit string")
+    rows = rows.select("*", *[(F.col("report_id") * 1.0).alias(c) for c in columns])
+    for df in (rows, rows.orderBy(F.desc("report_id")), rows.repartition(3)):
+        assert Q.income_statement(df, companies, "n", 2020).first()[columns[0]] == 3.0
