@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clients import browser_of, device_of, is_private, keyed_hash, normalise_ip, system_of
 from ..functions.text import let, strip
-from ..session import beside
+from ..session import beside, materialise
 
 # Event types that are kept.
 EVENT_TYPES = (
@@ -421,18 +421,22 @@ def _share(part: Column, total: Column, digits: int = 1) -> Column:
 
 def chat_stats(events: DataFrame) -> DataFrame:
     """One row: volume, askers, latency mean / p50 / p95 / max, error and source rate."""
-    chats = _of(events, "chat_message")
-    latency = F.when(F.col("meta.latency_ms") >= 0, F.col("meta.latency_ms"))
+    # Four small columns of the enriched log are written once; everything below reads them.
+    chats = materialise(_of(events, "chat_message").select(
+        some("ip_hash").alias("h"), F.when(F.col("meta.latency_ms") >= 0, F.col("meta.latency_ms")).alias("latency"),
+        some("meta.error").isNotNull().alias("failed"), (F.col("meta.sources") > 0).alias("sourced"),
+    ), "chat-stats")
+    latency = F.col("latency")
     total = F.count(F.lit(1))
     stats = chats.agg(
         total.alias("total_questions"),
         F.floor(F.avg(latency)).cast("bigint").alias("avg_latency_ms"),
         F.floor(F.max(latency)).cast("bigint").alias("max_latency_ms"),
-        _share(F.count_if(some("meta.error").isNotNull()), total).alias("error_rate"),
-        _share(F.count_if(F.col("meta.sources") > 0), total).alias("source_rate"),
+        _share(F.count_if("failed"), total).alias("error_rate"),
+        _share(F.count_if("sourced"), total).alias("source_rate"),
     )
     askers = (
-        chats.select(some("ip_hash").alias("h")).filter("h is not null").distinct()
+        chats.select("h").filter("h is not null").distinct()
         .agg(F.count(F.lit(1)).alias("unique_askers"))
     )
     picks = ranked_picks(chats.select(F.floor(latency).alias("ms")), "ms", {"p50": 0.50, "p95": 0.95}).agg(
@@ -601,9 +605,25 @@ def question_events(log: DataFrame) -> DataFrame:
 
 
 def dashboard(events: DataFrame, now: str, visitor_limit: int = 300) -> dict[str, DataFrame]:
-    """All views of one snapshot, by name."""
-    rows = visitors(events)
+    """All views of one snapshot, by name.
+
+    The snapshot and its visitors are written to the shared folder once and every view reads
+    them, so an append in the meantime shows in all views or in none.
+    """
+    events = materialise(events, "dashboard-events")
+    rows = materialise(visitors(events), "dashboard-visitors")
+    top = lambda kind, field, limit=20: top_values(events, kind, field, limit)
     return {
+        "visits_by_day": daily_counts(events, "visit", now),
+        "demo_logins_by_day": daily_counts(events, "demo_login", now),
+        "exhausted_by_day": daily_counts(events, "demo_exhausted", now),
+        "located": geo_totals(rows),
+        "top_companies": top("chat_message", "company", 40),
+        "top_years": top("chat_message", "year"),
+        "top_sectors": top("chat_message", "sector"),
+        "top_reports": top("chat_message", "report"),
+        "companies_viewed": top("company_select", "company"),
+        "documents_opened": top("pdf_open", "report"),
         "summary": summary(events, now),
         "devices": device_mix(events),
         "countries": geo_countries(rows),
@@ -624,8 +644,7 @@ def dashboard(events: DataFrame, now: str, visitor_limit: int = 300) -> dict[str
 
 
 def write_dashboard(events: DataFrame, path: str, now: str) -> list[str]:
-    """Write one Parquet table per view; the snapshot is the given table, read per view
-    with only the columns that view needs."""
+    """Write one Parquet table per view, all of one snapshot of the given log."""
     views = dashboard(events, now)
     for name, view in views.items():
         view.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")

@@ -344,6 +344,40 @@ def _(spark, d):
     return out
 
 
+_TOP = (
+    ("top_companies", "chat_message", "company", 40), ("top_years", "chat_message", "year", 20), ("top_sectors", "chat_message", "sector", 20),
+    ("top_reports", "chat_message", "report", 20), ("companies_viewed", "company_select", "company", 20), ("documents_opened", "pdf_open", "report", 20),
+)
+_BY_DAY = (("visits_by_day", "visit"), ("demo_logins_by_day", "demo_login"), ("exhausted_by_day", "demo_exhausted"))
+_VALUES_SQL = [
+    f"(SELECT '{view}' AS view, {field} AS name, count(*) AS n FROM ev WHERE event_type = '{kind}' AND {field} IS NOT NULL GROUP BY 2 ORDER BY n DESC, name LIMIT {limit})"
+    for view, kind, field, limit in _TOP
+] + [
+    f"""(SELECT '{view}', strftime(day, '%Y-%m-%d'), (SELECT count(*) FROM ev WHERE event_type = '{kind}' AND CAST(ts AS DATE) = CAST(day AS DATE))
+        FROM generate_series(TIMESTAMP '{I.NOW}' - INTERVAL 6 DAY, TIMESTAMP '{I.NOW}', INTERVAL 1 DAY) s(day))"""
+    for view, kind in _BY_DAY
+] + [
+    "(SELECT 'devices', d, (SELECT count(*) FROM ev WHERE event_type = 'visit' AND coalesce(device, 'desktop') = d) FROM (VALUES ('desktop'), ('mobile'), ('tablet')) v(d))",
+    "(SELECT 'error_kinds', coalesce(kind, path, 'unknown') AS name, count(*) AS n FROM ev WHERE event_type = 'error' GROUP BY 2 ORDER BY n DESC, name LIMIT 20)",
+    f"(SELECT 'located', 'total_unique', count(*) FROM ({VISITOR_SQL}))",
+    f"(SELECT 'located', 'located', count(*) FROM ({VISITOR_SQL}) WHERE country <> '')",
+]
+
+
+@query("a21_dashboard_values", " UNION ALL ".join(_VALUES_SQL), uses=EV)
+def _(spark, d):
+    """Names and numbers of the views that list them, all read from one snapshot."""
+    views = A.dashboard(I.event_log(spark, d), I.NOW)
+    pair = lambda view, name: views[view].select(F.lit(view).alias("view"), F.col(name).cast("string").alias("name"), F.col("count").alias("n"))
+    parts = [pair(view, "value") for view, *_ in _TOP] + [pair(view, "date") for view, _ in _BY_DAY]
+    parts += [pair("devices", "device"), pair("error_kinds", "kind")]
+    located = views["located"].unpivot([], ["total_unique", "located"], "name", "n").select(F.lit("located").alias("view"), "name", "n")
+    out = located
+    for part in parts:
+        out = out.unionByName(part)
+    return out
+
+
 @query(
     "a22_share_of_total",
     """SELECT device, "count", CAST(floor(100.0::DOUBLE * "count" / sum("count") OVER () + 0.5) AS INTEGER) AS pct FROM (SELECT device, count(*) AS "count" FROM ev GROUP BY 1)""",

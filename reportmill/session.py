@@ -57,5 +57,7 @@ def within(df: DataFrame, max_rows: int) -> bool:
 
 
 def beside(row: DataFrame, *others: DataFrame) -> DataFrame:
-    """Put one-row results side by side, as scalar subqueries instead of a join."""
-    return row.select("*", *[o.select(c).scalar().alias(c) for o in others for c in o.columns])
+    """Put one-row results side by side, each as one scalar subquery instead of a join."""
+    one = [o.select(F.struct(*o.columns)).scalar().alias(f"_row{i}") for i, o in enumerate(others)]
+    parts = [F.col(f"_row{i}.{c}").alias(c) for i, o in enumerate(others) for c in o.columns]
+    return row.select("*", *one).select(*row.columns, *parts)
