@@ -330,6 +330,32 @@ def _(spark, d):
     return df.select("qid", F.get(lines, F.lit(0)).alias("first_line"), F.greatest(F.size(lines) - 2, F.lit(0)).cast("bigint").alias("n_rows"))
 
 
+@query(
+    "r13_full_context",
+    f"""WITH q AS (SELECT item_id AS qid, item_id % 50 + 1 AS company_id, 1996 + item_id % 5 AS year, item_id % 2 = 0 AS by_metric FROM benchmark),
+       lines AS (SELECT q.qid, q.company_id, q.year, f.normalized_metric_name AS metric, CAST(f.value AS DOUBLE) AS value, f.unit FROM q JOIN facts f ON f.company_id = q.company_id AND f.year = q.year AND f.normalized_metric_name = 'net_income'
+          WHERE by_metric OR q.year % 3 = 0
+        UNION ALL SELECT qid, q.company_id, q.year, m, CAST(CASE m WHEN 'revenue' THEN revenue WHEN 'gross_profit' THEN gross_profit WHEN 'income_tax' THEN income_tax ELSE net_income END AS DOUBLE), 'KMAD'
+          FROM q JOIN wide w ON w.company_id = q.company_id AND w.year = q.year, (VALUES ('revenue'), ('gross_profit'), ('income_tax'), ('net_income')) v(m) WHERE NOT by_metric AND q.year % 3 <> 0),
+       rows AS (SELECT qid, string_agg(line, chr(10) ORDER BY year, line) AS r FROM (SELECT qid, year, name || ' | ' || year || ' | ' || metric || ' | ' || format('{{:,.2f}}', value) || ' | ' || unit AS line FROM lines JOIN companies USING (company_id)) GROUP BY 1),
+       hits AS (SELECT qid, string_agg('--- Passage ' || rank || ' [' || company || ' ' || year || ' · p.' || page || '] ---' || chr(10) || chr(10) || r.text, chr(10) || chr(10) ORDER BY rank) AS p FROM ranked r JOIN sc USING (chunk_id) GROUP BY 1)
+       SELECT a.qid, coalesce(nullif(concat_ws(chr(10) || chr(10), '{R.ROWS_TITLE}' || 'company | year | metric | value | unit' || chr(10) || r, '{R.PASSAGES_TITLE}' || p), ''), '{R.NO_CONTEXT}') AS context
+       FROM asked a LEFT JOIN rows r ON r.qid = a.qid LEFT JOIN hits h ON h.qid = a.qid""",
+    uses=("asked", "ranked", "sc", "facts", "wide", "companies"),
+)
+def _(spark, d):
+    """Whole contexts: structured rows and passages of the same question."""
+    q = F.col("item_id")
+    routes = I.table(spark, d, "benchmark").select(
+        q.alias("qid"), F.lit("hybrid").alias("query_type"), (q % 50 + 1).alias("company_id"), (q % 5 + 1996).cast("int").alias("year"),
+        F.when(q % 2 == 0, "net_income").alias("metric"),
+    ).join(I.companies(spark, d).select("company_id", F.col("normalized_name").alias("company")), "company_id").drop("company_id")
+    income = I.stored_statements(spark, d, "income_statement").filter(F.col("year") % 3 != 0)
+    answers = R.structured_answers(routes, I.metric_facts(spark, d), income, I.companies(spark, d), I.reports(spark, d))
+    hits = _hits(spark, d).withColumn("source", F.col("report"))
+    return R.assemble_context(R.prepare_questions(asked(spark, d)), answers, hits)
+
+
 @query(
     "r14_prompt_context",
     """SELECT qid, string_agg('[' || company || ' ' || year || ' · p.' || page || ']' || chr(10) || substr(r.text, 1, 1500), chr(10) || chr(10) ORDER BY rank) AS context FROM ranked r JOIN sc USING (chunk_id) GROUP BY 1""",
