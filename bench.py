@@ -15,7 +15,8 @@ HEADLINES = (
     "w10_balance_check", "q03_metric_over_companies", "q14_quality_report", "c06_chunk_words", "c07_number_chunks",
     "h04_page_links", "a07_visitor_rollup", "a12_login_funnel", "a13_chat_stats", "a16_conversations", "a19_timeline",
     "r01_route_questions", "r08_keyword_top_k", "r10_all_vectors_cosine", "r11_hybrid_rank", "u02_user_history",
-    "u03_daily_quota", "u04_rate_limit", "u04_rate_limit_busy",
+    "u03_daily_quota", "u04_rate_limit", "u04_rate_limit_busy", "c16_needs_ocr", "q11_financials_bundle", "r12_structured_answers",
+    "r13_full_context", "a21_dashboard_values", "t01_watch_reports", "t02_ingest_events", "t03_daily_counts", "t06_failing_addresses",
 )
 
 
@@ -33,8 +34,10 @@ def main() -> None:
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
-    spark.read.parquet(f"{sf_dir}/lineitem.parquet").write.format("noop").mode("overwrite").save()
     queries = all_queries()
+    # One job of each kind first, so that class loading and code generation are not billed to the first headline.
+    spark.read.parquet(f"{sf_dir}/lineitem.parquet").write.format("noop").mode("overwrite").save()
+    flagship(spark, sf_dir).write.format("noop").mode("overwrite").save()
     jobs = {"flagship": lambda s, d: flagship(s, d)} | {name: queries[name] for name in HEADLINES}
     times = {}
     for name, run in jobs.items():
