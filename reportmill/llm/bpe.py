@@ -13,6 +13,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced, small_batches
+
 # The vocabulary's own splitting pattern and word-end mark, white space as its library reads it.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PIECES = "'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{space}{letter}{number}]+"
@@ -31,7 +33,7 @@ _LATE_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0x
 }
 _PLAIN_BELOW = "\u0530"
 _END = "</w>"
-_CACHE = 200_000
+_CACHE = 150_000
 _LONG = 64
 _TEXT_PART = 1 << 20
 
@@ -191,16 +193,14 @@ class Decoder:
         return " ".join([tokens[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
-_LOADED: dict[tuple[type, int], Encoder | Decoder] = {}
+_LOADED: dict[type, tuple[int, Encoder | Decoder]] = {}
 
 
 def _tool(kind: type, model: str):
-    """One coder per worker process and vocabulary."""
-    key = (kind, hash(model))
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = kind(model)
-    return _LOADED[key]
+    """One coder of a kind per worker process, for the vocabulary used last."""
+    if _LOADED.get(kind, (None,))[0] != hash(model):
+        _LOADED[kind] = (hash(model), kind(model))
+    return _LOADED[kind][1]
 
 
 def read_model(path: str) -> str:
@@ -217,11 +217,12 @@ def encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: s
     gives no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(read_model(vocab_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = _tool(Encoder, model.value)
-        for batch in batches:
+        for batch in sliced(batches):
             ids = [tool.encode(t.as_py()) for t in batch.column(1)]
             yield pa.record_batch(
                 [batch.column(0), pa.array(ids, pa.binary()), pa.array([len(i) // 4 for i in ids], pa.int64())],
@@ -238,16 +239,35 @@ def decode(encoded: DataFrame, vocab_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = _tool(Decoder, model.value)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [tool.decode(i.as_py() or b"") for i in batch.column(1)]
             yield pa.record_batch([*batch.columns, pa.array(texts, pa.string())], names=["id", "ids", "n_tokens", "decoded"])
 
     return encoded.select("id", "ids", "n_tokens").mapInArrow(run, f"id {kind}, ids binary, n_tokens bigint, decoded string")
 
 
+def round_trip(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """encode() and decode() in one pass, without a second worker process per task."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    small_batches(docs.sparkSession)
+    model = docs.sparkSession.sparkContext.broadcast(read_model(vocab_path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        there, back = _tool(Encoder, model.value), _tool(Decoder, model.value)
+        for batch in sliced(batches):
+            ids = [there.encode(t.as_py()) for t in batch.column(1)]
+            yield pa.record_batch(
+                [batch.column(0), pa.array(ids, pa.binary()), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(map(back.decode, ids), pa.string())],
+                names=["id", "ids", "n_tokens", "decoded"],
+            )
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, ids binary, n_tokens bigint, decoded string")
+
+
 def digests(docs: DataFrame, vocab_path: str) -> DataFrame:
     """doc_id, n_tokens and the SHA-256 of ids and of the decoded text."""
-    both = decode(encode(docs, vocab_path), vocab_path)
+    both = round_trip(docs, vocab_path)
     return both.select(
         F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .hashing import LETTERS, LOWER, word_hashes
 
 #: Bound on the pages that the labeller is fitted on, by hash of their id, and on blocks of such a page.
@@ -340,6 +341,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     text; repeated rows repeat; other columns are not read; an empty table gives no rows.
     """
     kind = pages.schema[id_col].dataType.simpleString()
+    small_batches(pages.sparkSession)
     sent = pages.sparkSession.sparkContext.broadcast(fit(pages, id_col, html_col, max_train))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

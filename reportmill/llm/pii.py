@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise, within
-from .common import WORD, let, text_of, words
+from .common import WORD, fresh, let, text_of, words
 
 KINDS = ("email", "ip", "card", "phone", "term")
 # Matches start where a run of their characters starts, so a long run is read once.
@@ -136,19 +136,25 @@ def disclosures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+def _found(docs: DataFrame, id_col: str, text_col: str, base: str, terms: str) -> DataFrame:
+    """docs with columns of the given names for base spans and disclosing terms."""
+    key = fresh(docs, "_key")
+    told = disclosures(docs, id_col, text_col).groupBy("k").agg(F.sort_array(F.collect_list(
+        F.struct("start", "end", F.lit(4).alias("kind"), "value", "disclosure")
+    )).alias(terms)).withColumnRenamed("k", key)
+    rows = docs.withColumn(key, _key(id_col, text_col)).join(materialise(told, "pii-terms"), key, "left").drop(key)
+    none = F.array().cast("array<struct<start:int,end:int,kind:int,value:string,disclosure:double>>")
+    return rows.withColumn(base, base_spans(text_of(text_col))).withColumn(terms, F.coalesce(terms, none))
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of docs plus base (spans of patterns) and terms (spans that disclose).
 
     Spans are (start, end, kind, value) in code points, end exclusive; kind counts in KINDS.
     Terms never overlap a base span. Null and empty texts have no spans; repeated rows get
-    the same spans; an empty table gives no rows. Columns base, terms and k are reserved.
+    the same spans; an empty table gives no rows; columns of these two names are replaced.
     """
-    told = disclosures(docs, id_col, text_col).groupBy("k").agg(F.sort_array(F.collect_list(
-        F.struct("start", "end", F.lit(4).alias("kind"), "value", "disclosure")
-    )).alias("terms"))
-    rows = docs.withColumn("k", _key(id_col, text_col)).join(materialise(told, "pii-terms"), "k", "left")
-    none = F.array().cast("array<struct<start:int,end:int,kind:int,value:string,disclosure:double>>")
-    return rows.drop("k").withColumn("base", base_spans(text_of(text_col))).withColumn("terms", F.coalesce("terms", none))
+    return _found(docs.drop("base", "terms"), id_col, text_col, "base", "terms")
 
 
 def of_kind(spans: Column, kind: int) -> Column:
@@ -199,13 +205,14 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     [NUMBER] or [WORD], or removed where it gives away REMOVE_AT or more of an entity. A
     null text stays null; a text without spans is returned as it is.
     """
+    base, terms, spans = (fresh(docs, f"_{name}") for name in ("base", "terms", "spans"))
     labels = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.get(labels, s["kind"]).alias("shown")))
-    terms = F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.when(
+    shown = F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.get(labels, s["kind"]).alias("shown")))
+    told = F.transform(terms, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.when(
         s["disclosure"] >= REMOVE_AT, F.lit("")).when(s["value"].rlike("[0-9]"), F.lit("[NUMBER]")).otherwise(F.lit("[WORD]")).alias("shown")))
-    found = find(docs, id_col, text_col).withColumn("spans", F.sort_array(F.concat(base, terms)))
-    cleaned = found.withColumn(text_col, _cleaned(F.col(text_col), F.col("spans")))
+    found = _found(docs, id_col, text_col, base, terms).withColumn(spans, F.sort_array(F.concat(shown, told)))
+    cleaned = found.withColumn(text_col, _cleaned(F.col(text_col), F.col(spans)))
     if length_col:
-        changed = F.when(F.size("spans") > 0, F.length(text_col)).otherwise(F.col(length_col))
+        changed = F.when(F.size(spans) > 0, F.length(text_col)).otherwise(F.col(length_col))
         cleaned = cleaned.withColumn(length_col, changed.cast(docs.schema[length_col].dataType))
     return cleaned.select(*docs.columns)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
+from .common import fresh, sliced, small_batches
 from .components import components
 
 SEED = 42
@@ -58,9 +59,10 @@ def fingerprints(docs: DataFrame, shingle: int = 4, tables: int = 1, id_col: str
     text has fingerprints of zero. Other columns are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             fps = [text_fingerprints(t.as_py(), shingle, tables) for t in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array(fps, pa.list_(pa.int64()))], names=["id", "fps"])
 
@@ -156,6 +158,7 @@ def keep_first(docs: DataFrame, shingle: int = 5, tables: int = 6, max_bits: int
     id comes first; of rows repeated as a whole one stays; an empty table gives no rows.
     All columns are kept, and texts are shuffled once.
     """
+    own = fresh(docs, "_row")
     rows = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.col(id_col).alias("own"), F.col(text_col).alias("text"))
     key = F.struct("row", "own")
     prints = fingerprints(rows.select(key.alias("id"), "text"), shingle, tables, "id", "text")
@@ -163,9 +166,9 @@ def keep_first(docs: DataFrame, shingle: int = 5, tables: int = 6, max_bits: int
     classes = materialise(prints.groupBy("k").agg(F.first("fps").alias("fps"), F.min(F.struct("own", "row")).alias("first")), "near-classes")
     roots = components(similar_links(classes, tables, max_bits), "near-links")
     rooted = classes.select("k", "first").join(roots, F.col("k") == F.col("node"), "left").select(F.coalesce("root", "k").alias("root"), "first")
-    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_row"))
-    keyed = docs.withColumn("_row", F.xxhash64(F.col(id_col), F.col(text_col)))
-    return keyed.join(kept, "_row").dropDuplicates(["_row"]).drop("_row")
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(own))
+    keyed = docs.withColumn(own, F.xxhash64(F.col(id_col), F.col(text_col)))
+    return keyed.join(kept, own).dropDuplicates([own]).select(*docs.columns)
 
 
 def fingerprint_hex(fp: Column) -> Column:

@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced, small_batches
 from .hashing import LETTERS, LOWER, mix, word_hashes
 
 #: A feature enters the model when this many texts of the sample hold it; counted in a table of 2 ** COUNT_BITS.
@@ -18,9 +20,9 @@ SIEVE_BITS = 22
 #: Bound on the labelled rows that a model is fitted on, by hash of their id.
 MAX_TRAIN = 20_000
 EPOCHS, ALPHA, BETA, L1, L2 = 6, 1.0, 1.0, 4.0, 0.1
-#: Words apart in a pair: neighbours and skip-grams over one and two words.
-GAPS = (1, 2, 3)
-_SALT = (0x632BE59BD9B4E019, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+#: Words apart in a pair: neighbours, and skip-grams over one word.
+GAPS = (1, 2)
+_SALT = (0x632BE59BD9B4E019, 0xD6E8FEB86659FD93)
 _STRETCH = 1 << 22
 
 
@@ -77,7 +79,7 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, label_col: str) -> tupl
     repeatable. Features of fewer than MIN_TEXTS texts never enter the model.
     """
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [(t.as_py() or "").encode() for t in batch.column(2)]
             sets: list[np.ndarray] = []
             for a, b in _stretches(texts):
@@ -88,25 +90,33 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, label_col: str) -> tupl
             yield pa.record_batch([batch.column(0), batch.column(1), packed], names=["place", "label", "found"])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, seen = [], np.zeros(1 << COUNT_BITS, np.uint8)
-        for batch in batches:
-            for place, label, found in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                found = np.frombuffer(found, "<u4")
-                slot = np.unique(found >> np.uint32(32 - COUNT_BITS))
+        heads, parts, seen = [], [], np.zeros(1 << COUNT_BITS, np.uint8)
+        for batch in sliced(batches):
+            ends = np.cumsum(pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False) // 4)
+            found = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u4")
+            for part in np.split(found, ends[:-1]):
+                slot = np.unique(part >> np.uint32(32 - COUNT_BITS))
                 seen[slot] = np.minimum(seen[slot], 254) + 1
-                rows.append((place, label, found))
-        rows.sort(key=lambda r: (r[0], r[1], len(r[2])))
-        rows = [(y, found[seen[found >> np.uint32(32 - COUNT_BITS)] >= MIN_TEXTS]) for _, y, found in rows]
-        names = np.unique(np.concatenate([f for _, f in rows])) if rows else np.zeros(0, np.uint32)
-        model, bias = Ftrl(len(names) + 1), len(names)
-        sets = [(y, np.append(np.searchsorted(names, found), bias)) for y, found in rows]
+            heads += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            parts.append((found, ends))
+        kept, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for found, ends in parts:  # few large arrays, which go back to the system once they are filtered
+            held = seen[found >> np.uint32(32 - COUNT_BITS)] >= MIN_TEXTS
+            kept.append(found[held])
+            sizes.append(np.diff(np.append(0, np.append(0, np.cumsum(held))[ends])))
+        del parts, seen
+        kept, sizes = np.concatenate(kept), np.concatenate(sizes)
+        names = np.unique(kept)
+        sets = np.split(np.searchsorted(names, kept).astype(np.int32), np.cumsum(sizes)[:-1])
+        rows = sorted((place, label, size, k) for k, ((place, label), size) in enumerate(zip(heads, sizes.tolist(), strict=True)))
+        model, bias = Ftrl(len(names) + 1), np.int32(len(names))
         for _ in range(EPOCHS):
-            for y, at in sets:
-                model.learn(at, y)
+            for _, label, _, k in rows:
+                model.learn(np.append(sets[k], bias), label)
         w = model.weights(np.arange(len(names) + 1))
         used = np.flatnonzero(w[:-1])
         found = [-1, *names[used].tolist()] if rows else []
-        yield pa.record_batch([pa.array(found, pa.int64()), pa.array(np.append(w[-1], w[used]) if rows else [], pa.float64())], names=["feature", "weight"])
+        yield pa.record_batch([pa.array(found, pa.int64()), pa.array(np.append(w[-1], w[used])[: len(found)])], names=["feature", "weight"])
 
     rows = labelled.select(F.xxhash64(id_col).alias("place"), F.col(label_col).cast("int").alias("label"), F.col(text_col).alias("text"))
     sets = rows.mapInArrow(hashed, "place bigint, label int, found binary").repartition(1)
@@ -124,7 +134,7 @@ def sample(labels: DataFrame, id_col: str, bound: int) -> DataFrame:
 
 
 def score(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN) -> DataFrame:
-    """All columns of docs plus score (0 to 1, higher: toxic).
+    """All columns of docs plus score (0 to 1, higher: toxic); a column of that name is replaced.
 
     The model sees words only. It is fitted on labelled rows for which learn_from holds,
     bounded by max_train; these ids and labels are sent to all tasks, which is why the bound
@@ -133,9 +143,11 @@ def score(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None,
     labelled row every score is 0; repeated rows get equal scores; an empty table gives none.
     """
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-    known = sample(known.filter(learn_from) if learn_from is not None else known, id_col, max_train).select(id_col, F.col(label_col).alias("_label"))
-    labelled = docs.select(id_col, text_col).join(F.broadcast(known), id_col)
-    names, weights, bias = fit(labelled, id_col, text_col, "_label")
+    known = sample(known.filter(learn_from) if learn_from is not None else known, id_col, max_train).select(F.col(id_col).alias("id"), F.col(label_col).alias("label"))
+    docs = docs.drop("score")
+    small_batches(docs.sparkSession)
+    labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")
+    names, weights, bias = fit(labelled, "id", "text", "label")
     empty = known.isEmpty()
     sent = docs.sparkSession.sparkContext.broadcast((names, weights))
 
@@ -151,7 +163,7 @@ def score(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sieve = np.zeros(1 << SIEVE_BITS, bool)
         sieve[sent.value[0] >> np.uint32(32 - SIEVE_BITS)] = True
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [(t.as_py() or "").encode() for t in batch.column(batch.schema.names.index(text_col))]
             total = np.full(len(texts), bias)
             if len(sent.value[0]):
