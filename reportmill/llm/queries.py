@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, gru_lm, html_blocks, pii, quality_rules, quotes, simhash, toxicity, url_filter
+from . import bpe, decontaminate, gru_lm, html_blocks, oracles, pii, quality_rules, quotes, simhash, toxicity, url_filter
 from .common import held_out, table
 
 RUNNERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,7 +41,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"))
 
 
-@query("op2_quality_rules")
+@query("op2_quality_rules", oracles.QUALITY_RULES)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.clean_lines(table(spark, sf_dir, "documents"))
     return rows.select(
@@ -81,7 +81,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-@query("op8_url_filter")
+@query("op8_url_filter", oracles.URL_FILTER)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return url_filter.judge(pages, url_filter.spam_pages(pages)).withColumnRenamed("id", "page_id")
