@@ -1,8 +1,11 @@
 """Registered queries of the corpus operators and the pipeline, on the smallest tables."""
 
+import hashlib
 import os
 
+import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -63,3 +66,46 @@ def test_pipeline_of_nothing(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
+
+
+def documents():
+    return connect(SF).execute("SELECT doc_id, text FROM documents").fetchall()
+
+
+def test_simhash_query_against_pairs(spark):
+    from test_llm_simhash import classes
+
+    got = [(r["doc_id"], int(r["fingerprint"], 16), r["component_id"]) for r in queries.RUNNERS["op7_simhash"](spark, SF).collect()]
+    assert sorted(got, key=str) == classes(documents())
+
+
+def test_bpe_query_against_the_library(spark):
+    library = Tokenizer.from_file(queries.vocabulary())
+    want = {}
+    for doc, text in documents():
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        decoded = library.decode(ids, skip_special_tokens=False)
+        want[doc] = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in queries.RUNNERS["op6_bpe"](spark, SF).collect()}
+    assert got == want
+
+
+def test_personal_data_query_against_patterns(spark):
+    from test_llm_rules import KINDS, base
+
+    want = {}
+    for doc, text in documents():
+        found = base(text)
+        spans = ",".join(f"{list(KINDS)[k]}:{a}:{b}" for a, k, b in found)
+        want[doc] = (*(sum(f[1] == k for f in found) for k in range(4)), hashlib.sha256(spans.encode()).hexdigest())
+    rows = queries.RUNNERS["op10_pii"](spark, SF).collect()
+    assert {r["doc_id"]: (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"], r["base_sha256"]) for r in rows} == want
+
+
+def test_decontamination_query_against_windows(spark):
+    from test_llm_rules import windows
+
+    items = [(k, windows(t)) for k, t in connect(SF).execute("SELECT item_id, text FROM benchmark").fetchall()]
+    want = {(doc, k) for doc, text in documents() for k, asked in items if 2 * len(asked & windows(text)) >= len(asked)}
+    got = {(r["doc_id"], r["item_id"]) for r in queries.RUNNERS["op5_decontamination"](spark, SF).collect()}
+    assert want <= got and all(len(dict(items)[k] & windows(dict(documents())[doc])) > 0 for doc, k in got)
