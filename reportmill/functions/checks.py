@@ -22,6 +22,7 @@ def _result(passed: Column, warnings: Column, pct: Column) -> Column:
     )
 
 
+# The warning texts below.
 def balance_check(assets: Column, liabilities: Column, equity: Column, tolerance_pct: float = 5.0) -> Column:
     """struct(passed, warnings, discrepancy_pct): assets against liabilities + equity."""
     a, l, e = (c.cast("double") for c in (assets, liabilities, equity))

@@ -95,6 +95,20 @@ TOPICS = (
 MAX_KEYWORDS = 5
 
 
+# The reason given for each route; {} stands for a count.
+REASONS = {
+    "hybrid": "hybrid triggers ({}) with sql ({}) or vector ({}) hits",
+    "sql": "sql keywords matched: {}",
+    "vector": "vector keywords matched: {}",
+    "single": "single sql keyword match",
+    "none": "no strong signal — defaulting to vector",
+}
+
+
+def reason(name: str, *counts: Column) -> Column:
+    return F.format_string(REASONS[name].replace("{}", "%d"), *counts) if counts else F.lit(REASONS[name])
+
+
 def route(question: Column, word_boundary: bool = False) -> Column:
     """struct(query_type, confidence, reasoning, year, metric) of a question.
 
@@ -120,24 +134,19 @@ def route(question: Column, word_boundary: bool = False) -> Column:
         s, v, h = n["s"], n["v"], n["h"]
         year = F.nullif(F.regexp_extract(question, YEAR_PATTERN, 1), F.lit("")).cast("int")
 
-        def result(kind, confidence, *reason):
+        def result(kind, confidence, why):
             return F.struct(
-                F.lit(kind).alias("query_type"), confidence.cast("double").alias("confidence"),
-                F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in reason]).alias("reasoning"),
+                F.lit(kind).alias("query_type"), confidence.cast("double").alias("confidence"), why.alias("reasoning"),
                 year.alias("year"), n["metric"].alias("metric"),
             )
 
         grows = lambda x: F.least(F.lit(0.95), F.lit(0.5) + x * 0.1)
-        text = lambda x: x.cast("string")
         return (
-            F.when(
-                (h >= 1) & ((s >= 1) | (v >= 1)),
-                result("hybrid", F.lit(0.8), "hybrid triggers (", text(h), ") with sql (", text(s), ") or vector (", text(v), ") hits"),
-            )
-            .when((s >= 2) & (s >= v), result("sql", grows(s), "sql keywords matched: ", text(s)))
-            .when((v >= 2) & (v > s), result("vector", grows(v), "vector keywords matched: ", text(v)))
-            .when((s == 1) & (v == 0), result("sql", F.lit(0.6), "single sql keyword match"))
-            .otherwise(result("vector", F.lit(0.5), "no strong signal — defaulting to vector"))
+            F.when((h >= 1) & ((s >= 1) | (v >= 1)), result("hybrid", F.lit(0.8), reason("hybrid", h, s, v)))
+            .when((s >= 2) & (s >= v), result("sql", grows(s), reason("sql", s)))
+            .when((v >= 2) & (v > s), result("vector", grows(v), reason("vector", v)))
+            .when((s == 1) & (v == 0), result("sql", F.lit(0.6), reason("single")))
+            .otherwise(result("vector", F.lit(0.5), reason("none")))
         )
 
     return let(fold(question), decide)

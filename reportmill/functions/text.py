@@ -158,11 +158,3 @@ def first_match(col: Column, rules, default=None) -> Column:
         hit = F.contains(col, F.lit(needle))
         out = F.when(hit, F.lit(value)) if out is None else out.when(hit, F.lit(value))
     return out.otherwise(F.lit(default))
-
-
-def count_contained(col: Column, needles) -> Column:
-    """How many of the needles occur in the text (one test per needle, code-generated)."""
-    out = F.lit(0)
-    for needle in needles:
-        out = out + F.when(F.contains(col, F.lit(needle)), 1).otherwise(0)
-    return out

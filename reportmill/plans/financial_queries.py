@@ -658,12 +658,11 @@ def _(spark, d):
 @query(
     "q09_list_companies",
     """SELECT normalized_name, name, ticker, sector, count(DISTINCT year) AS n_reports, min(year) AS year_first, max(year) AS year_last
-       FROM companies c LEFT JOIN (SELECT * FROM reports WHERE extraction_status <> 'pending') r ON r.company_id = c.company_id GROUP BY 1, 2, 3, 4""",
+       FROM companies c LEFT JOIN reports r ON r.company_id = c.company_id GROUP BY 1, 2, 3, 4""",
     uses=("reports", "companies"),
 )
 def _(spark, d):
-    reports = I.reports(spark, d).filter(F.col("extraction_status") != "pending")
-    return Q.list_companies(I.companies(spark, d), reports)
+    return Q.list_companies(I.companies(spark, d), I.reports(spark, d))
 
 
 @query(
@@ -703,12 +702,11 @@ def _(spark, d):
     "q14_quality_report",
     """SELECT *, CASE WHEN row_number() OVER (PARTITION BY name ORDER BY year DESC, extraction_status DESC, extraction_quality DESC) = 1 THEN name ELSE '' END AS shown_name
        FROM (SELECT name, r.year, extraction_status, extraction_quality, count(f.value) AS n_metrics FROM companies c LEFT JOIN reports r ON r.company_id = c.company_id
-       LEFT JOIN (SELECT * FROM facts WHERE confidence >= 0.5) f ON f.report_id = r.report_id GROUP BY 1, 2, 3, 4)""",
+       LEFT JOIN facts f ON f.report_id = r.report_id GROUP BY 1, 2, 3, 4)""",
     uses=("facts", "reports", "companies"),
 )
 def _(spark, d):
-    facts = I.metric_facts(spark, d).filter(F.col("confidence") >= 0.5)
-    return Q.quality_report(I.companies(spark, d), I.reports(spark, d), facts)
+    return Q.quality_report(I.companies(spark, d), I.reports(spark, d), I.metric_facts(spark, d))
 
 
 @query(
