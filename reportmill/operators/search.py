@@ -116,7 +116,7 @@ def _vector_keys(queries: pd.DataFrame, metric: str) -> Callable:
     One matrix product finds the candidates (with a margin far above its rounding error);
     their distances are then taken from the differences, so equal vectors tie exactly.
     """
-    wanted = np.array(queries["embedding"].tolist(), dtype=np.float64)
+    wanted = np.stack(queries["embedding"].to_numpy()).astype(np.float64)
 
     def exact(have: np.ndarray, q: np.ndarray) -> np.ndarray:
         if metric == "cosine":
@@ -124,7 +124,7 @@ def _vector_keys(queries: pd.DataFrame, metric: str) -> Callable:
         return ((have - q) ** 2).sum(axis=1)
 
     def keys(chunks: pd.DataFrame, visible, k: int) -> Iterator[np.ndarray]:
-        have = np.array(chunks["embedding"].tolist(), dtype=np.float64)
+        have = np.stack(chunks["embedding"].to_numpy()).astype(np.float64)
         dots = have @ wanted.T
         sizes = (have**2).sum(axis=1)
         for i, q in enumerate(wanted):
@@ -158,7 +158,7 @@ def _fold_batches(queries: pd.DataFrame, batches: Iterator[pd.DataFrame], k: int
         return
     score = _scorer(queries, kind)
     rows = [q for _, q in queries.iterrows()]
-    kept: list[pd.DataFrame | None] = [None] * len(rows)
+    kept: list[tuple[np.ndarray, ...] | None] = [None] * len(rows)
     for chunks in batches:
         if not len(chunks):
             continue
@@ -168,14 +168,18 @@ def _fold_batches(queries: pd.DataFrame, batches: Iterator[pd.DataFrame], k: int
             if not len(at):
                 continue
             at = at[_best(key[at], ords[at], k)]
-            part = pd.DataFrame({"chunk_id": ids[at], "ord": ords[at], "key": key[at]})
+            part = (ids[at], ords[at], key[at])
             if kept[i] is not None:
-                part = pd.concat([kept[i], part], ignore_index=True)
-                part = part.iloc[_best(part["key"].to_numpy(), part["ord"].to_numpy(), k)]
+                part = tuple(np.concatenate(both) for both in zip(kept[i], part))
+                first = _best(part[2], part[1], k)
+                part = tuple(column[first] for column in part)
             kept[i] = part
-    for q, part in zip(rows, kept):
-        if part is not None:
-            yield part.assign(qid=q["qid"], variant=q["variant"])[["qid", "variant", "chunk_id", "ord", "key"]]
+    found = [i for i, part in enumerate(kept) if part is not None]
+    if found:
+        sizes = [len(kept[i][0]) for i in found]
+        own = lambda name: np.repeat([rows[i][name] for i in found], sizes)
+        chunk_id, ord_, key = (np.concatenate([kept[i][c] for i in found]) for c in range(3))
+        yield pd.DataFrame({"qid": own("qid"), "variant": own("variant"), "chunk_id": chunk_id, "ord": ord_, "key": key})
 
 
 def _top_k(queries: DataFrame, chunks: DataFrame, k: int, kind: str, question_block: int, chunk_block: int) -> DataFrame:
