@@ -141,7 +141,7 @@ def similar_links(classes: DataFrame, tables: int, max_bits: int, blocks: int =
     keyed = classes.select("k", F.explode(keys).alias("x")).select("k", "x.bucket", "x.fp")
     leads = keyed.groupBy("bucket").agg(F.min(F.struct("fp", "k")).alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     leads = leads.select("bucket", F.col("lead.k").alias("b"), F.col("lead.fp").alias("lead_fp"))
-    near = (F.col("k") != F.col("b")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("lead_fp"))) <= max_bits // 4)
+    near = (F.col("k") != F.col("b")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("lead_fp"))) <= max_bits // 5)
     pairs = keyed.join(leads, "bucket").filter(near).select(F.col("k").alias("a"), "b").distinct()
     with_a = pairs.join(classes.select(F.col("k").alias("a"), F.col("fps").alias("fa")), "a")
     both = with_a.join(classes.select(F.col("k").alias("b"), F.col("fps").alias("fb")), "b")
