@@ -47,8 +47,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         if found["n"] == 0 or (found["n"], found["h"]) == state:
             break
         state = (found["n"], found["h"])
-        stars = _small_star(_large_star(now)).distinct()
-        now = materialise(stars.coalesce(max(least_tasks, found["n"] // LINKS_PER_TASK)), name)
+        tasks = max(least_tasks, found["n"] // LINKS_PER_TASK)
+        large = materialise(_large_star(now).coalesce(tasks), name)  # read twice by the next step
+        now = materialise(_small_star(large).distinct().coalesce(tasks), name)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
         now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )
