@@ -106,3 +106,53 @@ def test_near_copies_leave_one_row(spark):
     rows += [(500, None), (501, ""), (502, "short one"), (502, "short one")]
     got = sorted(r["doc_id"] for r in simhash.keep_first(spark.createDataFrame(rows, SCHEMA)).collect())
     assert got == [*range(12), 500, 502]
+
+
+def strangers_and_pairs(n=2000, size=400, pairs=40, share=0.06):
+    """Words of pairs of near copies, and of texts that have nothing in common."""
+    rnd = random.Random(11)
+    out = []
+    for i in range(pairs):
+        words = [f"p{i}_{j}" for j in range(size)]
+        changed = list(words)
+        for at in rnd.sample(range(size), int(size * share / 3)):
+            changed[at] = "other"
+        out += [words, changed]
+    return out + [[f"s{i}_{j}" for j in range(60)] for i in range(n)]
+
+
+def near_pairs(prints, max_bits=62):
+    import numpy as np
+
+    bits = np.array(prints, np.int64).view(np.uint64)
+    return {(i, j) for i in range(len(bits)) for j in (np.flatnonzero(np.bitwise_count(bits[i + 1 :] ^ bits[i]).sum(axis=1) <= max_bits) + i + 1).tolist()}
+
+
+def test_near_copies_among_strangers_with_least_fingerprints(spark):
+    """A bucket's members are compared with each other, not with its least member only."""
+    import numpy as np
+
+    rnd = np.random.default_rng(2)
+    bits = rnd.integers(0, 2**63, (300, 6), np.uint64)
+    for i in range(0, 300, 2):  # pairs whose bits differ in 60 of 384 places, in any table
+        flips = np.zeros(6, np.uint64)
+        for at in rnd.choice(384, 60, replace=False).tolist():
+            flips[at // 64] |= np.uint64(1 << at % 64)
+        bits[i + 1] = bits[i] ^ flips
+    rows = [(i, bytearray(bits[i].tobytes()), [7]) for i in range(300)]  # one bucket of 150 strange pairs
+    frame = spark.createDataFrame(rows, "k long, bits binary, bands array<long>")
+    want = {(i, i + 1) for i in range(0, 300, 2)}
+    for tile in (4096, 37):
+        got = {(min(r), max(r)) for r in simhash.similar_links(frame, 62, tile).collect()}
+        assert got == want
+
+
+def test_recall_of_candidates_does_not_depend_on_strangers(spark):
+    """All texts within the limit fall in one group, also where single fingerprints differ in more than 12 bits."""
+    words = strangers_and_pairs()
+    prints = [simhash.text_fingerprints(" ".join(w), 5, 6) for w in words]
+    near = near_pairs(prints)
+    assert len(near) >= 20 and any(all(((prints[a][t] ^ prints[b][t]) % 2**64).bit_count() > 6 for t in range(6)) for a, b in near)
+    rows = [(i, " ".join(w)) for i, w in enumerate(words)]
+    kept = {r["doc_id"] for r in simhash.keep_first(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {i for i in range(len(rows))} - kept == {b for _, b in near}
