@@ -9,7 +9,7 @@ from ..session import materialise, within
 from .common import let, text_of, words
 
 WINDOW = 8
-#: A window must hold this many plain words; one of placeholders alone says nothing.
+#: A window with fewer plain words is searched by its literal words; one of placeholders alone says nothing.
 MIN_PLAIN = 4
 #: Share of an item's windows that must be found in line, in percent.
 MIN_SHARE = 50
@@ -18,6 +18,12 @@ MAX_SENT = 200_000
 #: Windows are first tried by their two leading words in a table of this many bits.
 GATES = 1 << 16
 
+#: Ways to read a text: names inside sentences; every capitalised word, runs folded; no names, in lower case.
+INSIDE, FOLDED, LOWER = range(3)
+READINGS = (INSIDE, FOLDED, LOWER)
+#: Hits on diagonals so many words apart are added up.
+NEARBY = 3
+
 UNITS = (
     "mm cm m km in ft yd mi mg g kg t lb oz ml l gal s sec min h hr hrs day days week weeks month months year years "
     "usd eur gbp dollar dollars euro euros cent cents percent meter meters metre metres kilometer kilometers mile miles "
@@ -31,35 +37,57 @@ _IS_UNIT = rf"(?<=<number>[\s])(?:{'|'.join(UNITS)})(?![^\s.,;:!?)\]\"'”’»
 _IS_NAME = r"\p{Lu}(?<=[^.!?:…\"'“”‘’)\]»\s]\s\p{Lu})\p{Ll}[\p{L}’'-]*"
 
 
+_ANY_NAME = r"(?<![\p{L}\p{N}])\p{Lu}[\p{L}’'-]*(?:\x01\p{Lu}[\p{L}’'-]*)*"
+_NAME_GAP = r"(?<=\p{L})\s+(?=\p{Lu})(?<=(?<![\p{L}\p{N}])\p{Lu}[\p{L}’'-]{0,40}\s{1,9})"
+_UNIT_GAP = rf"(?<=[0-9])\s+(?=(?:{'|'.join(UNITS)})(?![^\s.,;:!?)\]\"'”’»…]))"
+
+
 def _split(text: Column) -> Column:
     return words(F.translate(F.lower(text), _PUNCTUATION, ""))
 
 
-def _templated(text: Column) -> Column:
-    """Text with names, numbers and units replaced inside their words, so words stay in place."""
-    named = F.regexp_replace(text, _IS_NAME, NAME)
+def _read(text: Column, reading: int) -> Column:
+    """The text of a reading: runs that are one placeholder become one word."""
+    if reading == INSIDE:
+        return text
+    joined = let(text, lambda t: F.when(t.rlike("[0-9]"), F.regexp_replace(t, _UNIT_GAP, "\x01")).otherwise(t))
+    return F.regexp_replace(joined, _NAME_GAP, "\x01") if reading == FOLDED else F.lower(joined)
+
+
+def _templated(text: Column, reading: int) -> Column:
+    """A text read so with names, numbers and units replaced inside their words, so words stay in place."""
+    named = text if reading == LOWER else F.regexp_replace(text, _IS_NAME if reading == INSIDE else _ANY_NAME, NAME)
+    joined = rf"{_IS_NUMBER[: _IS_NUMBER.rindex('(?!')]}(?:\x01(?:{'|'.join(UNITS)}))?{_IS_NUMBER[_IS_NUMBER.rindex('(?!') :]}"
     return let(named, lambda t: F.when(
-        t.rlike("[0-9]"), F.regexp_replace(F.regexp_replace(t, _IS_NUMBER, NUMBER), _IS_UNIT, UNIT)
+        t.rlike("[0-9]"), F.regexp_replace(F.regexp_replace(t, _IS_NUMBER, NUMBER), _IS_UNIT, UNIT) if reading == INSIDE else F.regexp_replace(t, joined, NUMBER)
     ).otherwise(t))
 
 
+def _few_plain(slots: Column, size: int) -> Column:
+    """Whether a window's words are too few besides placeholders to be found by its template."""
+    return F.size(F.filter(slots, lambda x: ~x.isin(*SLOTS))) < min(MIN_PLAIN, (size + 1) / 2)
+
+
 def _gate(hashes: Column, i: Column, size: int) -> Column:
     """Number of a window's two leading words, below GATES."""
     both = hashes[i] if size == 1 else hashes[i].bitwiseXOR(F.shiftleft(hashes[i + 1], 1))
     return both.bitwiseAND(F.lit(GATES - 1)).cast("int")
 
 
-def _windows(text: Column, sizes: list[int], sieve: Column | None = None) -> Column:
-    """(at, size, gate, key, said) of every window; said holds its words where it has a placeholder.
+def _windows(text: Column, sizes: list[int], reading: int, sieve: Column | None = None) -> Column:
+    """(at, size, gate, key, said) of every window of a reading; said holds its words where it has a placeholder.
 
     Words are in lower case without punctuation; a number, a unit after a number and a
-    capitalised word inside a sentence become typed placeholders. Windows whose gate is not
-    set in the sieve (an array of booleans) are left out.
+    name of the reading become typed placeholders. A window of too few plain words is keyed
+    by its own words. Windows whose gate is not set in the sieve (an array of booleans) are
+    left out.
     """
     def searched(slots: Column, said: Column, plain: Column) -> Column:
         def of(size: int) -> Column:
             def window(hashes: Column, i: Column) -> Column:
-                key = F.xxhash64(*[hashes[i + k] for k in range(size)])
+                template = F.xxhash64(F.lit(reading), *[hashes[i + k] for k in range(size)])
+                few = ~plain & _few_plain(F.slice(slots, i + 1, size), size)
+                key = F.when(few, F.xxhash64(F.lit(reading), F.lit("said"), F.array_join(F.slice(said, i + 1, size), " "))).otherwise(template)
                 return F.struct(i.cast("int").alias("at"), F.lit(size).alias("size"), _gate(hashes, i, size).alias("gate"), key.alias("key"), F.when(
                     ~plain & F.exists(F.slice(slots, i + 1, size), lambda w: w.isin(*SLOTS)), F.slice(said, i + 1, size)
                 ).alias("said"))
@@ -80,7 +108,7 @@ def _windows(text: Column, sizes: list[int], sieve: Column | None = None) -> Col
             F.when(t["plain"], slots).otherwise(_split(t["text"])), lambda said: searched(slots, said, t["plain"])
         ))
 
-    made = let(_templated(text), lambda s: F.struct(s.alias("slots"), text.alias("text"), (s == text).alias("plain")))
+    made = let(_read(text, reading), lambda t: let(_templated(t, reading), lambda s: F.struct(s.alias("slots"), t.alias("text"), (s == t).alias("plain"))))
     return let(made, both)
 
 
@@ -93,47 +121,64 @@ def _sieve(wanted: DataFrame) -> Column:
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, min_share: int = MIN_SHARE) -> DataFrame:
     """(id, item, found, wanted, changed): every row that takes over a benchmark item.
 
-    Texts and items become templates; windows of `window` template words (the whole item
-    where it is shorter) are joined by hash. Hits of one row and item on one diagonal (place
-    in the text less place in the item) belong together. They count when at least min_share
-    percent of the item's windows are found there and the slots agree: each value in the
-    item's slots stands for one value in the text. `changed` counts slots with another
-    value: 0 for a plain copy, more for a re-parameterised question. Windows with fewer
-    than MIN_PLAIN plain words (or half of a shorter item) are not searched.
+    Texts and items become templates in each of READINGS; windows of `window` template words
+    (the whole item where it is shorter) are joined by hash. Hits of one row, item and
+    reading on one diagonal (place in the text less place in the item), or on diagonals at
+    most NEARBY words from it, belong together. They count when at least min_share percent
+    of the item's windows are found there and the slots agree: each value in the item's
+    slots stands for one value in the text. `changed` counts slots with another value: 0 for
+    a plain copy, more for a re-parameterised question. Windows with fewer than MIN_PLAIN
+    plain words (or half of a shorter item) are searched by their own words; the others
+    suffice alone where they are most of a reading's windows or names inside sentences are
+    the only ones.
 
     A null or empty text or id matches nothing; repeated rows or items match once; empty
     tables give no rows. Texts are never shuffled: a window travels as (hash, place), with
     its words only where it holds a placeholder. The benchmark's windows are sent to all
     tasks below MAX_SENT of them and else joined by shuffle with the same result.
     """
-    asked = benchmark.select(F.col(item_col).alias("item"), text_of(item_text).alias("text")).filter("item is not null").distinct()
-    asked = asked.withColumn("n_asked", F.size(_split(_templated(F.col("text"))))).filter("n_asked > 0")
-    sizes = [r["n"] for r in asked.select(F.least("n_asked", F.lit(window)).alias("n")).distinct().collect()] or [window]
-    plain_words = F.size(F.filter(F.coalesce("w.asked_slots", F.array().cast("array<string>")), lambda x: ~x.isin(*SLOTS)))
-    slots = let(_split(_templated(F.col("text"))), lambda s: F.transform("w", lambda x: F.struct(
-        x["at"].alias("item_at"), x["size"].alias("size"), x["gate"].alias("gate"), x["key"].alias("key"), x["said"].alias("asked"), F.slice(s, x["at"] + 1, x["size"]).alias("asked_slots"),
-    )))
-    wanted = asked.withColumn("w", _windows(F.col("text"), sizes)).select("item", "n_asked", F.explode(slots).alias("w")).filter(
-        (F.col("w.size") == F.least("n_asked", F.lit(window))) & (plain_words >= F.least(F.lit(MIN_PLAIN), (F.col("w.size") + 1) / 2))
-    ).select("item", "w.*")
-    wanted = materialise(wanted, "benchmark-windows")
-    total = wanted.groupBy("item").agg(F.count(F.lit(1)).alias("wanted"))
+    items = benchmark.select(F.col(item_col).alias("item"), text_of(item_text).alias("text")).filter("item is not null").distinct()
+    asked = {r: items.withColumn("slots", _split(_templated(_read(F.col("text"), r), r))).withColumn("n_asked", F.size("slots")).filter("n_asked > 0") for r in READINGS}
+    n = F.least("n_asked", F.lit(window)).alias("n")
+    sizes = {r: sorted(x["n"] for x in asked[r].select(n).distinct().collect()) or [window] for r in READINGS}
+
+    def windows_of(reading: int) -> DataFrame:
+        parts = let(F.col("slots"), lambda s: F.transform("w", lambda x: F.struct(
+            x["at"].alias("item_at"), x["size"].alias("size"), x["gate"].alias("gate"), x["key"].alias("key"), x["said"].alias("asked"), F.slice(s, x["at"] + 1, x["size"]).alias("asked_slots"),
+        )))
+        rows = asked[reading].withColumn("w", _windows(F.col("text"), sizes[reading], reading)).select("item", "n_asked", F.explode(parts).alias("w"))
+        few = sum((F.when((F.col("w.size") == k) & _few_plain(F.col("w.asked_slots"), k), 1).otherwise(0) for k in sizes[reading]), F.lit(0)) > 0
+        return rows.filter(F.col("w.size") == F.least("n_asked", F.lit(window))).select("item", F.lit(reading).alias("reading"), few.alias("few"), "w.*")
+
+    wanted = materialise(windows_of(INSIDE).union(windows_of(FOLDED)).union(windows_of(LOWER)), "benchmark-windows")
+    total = wanted.groupBy("item", "reading").agg(F.count(F.lit(1)).alias("wanted"), F.count_if(~F.col("few")).alias("wanted_plain"))
     sent = F.broadcast(wanted) if within(wanted, MAX_SENT) else wanted
 
-    said = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.explode(_windows(text_of(text_col), sizes, _sieve(wanted))).alias("w"))
+    sieve, text = _sieve(wanted), text_of(text_col)
+    every = let(sieve, lambda open_: F.concat(*[_windows(text, sizes[r], r, open_) for r in READINGS]))
+    said = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.explode(every).alias("w"))
     hits = said.select("id", "w.key", "w.size", "w.at", "w.said").join(sent, ["key", "size"])
     pairs = F.filter(F.transform("asked_slots", lambda s, k: F.struct(
         s.alias("slot"), F.get("asked", k).alias("asked"), F.get("said", k).alias("said"),
     )), lambda p: p["slot"].isin(*SLOTS))
-    hits = hits.select("id", "item", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", F.when(F.col("said").isNotNull(), pairs).alias("pairs"))
-    lines = hits.groupBy("id", "item", "shift").agg(
-        F.size(F.collect_set("item_at")).alias("found"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
-    ).join(total, "item").filter(100 * F.col("found") >= min_share * F.col("wanted"))
+    near = F.sequence(F.lit(-NEARBY), F.lit(NEARBY))
+    hits = hits.select("id", "item", "reading", "few", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", F.when(F.col("said").isNotNull(), pairs).alias("pairs"), F.explode(near).alias("off"))
+
+    def line(on: Column) -> Column:
+        found = F.collect_set(F.when(on, F.struct("item_at", "few")))
+        return F.struct(F.size(found).alias("found"), F.size(F.filter(found, lambda x: ~x["few"])).alias("plain"), F.array_distinct(F.flatten(F.collect_set(F.when(on, F.col("pairs"))))).alias("pairs"))
+
+    both = F.array(line(F.col("off") == 0), line(F.lit(True)))
+    lines = hits.groupBy("id", "item", "reading", (F.col("shift") + F.col("off")).alias("shift")).agg(both.alias("x"))
+    lines = lines.join(total, ["item", "reading"]).select("id", "item", "reading", "wanted", "wanted_plain", F.inline("x"))
+    by_template = (F.col("wanted_plain") > 0) & (100 * F.col("plain") >= min_share * F.col("wanted_plain")) & (
+        (F.col("reading") == INSIDE) | (2 * F.col("wanted_plain") >= F.col("wanted")))
+    lines = lines.filter(by_template | (100 * F.col("found") >= min_share * F.col("wanted")))
     agree = F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(p["slot"], p["asked"])))) == F.size("pairs")
     changed = F.size(F.filter("pairs", lambda p: ~p["asked"].eqNullSafe(p["said"])))
-    return lines.filter(agree).groupBy("id", "item").agg(
-        F.max("found").alias("found"), F.first("wanted").alias("wanted"), F.min(changed).alias("changed"),
-    )
+    counts = F.when(by_template, F.struct(F.col("plain").alias("found"), F.col("wanted_plain").alias("wanted"))).otherwise(F.struct("found", "wanted"))
+    best = F.max(counts)
+    return lines.filter(agree).groupBy("id", "item").agg(best["found"].alias("found"), best["wanted"].alias("wanted"), F.min(changed).alias("changed"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

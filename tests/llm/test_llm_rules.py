@@ -202,3 +202,23 @@ def test_terms_that_disclose(spark, copies):
         rows.append((100 + i, f"the common filler{same} words zanzibar jo@x.org stand here other{same}"))
     got = [(r["doc_id"], t["value"]) for r in pii.find(spark.createDataFrame(rows, DOCS)).collect() for t in r["terms"]]
     assert sorted(got) == ([] if copies else [(100 + i, "zanzibar") for i in range(3)])
+
+
+def test_questions_with_other_names_and_numbers(spark):
+    """Names that start sentences, names of two words, lower case, and items that are mostly numbers."""
+    apples = "Anna has 12 apples in her basket. Ben gives Anna 7 more apples from his garden. How many apples does Anna have in all now?"
+    train = "A train leaves the station of Boston at noon and travels 90 miles towards Denver before it turns back to Boston for the night in the depot."
+    counted = "Compute 3 4 5 6 7 8 9 10 11 12 13 14 then sum."
+    items = [(1, apples), (2, train), (3, counted)]
+    texts = [
+        apples.replace("Anna", "Maria").replace("Ben", "Tom").replace("12", "31").replace("7", "9"),
+        train.replace("Boston", "New York").replace("Denver", "Los Angeles").replace("90", "75"),
+        train.replace("90", "75").lower(),
+        f"Some words before. {counted} Some words after it.",
+        "Compute 4 5 6 7 8 9 10 11 12 13 14 15 then sum.",
+        "Anna has no time today. Ben gives a talk about apples from his garden and how many of them there are now.",
+    ]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.matches(spark.createDataFrame(list(enumerate(texts)), DOCS), bench).collect()
+    got = {(r["id"], r["item"]): r["changed"] > 0 for r in found}
+    assert {k for k in got if k[0] != 4} == {(0, 1), (1, 2), (2, 2), (3, 3)} and got[0, 1] and got[1, 2] and got[2, 2] and not got[3, 3]
