@@ -38,7 +38,7 @@ _IS_NAME = r"\p{Lu}(?<=[^.!?:…\"'“”‘’)\]»\s]\s\p{Lu})\p{Ll}[\p{L}’'
 
 
 _ANY_NAME = r"(?<![\p{L}\p{N}])\p{Lu}[\p{L}’'-]*(?:\x01\p{Lu}[\p{L}’'-]*)*"
-_NAME_GAP = r"(?<=\p{L})\s+(?=\p{Lu})(?<=(?<![\p{L}\p{N}])\p{Lu}[\p{L}’'-]{0,40}\s{1,9})"
+_NAME_GAP = r"((?<![\p{L}\p{N}])\p{Lu}[\p{L}’'-]*+)\s++(?=\p{Lu})"
 _UNIT_GAP = rf"(?<=[0-9])\s+(?=(?:{'|'.join(UNITS)})(?![^\s.,;:!?)\]\"'”’»…]))"
 
 
@@ -51,7 +51,7 @@ def _read(text: Column, reading: int) -> Column:
     if reading == INSIDE:
         return text
     joined = let(text, lambda t: F.when(t.rlike("[0-9]"), F.regexp_replace(t, _UNIT_GAP, "\x01")).otherwise(t))
-    return F.regexp_replace(joined, _NAME_GAP, "\x01") if reading == FOLDED else F.lower(joined)
+    return F.regexp_replace(joined, _NAME_GAP, "$1\x01") if reading == FOLDED else F.lower(joined)
 
 
 def _templated(text: Column, reading: int) -> Column:
