@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .divergence import MIN_DOCS, SCALE, TOP_TERMS
 from .quality_rules import BOILERPLATE, BOILERPLATE_WORDS, MENU_MARKS, SYMBOLS
 from .url_filter import RULES, SPAM_HOST
 
@@ -59,3 +60,32 @@ SELECT page_id, host, path, split_part(fit, ':', 1) AS rule,
   CASE WHEN fit IS NOT NULL THEN split_part(fit, ':', 2) WHEN address IN (SELECT address FROM listed) THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled
 """
+
+
+DIVERGENCE = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts,
+    row_number() OVER () AS place FROM documents
+), said AS (SELECT place, lang, source, unnest(ts) AS term FROM d),
+kept AS (SELECT lang, term, count(*)::BIGINT AS n FROM said GROUP BY ALL HAVING count(DISTINCT place) >= {MIN_DOCS}),
+langs AS (SELECT lang, sum(n)::BIGINT AS size, count(*)::BIGINT AS v FROM kept GROUP BY 1),
+counted AS (SELECT lang, source, term, count(*)::BIGINT AS n FROM said SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (SELECT lang, source, coalesce(size, 0) AS size, coalesce(v, 0) AS v FROM (SELECT DISTINCT lang, source FROM d)
+  LEFT JOIN (SELECT lang, source, sum(n)::BIGINT AS size FROM counted GROUP BY ALL) USING (lang, source) LEFT JOIN (SELECT lang, v FROM langs) USING (lang)),
+shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + {SCALE} * (coalesce(c.n, 0) + 1) // (g.size + g.v) AS p,
+    1 + {SCALE} * (k.n + 1) // (l.size + l.v) AS q
+  FROM groups g JOIN kept k USING (lang) JOIN langs l USING (lang) LEFT JOIN counted c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p)::BIGINT AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), both_parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM shares WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value, rank::INT AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM both_parts
+) WHERE part = 'pair' OR rank <= {TOP_TERMS}
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, gru_lm, html_blocks, oracles, pii, quality_rules, quotes, simhash, toxicity, url_filter
+from . import bpe, decontaminate, divergence, gru_lm, html_blocks, oracles, pii, quality_rules, quotes, simhash, toxicity, url_filter
 from .common import held_out, table
 
 RUNNERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +139,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(pii.spans_of_all()).alias("spans"),
     )
+
+
+@query("op12_divergence", oracles.DIVERGENCE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
