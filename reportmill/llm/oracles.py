@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .divergence import MIN_DOCS, SCALE, TOP_TERMS
+from .negatives import LEAST, MOST, NEGATIVES, POSITIVES, SCALE as VECTOR_SCALE
 from .quality_rules import BOILERPLATE, BOILERPLATE_WORDS, MENU_MARKS, SYMBOLS
 from .url_filter import RULES, SPAM_HOST
 
@@ -89,3 +90,20 @@ SELECT lang, source, part, item, value, rank::INT AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM both_parts
 ) WHERE part = 'pair' OR rank <= {TOP_TERMS}
 """
+
+
+HARD_NEGATIVES = f"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor({VECTOR_SCALE} * x::DOUBLE)::BIGINT) AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_sum(list_transform(list_zip(a.e, b.e), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+), positives AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= {POSITIVES}
+)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)::INT AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id) WHERE NOT same AND {LEAST} * positive_score <= 100 * score AND 100 * score <= {MOST} * positive_score
+QUALIFY rank <= {NEGATIVES}
+"""

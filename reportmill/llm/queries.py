@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, divergence, gru_lm, html_blocks, oracles, pii, quality_rules, quotes, simhash, toxicity, url_filter
+from . import bpe, decontaminate, divergence, gru_lm, html_blocks, language, negatives, oracles, pii, quality_rules, quotes, simhash, toxicity, url_filter
 from .common import held_out, table
 
 RUNNERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,6 +141,20 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op11_language")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    rows = language.identify(docs, ~held_out("doc_id", 3, 1))
+    return rows.select(F.col("id").alias("doc_id"), held_out("id", 3, 1).alias("held_out"), "lang_pred", "score")
+
+
 @query("op12_divergence", oracles.DIVERGENCE)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query("op13_hard_negatives", oracles.HARD_NEGATIVES)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", label)
+    return negatives.mine(rows, lambda i: i % 50 == 0)

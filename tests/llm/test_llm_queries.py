@@ -24,6 +24,9 @@ COLUMNS = {
     "op7_simhash": {"doc_id", "fingerprint", "component_id"},
     "op8_url_filter": {"page_id", "host", "path", "rule", "verdict"},
     "op9_quotation": {"conv_id", "turn", "position"},
+    "op11_language": {"doc_id", "held_out", "lang_pred", "score"},
+    "op12_divergence": {"lang", "source", "part", "item", "value", "rank"},
+    "op13_hard_negatives": {"anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"},
     "op10_pii": {"doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"},
 }
 
@@ -109,3 +112,18 @@ def test_decontamination_query_against_windows(spark):
     want = {(doc, k) for doc, text in documents() for k, asked in items if 2 * len(asked & windows(text)) >= len(asked)}
     got = {(r["doc_id"], r["item_id"]) for r in queries.RUNNERS["op5_decontamination"](spark, SF).collect()}
     assert want <= got and all(len(dict(items)[k] & windows(dict(documents())[doc])) > 0 for doc, k in got)
+
+
+def test_language_query_against_counters(spark):
+    import zlib
+
+    from test_llm_language import brute
+
+    rows = connect(SF).execute("SELECT doc_id, text, lang FROM documents").fetchall()
+    outside = lambda k: zlib.crc32(str(k).encode()) % 3 == 1
+    want = brute(rows, lambda k: not outside(k), 400)
+    got = queries.RUNNERS["op11_language"](spark, SF).collect()
+    assert len(got) == len(rows)
+    assert all(r["held_out"] == outside(r["doc_id"]) and r["lang_pred"] == want[r["doc_id"]][0] and abs(r["score"] - want[r["doc_id"]][1]) < 1e-9 for r in got)
+    tested = [(r["lang_pred"], lang) for r in got for k, _, lang in rows if k == r["doc_id"] and r["held_out"] and lang is not None]
+    assert sum(a == b for a, b in tested) >= 0.95 * len(tested)
