@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise, within
@@ -118,6 +120,91 @@ def _sieve(wanted: DataFrame) -> Column:
     return F.split(F.lit(",".join("1" if g in used else "0" for g in range(GATES))), ",").cast("array<boolean>")
 
 
+#: Words of an anchor, the longest first; bits of the filter that holds all anchors.
+ANCHORS, FILTER_BITS = (3, 2, 1), 1 << 20
+_JOIN = "\x01"
+
+
+def _run_hash(hashes: Column, i: Column, size: int) -> Column:
+    return F.xxhash64(F.lit(size), *[hashes[i + k] for k in range(size)])
+
+
+def _anchor(said: Column, slots: Column, few: Column) -> Column:
+    """(n, letters, hash) of neighbouring words of a window that every text which takes it over holds; null where none is sure.
+
+    Words that a reading leaves as they are stand in the text as they stand in the window, side
+    by side where they do so there. A window keyed by its own words holds all of them, with
+    those parted that the reading has joined. The longest anchor is taken, among equally long
+    ones that with most letters.
+    """
+    def best(words_of: Column, sure: Column) -> Column:
+        def of(size: int) -> Column:
+            places = F.when(F.size(sure) >= size, F.sequence(F.lit(0), F.size(sure) - size)).otherwise(F.array().cast("array<int>"))
+            kept = F.filter(places, lambda i: F.forall(F.slice(sure, i + 1, F.lit(size)), lambda x: F.coalesce(x, F.lit(False))))
+            listed = F.transform(kept, lambda i: F.struct(
+                F.length(F.array_join(F.slice(words_of, i + 1, F.lit(size)), "")).alias("letters"),
+                _run_hash(F.transform(words_of, lambda w: F.xxhash64(w)), i, size).alias("h"),
+            ))
+            return F.when(F.size(listed) > 0, let(F.array_max(listed), lambda b: F.struct(F.lit(size).alias("n"), b["letters"].alias("letters"), b["h"].alias("h"))))
+
+        return F.coalesce(*map(of, ANCHORS))
+
+    own = F.filter(F.flatten(F.transform(said, lambda w: F.split(w, _JOIN))), lambda w: w != "")
+    unchanged = F.zip_with(said, slots, lambda w, s: (w == s) & ~F.contains(w, F.lit(_JOIN)) & ~F.contains(w, F.lit("<")))
+    return F.when(few, best(own, F.transform(own, lambda w: F.lit(True)))).otherwise(best(said, unchanged))
+
+
+def _held(wanted: DataFrame, total: DataFrame, min_share: int) -> Callable[[Column], Column]:
+    """Whether a text may hold an anchor of one of the benchmark's windows: a Bloom filter of FILTER_BITS, sent as a constant.
+
+    Most texts hold none and need not be read in three ways. An item counts when a share of
+    its windows is found, m of them, so all but m - 1 of its windows suffice: those with the
+    longest anchors. The filter lets some texts too many through and none too few: a window
+    without an anchor lets all pass, and so does a text that holds the character by which
+    readings join words.
+    """
+    share = lambda n: F.ceil(F.col(n) * min_share / 100)
+    least = F.greatest(F.lit(1), F.when(F.col("wanted_plain") > 0, F.least(share("wanted"), share("wanted_plain"))).otherwise(share("wanted")))
+    found = wanted.withColumn("a", _anchor(F.coalesce("asked", "asked_slots"), F.col("asked_slots"), F.col("few")))
+    place = F.row_number().over(Window.partitionBy("item", "reading").orderBy(F.desc_nulls_last("a.n"), F.desc("a.letters"), "item_at"))
+    kept = found.withColumn("place", place).join(total, ["item", "reading"]).filter(F.col("place") <= F.col("wanted") - least + 1)
+    anchors = kept.select(F.coalesce("a.n", F.lit(0)).alias("n"), F.coalesce("a.h", F.lit(0)).alias("h"))
+    bit = lambda h: h.bitwiseAND(F.lit(FILTER_BITS - 1))
+    bits = anchors.select("n", F.explode(F.array(bit(F.col("h")), bit(F.shiftright("h", 32)))).alias("b"))
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("b").bitwiseAND(F.lit(63)).cast("int"))
+    cells = bits.groupBy("n", F.shiftright("b", 6).alias("cell")).agg(F.bit_or(one).alias("set")).collect()  # at most FILTER_BITS / 64 of a size
+    if any(c["n"] == 0 for c in cells):
+        return lambda text: F.lit(True)
+    table = [0] * (FILTER_BITS // 64)
+    for c in cells:
+        table[c["cell"]] |= c["set"]
+    sizes = sorted({c["n"] for c in cells}, reverse=True)
+    constant = F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")
+
+    def is_set(table: Column, b: Column) -> Column:
+        return F.call_function("shiftrightunsigned", table[F.shiftright(b, 6).cast("int")], b.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+    def held(text: Column) -> Column:
+        def any_of(table: Column, hashes: Column, size: int) -> Column:
+            def tried(i: Column) -> Column:
+                h = _run_hash(hashes, i, size)  # taken again for the second bit only where the first is set
+                return is_set(table, bit(h)) & is_set(table, bit(F.shiftright(h, 32)))
+
+            there = F.exists(F.sequence(F.lit(0), F.size(hashes) - size), tried)
+            return F.when(F.size(hashes) >= size, there).otherwise(False)
+
+        def tried(table: Column, hashes: Column) -> Column:
+            out = any_of(table, hashes, sizes[0])
+            for size in sizes[1:]:
+                out = out | any_of(table, hashes, size)
+            return out
+
+        hashes = F.transform(_split(text), lambda w: F.xxhash64(w))
+        return F.contains(text, F.lit(_JOIN)) | let(constant, lambda table: let(hashes, lambda h: tried(table, h)))
+
+    return held if sizes else lambda text: F.lit(False)
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, min_share: int = MIN_SHARE) -> DataFrame:
     """(id, item, found, wanted, changed): every row that takes over a benchmark item.
 
@@ -133,7 +220,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     the only ones.
 
     A null or empty text or id matches nothing; repeated rows or items match once; empty
-    tables give no rows. Texts are never shuffled: a window travels as (hash, place), with
+    tables give no rows. A text is read in three ways only where it holds words that a window
+    cannot be found without (`_held`). Texts are never shuffled: a window travels as (hash, place), with
     its words only where it holds a placeholder. The benchmark's windows are sent to all
     tasks below MAX_SENT of them and else joined by shuffle with the same result.
     """
@@ -155,7 +243,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     sent = F.broadcast(wanted) if within(wanted, MAX_SENT) else wanted
 
     sieve, text = _sieve(wanted), text_of(text_col)
-    every = let(sieve, lambda open_: F.concat(*[_windows(text, sizes[r], r, open_) for r in READINGS]))
+    every = F.when(_held(wanted, total, min_share)(text), let(sieve, lambda open_: F.concat(*[_windows(text, sizes[r], r, open_) for r in READINGS])))
     said = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.explode(every).alias("w"))
     hits = said.select("id", "w.key", "w.size", "w.at", "w.said").join(sent, ["key", "size"])
     pairs = F.filter(F.transform("asked_slots", lambda s, k: F.struct(
