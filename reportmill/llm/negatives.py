@@ -27,7 +27,7 @@ POSITIVES, NEGATIVES = 5, 3
 LEAST, MOST = 50, 95
 #: Components are multiplied by this and rounded down.
 SCALE = 256
-_STORED = "id bigint, row bigint, label string, v array<bigint>, asks boolean, mean array<double>, deviation array<double>"
+_STORED = "id bigint, row bigint, label string, v array<bigint>, whole int, asks boolean, mean array<double>, deviation array<double>"
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -188,7 +188,8 @@ def mine(vectors: DataFrame, anchors: Callable[[Column], Column], id_col: str =
     usable = F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & F.col(vector_col).isNotNull() & ~broken
     whole = F.transform(vector_col, lambda x: F.floor(x.cast("double") * scale))
     rows = vectors.filter(usable).select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(label_col, whole).alias("row"), F.col(label_col).cast("string").alias("label"), whole.alias("v"))
-    rows = rows.dropDuplicates().withColumn("asks", F.coalesce(anchors(F.col("id")), F.lit(False)))
+    # One part for all rows, written as data: a constant would make the search a join without a key.
+    rows = rows.dropDuplicates().withColumn("whole", F.lit(0)).withColumn("asks", F.coalesce(anchors(F.col("id")), F.lit(False)))
     stored = materialise(rows.mapInArrow(_summarised, _STORED), "negatives-segments")
     asking, searched = stored.filter("asks").drop("asks"), stored.drop("asks")
 
@@ -199,9 +200,8 @@ def mine(vectors: DataFrame, anchors: Callable[[Column], Column], id_col: str =
     best = Window.partitionBy("id", "row").orderBy(F.desc("positive_score"), "positive_id", "positive_row")
     near = materialise(near.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= positives).drop("place"), "negatives-positives")
     wanted = near.groupBy("id", "row").agg(F.collect_list("positive_score").alias("wanted"))
-    everything = F.lit(0).alias("part")
     hard = _meet(
-        asking.join(wanted, ["id", "row"]).select("*", everything), searched.select("*", everything), _negatives(negatives, least, most),
+        asking.join(wanted, ["id", "row"]).withColumn("part", F.col("whole")), searched.withColumn("part", F.col("whole")), _negatives(negatives, least, most),
         "id bigint, row bigint, positive_score bigint, negative_id bigint, negative_row bigint, negative_score bigint",
     )
     order = Window.partitionBy("id", "row", "positive_score").orderBy(F.desc("negative_score"), "negative_id", "negative_row")
