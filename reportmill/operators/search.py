@@ -1,13 +1,14 @@
 """Hybrid retrieval for many questions at once: filters, keyword and vector top-k, contexts.
 
-Questions and chunks that may meet are paired block by block: a question with a sector meets
-chunks of that sector only, one without a sector meets all. Every pair of blocks keeps the best
-k per question, and only those rows are shuffled again.
+Keywords find their chunks through the posting lists of `grams`. Vectors meet in parts: the
+exact search pairs a question with the chunks of its sector (or all), the approximate one with
+the chunks in the buckets it probes (`buckets`). A part is compared block by block; every pair
+of blocks keeps the best k per question, and only those rows are shuffled again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 from ..functions.routing import NAME_STOP, keyword_score, keywords
 from ..functions.text import ascii_lower
 from ..functions.vocab import STATEMENT_METRICS
+from .buckets import Buckets
+from .grams import containing
 
 FILTERS = ("report", "company_normalized", "year", "sector")
 QUESTION_BLOCK, CHUNK_BLOCK = 2048, 4096
@@ -61,56 +64,7 @@ def _best(order_key: np.ndarray, ord_: np.ndarray, k: int) -> np.ndarray:
     return cand[np.lexsort((ord_[cand], order_key[cand]))][:k]
 
 
-def _automaton(words: list[str]):
-    """Multi-pattern matcher where the package is there; one pass finds all words of a text."""
-    try:
-        import ahocorasick
-    except ImportError:
-        return None
-    matcher = ahocorasick.Automaton()
-    for i, word in enumerate(words):
-        if word:
-            matcher.add_word(word, i)
-    if len(matcher):
-        matcher.make_automaton()
-        return matcher
-    return None
-
-
-def _contained(texts: list[str], words: list[str], automaton) -> dict[str, np.ndarray]:
-    """Per word the texts that contain it."""
-    if automaton is None:
-        return {w: np.fromiter((w in t for t in texts), dtype=bool, count=len(texts)) for w in words}
-    table = np.zeros((len(words), len(texts)), dtype=bool)
-    for j, text in enumerate(texts):
-        for i in {i for _, i in automaton.iter(text)}:
-            table[i, j] = True
-    found = dict(zip(words, table))
-    if "" in found:
-        found[""][:] = True
-    return found
-
-
-def _keyword_keys(queries: pd.DataFrame) -> Callable:
-    """Per question the negated keyword score of each chunk; chunks without a hit are infinite."""
-    words = [[(k["word"], k["weight"]) for k in ks] for ks in queries["keywords"]]
-    ids = sorted({w for ks in words for w, _ in ks})
-    automaton = _automaton(ids)
-
-    def keys(chunks: pd.DataFrame, visible, k: int) -> Iterator[np.ndarray]:
-        texts = chunks["folded"].tolist()
-        hit = _contained(texts, ids, automaton)
-        for i, ks in enumerate(words):
-            score = np.zeros(len(texts))
-            for w, weight in ks:
-                score += np.where(hit[w], weight, 0.0)
-            mask = visible(i)
-            yield np.where((score > 0) if mask is None else (score > 0) & mask, -score, np.inf)
-
-    return keys
-
-
-def _vector_keys(queries: pd.DataFrame, metric: str) -> Callable:
+def _vector_keys(queries: pd.DataFrame, metric: str):
     """Per question the distance of each chunk that can be among its k nearest, else infinite.
 
     One matrix product finds the candidates (with a margin far above its rounding error);
@@ -145,18 +99,14 @@ def _vector_keys(queries: pd.DataFrame, metric: str) -> Callable:
     return keys
 
 
-def _scorer(queries: pd.DataFrame, kind: str):
-    return _keyword_keys(queries) if kind == "keyword" else _vector_keys(queries, kind)
-
-
 _OUT = "qid BIGINT, variant INT, chunk_id STRING, ord BIGINT, key DOUBLE"
 
 
-def _fold_batches(queries: pd.DataFrame, batches: Iterator[pd.DataFrame], k: int, kind: str) -> Iterator[pd.DataFrame]:
+def _fold_batches(queries: pd.DataFrame, batches: Iterator[pd.DataFrame], k: int, metric: str) -> Iterator[pd.DataFrame]:
     """Best k per question over a stream of chunk batches; state is k rows per question."""
     if not len(queries):
         return
-    score = _scorer(queries, kind)
+    score = _vector_keys(queries, metric)
     rows = [q for _, q in queries.iterrows()]
     kept: list[tuple[np.ndarray, ...] | None] = [None] * len(rows)
     for chunks in batches:
@@ -182,16 +132,19 @@ def _fold_batches(queries: pd.DataFrame, batches: Iterator[pd.DataFrame], k: int
         yield pd.DataFrame({"qid": own("qid"), "variant": own("variant"), "chunk_id": chunk_id, "ord": ord_, "key": key})
 
 
-def _top_k(queries: DataFrame, chunks: DataFrame, k: int, kind: str, question_block: int, chunk_block: int) -> DataFrame:
-    payload = "keywords" if kind == "keyword" else "embedding"
-    content = "folded" if kind == "keyword" else "embedding"
-    q = queries.select("qid", "variant", F.col(payload).alias(payload), "f_report", "f_company", "f_years", "f_sector")
-    c = chunks.select("chunk_id", "ord", content, *FILTERS)
-    # A part is a sector, or everything for questions without one; blocks are sized within it.
-    part = F.coalesce(F.nullif("f_sector", F.lit("")), F.lit("*"))
-    q = q.withColumn("part", part)
+def _sector_parts(questions: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A part is a sector, or everything for questions without one."""
+    own = F.coalesce(F.nullif("f_sector", F.lit("")), F.lit("*"))
+    of_chunk = F.explode(F.array_distinct(F.array(F.coalesce("sector", F.lit("-")), F.lit("*"))))
+    return questions.withColumn("part", own), chunks.withColumn("part", of_chunk)
+
+
+def _top_k(questions: DataFrame, chunks: DataFrame, k: int, metric: str, question_block: int, chunk_block: int) -> DataFrame:
+    """Best k chunks per question of the parts they share; a chunk that is met in several parts counts once."""
+    q = questions.select("qid", "variant", "embedding", "f_report", "f_company", "f_years", "f_sector", "part")
     asked = q.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / question_block).alias("n_q"))
-    c = c.withColumn("part", F.explode(F.array_distinct(F.array(F.coalesce("sector", F.lit("-")), F.lit("*"))))).join(asked, "part")
+    # Columns of its own, since questions and chunks may come from one table.
+    c = chunks.select(*[F.col(n).alias(n) for n in ("chunk_id", "ord", "embedding", *FILTERS, "part")]).join(asked, "part")
     parts = c.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / chunk_block).alias("n_c"), F.first("n_q").alias("n_q"))
     block = lambda key, n: F.pmod(F.xxhash64(*key), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
@@ -199,12 +152,13 @@ def _top_k(queries: DataFrame, chunks: DataFrame, k: int, kind: str, question_bl
     cs = c.drop("n_q").join(parts, "part").withColumn("cb", block(("chunk_id",), "n_c")).withColumn("qb", every("n_q")).drop("n_q", "n_c")
 
     def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = list(_fold_batches(left, iter([right]), k, kind))
+        out = list(_fold_batches(left, iter([right]), k, metric))
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=["qid", "variant", "chunk_id", "ord", "key"])
 
-    parts = qs.groupBy("part", "qb", "cb").cogroup(cs.groupBy("part", "qb", "cb")).applyInPandas(pair, _OUT)
+    found = qs.groupBy("part", "qb", "cb").cogroup(cs.groupBy("part", "qb", "cb")).applyInPandas(pair, _OUT)
+    found = found.groupBy("qid", "variant", "chunk_id").agg(F.min("ord").alias("ord"), F.min("key").alias("key"))
     best = Window.partitionBy("qid", "variant").orderBy("key", "ord")
-    return parts.withColumn("_rn", F.row_number().over(best)).filter(F.col("_rn") <= k).withColumnRenamed("_rn", "rank")
+    return found.withColumn("_rn", F.row_number().over(best)).filter(F.col("_rn") <= k).withColumnRenamed("_rn", "rank")
 
 
 def prepare_questions(questions: DataFrame) -> DataFrame:
@@ -218,18 +172,49 @@ def prepare_questions(questions: DataFrame) -> DataFrame:
     )
 
 
-def keyword_top_k(prepared: DataFrame, chunks: DataFrame, k: int = TOP_K, question_block: int = QUESTION_BLOCK, chunk_block: int = CHUNK_BLOCK) -> DataFrame:
-    """(qid, chunk_id, ord, score, rank): best keyword scores, corpus order among equals."""
-    q = prepared.filter(F.size("keywords") > 0).withColumn("variant", F.lit(0))
-    c = chunks.withColumn("folded", ascii_lower(F.col("text")))
-    hits = _top_k(q, c, k, "keyword", question_block, chunk_block)
-    return hits.select("qid", "chunk_id", "ord", (-F.col("key")).alias("score"), "rank")
+def keyword_top_k(prepared: DataFrame, chunks: DataFrame, k: int = TOP_K, postings: DataFrame | None = None) -> DataFrame:
+    """(qid, chunk_id, ord, score, rank): best keyword scores, corpus order among equals.
+
+    A question meets only chunks that hold one of its words: postings give the candidates of a
+    word, its text decides. `postings` is a stored `grams.postings` of the chunks; without it
+    the ones that are needed are taken from the texts. Rows are the hits of a question's words,
+    so a word that most chunks hold costs as many rows; a hot word's join is split by Spark.
+    """
+    asked = prepared.select("qid", "f_report", "f_company", "f_years", "f_sector", F.explode("keywords").alias("k"))
+    asked = asked.select("qid", "f_report", "f_company", "f_years", "f_sector", "k.word", "k.weight")
+    texts = chunks.select("chunk_id", "ord", ascii_lower(F.col("text")).alias("folded"), *FILTERS)
+    hits = containing(asked.select("word"), texts, postings)
+    test = lambda wanted, has: (F.coalesce(wanted, F.lit("")) == "") | F.coalesce(F.col(has) == F.col(wanted), F.lit(False))
+    years = F.coalesce(F.size("f_years"), F.lit(0)) <= 0
+    seen = (
+        test("f_report", "report") & test("f_company", "company_normalized") & test("f_sector", "sector")
+        & (years | F.coalesce(F.array_contains("f_years", F.col("year")), F.lit(False)))
+    )
+    scores = hits.drop("folded").join(asked, "word").filter(seen).groupBy("qid", "chunk_id").agg(F.min("ord").alias("ord"), F.sum("weight").alias("score"))
+    best = Window.partitionBy("qid").orderBy(F.desc("score"), "ord")
+    return scores.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
 def vector_top_k(vectors: DataFrame, chunks: DataFrame, k: int = TOP_K, metric: str = "l2", question_block: int = QUESTION_BLOCK, chunk_block: int = CHUNK_BLOCK) -> DataFrame:
     """(qid, variant, chunk_id, ord, distance, rank) for question vectors (qid, variant,
-    embedding and filter columns) over chunks with a vector. Metric: squared l2 or cosine."""
-    hits = _top_k(vectors, chunks.filter(F.col("embedding").isNotNull()), k, metric, question_block, chunk_block)
+    embedding and filter columns) over chunks with a vector. Metric: squared l2 or cosine.
+
+    Exact: a question is compared with every chunk of its sector.
+    """
+    hits = _top_k(*_sector_parts(vectors, chunks.filter(F.col("embedding").isNotNull())), k, metric, question_block, chunk_block)
+    return hits.withColumnRenamed("key", "distance")
+
+
+def near_vectors(vectors: DataFrame, chunks: DataFrame, index: Buckets, k: int = TOP_K, metric: str = "l2", question_block: int = QUESTION_BLOCK, chunk_block: int = CHUNK_BLOCK) -> DataFrame:
+    """`vector_top_k` over the chunks that share a bucket with the question: approximate, with exact distances.
+
+    Every chunk is in one bucket of each band and every question probes several buckets of
+    each; the two meet by an equi-join on (sector, band, bucket). The index says how many
+    probes its sample needed for the recall that was asked for.
+    """
+    q, c = _sector_parts(vectors, chunks.filter(F.col("embedding").isNotNull()))
+    both = lambda df, buckets: df.withColumn("bucket", F.explode(buckets)).withColumn("part", F.xxhash64("part", "bucket"))
+    hits = _top_k(both(q, index.probed(F.col("embedding"))), both(c, index.own(F.col("embedding"))), k, metric, question_block, chunk_block)
     return hits.withColumnRenamed("key", "distance")
 
 
@@ -238,14 +223,14 @@ def best_distance(hits: DataFrame) -> DataFrame:
     return hits.groupBy("qid", "chunk_id").agg(F.min("distance").alias("distance"), F.min("ord").alias("ord"))
 
 
-def hybrid_rank(prepared: DataFrame, chunks: DataFrame, nearest: DataFrame, k: int = TOP_K, question_block: int = QUESTION_BLOCK, chunk_block: int = CHUNK_BLOCK) -> DataFrame:
+def hybrid_rank(prepared: DataFrame, chunks: DataFrame, nearest: DataFrame, k: int = TOP_K, postings: DataFrame | None = None) -> DataFrame:
     """Keyword hits by score, then distance, then corpus order; the rest filled by distance.
 
     `nearest` is (qid, chunk_id, ord, distance). A chunk without distance that ranks among
     the first k also ranks among the first k by (score, order) alone, so the keyword top-k
     plus the scored neighbours hold every candidate.
     """
-    by_words = keyword_top_k(prepared, chunks, k, question_block, chunk_block).select("qid", "chunk_id", "ord", "score")
+    by_words = keyword_top_k(prepared, chunks, k, postings).select("qid", "chunk_id", "ord", "score")
     scored = (
         nearest.join(chunks.select("chunk_id", "text"), "chunk_id")
         .join(prepared.select("qid", "keywords"), "qid")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import routing as QR
 from ..functions.text import ascii_lower, halved_if_doubled
 from ..operators import search as R
+from ..operators.buckets import fit
 from ..operators.corpus import chunk_words
 from . import inputs as I
 from .catalog import cte, query
@@ -253,6 +254,33 @@ def _(spark, d):
 )
 def _(spark, d):
     """Every vector asks for its nearest neighbours of the same label."""
+    # One more than wanted, since the vector itself is among its neighbours.
+    near = R.vector_top_k(*labelled_vectors(spark, d), 4, "cosine").filter(F.col("chunk_id") != F.concat(F.lit("v"), F.col("qid").cast("string")))
+    own = F.row_number().over(R.Window.partitionBy("qid").orderBy("rank"))
+    return near.withColumn("rank", own).filter("rank <= 3").select("qid", "chunk_id", F.round("distance", 6).alias("distance"), "rank")
+
+
+RECALL = 0.9
+
+
+@query(
+    "r10_probed_recall",
+    "SELECT CAST(label AS VARCHAR) AS sector, count(*) AS questions, sum(n) AS wanted, TRUE AS reached FROM (SELECT label, least(4, count(*) OVER (PARTITION BY label)) AS n FROM embeddings) GROUP BY 1",
+)
+def _(spark, d):
+    """The approximate search over the same vectors: does it find its share of the exact neighbours, label by label?"""
+    vectors, chunks = labelled_vectors(spark, d)
+    index = fit(chunks, 4, "cosine")
+    wanted = R.vector_top_k(vectors, chunks, 4, "cosine").select("qid", "chunk_id")
+    got = R.near_vectors(vectors, chunks, index, 4, "cosine").select("qid", "chunk_id", F.lit(1).alias("hit"))
+    rows = wanted.join(got, ["qid", "chunk_id"], "left").join(vectors.select("qid", F.col("f_sector").alias("sector")), "qid")
+    rows = rows.groupBy("sector", "qid").agg(F.count("*").alias("wanted"), F.count("hit").alias("found"))
+    found = rows.groupBy("sector").agg(F.count("*").alias("questions"), F.sum("wanted").alias("wanted"), F.sum("found").alias("found"))
+    return found.select("sector", "questions", "wanted", (F.col("found") >= RECALL * F.col("wanted")).alias("reached"))
+
+
+def labelled_vectors(spark, d):
+    """(question vectors, chunks): all vectors, whose label is their sector."""
     e = I.table(spark, d, "embeddings")
     none = F.lit(None).cast("string")
     label = F.col("label").cast("string")
@@ -264,10 +292,7 @@ def _(spark, d):
         F.col("vec_id").alias("qid"), F.lit(0).alias("variant"), "embedding", none.alias("f_report"), none.alias("f_company"),
         F.lit(None).cast("array<string>").alias("f_years"), label.alias("f_sector"),
     )
-    # One more than wanted, since the vector itself is among its neighbours.
-    near = R.vector_top_k(vectors, chunks, 4, "cosine").filter(F.col("chunk_id") != F.concat(F.lit("v"), F.col("qid").cast("string")))
-    own = F.row_number().over(R.Window.partitionBy("qid").orderBy("rank"))
-    return near.withColumn("rank", own).filter("rank <= 3").select("qid", "chunk_id", F.round("distance", 6).alias("distance"), "rank")
+    return vectors, chunks
 
 
 @query("r11_hybrid_rank", "SELECT qid, chunk_id, round(score, 6) AS score, round(distance, 6) AS distance, rank FROM ranked", uses=("ranked",))
