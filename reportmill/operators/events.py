@@ -8,12 +8,13 @@ to their limit by a ranked filter before anything is collected.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.clients import browser_of, device_of, is_private, keyed_hash, normalise_ip, system_of
 from ..functions.text import let, strip
 from ..session import beside, materialise
+from ..sources.runs import RunTable, folded
 
 # Event types that are kept.
 EVENT_TYPES = (
@@ -117,12 +118,15 @@ def _latest(name: str) -> Column:
     return F.max_by(value, F.when(value.isNotNull(), F.struct(F.col("ts"), -F.col("seq"))))
 
 
-def visitors(events: DataFrame) -> DataFrame:
-    """One row per address hash: counts per type, span, latest attributes, logins, latencies.
+VISITOR_KEYS = ["day", "ip_hash", "company", "session"]
 
-    Events fold to (address, company) first and those rows to the address, so explored
-    companies are counted without an expansion per distinct count and a busy address is
-    merged from few rows. "Latest" is the greatest (ts, -seq, value) of non-blank values.
+
+def visitor_parts(events: DataFrame) -> DataFrame:
+    """Partial sums of `visitors` per (day, address, company, login session): one pass over the log.
+
+    Counts add up, spans and dated values merge by min and max, so parts of any days, and
+    parts of one day that came in pieces, make the same visitors in any order. A dated value
+    is (ts, -seq, value); the greatest is the latest, among equal times the first written.
     """
     df = events.filter(_blank("ip_hash") != "")
     kind = F.col("event_type")
@@ -134,7 +138,8 @@ def visitors(events: DataFrame) -> DataFrame:
         return F.when(value.isNotNull(), F.struct(F.col("ts").alias("t"), (F.col("seq") * sign).alias("s"), value.alias("v")))
 
     marked = F.when(F.col("role").isin("demo", "admin"), F.col("role"))
-    parts = df.groupBy("ip_hash", some("meta.company").alias("company")).agg(
+    session = F.when(login, F.coalesce(some("meta.session"), F.col("ts").cast("string")))
+    return df.groupBy(F.to_date("ts").alias("day"), "ip_hash", some("meta.company").alias("company"), session.alias("session")).agg(
         F.min("ts").alias("first_seen"),
         F.max("ts").alias("last_seen"),
         *[F.max(dated(some(a))).alias(a) for a in ATTRIBUTES],
@@ -148,24 +153,45 @@ def visitors(events: DataFrame) -> DataFrame:
         F.count(latency).alias("_timed"),
         F.max(latency).alias("_max_ms"),
     )
-    total = lambda c: F.sum(c).alias(c)
-    base = parts.groupBy("ip_hash").agg(
-        F.min("first_seen").alias("first_seen"),
-        F.max("last_seen").alias("last_seen"),
-        *[F.max(a)["v"].alias(a) for a in ATTRIBUTES],
-        F.coalesce(F.max("_marked")["v"], F.min("_first_role")["v"]).alias("role"),
-        *[total(t) for t in EVENT_TYPES],
-        total("total_events"),
-        F.count("company").alias("companies_explored"),
-        total("logins_ok"),
-        total("logins_fail"),
-        F.floor(F.try_divide(F.sum("_ms"), F.sum("_timed"))).cast("bigint").alias("avg_latency_ms"),
-        F.floor(F.max("_max_ms")).cast("bigint").alias("max_latency_ms"),
-    )
-    sessions = (
-        df.filter(login).select("ip_hash", F.coalesce(some("meta.session"), F.col("ts").cast("string")).alias("v")).distinct()
-        .groupBy("ip_hash").agg(F.count(F.lit(1)).alias("sessions"))
-    )
+
+
+def _how(column: str) -> str:
+    """The aggregate that merges two partial values of a column of `visitor_parts`."""
+    if column in ("first_seen", "_first_role"):
+        return "min"
+    return "max" if column in ("last_seen", "_marked", "_max_ms", *ATTRIBUTES) else "sum"
+
+
+def _merge_parts(parts: DataFrame, *keys: str) -> DataFrame:
+    rest = [c for c in parts.columns if c not in VISITOR_KEYS]
+    return parts.groupBy(*keys).agg(*[F.call_function(_how(c), F.col(c)).alias(c) for c in rest])
+
+
+def visitor_table(spark: SparkSession, path: str, parts: DataFrame) -> RunTable:
+    """Where parts are kept: `add(visitor_parts(events), number)` takes in a day or a piece of one."""
+    rest = [c for c in parts.columns if c not in VISITOR_KEYS]
+    return RunTable(spark, path, parts.schema, folded(VISITOR_KEYS, **{c: _how(c) for c in rest}), "ip_hash")
+
+
+def visitors_of(parts: DataFrame) -> DataFrame:
+    """One row per address hash of `visitor_parts`: counts per type, span, latest attributes, logins, latencies.
+
+    Parts fold to (address, company) first and those rows to the address, so explored
+    companies are counted without an expansion per distinct count and a busy address is
+    merged from few rows.
+    """
+    by_company = _merge_parts(parts, "ip_hash", "company").withColumn("companies_explored", F.col("company").isNotNull().cast("bigint"))
+    whole = by_company.drop("company")
+    merged = whole.groupBy("ip_hash").agg(*[F.call_function(_how(c), F.col(c)).alias(c) for c in whole.columns if c != "ip_hash"])
+    base = merged.select(
+        "ip_hash", "first_seen", "last_seen",
+        *[F.col(a)["v"].alias(a) for a in ATTRIBUTES],
+        F.coalesce(F.col("_marked")["v"], F.col("_first_role")["v"]).alias("role"),
+        *EVENT_TYPES, "total_events", "companies_explored", "logins_ok", "logins_fail",
+        F.floor(F.try_divide("_ms", "_timed")).cast("bigint").alias("avg_latency_ms"),
+        F.floor("_max_ms").cast("bigint").alias("max_latency_ms"),
+    )
+    sessions = parts.filter("session is not null").select("ip_hash", "session").distinct().groupBy("ip_hash").agg(F.count(F.lit(1)).alias("sessions"))
     return base.join(sessions, "ip_hash", "left").select(
         "ip_hash",
         *[_blank(a).alias(a) for a in ATTRIBUTES[:5]],
@@ -188,6 +214,11 @@ def visitors(events: DataFrame) -> DataFrame:
     )
 
 
+def visitors(events: DataFrame) -> DataFrame:
+    """`visitors_of` a whole log, which is read once: its parts are written and read again."""
+    return visitors_of(materialise(visitor_parts(events), "visitor-parts"))
+
+
 VISITOR_ORDERS = {
     "recent": "last_seen", "questions": "questions", "failures": "logins_fail", "events": "total_events",
 }

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.clients import browser_of, device_of, is_private_ip, keyed_hash, normalise_ip, system_of
 from ..operators import events as A
+from ..operators import sketches as K
+from ..session import scratch_path
 from . import inputs as I
 from .catalog import query
 
@@ -86,6 +88,20 @@ def _(spark, d):
     return with_ts_text(visitor_rows(spark, d), "first_seen", "last_seen")
 
 
+@query("a07_visitors_day_by_day", _VISITOR_OUT, uses=EV)
+def _(spark, d):
+    """The log comes in pieces, newest first and some days twice; each piece adds its parts only."""
+    log = I.event_log(spark, d)
+    stored = A.visitor_table(spark, scratch_path(spark, "visitor-days"), A.visitor_parts(log))
+    stored.fan = 2
+    pieces = (("2024-01-21", "2024-12-31"), ("2000-01-01", "2024-01-07"), ("2024-01-14", "2024-01-21"), ("2024-01-07", "2024-01-14"))
+    for number, (first, last) in enumerate(pieces):
+        days = log.filter((F.col("ts") >= F.lit(first).cast("timestamp")) & (F.col("ts") < F.lit(last).cast("timestamp")))
+        for half in (0, 1):
+            stored.add(A.visitor_parts(days.filter(F.pmod("seq", F.lit(2)) == half)), 2 * number + half)
+    return with_ts_text(A.visitors_of(stored.read()), "first_seen", "last_seen")
+
+
 @query("a08_newest_visitors", f"{_VISITOR_OUT} ORDER BY last_seen DESC, ip_hash LIMIT 50", uses=EV)
 def _(spark, d):
     return with_ts_text(A.newest_visitors(visitor_rows(spark, d), 50), "first_seen", "last_seen")
@@ -138,6 +154,20 @@ def _(spark, d):
     return A.device_mix(I.event_log(spark, d))
 
 
+@query(
+    "a10_sketched_visitors",
+    "SELECT event_type, count(DISTINCT ip_hash) AS visitors, TRUE AS within FROM ev WHERE event_type IN ('visit', 'chat_message', 'login_attempt') GROUP BY 1",
+    uses=EV,
+)
+def _(spark, d):
+    """Distinct addresses from merged daily sketches, held against the exact counts."""
+    log = I.event_log(spark, d).filter(F.col("event_type").isin("visit", "chat_message", "login_attempt"))
+    exact = log.select("event_type", "ip_hash").distinct().groupBy("event_type").agg(F.count("ip_hash").alias("visitors"))
+    told = K.visitor_estimates(K.merged(K.daily_sketches(log), "event_type")).select("event_type", F.col("visitors").alias("about"))
+    close = F.abs(F.col("about") - F.col("visitors")) <= K.VISITOR_ERROR * F.col("visitors") + 1
+    return exact.join(told, "event_type").select("event_type", "visitors", close.alias("within"))
+
+
 def _spine(days: int) -> str:
     return f"(SELECT CAST(unnest(generate_series(DATE '2024-01-31' - {days - 1}, DATE '2024-01-31', INTERVAL 1 DAY)) AS DATE) AS date)"
 
@@ -199,6 +229,25 @@ def _(spark, d):
     return A.chat_stats(I.event_log(spark, d))
 
 
+@query(
+    "a13_sketched_latency",
+    "SELECT unnest([0.5, 0.95])::DOUBLE AS share, n, TRUE AS within FROM (SELECT count(latency_ms) AS n FROM ev WHERE event_type = 'chat_message' AND latency_ms >= 0)",
+    uses=EV,
+)
+def _(spark, d):
+    """Latency percentiles from merged daily sketches: their ranks among the exact values."""
+    log = I.event_log(spark, d).filter("event_type = 'chat_message'")
+    told = K.latency_quantiles(K.merged(K.daily_sketches(log), "event_type"), (0.5, 0.95))
+    values = log.select(F.col("meta.latency_ms").alias("v")).filter("v >= 0")
+    out = []
+    for share in (0.5, 0.95):
+        rows = values.withColumn("q", told.filter(F.col("share") == share).select("value").scalar())
+        ranks = rows.agg(F.count("v").alias("n"), F.count_if(F.col("v") < F.col("q")).alias("below"), F.count_if(F.col("v") <= F.col("q")).alias("upto"))
+        wanted, slack = share * F.col("n"), K.RANK_ERROR * F.col("n") + 1
+        out.append(ranks.select(F.lit(share).alias("share"), "n", ((F.col("below") - slack <= wanted) & (wanted <= F.col("upto") + slack)).alias("within")))
+    return out[0].unionByName(out[1])
+
+
 for _field, _kind, _limit in (("company", "chat_message", 40), ("year", "chat_message", 20), ("sector", "chat_message", 20), ("report", "chat_message", 20)):
 
     @query(
@@ -210,6 +259,17 @@ for _field, _kind, _limit in (("company", "chat_message", 40), ("year", "chat_me
         return A.top_values(I.event_log(spark, d), _kind, _field, _limit)
 
 
+@query(
+    "a14_sketched_top_company",
+    """SELECT company AS value, count(*) AS "count" FROM ev WHERE event_type = 'chat_message' AND company IS NOT NULL GROUP BY 1 ORDER BY "count" DESC, value LIMIT 40""",
+    uses=EV,
+)
+def _(spark, d):
+    """Frequent companies from merged daily sketches: exact while a sketch holds all values."""
+    log = I.event_log(spark, d).filter("event_type = 'chat_message'")
+    return K.top_values(K.merged(K.daily_sketches(log), "event_type"), "company", 40).select("value", "count")
+
+
 @query(
     "a15_recent_questions",
     f"""SELECT seq, {TS.format('ts')} AS ts, coalesce(ip, '') AS ip, coalesce(ip_hash, '') AS ip_hash, {LABEL} AS location, coalesce(country_code, '') AS country_code, device, coalesce(role, '') AS role,
