@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.html import absolute, anchors, attribute, blocks, cells, links, table_rows, text_of
 from ..functions.text import company_key, let, sector_key
-from ..session import beside
+from ..session import beside, write_counted
 from ..sources.files import DONE_STATUSES, MANIFEST_COLUMNS
 from .warehouse import best_row
 
@@ -241,16 +241,29 @@ def manifest_counts(manifest: DataFrame) -> DataFrame:
     )
 
 
+def _run_counts() -> dict[str, dict[str, Column]]:
+    """Per output of a run what its summary counts."""
+    status = F.col("download_status")
+    return {
+        "companies": {"companies_found": F.count(F.lit(1))},
+        "documents": {"reports_found": F.count_if(F.col("document_type") == DOCUMENT_TYPES[0])},
+        "selected": {"reports_selected": F.count(F.lit(1))},
+        "manifest": {
+            "downloaded": F.count_if(status == "downloaded"), "already_existing": F.count_if(status == "skipped"),
+            "failed": F.count_if(status.isin("failed", "invalid_pdf")),
+        },
+    }
+
+
 def run_summary(emitter_rows: DataFrame, documents: DataFrame, selected: DataFrame, manifest: DataFrame) -> DataFrame:
     """One row: companies found, reports found / selected, downloads by outcome."""
-    parts = [
-        emitter_rows.agg(F.count(F.lit(1)).alias("companies_found")),
-        documents.agg(F.count_if(F.col("document_type") == DOCUMENT_TYPES[0]).alias("reports_found")),
-        selected.agg(F.count(F.lit(1)).alias("reports_selected")),
-        manifest.agg(
-            F.count_if(F.col("download_status") == "downloaded").alias("downloaded"),
-            F.count_if(F.col("download_status") == "skipped").alias("already_existing"),
-            F.count_if(F.col("download_status").isin("failed", "invalid_pdf")).alias("failed"),
-        ),
-    ]
-    return beside(*parts)
+    outputs = (emitter_rows, documents, selected, manifest)
+    return beside(*[df.agg(*[c.alias(n) for n, c in counts.items()]) for df, counts in zip(outputs, _run_counts().values(), strict=True)])
+
+
+def write_run(folder: str, emitter_rows: DataFrame, documents: DataFrame, selected: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Write the four outputs of a run; its summary is observed while they are written, so nothing is read again."""
+    told: dict[str, int] = {}
+    for df, (name, counts) in zip((emitter_rows, documents, selected, manifest), _run_counts().items(), strict=True):
+        told |= write_counted(df, f"{folder}/{name}", **counts)
+    return manifest.sparkSession.createDataFrame([tuple(told.values())], ", ".join(f"{n} bigint" for n in told))

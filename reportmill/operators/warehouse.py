@@ -6,12 +6,14 @@ the map side, so a key that holds a large share of the rows shrinks before the s
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.checks import balance_check, income_check, revenue_or_banking
 from ..functions.text import slug, strip
 from ..functions.vocab import METRICS, STATEMENT_METRICS
+from ..session import write_counted
+from ..sources.bucketed import BucketTable
 
 FACT_POSITION = ("page", "table_no", "row_index", "col_index")
 WORK_STATUSES = ("pending", "partial", "failed")
@@ -232,6 +234,16 @@ def upsert_facts(old: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
+def fact_table(spark: SparkSession, path: str, facts: DataFrame) -> BucketTable:
+    """Facts in buckets by their key, for upserts that leave untouched buckets alone."""
+    return BucketTable(spark, path, facts.schema, FACT_KEY)
+
+
+def upsert_stored_facts(table: BucketTable, new: DataFrame) -> None:
+    """`upsert_facts` into a stored table: of new rows of one key the most confident counts."""
+    table.merge(best_row(new, FACT_KEY, F.struct("confidence")), FACT_UPDATES, lambda old, fresh: fresh > old, "confidence")
+
+
 def insert_absent(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Old rows as they are, plus new rows whose key is unknown."""
     return old.unionByName(new.join(old.select(*keys), keys, "left_anti"))
@@ -286,13 +298,23 @@ def work_list(
     return df.limit(limit) if limit else df
 
 
-def run_stats(jobs: DataFrame) -> DataFrame:
+def _stat_columns() -> dict[str, Column]:
     status = F.col("extraction_status")
-    return jobs.agg(
-        F.count_if(status.isin("completed", "partial")).alias("n_ok"),
-        F.count_if(status == "ocr_required").alias("n_ocr"),
-        F.count_if(~status.isin("completed", "partial", "ocr_required")).alias("n_failed"),
-    )
+    return {
+        "n_ok": F.count_if(status.isin("completed", "partial")),
+        "n_ocr": F.count_if(status == "ocr_required"),
+        "n_failed": F.count_if(~status.isin("completed", "partial", "ocr_required")),
+    }
+
+
+def run_stats(jobs: DataFrame) -> DataFrame:
+    return jobs.agg(*[c.alias(n) for n, c in _stat_columns().items()])
+
+
+def write_jobs(path: str, jobs: DataFrame) -> DataFrame:
+    """Write extraction jobs; their `run_stats` are observed in the same pass."""
+    told = write_counted(jobs, path, **_stat_columns())
+    return jobs.sparkSession.createDataFrame([tuple(told.values())], ", ".join(f"{n} bigint" for n in told))
 
 
 def error_rows(reports: DataFrame, error_type: str = "FileNotFound") -> DataFrame:

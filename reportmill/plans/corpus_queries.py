@@ -9,8 +9,9 @@ from ..operators import corpus as C
 from ..operators import harvest as H
 from ..session import scratch_path
 from ..sources import files as S
+from ..sources.bucketed import BucketTable
 from . import inputs as I
-from .catalog import cte, query
+from .catalog import ORACLES, cte, query
 
 BASE = "https://www.example.com"
 WS_SQL = "[\\s\\x0b\\x1c-\\x1f\\x85\\xa0]+"
@@ -182,9 +183,25 @@ def _(spark, d):
     chunks = C.chunk_pages(document_pages(spark, d)).select(
         F.concat_ws("::", "report", F.col("id").cast("string")).alias("chunk_id"), "page", "text"
     )
+    return C.upsert_by_key(*_chunk_versions(chunks), ["chunk_id"])
+
+
+def _chunk_versions(chunks):
     old = chunks.filter(F.col("page") % 2 == 0).drop("page")
     new = chunks.filter(F.col("page") % 3 == 0).select("chunk_id", F.concat(F.lit("new: "), "text").alias("text"))
-    return C.upsert_by_key(old, new, ["chunk_id"])
+    return old, new
+
+
+@query("c12_upsert_stored_chunks", ORACLES["c12_upsert_chunks"])
+def _(spark, d):
+    chunks = C.chunk_pages(document_pages(spark, d)).select(
+        F.concat_ws("::", "report", F.col("id").cast("string")).alias("chunk_id"), "page", "text"
+    )
+    old, new = _chunk_versions(chunks)
+    table = BucketTable(spark, scratch_path(spark, "chunks"), old.schema, ["chunk_id"])
+    table.create(old)
+    table.replace(new)
+    return table.read()
 
 
 STATS_SQL = """SELECT report AS stem, CAST(max(page) AS INTEGER) AS pages, 0 AS csv_rows, count(*) AS chunks FROM doc_chunks GROUP BY 1
@@ -444,10 +461,21 @@ cte(
     uses=("manifest",),
 )
 def _(spark, d):
-    full = manifest(spark, d)
+    return H.upsert_manifest(*_manifest_versions(manifest(spark, d))).select("report_id", "download_status")
+
+
+def _manifest_versions(full):
     number = F.col("company_id").cast("int")
-    new = full.filter(number % 3 == 0).withColumn("download_status", F.lit("downloaded"))
-    return H.upsert_manifest(full.filter(number % 2 == 0), new).select("report_id", "download_status")
+    return full.filter(number % 2 == 0), full.filter(number % 3 == 0).withColumn("download_status", F.lit("downloaded"))
+
+
+@query("h10_upsert_stored_manifest", ORACLES["h10_upsert_manifest"])
+def _(spark, d):
+    old, new = _manifest_versions(manifest(spark, d))
+    table = BucketTable(spark, scratch_path(spark, "manifest"), old.schema, ["report_id"])
+    table.create(old)
+    table.replace(new)
+    return table.read().select("report_id", "download_status")
 
 
 @query(
@@ -512,6 +540,12 @@ def _(spark, d):
     return H.run_summary(H.emitters(listing_pages(spark, d), BASE), docs, H.latest_reports(docs, keep=3), manifest(spark, d))
 
 
+@query("h15_written_run", ORACLES["h15_run_summary"])
+def _(spark, d):
+    docs = _documents(spark, d)
+    return H.write_run(scratch_path(spark, "run"), H.emitters(listing_pages(spark, d), BASE), docs, H.latest_reports(docs, keep=3), manifest(spark, d))
+
+
 # ---- sources and sinks ---------------------------------------------------------------
 
 

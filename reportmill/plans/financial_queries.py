@@ -10,8 +10,9 @@ from ..functions.vocab import METRIC_OF_ALIAS, category_of, metric_of, statement
 from ..operators import facts as X
 from ..operators import financials as Q
 from ..operators import warehouse as W
+from ..session import scratch_path
 from . import inputs as I
-from .catalog import query
+from .catalog import ORACLES, query
 
 COMPANY, YEAR = "supplier_000000005", 1998
 WORDS = " '[\\s\\x0b\\x1c-\\x1f\\x85\\xa0]+' "
@@ -448,6 +449,17 @@ def _(spark, d):
     return W.upsert_facts(old, new).select("report_id", "normalized_metric_name", "year", "value", "confidence", "metric_name")
 
 
+@query("w06_upsert_stored_facts", ORACLES["w06_upsert_facts"])
+def _(spark, d):
+    """The same merge into a stored table; then once more, which changes nothing."""
+    old, new = _fact_merge(spark, d)
+    table = W.fact_table(spark, scratch_path(spark, "facts"), old)
+    table.create(old)
+    for _ in range(2):
+        W.upsert_stored_facts(table, new)
+    return table.read().select("report_id", "normalized_metric_name", "year", "value", "confidence", "metric_name")
+
+
 @query(
     "w07_insert_absent_statements",
     """SELECT company_id, report_id, year, CASE WHEN extraction_status = 'completed' THEN 'old' ELSE 'new' END AS origin FROM reports""",
@@ -543,6 +555,11 @@ def _(spark, d):
     return W.run_stats(jobs(spark, d))
 
 
+@query("w13_written_stats", ORACLES["w13_run_stats"])
+def _(spark, d):
+    return W.write_jobs(scratch_path(spark, "jobs"), jobs(spark, d))
+
+
 @query(
     "w14_error_rows",
     """SELECT report_id, 'r' || report_id || '.pdf' AS pdf_filename, 'FileNotFound' AS error_type, 'no file for report ' || report_id AS error_message

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -51,6 +51,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def write_counted(df: DataFrame, path: str, **counts: Column) -> dict[str, int]:
+    """Write rows and return aggregates of what was written, from the same pass over them.
+
+    They are observed on the writing stage itself, whose tasks count once however often they run.
+    """
+    seen = Observation()
+    df.observe(seen, *[c.alias(n) for n, c in counts.items()]).write.mode("overwrite").parquet(path)
+    return {n: seen.get[n] for n in counts}
+
+
 def within(df: DataFrame, max_rows: int) -> bool:
     """Size check for a side one means to broadcast: reads at most max_rows + 1 rows."""
     return df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n")).first()["n"] <= max_rows
