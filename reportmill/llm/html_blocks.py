@@ -22,8 +22,11 @@ EPOCHS, BATCH, RATE = 14, 16, 0.01
 #: Innermost elements of a tag path that are read.
 DEPTH = 10
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+#: An attribute up to its value, or the end of the tag.
+_ATTRIBUTE = re.compile(r"[\s/]*(?:(>)|([^\s/>][^\s/>=]*)(?:\s*(=)\s*)?)")
+_UNQUOTED = re.compile(r"[^\s>]*")
+_NAMED = {"class", "id", "role"}
 _RAW = {"script", "style", "noscript", "template", "svg", "iframe", "object"}
 _INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q",
            "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
@@ -55,9 +58,62 @@ class Block:
         self.text, self.path, self.linked = text, path, linked
 
 
+class _Tags:
+    """Tags of a page in order, by the rules of HTML, each character looked at a bounded number of times.
+
+    A quote opens a value only after an equals sign. A quote that is never closed is part of
+    an unquoted value, and a `<` whose tag never ends is text.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.gone: set[str] = set()  # what was looked for in vain and stands nowhere in the rest
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.gone:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.gone.add(what)
+        return found
+
+    def tag(self, at: int) -> tuple[int, bool, str, list[str], bool] | None:
+        """(end, closing, name, names it carries, self-closed) of the tag at a `<`; None where there is none."""
+        page = self.page
+        closing = page.startswith("</", at)
+        name = _NAME.match(page, at + 1 + closing)
+        if not name or self.find(">", at) < 0:
+            return None
+        at, carried, slash = name.end(), [], False
+        while True:
+            found = _ATTRIBUTE.match(page, at)
+            if not found:
+                return None
+            if found[1]:
+                # A slash before the end counts where it is not part of a value.
+                return found.end(), closing, name[0].lower(), carried, slash or "/" in found[0]
+            at, value = found.end(), ""
+            if found[3]:
+                close = self.find(page[at], at + 1) if page[at : at + 1] in ("'", '"') else -1
+                if close >= 0:
+                    value, at = page[at + 1 : close], close + 1
+                else:
+                    value = _UNQUOTED.match(page, at)[0]
+                    at += len(value)
+            if found[2].lower() in _NAMED:
+                carried += [n for n in re.split(r"[^a-z]+", value.lower()) if n]
+
+    def raw_end(self, name: str, at: int) -> int:
+        """Where the contents of a script or the like and its end tag end; -1 where there is no end tag."""
+        found = re.compile(rf"</{name}(?=[\s/>])", re.I).search(self.page, at)
+        end = self.find(">", found.end()) if found else -1
+        return end + 1 if end >= 0 else -1
+
+
 def blocks(page: str | None) -> list[Block]:
-    """Leaf blocks in page order: decoded, with white space made single; scripts and styles are skipped."""
+    """Leaf blocks in page order: decoded, with white space made single; comments, scripts and styles are skipped."""
     page = page or ""
+    tags = _Tags(page)
     out: list[Block] = []
     stack: list[tuple[str, list[str]]] = []
     held: list[str] = []
@@ -72,30 +128,50 @@ def blocks(page: str | None) -> list[Block]:
         held.clear()
         linked = 0
 
-    while True:
-        token = _TOKEN.search(page, at)
-        piece = html.unescape(page[at : token.start() if token else len(page)])
-        if piece:
-            held.append(piece)
-            linked += len(piece) if links else 0
-        if token is None:
+    def say(piece: str) -> None:
+        nonlocal linked
+        piece = html.unescape(piece)
+        held.append(piece)
+        linked += len(piece) if links else 0
+
+    while at < len(page):
+        start = tags.find("<", at)
+        # A `<` that begins no tag stays in the text before the next one.
+        tag, end = None, -1
+        while start >= 0:
+            if page.startswith("<!--", start):
+                end = tags.find("-->", start + 4)
+                end = len(page) if end < 0 else end + 3
+            elif page[start + 1 : start + 2] in ("!", "?"):
+                end = tags.find(">", start)
+                end = len(page) if end < 0 else end + 1
+            else:
+                tag = tags.tag(start)
+                end = tag[0] if tag else -1
+            if end >= 0:
+                break
+            start = tags.find("<", start + 1)
+        if start < 0:
+            say(page[at:])
             break
-        at = token.end()
-        if token[2] is None:
+        if start > at:
+            say(page[at:start])
+        at = end
+        if tag is None:
             continue
-        name = token[2].lower()
+        _, closing, name, carried, closed = tag
         if name in _RAW:
-            if not token[1] and not token[3].endswith("/"):
-                end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+            if not closing and not (closed and name == "svg"):
+                end = tags.raw_end(name, at)
+                at = end if end >= 0 else at if closed else len(page)
             continue
         if name not in _INLINE:
             flush()
         if name in _VOID:
             continue
         if name == "a":
-            links = 0 if token[1] else 1
-        if token[1]:
+            links = 0 if closing else 1
+        if closing:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     del stack[k:]
@@ -109,13 +185,8 @@ def blocks(page: str | None) -> list[Block]:
                         break
                     if stack[k][0] in _BOUNDS:
                         break
-            if name in _INLINE:
-                continue
-            names = [name]
-            if token[3]:
-                for m in _NAMES.finditer(token[3]):
-                    names += re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower())
-            stack.append((name, [n for n in names if n]))
+            if name not in _INLINE:
+                stack.append((name, [name, *carried]))
     flush()
     return out
 
