@@ -22,9 +22,12 @@ HIDDEN = 16
 SENT = 1 << 19
 #: Documents walked side by side.
 SIDE_BY_SIDE = 4096
-#: Bound on the documents that the network is fitted on, by hash of their id.
-MAX_TRAIN = 1500
-WINDOW, STREAMS, EPOCHS, RATE = 16, 64, 4, 0.01
+#: Every teaching row is learned once, in one of ROUNDS; weights of all tasks are averaged after each.
+ROUNDS, RATE = 3, 0.01
+#: Tokens of a stream that one update looks back over, the most streams, and updates a batch should make at least.
+WINDOW, STREAMS, UPDATES = 16, 512, 128
+#: Weights that travel together, and tasks that learn side by side at most.
+PIECE, LEARNERS = 2048, 2048
 #: Hash that stands for the end of a document; hash of no word for practical purposes.
 END = np.uint64(0x9E3779B97F4A7C15)
 _LN10 = float(np.log(10.0))
@@ -68,6 +71,15 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
+def _exps(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray | float]:
+    """(exponentials, what was taken off each row first): nothing as long as they cannot overflow."""
+    off: np.ndarray | float = 0.0
+    if logits.size and (logits.max() > 60 or logits.min() < -60):
+        off = logits.max(axis=1, keepdims=True)
+        logits = logits - off
+    return np.exp(logits), off
+
+
 class Gru:
     """GRU over places with a softmax over classes and one over the slots of a class.
 
@@ -75,7 +87,7 @@ class Gru:
     corpus counts.
     """
 
-    def __init__(self, seed: int = 1, used: np.ndarray | None = None) -> None:
+    def __init__(self, seed: int = 1) -> None:
         rng = np.random.default_rng(seed)
         scale = 0.1
         self.p = {
@@ -84,8 +96,20 @@ class Gru:
             "slot_w": rng.normal(0, scale, (CLASSES, HIDDEN, SLOTS)), "slot_b": np.zeros((CLASSES, SLOTS)),
         }
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
-        if used is not None:
-            self.p["slot_b"][~used.reshape(CLASSES, SLOTS)] = -30.0
+
+    @classmethod
+    def start(cls, vocabulary: Vocabulary, total: int) -> Gru:
+        """A network that says at first what the counts of the whole corpus say; slots without a word get next to nothing."""
+        model = cls()
+        counts = np.zeros(vocabulary.OTHER)
+        held = vocabulary.places < vocabulary.OTHER
+        counts[vocabulary.places[held]] = vocabulary.counts[held]
+        counts = counts.reshape(CLASSES, SLOTS)
+        within = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
+        model.p["slot_b"] = np.where(counts > 0, np.log(np.maximum(within, 1e-12)), -30.0).astype(np.float32)
+        kinds = np.append(counts.sum(axis=1), max(total - vocabulary.n_top, 0))
+        model.p["class_b"] = np.log((kinds + 0.5) / (kinds + 0.5).sum()).astype(np.float32)
+        return model
 
     def save(self) -> bytes:
         out = io.BytesIO()
@@ -108,21 +132,28 @@ class Gru:
         c = np.tanh(a[:, 2 * k :] + (r * h) @ p["hidden"][:, 2 * k :])
         return h + z * (c - h), z, r, c
 
+    def _by_class(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(class of each place, order by class, where each class begins and the last ends)."""
+        kind = np.minimum(places // SLOTS, CLASSES)
+        order = np.argsort(kind.astype(np.int8), kind="stable")
+        return kind, order, np.searchsorted(kind[order], np.arange(CLASSES + 1))
+
     def log_probs(self, states: np.ndarray, places: np.ndarray) -> np.ndarray:
         """Natural log probability of each place (its class only for words without one)."""
         p = self.p
         logits = states @ p["class_w"] + p["class_b"]
-        logits -= logits.max(axis=1, keepdims=True)
-        kind = np.minimum(places // SLOTS, CLASSES)
-        out = logits[np.arange(len(places)), kind] - np.log(np.exp(logits).sum(axis=1))
-        order = np.argsort(kind, kind="stable")
-        cuts = np.searchsorted(kind[order], np.arange(CLASSES + 1))
+        kind, order, cuts = self._by_class(places)
+        exps, off = _exps(logits)
+        out = logits[np.arange(len(places)), kind] - np.log(exps.sum(axis=1))
+        out -= off[:, 0] if isinstance(off, np.ndarray) else off
+        sorted_states, slot = states[order], places[order]
         for c in range(CLASSES):
-            at = order[cuts[c] : cuts[c + 1]]
-            if len(at):
-                inner = states[at] @ p["slot_w"][c] + p["slot_b"][c]
-                inner -= inner.max(axis=1, keepdims=True)
-                out[at] += inner[np.arange(len(at)), places[at] - c * SLOTS] - np.log(np.exp(inner).sum(axis=1))
+            a, b = cuts[c], cuts[c + 1]
+            if a < b:
+                inner = sorted_states[a:b] @ p["slot_w"][c] + p["slot_b"][c]
+                exps, off = _exps(inner)
+                own = inner[np.arange(b - a), slot[a:b] - c * SLOTS] - np.log(exps.sum(axis=1))
+                out[order[a:b]] += own - (off[:, 0] if isinstance(off, np.ndarray) else off)
         return out
 
     def totals(self, places: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -161,23 +192,25 @@ class Gru:
             h = new
         flat, places = np.concatenate(states), ys.ravel()
         g = {name: np.zeros_like(v) for name, v in p.items()}
-        kind = np.minimum(places // SLOTS, CLASSES)
-        logits = flat @ p["class_w"] + p["class_b"]
-        prob = np.exp(logits - logits.max(axis=1, keepdims=True))
+        kind, order, cuts = self._by_class(places)
+        prob, _ = _exps(flat @ p["class_w"] + p["class_b"])
         prob /= prob.sum(axis=1, keepdims=True)
         prob[np.arange(len(kind)), kind] -= 1
         g["class_w"], g["class_b"] = flat.T @ prob, prob.sum(axis=0)
         back = prob @ p["class_w"].T
-        for c in np.unique(kind[kind < CLASSES]):
-            at = np.flatnonzero(kind == c)
-            inner = flat[at] @ p["slot_w"][c] + p["slot_b"][c]
-            prob = np.exp(inner - inner.max(axis=1, keepdims=True))
-            prob /= prob.sum(axis=1, keepdims=True)
-            prob[np.arange(len(at)), places[at] - c * SLOTS] -= 1
-            g["slot_w"][c], g["slot_b"][c] = flat[at].T @ prob, prob.sum(axis=0)
-            back[at] += prob @ p["slot_w"][c].T
+        flat, slot, inner_back = flat[order], places[order], np.zeros_like(back)
+        for c in range(CLASSES):
+            a, b = cuts[c], cuts[c + 1]
+            if a < b:
+                prob, _ = _exps(flat[a:b] @ p["slot_w"][c] + p["slot_b"][c])
+                prob /= prob.sum(axis=1, keepdims=True)
+                prob[np.arange(b - a), slot[a:b] - c * SLOTS] -= 1
+                g["slot_w"][c], g["slot_b"][c] = flat[a:b].T @ prob, prob.sum(axis=0)
+                inner_back[a:b] = prob @ p["slot_w"][c].T
+        back[order] += inner_back
         back = back.reshape(len(xs), -1, k)
         dh = np.zeros_like(h)
+        parts = []
         for t in range(len(xs) - 1, -1, -1):
             before, z, r, c = kept[t]
             dh = dh + back[t]
@@ -186,42 +219,51 @@ class Gru:
             drh = dc @ p["hidden"][:, 2 * k :].T
             dr = drh * before * r * (1 - r)
             da = np.concatenate((dz, dr, dc), axis=1)
-            np.add.at(g["embed"], xs[t], da)
-            g["bias"] += da.sum(axis=0)
+            parts.append(da)
             g["hidden"][:, : 2 * k] += before.T @ da[:, : 2 * k]
             g["hidden"][:, 2 * k :] += (r * before).T @ dc
             dh = dh * (1 - z) + drh * r + da[:, : 2 * k] @ p["hidden"][:, : 2 * k].T
+        da, x = np.concatenate(parts[::-1]), xs.ravel()
+        order = np.argsort(x, kind="stable")
+        at = np.flatnonzero(np.diff(x[order], prepend=-1))
+        g["embed"][x[order][at]] = np.add.reduceat(da[order], at)
+        g["bias"] = da.sum(axis=0)
         return g, h
 
-    def learn(self, documents: list[np.ndarray]) -> None:
-        """Adam over streams of documents put end to end; states pass from window to window."""
-        said = np.concatenate(documents)
-        steps = len(said) // STREAMS
-        if steps < 2:
-            return
-        ys = said[: steps * STREAMS].reshape(STREAMS, steps).T
-        ends = np.cumsum([len(d) for d in documents])[:-1]
+
+class Learner:
+    """Adam over streams of documents put end to end; states pass from window to window."""
+
+    def __init__(self, model: Gru, rate: float) -> None:
+        self.model, self.rate, self.updates = model, rate, 0
+        self.first = {k: np.zeros_like(v) for k, v in model.p.items()}
+        self.second = {k: np.zeros_like(v) for k, v in model.p.items()}
+
+    def learn(self, said: np.ndarray, counts: np.ndarray) -> None:
+        """One pass over documents, given as the places of all their tokens and the tokens of each.
+
+        Tokens are cut into as many streams as leave UPDATES updates or more, STREAMS at most;
+        the few that fill no stream come first in none of them and are left over.
+        """
+        streams = int(np.clip(len(said) // (WINDOW * UPDATES), 1, STREAMS))
+        steps = len(said) // streams
+        shape = lambda x: x[: steps * streams].reshape(streams, steps).T
         fresh = np.zeros(len(said), bool)
-        fresh[0] = True
-        fresh[ends] = True
-        fresh = fresh[: steps * STREAMS].reshape(STREAMS, steps).T
-        xs = np.vstack((np.full((1, STREAMS), Vocabulary.OTHER, ys.dtype), ys[:-1]))
+        fresh[(np.cumsum(counts) - counts)] = True
+        ys, fresh = shape(said), shape(fresh)
+        xs = np.vstack((np.full((1, streams), Vocabulary.OTHER, ys.dtype), ys[:-1]))
         xs[fresh] = Vocabulary.OTHER
-        first = {k: np.zeros_like(v) for k, v in self.p.items()}
-        second = {k: np.zeros_like(v) for k, v in self.p.items()}
-        round_ = 0
-        for epoch in range(EPOCHS):
-            h = np.zeros((STREAMS, HIDDEN), np.float32)
-            for at in range(0, steps, WINDOW):
-                h[fresh[at]] = 0
-                g, h = self.gradients(h, xs[at : at + WINDOW], ys[at : at + WINDOW])
-                round_ += 1
-                rate = RATE * (0.5**epoch) * np.sqrt(1 - 0.999**round_) / (1 - 0.9**round_)
-                for name, v in g.items():
-                    v /= STREAMS * WINDOW
-                    first[name] += 0.1 * (v - first[name])
-                    second[name] += 0.001 * (v * v - second[name])
-                    self.p[name] -= (rate * first[name] / (np.sqrt(second[name]) + 1e-8)).astype(np.float32)
+        h = np.zeros((streams, HIDDEN), np.float32)
+        for at in range(0, steps, WINDOW):
+            h[fresh[at]] = 0
+            g, h = self.model.gradients(h, xs[at : at + WINDOW], ys[at : at + WINDOW])
+            self.updates += 1
+            rate = self.rate * np.sqrt(1 - 0.999**self.updates) / (1 - 0.9**self.updates)
+            for name, v in g.items():
+                v /= v.dtype.type(streams * WINDOW)
+                self.first[name] += np.float32(0.1) * (v - self.first[name])
+                self.second[name] += np.float32(0.001) * (v * v - self.second[name])
+                self.model.p[name] -= np.float32(rate) * self.first[name] / (np.sqrt(self.second[name]) + np.float32(1e-8))
 
 
 def count_tokens(docs: DataFrame, text_col: str) -> DataFrame:
@@ -249,33 +291,67 @@ def frequent(counts: DataFrame) -> Vocabulary:
     return Vocabulary(top["token"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64))
 
 
-def fit(docs: DataFrame, vocabulary: Vocabulary, id_col: str, text_col: str) -> bytes:
-    """Weights of a network fitted in one task on the given (bounded) rows."""
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def _pieces(model: Gru) -> np.ndarray:
+    flat = np.concatenate([v.ravel() for _, v in sorted(model.p.items())])
+    return np.pad(flat, (0, -len(flat) % PIECE)).reshape(-1, PIECE)
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
-        for batch in batches:
-            h, n = tokens(batch.column(1).to_pylist())
-            rows += list(zip(batch.column(0).to_pylist(), np.split(sent.value.look_up(h)[0], np.cumsum(n)[:-1]), strict=True))
-        rows.sort(key=lambda r: (r[0], len(r[1])))
-        used = np.zeros(Vocabulary.OTHER, bool)
-        used[: sent.value.v_top] = True
-        model = Gru(used=used)
-        if rows:
-            model.learn([d for _, d in rows])
-        yield pa.record_batch([pa.array([model.save()], pa.binary())], names=["model"])
-
-    rows = docs.select(F.xxhash64(id_col).alias("place"), F.col(text_col).alias("text")).repartition(1)
-    fitted = rows.mapInArrow(learn, "model binary").first()
-    return bytes(fitted["model"]) if fitted else Gru().save()
-
-
-def score(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", max_train: int = MAX_TRAIN) -> DataFrame:
+
+def _joined(pieces: np.ndarray) -> Gru:
+    model, flat, at = Gru(), pieces.ravel().astype(np.float32), 0
+    for name, v in sorted(model.p.items()):
+        model.p[name] = flat[at : at + v.size].reshape(v.shape)
+        at += v.size
+    return model
+
+
+def _average(rows: pa.Table) -> pa.Table:
+    """Mean of a piece over tasks, weighted by the tokens that each has learned from, in a fixed order."""
+    order = np.argsort(rows.column("task").to_numpy())
+    weights = rows.column("tokens").to_numpy()[order].astype(np.float64)
+    values = np.stack([np.frombuffer(v, "<f4") for v in rows.column("weights").to_pylist()])[order]
+    mean = (weights / weights.sum()) @ values
+    return pa.table({"piece": rows.column("piece").slice(0, 1), "weights": pa.array([mean.astype("<f4").tobytes()], pa.binary())})
+
+
+def fit(docs: DataFrame, vocabulary: Vocabulary, total: int, id_col: str, text_col: str, rounds: int = ROUNDS) -> bytes:
+    """Weights of a network that has learned from all given rows, each once.
+
+    Rows are dealt to rounds by a hash of their id. In a round every task learns from its own
+    rows, batch by batch, and the tasks' weights are averaged by tokens, piece by piece; the
+    next round starts from the average at half the rate. Nothing but the weights, whose size
+    is fixed, leaves a task.
+    """
+    spark, model = docs.sparkSession, Gru.start(vocabulary, total)
+    words = spark.sparkContext.broadcast(vocabulary)
+    rows = docs.select(F.pmod(F.xxhash64(F.col(id_col), F.lit(13)), F.lit(rounds)).alias("round"), F.col(text_col).alias("text"))
+    for number in range(rounds):
+        sent, rate = spark.sparkContext.broadcast(model.save()), RATE * 0.5**number
+
+        def learn(batches: Iterator[pa.RecordBatch], sent=sent, rate=rate) -> Iterator[pa.RecordBatch]:
+            learner, seen = Learner(Gru.load(sent.value), rate), 0
+            for batch in batches:
+                h, n = tokens(batch.column(0).to_pylist())
+                learner.learn(words.value.look_up(h)[0], n)
+                seen += len(h)
+            if seen:
+                held = _pieces(learner.model)
+                yield pa.record_batch([
+                    pa.array(np.full(len(held), TaskContext.get().partitionId())), pa.array(np.arange(len(held))), pa.array(np.full(len(held), seen)),
+                    pa.array([x.astype("<f4").tobytes() for x in held], pa.binary()),
+                ], names=["task", "piece", "tokens", "weights"])
+
+        learned = rows.filter(F.col("round") == number).select("text").coalesce(LEARNERS).mapInArrow(learn, "task bigint, piece bigint, tokens bigint, weights binary")
+        found = learned.groupBy("piece").applyInArrow(_average, "piece bigint, weights binary").collect()  # the weights of one network
+        if found:
+            model = _joined(np.stack([np.frombuffer(r["weights"], "<f4") for r in sorted(found, key=lambda r: r["piece"])]))
+    return model.save()
+
+
+def score(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) per row of docs.
 
-    Rows for which learn_from holds teach: all of them give the counts, about max_train of
-    them by hash of the id the network. base_score sums log10((c + 1) / (N + V + 1)) over a
+    Rows for which learn_from holds teach: all of them give the counts, and the network learns
+    from all of them, in ROUNDS whose tasks' weights are averaged. base_score sums log10((c + 1) / (N + V + 1)) over a
     text's words and end. score is the network's log10 probability of the whole text: the
     class and slot of frequent words, and for the others their class times
     (c + 1) / (n + v + 1) with c, n, v counted among words without a slot, which leaves
@@ -294,9 +370,7 @@ def score(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col:
     whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_all, v_all = whole["n"], whole["v"]
     vocabulary = frequent(counts)
-    share = min(1.0, max_train / max(teaching.count(), 1))
-    bounded = teaching.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else teaching
-    sent = spark.sparkContext.broadcast((vocabulary, fit(bounded, vocabulary, id_col, text_col)))
+    sent = spark.sparkContext.broadcast((vocabulary, fit(teaching, vocabulary, n_all, id_col, text_col)))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
