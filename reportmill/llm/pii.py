@@ -1,4 +1,4 @@
-"""Personal data by patterns, and the terms around it that give an entity away."""
+"""Personal data by patterns, and the terms whose use in the corpus gives an entity away."""
 
 from __future__ import annotations
 
@@ -18,8 +18,6 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _SMALL_PARTS = r"^0*(25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])(\.0*(25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])){3}$"
 _PUNCTUATION = "\"'“”‘’«»()[]{}.,;:!?…"
-#: Context of an entity: so many words on each side, whole within so many characters.
-SIDE_WORDS, SIDE_CHARS = 5, 160
 #: Shares of an entity's information that a term may give away: from the first on it is generalised, from the second removed.
 GENERALISE_AT, REMOVE_AT = 0.75, 0.95
 MAX_SENT = 200_000
@@ -84,67 +82,68 @@ def _term(word: Column) -> Column:
     return F.translate(F.lower(word), _PUNCTUATION, "")
 
 
-def _side(text: Column, start: Column, length: Column, cut: Column, left: bool) -> Column:
-    """Whole words of a stretch of text next to an entity as (term, start, end), nearest SIDE_WORDS."""
-    def near(found: Column) -> Column:
-        whole = F.when(cut, F.slice(found, 2, F.greatest(F.size(found) - 1, F.lit(0))) if left else F.slice(found, F.lit(1), F.greatest(F.size(found) - 1, F.lit(0)))).otherwise(found)
-        few = let(whole, lambda w: F.slice(w, F.greatest(F.size(w) - SIDE_WORDS + 1, F.lit(1)), F.lit(SIDE_WORDS)) if left else F.slice(w, 1, SIDE_WORDS))
-        return F.transform(few, lambda s: F.struct(_term(s["value"]).alias("term"), (s["start"] + start).alias("start"), (s["end"] + start).alias("end")))
-
-    return let(pattern_spans(F.substring(text, start + 1, length), WORD, 4, lambda v: F.lit(True)), near)
-
-
 def _mentions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(k, entity, context, terms) for every base span: the terms that stand around it."""
-    rows = docs.select(_key(id_col, text_col).alias("k"), text_of(text_col).alias("text")).withColumn("spans", base_spans(F.col("text")))
-    rows = rows.filter(F.size("spans") > 0).select("k", "text", "spans", F.explode("spans").alias("s"))
-    start, end = F.col("s.start"), F.col("s.end")
-    first = F.greatest(start - SIDE_CHARS, F.lit(0))
-    left = _side(F.col("text"), first, start - first, first > 0, True)
-    right = _side(F.col("text"), end, F.lit(SIDE_CHARS), F.length("text") > end + SIDE_CHARS, False)
-    apart = F.filter(F.concat(left, right), lambda t: (t["term"] != "") & ~F.exists("spans", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    entity = F.xxhash64("s.kind", F.when(F.col("s.kind") >= 2, _digits(F.col("s.value"))).otherwise(F.lower("s.value")))
-    return rows.select("k", entity.alias("entity"), apart.alias("terms")).withColumn("context", F.xxhash64(F.transform("terms", lambda t: t["term"])))
-
-
-def disclosures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(k, start, end, disclosure, value) of the terms that give an entity away; k hashes id and text.
-
-    A term t near entity e gives away the share PMI(t; e) / IC(e) of the information in e:
-    log(n(t,e) D / (n(t) n(e))) / log(D / n(e)), with n counted in rows of the whole corpus
-    and D its rows. A term used only beside e gives away everything, a common word nothing.
-    Only terms seen near e in two different contexts or more are judged, so copies of one
-    text prove nothing. Words of all texts are counted for judged terms only; these are sent
-    to all tasks below MAX_SENT of them and else joined by shuffle with the same result.
+    """(k, h, entities, terms, rows) of texts with base spans: who is in them and the terms besides; h hashes the text."""
+    rows = docs.select(_key(id_col, text_col).alias("k"), text_of(text_col).alias("text")).withColumn("spans", base_spans(F.col("text"))).filter(F.size("spans") > 0)
+    entity = lambda s: F.xxhash64(s["kind"], F.when(s["kind"] >= 2, _digits(s["value"])).otherwise(F.lower(s["value"])))
+    blank = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(" ").alias("shown")))
+    rest = words(_term(_cleaned(F.col("text"), blank)))
+    rows = rows.select("k", F.xxhash64("text").alias("h"), F.array_distinct(F.transform("spans", entity)).alias("entities"), F.array_distinct(rest).alias("terms"))
+    return rows.groupBy("k", "h", "entities", "terms").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def telling_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(term, disclosure) of the terms that give some entity away; disclosure is the greatest over entities.
+
+    A term t gives away the share PMI(t; e) / IC(e) of the information in an entity e:
+    log(n(t,e) D / (n(t) n(e))) / log(D / n(e)), with n counted in rows of the whole corpus, n(t,e)
+    in rows that hold both anywhere, and D its rows. A term used only with e gives away
+    everything, a common word nothing. Only a pair that two different texts hold is judged,
+    so copies of one text prove nothing. A term can reach GENERALISE_AT only if it is rare for
+    the entity; frequent ones leave before pairs are made. Words of all texts are counted for
+    candidates only, which are sent to all tasks below MAX_SENT of them and else joined by
+    shuffle with the same result. Null and empty texts hold nothing; an empty table gives none.
     """
     mentions = materialise(_mentions(docs, id_col, text_col), "pii-mentions")
-    near = mentions.select("k", "entity", "context", F.explode("terms").alias("t")).select("k", "entity", "context", "t.term", "t.start", "t.end")
-    shared = near.groupBy("term", "entity").agg(F.min("context").alias("a"), F.max("context").alias("b"))
-    judged = materialise(shared.filter("a <> b").select("term", "entity"), "pii-judged")
-    pairs = near.join(judged, ["term", "entity"]).select("term", "entity", "k").distinct().groupBy("term", "entity").agg(F.count(F.lit(1)).alias("both"))
-    entities = mentions.select("entity", "k").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    terms = judged.select("term").distinct()
-    sent = F.broadcast(terms) if within(terms, MAX_SENT) else terms
+    two = lambda rows, *keys: rows.groupBy(*keys).agg(F.sum("rows").alias("n"), F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").drop("a", "b")
+    held = mentions.select("k", "h", "rows", F.explode("entities").alias("entity"))
+    entities = two(held, "entity").withColumnRenamed("n", "n_entity")
+    held = materialise(held.join(entities, "entity"), "pii-entities")
+    used = mentions.join(held.select("k").distinct(), "k", "left_semi").select("k", "h", "rows", F.explode("terms").alias("term"))
+    candidates = materialise(two(used, "term").select("term"), "pii-candidates")
+    sent = F.broadcast(candidates) if within(candidates, MAX_SENT) else candidates
     said = docs.select(F.explode(F.array_distinct(words(_term(text_of(text_col))))).alias("term")).join(sent, "term", "left_semi")
-    counts = said.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    rows = docs.agg(F.count(F.lit(1)).alias("d"))
-    scored = pairs.join(entities, "entity").join(counts, "term").withColumn("d", rows.scalar())
-    share = F.log(F.col("both") * F.col("d") / (F.col("n_term") * F.col("n_entity"))) / F.log(F.col("d") / F.col("n_entity"))
-    telling = scored.filter("d > n_entity").withColumn("disclosure", share).filter(F.col("disclosure") >= GENERALISE_AT)
-    return near.join(telling.select("term", "entity", "disclosure"), ["term", "entity"]).groupBy("k", "start", "end").agg(
-        F.max("disclosure").alias("disclosure"), F.first("term").alias("value"),
-    )
+    size = docs.agg(F.count(F.lit(1)).cast("double").alias("d"))
+    rare = lambda n, d: F.pow(d, F.lit(1 - GENERALISE_AT)) * F.pow(n, F.lit(GENERALISE_AT)) * (1 + 1e-9)
+    counts = said.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).withColumn("d", size.scalar()).withColumn("most", held.agg(F.max("n_entity").alias("n")).scalar())
+    counts = counts.filter(F.col("n_term") <= rare(F.col("most"), F.col("d")))
+    both = used.join(counts, "term").join(held.select("k", "entity", "n_entity"), "k").filter(F.col("n_term") <= rare(F.col("n_entity"), F.col("d")))
+    pairs = two(both, "term", "entity", "n_term", "n_entity", "d").filter("d > n_entity")
+    share = F.log(F.col("n") * F.col("d") / (F.col("n_term") * F.col("n_entity"))) / F.log(F.col("d") / F.col("n_entity"))
+    return pairs.withColumn("disclosure", share).groupBy("term").agg(F.max("disclosure").alias("disclosure")).filter(F.col("disclosure") >= GENERALISE_AT)
+
+
+def _term_spans(text: Column, told: Column, base: Column) -> Column:
+    """Every occurrence of a text's telling terms (a map to their disclosure) outside base spans."""
+    def shown(found: Column) -> Column:
+        apart = F.filter(found, lambda t: told[_term(t["value"])].isNotNull() & ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+        return F.transform(apart, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.lit(4).alias("kind"), _term(t["value"]).alias("value"), told[_term(t["value"])].alias("disclosure"),
+        ))
+
+    return let(pattern_spans(text, WORD, 4, lambda v: F.lit(True)), shown)
 
 
 def _found(docs: DataFrame, id_col: str, text_col: str, base: str, terms: str) -> DataFrame:
-    """docs with columns of the given names for base spans and disclosing terms."""
-    key = fresh(docs, "_key")
-    told = disclosures(docs, id_col, text_col).groupBy("k").agg(F.sort_array(F.collect_list(
-        F.struct("start", "end", F.lit(4).alias("kind"), "value", "disclosure")
-    )).alias(terms)).withColumnRenamed("k", key)
+    """docs with columns of the given names for base spans and disclosing terms, wherever these stand."""
+    key, held = fresh(docs, "_key"), fresh(docs, "_told")
+    telling = materialise(telling_terms(docs, id_col, text_col), "pii-telling")
+    sent = F.broadcast(telling) if within(telling, MAX_SENT) else telling
+    said = docs.select(_key(id_col, text_col).alias(key), F.explode(F.array_distinct(words(_term(text_of(text_col))))).alias("term")).join(sent, "term")
+    told = said.groupBy(key).agg(F.map_from_entries(F.collect_set(F.struct("term", "disclosure"))).alias(held))
     rows = docs.withColumn(key, _key(id_col, text_col)).join(materialise(told, "pii-terms"), key, "left").drop(key)
     none = F.array().cast("array<struct<start:int,end:int,kind:int,value:string,disclosure:double>>")
-    return rows.withColumn(base, base_spans(text_of(text_col))).withColumn(terms, F.coalesce(terms, none))
+    rows = rows.withColumn(base, base_spans(text_of(text_col)))
+    return rows.withColumn(terms, F.when(F.col(held).isNotNull(), _term_spans(text_of(text_col), F.col(held), F.col(base))).otherwise(none)).drop(held)
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

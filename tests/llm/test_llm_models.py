@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -108,6 +109,50 @@ def test_whole_documents_one_by_one():
         assert got == pytest.approx(out, rel=1e-4)
 
 
+def test_every_teaching_row_is_learned_once(spark, monkeypatch):
+    """Tasks of a round are averaged by their tokens; all rows but the held out ones take part."""
+    seen = spark.sparkContext.accumulator(0)
+    learn = gru_lm.Learner.learn
+
+    def counted(self, said, counts):
+        seen.add(len(said))
+        learn(self, said, counts)
+
+    monkeypatch.setattr(gru_lm.Learner, "learn", counted)
+    rnd = random.Random(7)
+    chain = {w: [f"n{rnd.randrange(40)}" for _ in range(2)] for w in [f"n{k}" for k in range(40)]}
+
+    def text():
+        words = ["n0"]
+        for _ in range(rnd.randrange(20, 120)):
+            words.append(rnd.choice(chain[words[-1]]))
+        return " ".join(words)
+
+    docs = spark.createDataFrame([(i, text()) for i in range(600)], DOCS).repartition(4)
+    found = gru_lm.score(docs, ~held_out("doc_id", 7, 2)).collect()
+    outside = [r for r in found if zlib.crc32(str(r["id"]).encode()) % 7 == 2]
+    assert sum(r["score"] > r["base_score"] for r in outside) > 0.95 * len(outside) and outside
+    taught = sum(r["n_tokens"] for r in found) - sum(r["n_tokens"] for r in outside)
+    assert seen.value in (0, taught)  # workers that were forked before the patch do not count
+
+
+def test_average_of_weights():
+    a, b = gru_lm.Gru(1), gru_lm.Gru(2)
+    rows = gru_lm.pa.table({"task": [1, 0], "piece": [0, 0], "tokens": [300, 100], "weights": [gru_lm._pieces(m)[0].astype("<f4").tobytes() for m in (a, b)]})
+    mean = np.frombuffer(gru_lm._average(rows).column("weights")[0].as_py(), "<f4")
+    assert mean == pytest.approx(0.75 * gru_lm._pieces(a)[0] + 0.25 * gru_lm._pieces(b)[0], abs=1e-6)
+    again = gru_lm._joined(gru_lm._pieces(a))
+    assert all((again.p[k] == v).all() for k, v in a.p.items())
+
+
+def test_start_says_what_counts_say():
+    vocabulary = gru_lm.Vocabulary(np.arange(5, dtype=np.uint64), np.array([8, 4, 2, 1, 1]))
+    model = gru_lm.Gru.start(vocabulary, 16)
+    state = np.zeros((5, gru_lm.HIDDEN), np.float32)
+    p = np.exp(model.log_probs(state, vocabulary.places))
+    assert p == pytest.approx(np.array([8, 4, 2, 1, 1]) / 16, rel=0.75) and p[0] > p[1] > p[2] > p[3]
+
+
 def test_language_model_columns(spark, monkeypatch):
     monkeypatch.setattr(gru_lm, "SENT", 50)
     rnd = random.Random(3)
@@ -129,6 +174,24 @@ def test_language_model_columns(spark, monkeypatch):
     assert gru_lm.score(docs.limit(0), ~held_out("doc_id", 7, 2)).count() == 0
 
 
+def test_tags_by_the_rules_of_html():
+    texts = lambda page: [b.text for b in html_blocks.blocks(page)]
+    assert texts("<p title=don't>One</p><p>Two</p><p>Three's</p>") == ["One", "Two", "Three's"]
+    assert texts('<a href="x>y</a>') == ["y"] and texts("<script src=/js/>var x=1;</script>ok") == ["ok"]
+    assert texts("<script/>text") == ["text"] and texts("<svg/>x") == ["x"] and texts("a < b <c") == ["a < b <c"]
+    assert texts("<p a='>' b=\">\">t</p>1<2>3") == ["t", "1<2>3"] and texts("x <!-- <p> --> y<!doctype html>z <!-- w") == ["x yz"]
+    page = html_blocks.blocks("<P Class = 'Big One' id=top role=\"main\"/>up<td>a<td>b</td><style>p</style >c")
+    assert [(b.text, b.path) for b in page] == [("up", ["p", "big", "one", "top", "main"]), ("a", ["td", "p", "big", "one", "top", "main"]), ("b", ["td", "p", "big", "one", "top", "main"]), ("c", ["p", "big", "one", "top", "main"])]
+
+
+@pytest.mark.parametrize("piece", ['<p a="', '"', "<p title='x", "<a ", "</script", "<!--", "<p a='\" b=\"'"])
+def test_pages_of_broken_tags_take_linear_time(piece):
+    page = piece * (1_000_000 // len(piece))
+    begin = time.process_time()
+    html_blocks.blocks(page)
+    assert time.process_time() - begin < 3
+
+
 def test_labeller_gradients():
     model = html_blocks.Labeller()
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}

@@ -127,3 +127,70 @@ def test_language_query_against_counters(spark):
     assert all(r["held_out"] == outside(r["doc_id"]) and r["lang_pred"] == want[r["doc_id"]][0] and abs(r["score"] - want[r["doc_id"]][1]) < 1e-9 for r in got)
     tested = [(r["lang_pred"], lang) for r in got for k, _, lang in rows if k == r["doc_id"] and r["held_out"] and lang is not None]
     assert sum(a == b for a, b in tested) >= 0.95 * len(tested)
+
+
+def test_html_query_page_by_page(spark):
+    """Blocks against the parser of the standard library, labels against one page at a time."""
+    from html.parser import HTMLParser
+
+    from reportmill.llm import html_blocks
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.said, self.inside = [], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.inside += tag in html_blocks._RAW
+            self.said.append("" if tag in html_blocks._INLINE else " ")
+
+        def handle_endtag(self, tag):
+            self.inside -= tag in html_blocks._RAW and self.inside > 0
+            self.said.append("" if tag in html_blocks._INLINE else " ")
+
+        def handle_data(self, data):
+            if not self.inside:
+                self.said.append(data)
+
+    pages = table(spark, SF, "pages")
+    model = html_blocks.Labeller.load(html_blocks.fit(pages, "page_id", "html"))
+    want = {}
+    for page in pages.collect():
+        found = html_blocks.blocks(page["html"])
+        plain = Plain()
+        plain.feed(page["html"] or "")
+        plain.close()
+        assert " ".join(b.text for b in found).split() == "".join(plain.said).split()
+        main = model.probabilities(html_blocks.inputs(found), np.array([len(found)])) >= 0.5 if found else []
+        text = " ".join(b.text for b, m in zip(found, main, strict=True) if m)
+        want[page["page_id"]] = (page["url"], text, len(text))
+    got = {r["page_id"]: (r["url"], r["text"], r["n_chars"]) for r in queries.RUNNERS["op3_html_blocks"](spark, SF).collect()}
+    assert got == want and any(w[1] for w in want.values())
+
+
+def test_language_model_query_document_by_document(spark):
+    from collections import Counter
+
+    from reportmill.llm import gru_lm
+    from reportmill.llm.common import held_out
+
+    docs = table(spark, SF, "documents").select("doc_id", "text")
+    teaching = docs.filter(~held_out("doc_id", 7, 2))
+    said = {r["doc_id"]: gru_lm.tokens([r["text"]])[0] for r in docs.collect()}
+    counts = Counter(h for r in teaching.select("doc_id").collect() for h in said[r["doc_id"]].tolist())
+    n, v = sum(counts.values()), len(counts)
+    vocabulary = gru_lm.Vocabulary(np.array(list(counts), np.uint64), np.array(list(counts.values()), np.int64))
+    model = gru_lm.Gru.load(gru_lm.fit(teaching, vocabulary, n, "doc_id", "text"))
+    rest_n, rest_v = n - vocabulary.n_top, v - vocabulary.v_top
+    got = {r["doc_id"]: r for r in queries.RUNNERS["op4_gru_lm"](spark, SF).collect()}
+    better = []
+    for doc, h in said.items():
+        places, _ = vocabulary.look_up(h)
+        network = model.totals(places, np.array([len(h)]))[0] / np.log(10)
+        rare = sum(np.log10((counts[x] + 1) / (rest_n + rest_v + 1)) for x, p in zip(h.tolist(), places, strict=True) if p == vocabulary.OTHER)
+        base = sum(np.log10((counts[x] + 1) / (n + v + 1)) for x in h.tolist())
+        r = got[doc]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(h), sum(counts[x] > 0 for x in h.tolist()), n)
+        assert abs(r["base_score"] - base) < 1e-6 * abs(base) and abs(r["score"] - network - rare) < 1e-3 * abs(network + rare)
+        better += [r["score"] > r["base_score"]] if r["held_out"] else []
+    assert sum(better) > 0.8 * len(better)
