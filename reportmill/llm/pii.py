@@ -92,8 +92,8 @@ def _mentions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.groupBy("k", "h", "entities", "terms").agg(F.count(F.lit(1)).alias("rows"))
 
 
-def telling_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(term, disclosure) of the terms that give some entity away; disclosure is the greatest over entities.
+def telling_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """((term, entity, disclosure), (k, h, rows, term, entity)): the terms that give an entity away, and the texts that hold both.
 
     A term t gives away the share PMI(t; e) / IC(e) of the information in an entity e:
     log(n(t,e) D / (n(t) n(e))) / log(D / n(e)), with n counted in rows of the whole corpus, n(t,e)
@@ -118,9 +118,26 @@ def telling_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     counts = said.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).withColumn("d", size.scalar()).withColumn("most", held.agg(F.max("n_entity").alias("n")).scalar())
     counts = counts.filter(F.col("n_term") <= rare(F.col("most"), F.col("d")))
     both = used.join(counts, "term").join(held.select("k", "entity", "n_entity"), "k").filter(F.col("n_term") <= rare(F.col("n_entity"), F.col("d")))
+    both = materialise(both.select("k", "h", "rows", "term", "entity", "n_term", "n_entity", "d"), "pii-both")
     pairs = two(both, "term", "entity", "n_term", "n_entity", "d").filter("d > n_entity")
     share = F.log(F.col("n") * F.col("d") / (F.col("n_term") * F.col("n_entity"))) / F.log(F.col("d") / F.col("n_entity"))
-    return pairs.withColumn("disclosure", share).groupBy("term").agg(F.max("disclosure").alias("disclosure")).filter(F.col("disclosure") >= GENERALISE_AT)
+    telling = pairs.select("term", "entity", share.alias("disclosure")).filter(F.col("disclosure") >= GENERALISE_AT)
+    return materialise(telling, "pii-telling"), both.select("k", "h", "rows", "term", "entity")
+
+
+def _told(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(k, told) of the texts that hold telling terms: a map from the terms to their disclosure there.
+
+    A term goes, wherever it stands, from every text that holds an entity it tells of. From
+    REMOVE_AT on it stands for the entity itself and goes from all other texts as well.
+    """
+    telling, both = telling_terms(docs, id_col, text_col)
+    here = both.join(telling, ["term", "entity"]).select("k", "term", "disclosure")
+    strong = telling.filter(F.col("disclosure") >= REMOVE_AT).groupBy("term").agg(F.max("disclosure").alias("disclosure"))
+    sent = F.broadcast(strong) if within(strong, MAX_SENT) else strong
+    said = docs.select(_key(id_col, text_col).alias("k"), F.explode(F.array_distinct(words(_term(text_of(text_col))))).alias("term")).join(sent, "term")
+    rows = here.unionByName(said.select("k", "term", "disclosure")).groupBy("k", "term").agg(F.max("disclosure").alias("disclosure"))
+    return materialise(rows.groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("told")), "pii-terms")
 
 
 def _term_spans(text: Column, told: Column, base: Column) -> Column:
@@ -134,13 +151,10 @@ def _term_spans(text: Column, told: Column, base: Column) -> Column:
 
 
 def _found(docs: DataFrame, id_col: str, text_col: str, base: str, terms: str) -> DataFrame:
-    """docs with columns of the given names for base spans and disclosing terms, wherever these stand."""
+    """docs with columns of the given names for base spans and disclosing terms."""
     key, held = fresh(docs, "_key"), fresh(docs, "_told")
-    telling = materialise(telling_terms(docs, id_col, text_col), "pii-telling")
-    sent = F.broadcast(telling) if within(telling, MAX_SENT) else telling
-    said = docs.select(_key(id_col, text_col).alias(key), F.explode(F.array_distinct(words(_term(text_of(text_col))))).alias("term")).join(sent, "term")
-    told = said.groupBy(key).agg(F.map_from_entries(F.collect_set(F.struct("term", "disclosure"))).alias(held))
-    rows = docs.withColumn(key, _key(id_col, text_col)).join(materialise(told, "pii-terms"), key, "left").drop(key)
+    told = _told(docs, id_col, text_col).select(F.col("k").alias(key), F.col("told").alias(held))
+    rows = docs.withColumn(key, _key(id_col, text_col)).join(told, key, "left").drop(key)
     none = F.array().cast("array<struct<start:int,end:int,kind:int,value:string,disclosure:double>>")
     rows = rows.withColumn(base, base_spans(text_of(text_col)))
     return rows.withColumn(terms, F.when(F.col(held).isNotNull(), _term_spans(text_of(text_col), F.col(held), F.col(base))).otherwise(none)).drop(held)
