@@ -24,6 +24,8 @@ BANDS, BAND_ROWS = 24, 3
 _DRAWS = np.array([[(0xD1B54A32D192ED03 * (i + 1)) & 0xFFFFFFFFFFFFFFFF] for i in range(BANDS * BAND_ROWS)], np.uint64)
 #: Classes of a bucket that one comparison holds; a larger bucket is cut in tiles, and every two tiles meet.
 TILE = 4096
+#: Differing bits of 6 x 64 that stand for a similarity of 0.8: 58 on average, 7 the deviation, so about one deviation more.
+MAX_BITS = 66
 #: Larger buckets that may be sent to every task; more are joined by shuffle.
 MAX_SENT = 200_000
 
@@ -251,12 +253,12 @@ def _near_prints(rows: DataFrame, shingle: int, tables: int) -> DataFrame:
     return rows.select("row", "own", "text").mapInArrow(run, f"row bigint, own {kind}, bits binary, bands array<bigint>")
 
 
-def keep_first(docs: DataFrame, shingle: int = 5, tables: int = 6, max_bits: int = 62, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, shingle: int = 5, tables: int = 6, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of docs, one of each group of copies and near copies: the one with the least id.
 
     Near copies are texts whose sets of 5-word shingles have a similarity of about 0.8 or
-    more, seen as at most 62 differing bits of 6 x 64 (0.8 gives 58 on average), linked
-    over chains; candidates are texts with a band of drawn shingles in common. Null texts count as empty and empty texts are copies of each other; a null
+    more, seen as at most MAX_BITS differing bits of 6 x 64 and linked over chains;
+    candidates are texts with a band of drawn shingles in common. Null texts count as empty and empty texts are copies of each other; a null
     id comes first; of rows repeated as a whole one stays; an empty table gives no rows.
     All columns are kept, and texts are shuffled once.
     """
