@@ -80,6 +80,15 @@ def _exps(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray | float]:
     return np.exp(logits), off
 
 
+def _rows(x: np.ndarray) -> np.ndarray:
+    """Sum of every row, as a product with ones, which is several times faster for narrow rows."""
+    return x @ np.ones(x.shape[1], x.dtype)
+
+
+def _columns(x: np.ndarray) -> np.ndarray:
+    return np.ones(len(x), x.dtype) @ x
+
+
 class Gru:
     """GRU over places with a softmax over classes and one over the slots of a class.
 
@@ -144,7 +153,7 @@ class Gru:
         logits = states @ p["class_w"] + p["class_b"]
         kind, order, cuts = self._by_class(places)
         exps, off = _exps(logits)
-        out = logits[np.arange(len(places)), kind] - np.log(exps.sum(axis=1))
+        out = logits[np.arange(len(places)), kind] - np.log(_rows(exps))
         out -= off[:, 0] if isinstance(off, np.ndarray) else off
         sorted_states, slot = states[order], places[order]
         for c in range(CLASSES):
@@ -152,7 +161,7 @@ class Gru:
             if a < b:
                 inner = sorted_states[a:b] @ p["slot_w"][c] + p["slot_b"][c]
                 exps, off = _exps(inner)
-                own = inner[np.arange(b - a), slot[a:b] - c * SLOTS] - np.log(exps.sum(axis=1))
+                own = inner[np.arange(b - a), slot[a:b] - c * SLOTS] - np.log(_rows(exps))
                 out[order[a:b]] += own - (off[:, 0] if isinstance(off, np.ndarray) else off)
         return out
 
@@ -194,40 +203,41 @@ class Gru:
         g = {name: np.zeros_like(v) for name, v in p.items()}
         kind, order, cuts = self._by_class(places)
         prob, _ = _exps(flat @ p["class_w"] + p["class_b"])
-        prob /= prob.sum(axis=1, keepdims=True)
+        prob /= _rows(prob)[:, None]
         prob[np.arange(len(kind)), kind] -= 1
-        g["class_w"], g["class_b"] = flat.T @ prob, prob.sum(axis=0)
+        g["class_w"], g["class_b"] = flat.T @ prob, _columns(prob)
         back = prob @ p["class_w"].T
         flat, slot, inner_back = flat[order], places[order], np.zeros_like(back)
         for c in range(CLASSES):
             a, b = cuts[c], cuts[c + 1]
             if a < b:
                 prob, _ = _exps(flat[a:b] @ p["slot_w"][c] + p["slot_b"][c])
-                prob /= prob.sum(axis=1, keepdims=True)
+                prob /= _rows(prob)[:, None]
                 prob[np.arange(b - a), slot[a:b] - c * SLOTS] -= 1
-                g["slot_w"][c], g["slot_b"][c] = flat[a:b].T @ prob, prob.sum(axis=0)
+                g["slot_w"][c], g["slot_b"][c] = flat[a:b].T @ prob, _columns(prob)
                 inner_back[a:b] = prob @ p["slot_w"][c].T
         back[order] += inner_back
         back = back.reshape(len(xs), -1, k)
         dh = np.zeros_like(h)
-        parts = []
+        da = np.empty((len(xs), len(h), 3 * k), flat.dtype)
+        gates, state = (np.ascontiguousarray(x.T) for x in (p["hidden"][:, : 2 * k], p["hidden"][:, 2 * k :]))
         for t in range(len(xs) - 1, -1, -1):
             before, z, r, c = kept[t]
             dh = dh + back[t]
-            dc = dh * z * (1 - c * c)
-            dz = dh * (c - before) * z * (1 - z)
-            drh = dc @ p["hidden"][:, 2 * k :].T
-            dr = drh * before * r * (1 - r)
-            da = np.concatenate((dz, dr, dc), axis=1)
-            parts.append(da)
-            g["hidden"][:, : 2 * k] += before.T @ da[:, : 2 * k]
-            g["hidden"][:, 2 * k :] += (r * before).T @ dc
-            dh = dh * (1 - z) + drh * r + da[:, : 2 * k] @ p["hidden"][:, : 2 * k].T
-        da, x = np.concatenate(parts[::-1]), xs.ravel()
+            dhz = dh * z
+            dc = dhz * (1 - c * c)
+            drh = dc @ state
+            both = np.concatenate((dhz * (c - before) * (1 - z), drh * before * r * (1 - r)), axis=1)
+            da[t, :, : 2 * k], da[t, :, 2 * k :] = both, dc
+            dh = dh - dhz + drh * r + both @ gates
+        da, x = da.reshape(-1, 3 * k), xs.ravel()
+        before, gate = np.concatenate([s[0] for s in kept]), np.concatenate([s[2] for s in kept])
+        g["hidden"][:, : 2 * k] = before.T @ da[:, : 2 * k]
+        g["hidden"][:, 2 * k :] = (gate * before).T @ da[:, 2 * k :]
         order = np.argsort(x, kind="stable")
         at = np.flatnonzero(np.diff(x[order], prepend=-1))
         g["embed"][x[order][at]] = np.add.reduceat(da[order], at)
-        g["bias"] = da.sum(axis=0)
+        g["bias"] = _columns(da)
         return g, h
 
 
