@@ -154,5 +154,29 @@ def test_recall_of_candidates_does_not_depend_on_strangers(spark):
     near = near_pairs(prints)
     assert len(near) >= 20 and any(all(((prints[a][t] ^ prints[b][t]) % 2**64).bit_count() > 6 for t in range(6)) for a, b in near)
     rows = [(i, " ".join(w)) for i, w in enumerate(words)]
-    kept = {r["doc_id"] for r in simhash.keep_first(spark.createDataFrame(rows, SCHEMA)).collect()}
+    kept = {r["doc_id"] for r in simhash.keep_first(spark.createDataFrame(rows, SCHEMA), max_bits=62).collect()}
     assert {i for i in range(len(rows))} - kept == {b for _, b in near}
+
+
+def test_limit_of_bits_against_shingle_sets():
+    """Of pairs whose sets of 5-word shingles are just 0.8 alike more than four in five lie within MAX_BITS; pairs of 0.5 hardly ever do."""
+    import numpy as np
+
+    rnd = random.Random(11)
+    words = [f"w{i}" for i in range(3000)]
+    within = {0.8: [], 0.5: []}
+    for _ in range(300):
+        text = rnd.choices(words, k=400)
+        for like, found in within.items():
+            other = list(text)
+            whole = set(simhash._shingles(" ".join(text), 5).tolist())
+            for at in rnd.sample(range(400), 400):  # change words until the sets are no more alike than that
+                before = list(other)
+                other[at] = rnd.choice(words)
+                own = set(simhash._shingles(" ".join(other), 5).tolist())
+                if len(whole & own) < like * len(whole | own):
+                    other = before
+                    break
+            prints = [np.array(simhash.text_fingerprints(" ".join(t), 5, 6), np.int64).view(np.uint64) for t in (text, other)]
+            found.append(int(np.bitwise_count(prints[0] ^ prints[1]).sum()) <= simhash.MAX_BITS)
+    assert np.mean(within[0.8]) > 0.8 and np.mean(within[0.5]) < 0.02
