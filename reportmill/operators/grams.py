@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 #: Characters of an n-gram; a shorter word is its own n-gram.
 GRAM = 4
 
@@ -59,3 +61,21 @@ def containing(words: DataFrame, texts: DataFrame, stored: DataFrame | None = No
     chosen = rarest(grams, stored)
     candidates = stored.join(chosen, "gram").select("word", "chunk_id")
     return texts.join(candidates, "chunk_id").filter(F.contains(F.col(text), F.col("word"))).select("word", *texts.columns)
+
+
+def token_postings(texts: DataFrame, text: str = "folded") -> DataFrame:
+    """(token, chunk_id) for every distinct run without white space of every text."""
+    return texts.filter(F.col(text).isNotNull()).select("chunk_id", F.explode(F.array_distinct(F.split(text, r"[ \t\n\x0b\f\r]+"))).alias("token"))
+
+
+def containing_words(words: DataFrame, texts: DataFrame, stored: DataFrame | None = None, text: str = "folded") -> DataFrame:
+    """`containing` for words without white space: such a word lies inside one token of a text.
+
+    The n-gram index is that of the distinct tokens. `stored` is a kept `token_postings` of
+    these texts; without it the texts are cut into tokens twice.
+    """
+    tokens = token_postings(texts, text) if stored is None else stored
+    vocabulary = materialise(tokens.select("token").distinct(), "vocabulary").select(F.col("token").alias("chunk_id"), F.col("token").alias(text))
+    inside = containing(words, vocabulary, None, text).select("word", F.col("chunk_id").alias("token"))
+    hits = tokens.join(inside, "token").select("word", "chunk_id").distinct()
+    return texts.join(hits, "chunk_id").select("word", *texts.columns)

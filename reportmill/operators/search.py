@@ -19,7 +19,7 @@ from ..functions.routing import NAME_STOP, keyword_score, keywords
 from ..functions.text import ascii_lower
 from ..functions.vocab import STATEMENT_METRICS
 from .buckets import Buckets
-from .grams import containing
+from .grams import containing_words
 
 FILTERS = ("report", "company_normalized", "year", "sector")
 QUESTION_BLOCK, CHUNK_BLOCK = 2048, 4096
@@ -175,15 +175,15 @@ def prepare_questions(questions: DataFrame) -> DataFrame:
 def keyword_top_k(prepared: DataFrame, chunks: DataFrame, k: int = TOP_K, postings: DataFrame | None = None) -> DataFrame:
     """(qid, chunk_id, ord, score, rank): best keyword scores, corpus order among equals.
 
-    A question meets only chunks that hold one of its words: postings give the candidates of a
-    word, its text decides. `postings` is a stored `grams.postings` of the chunks; without it
-    the ones that are needed are taken from the texts. Rows are the hits of a question's words,
+    A question meets only chunks that hold one of its words, which the posting lists of
+    `grams` tell. `postings` is a stored `grams.token_postings` of the chunks' folded texts;
+    without it the texts are cut into tokens. Rows are the hits of a question's words,
     so a word that most chunks hold costs as many rows; a hot word's join is split by Spark.
     """
     asked = prepared.select("qid", "f_report", "f_company", "f_years", "f_sector", F.explode("keywords").alias("k"))
     asked = asked.select("qid", "f_report", "f_company", "f_years", "f_sector", "k.word", "k.weight")
     texts = chunks.select("chunk_id", "ord", ascii_lower(F.col("text")).alias("folded"), *FILTERS)
-    hits = containing(asked.select("word"), texts, postings)
+    hits = containing_words(asked.select("word"), texts, postings)
     test = lambda wanted, has: (F.coalesce(wanted, F.lit("")) == "") | F.coalesce(F.col(has) == F.col(wanted), F.lit(False))
     years = F.coalesce(F.size("f_years"), F.lit(0)) <= 0
     seen = (

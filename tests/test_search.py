@@ -34,6 +34,17 @@ def test_words_are_found_anywhere(spark, seed):
     assert G.containing(asked.limit(0), frame).count() == 0 and G.containing(asked, frame.limit(0)).count() == 0
 
 
+def test_words_inside_tokens(spark):
+    rnd = random.Random(6)
+    frame = spark.createDataFrame(corpus(rnd, 150) + [("e", 999, "", "r", "s", "2018", None), ("w", 998, " \n", "r", "s", "2018", None)], CHUNKS).select("chunk_id", ascii_lower(F.col("text")).alias("folded"))
+    texts = {r["chunk_id"]: r["folded"] for r in frame.collect()}
+    words = ["information", "tion", "ab", "a", "", "netnet", "x.y", "(z)", "missing", None, "tion"]
+    want = {(w, c) for w in words for c, t in texts.items() if w is not None and t is not None and w in t}
+    for stored in (None, G.token_postings(frame)):
+        got = [(r["word"], r["chunk_id"]) for r in G.containing_words(spark.createDataFrame([(w,) for w in words], "word string"), frame, stored).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_the_rarest_gram_is_looked_up(spark):
     texts = spark.createDataFrame([(f"c{i}", "information" if i < 3 else "formation") for i in range(50)], "chunk_id string, folded string")
     grams = G.word_grams(spark.createDataFrame([("information",), ("unknown",)], "word string"))
