@@ -190,7 +190,10 @@ def keyword_top_k(prepared: DataFrame, chunks: DataFrame, k: int = TOP_K, postin
         test("f_report", "report") & test("f_company", "company_normalized") & test("f_sector", "sector")
         & (years | F.coalesce(F.array_contains("f_years", F.col("year")), F.lit(False)))
     )
-    scores = hits.drop("folded").join(asked, "word").filter(seen).groupBy("qid", "chunk_id").agg(F.min("ord").alias("ord"), F.sum("weight").alias("score"))
+    # The few weights of a question are added in the order of its words, so equal sets of words tie exactly.
+    found = F.sort_array(F.collect_list(F.struct("word", "weight")))
+    score = F.aggregate(found, F.lit(0.0), lambda a, k: a + k["weight"]).alias("score")
+    scores = hits.drop("folded").join(asked, "word").filter(seen).groupBy("qid", "chunk_id").agg(F.min("ord").alias("ord"), score)
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "ord")
     return scores.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
