@@ -126,7 +126,7 @@ def telling_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def _told(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(k, told) of the texts that hold telling terms: a map from the terms to their disclosure there.
+    """(k, told) of the texts that hold telling terms, a map from the terms to their disclosure there; marked to be sent to all tasks below MAX_SENT pairs.
 
     A term goes, wherever it stands, from every text that holds an entity it tells of. From
     REMOVE_AT on it stands for the entity itself and goes from all other texts as well.
@@ -136,8 +136,9 @@ def _told(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     strong = telling.filter(F.col("disclosure") >= REMOVE_AT).groupBy("term").agg(F.max("disclosure").alias("disclosure"))
     sent = F.broadcast(strong) if within(strong, MAX_SENT) else strong
     said = docs.select(_key(id_col, text_col).alias("k"), F.explode(F.array_distinct(words(_term(text_of(text_col))))).alias("term")).join(sent, "term")
-    rows = here.unionByName(said.select("k", "term", "disclosure")).groupBy("k", "term").agg(F.max("disclosure").alias("disclosure"))
-    return materialise(rows.groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("told")), "pii-terms")
+    rows = materialise(here.unionByName(said.select("k", "term", "disclosure")).groupBy("k", "term").agg(F.max("disclosure").alias("disclosure")), "pii-terms")
+    told = rows.groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("told"))
+    return F.broadcast(told) if within(rows, MAX_SENT) else told
 
 
 def _term_spans(text: Column, told: Column, base: Column) -> Column:
@@ -153,7 +154,7 @@ def _term_spans(text: Column, told: Column, base: Column) -> Column:
 def _found(docs: DataFrame, id_col: str, text_col: str, base: str, terms: str) -> DataFrame:
     """docs with columns of the given names for base spans and disclosing terms."""
     key, held = fresh(docs, "_key"), fresh(docs, "_told")
-    told = _told(docs, id_col, text_col).select(F.col("k").alias(key), F.col("told").alias(held))
+    told = _told(docs, id_col, text_col).withColumnsRenamed({"k": key, "told": held})
     rows = docs.withColumn(key, _key(id_col, text_col)).join(told, key, "left").drop(key)
     none = F.array().cast("array<struct<start:int,end:int,kind:int,value:string,disclosure:double>>")
     rows = rows.withColumn(base, base_spans(text_of(text_col)))
