@@ -269,33 +269,57 @@ class RateLimiter(StatefulProcessor):
         pass
 
 
+#: Groups that the users of a day are dealt to.
+USER_BUCKETS = 256
+
+
 class DailyQuota(StatefulProcessor):
-    """Accepts the first `quota` attempts of a (user, day); the count goes a day after the day."""
+    """Accepts the first `quota` attempts of a (user, day); the counts go a day after the day.
+
+    A group is a bucket of the users of one day, so that a call, a state and a timer serve many
+    users. Besides the counts it holds HELD rows and the attempts that may still be accepted.
+    """
 
     def __init__(self, quota: int) -> None:
         self.quota = quota
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.used = handle.getValueState("used", "n int")
+        self.used = handle.getValueState("used", "users array<bigint>, n array<int>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        used = self.used.get()[0] if self.used.exists() else 0
-        left = max(0, self.quota - used)
-        columns = ["attempt_id", "us"]
-        decided = lambda frame, accepted: frame[columns].assign(user_id=key[0], accepted=accepted)[["user_id", *columns, "accepted"]]
-        # The first `left` attempts so far are held back; all others are rejected at once.
-        first = None
+        day, bucket = key
+        known = self.used.exists()
+        used = dict(zip(*self.used.get())) if known else {}
+        columns = ["user_id", "attempt_id", "us"]
+        # The bucket -1 is that of the attempts without a user.
+        decided = lambda frame, accepted: frame.assign(accepted=accepted, **({"user_id": None} if bucket < 0 else {}))
+        # The first attempts so far of every user are held back; all others are rejected at once.
+        first, parts, size, moment = None, [], 0, None
+
+        def split() -> tuple[pd.DataFrame, pd.DataFrame]:
+            both = pd.concat(parts if first is None else [first, *parts]).sort_values(["user_id", "us", "attempt_id"], ignore_index=True)
+            left = self.quota - both["user_id"].map(used).fillna(0).to_numpy()
+            early = both.groupby("user_id").cumcount().to_numpy() < left
+            return both[early], both[~early]
+
         for part in rows:
-            both = part[columns] if first is None else pd.concat([first, part[columns]])
-            both = both.sort_values(["us", "attempt_id"], ignore_index=True)
-            first = both.iloc[:left]
-            if len(both) > left:
-                yield decided(both.iloc[left:], False)
-            day = int(both["us"].iloc[0]) // 86_400_000_000
-        if not self.used.exists():
-            self.handle.registerTimer((day + 2) * 86_400_000)
-        self.used.update((used + len(first),))
+            parts.append(part[columns])
+            size, moment = size + len(part), part["us"].iloc[0]
+            if size >= max(HELD, 0 if first is None else len(first)):
+                first, late = split()
+                parts, size = [], 0
+                if len(late):
+                    yield decided(late, False)
+        if parts:
+            first, late = split()
+            if len(late):
+                yield decided(late, False)
+        if not known and day is not None:
+            self.handle.registerTimer((int(moment) // 86_400_000_000 + 2) * 86_400_000)
+        for user, n in first.groupby("user_id").size().items():
+            used[user] = used.get(user, 0) + n
+        self.used.update(([int(u) for u in used], [int(n) for n in used.values()]))
         if len(first):
             yield decided(first, True)
 
@@ -322,10 +346,14 @@ def rate_limit_stream(hits: DataFrame, limit: int = RATE_LIMIT, window_seconds:
 def quota_stream(attempts: DataFrame, quota: int = DAILY_QUOTA, lateness: str = "1 hour") -> DataFrame:
     """Decisions for a stream of (user_id, attempt_id, ts). Needs the RocksDB state store."""
     attempts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    bucket = F.when(F.col("user_id").isNull(), -1).otherwise(F.pmod(F.xxhash64("user_id"), F.lit(USER_BUCKETS)).cast("int"))
     return (
         attempts.withWatermark("ts", lateness)
-        .select("user_id", "attempt_id", F.unix_micros("ts").alias("us"), F.to_date("ts").alias("day"), "ts")
-        .groupBy("user_id", "day")
+        .select(
+            F.coalesce("user_id", F.lit(0)).cast("bigint").alias("user_id"), "attempt_id", F.unix_micros("ts").alias("us"),
+            F.to_date("ts").alias("day"), bucket.alias("bucket"), "ts",
+        )
+        .groupBy("day", "bucket")
         .transformWithStateInPandas(
             DailyQuota(quota), "user_id BIGINT, attempt_id BIGINT, us BIGINT, accepted BOOLEAN", "append", "EventTime"
         )

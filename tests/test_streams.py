@@ -200,3 +200,30 @@ def test_daily_sketches_merge(spark, tmp_path):
         assert below - slack <= r["share"] * len(values) <= upto + slack
     counts = Counter(x[13][0] for x in inside if x[2] == "chat_message" and x[13][0])
     assert [(r["value"], r["count"]) for r in K.top_values(chats, "company", 5).collect()] == sorted(counts.items(), key=lambda c: (-c[1], c[0]))[:5]
+
+
+@pytest.mark.parametrize("held", [1 << 16, 20])
+def test_daily_quota_of_many_users_in_few_groups(spark, tmp_path, monkeypatch, held):
+    """A group of the state serves many users of a day, in any number of pieces and batches."""
+    monkeypatch.setattr(T, "HELD", held)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 30)
+    folder, out, check = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    rnd, attempts = random.Random(held), []
+    schema = "user_id bigint, attempt_id bigint, ts timestamp"
+    for batch in range(2):  # the second batch comes later on the same days' last one
+        part = [(rnd.choice([None, 0, *range(1, 400)]), 5000 * batch + i, datetime(2024, 1, 1 + rnd.randrange(2) * (1 - batch) + batch, 12 * batch, 0, rnd.randrange(50))) for i in range(2500)]
+        attempts += part
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    monkeypatch.setattr(T, "USER_BUCKETS", 8)
+    try:
+        finish(T.write_decisions(T.quota_stream(stream, 3, "2 days"), out, check))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    used, want = Counter(), {}
+    for user, attempt, ts in sorted(attempts, key=lambda a: (a[1] // 5000, a[2], a[1])):
+        used[user, ts.date()] += 1
+        want[attempt] = (user, used[user, ts.date()] <= 3)
+    assert {r["attempt_id"]: (r["user_id"], r["accepted"]) for r in spark.read.parquet(out).collect()} == want
+    state = spark.read.format("statestore").option("stateVarName", "used").load(check)
+    assert 2 <= state.count() <= 2 * (8 + 1)
