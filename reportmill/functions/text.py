@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 # Whitespace as Unicode text splitting sees it (wider than Java's \s).
 WS = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+# The same characters but the blank.
+WS_CHARS = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
 def _accent_table(form: str, keep) -> tuple[str, str]:

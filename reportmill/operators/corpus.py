@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import WS, let, squeeze, stem_slug
+from ..functions.text import WS_CHARS, let, squeeze, stem_slug
+from ..session import materialise, stored_small
 
 CHUNK_WORDS, CHUNK_OVERLAP = 300, 50
 TABLE_COLUMNS = 12
@@ -42,7 +43,8 @@ def page_body(text: Column, tables: Column, page: Column) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, f"{WS}+"), lambda w: w != "")
+    """The runs without white space: every white space becomes a blank first, as a split by one fixed character is fast."""
+    return F.array_remove(F.split(F.translate(text, WS_CHARS, " " * len(WS_CHARS)), " "), "")
 
 
 def window_count(n_words: Column, size: int = CHUNK_WORDS, overlap: int = CHUNK_OVERLAP) -> Column:
@@ -65,7 +67,7 @@ def chunk_words(text: Column, size: int = CHUNK_WORDS, overlap: int = CHUNK_OVER
 
 
 def page_offsets(counts: DataFrame) -> DataFrame:
-    """(report, page, n) to the number of chunks on earlier pages of the report.
+    """(report, page, n) to the number of chunks on earlier pages of the report; other columns stay.
 
     A two-level running sum: pages are summed per bucket of pages, buckets are summed per
     report, so a report with a large share of all pages is still many small groups.
@@ -73,7 +75,7 @@ def page_offsets(counts: DataFrame) -> DataFrame:
     bucketed = counts.withColumn("_b", F.floor(F.col("page") / PAGE_BUCKET))
     earlier = Window.partitionBy("report", "_b").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
     inside = bucketed.withColumn("_in", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    # The bucket sums reuse the exchange of the window, so words are counted once.
+    # `counts` is read for the sums of the pages and for those of the buckets.
     before = Window.partitionBy("report").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         inside.groupBy("report", "_b")
@@ -81,25 +83,28 @@ def page_offsets(counts: DataFrame) -> DataFrame:
         .withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .drop("_n")
     )
-    return inside.join(starts, ["report", "_b"]).select("report", "page", (F.col("_start") + F.col("_in")).alias("offset"))
+    rest = [c for c in counts.columns if c not in ("report", "page", "n")]
+    return inside.join(starts, ["report", "_b"]).select("report", "page", *rest, (F.col("_start") + F.col("_in")).alias("offset"))
 
 
 def chunk_pages(pages: DataFrame, size: int = CHUNK_WORDS, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """Pages (report, page, text[, tables, source]) to chunks (id, report, page, text, source).
 
     `id` counts over the pages of a report from 0. Rows that repeat a (report, page) are parts
-    of that page in the order of their text. Text is shuffled once, by (report, page).
+    of that page in the order of their text. Text is shuffled once, by (report, page), and cut
+    into words twice: for the counts, which are stored, and for the chunks.
     """
     df = pages
     if "tables" in pages.columns:
         df = df.withColumn("text", page_body(F.col("text"), real_tables(F.col("tables")), F.col("page")))
     source = F.col("source") if "source" in pages.columns else F.col("report")
     df = df.select("report", F.col("page").cast("int").alias("page"), source.alias("source"), F.coalesce("text", F.lit("")).alias("text"))
-    n = window_count(F.size(words_of(F.col("text"))), size, overlap)
-    counts = df.groupBy("report", "page").agg(F.sum(n).alias("n"))
+    n = let(F.size(words_of(F.col("text"))), lambda words: window_count(words, size, overlap))
+    counts = materialise(df.groupBy("report", "page").agg(F.sum(n).alias("n"), F.count(F.lit(1)).alias("rows")), "page-chunks")
+    # The texts are not sorted for the join; only the parts of a page are counted once more.
+    placed = df.join(page_offsets(counts).hint("shuffle_hash"), ["report", "page"])
     part = Window.partitionBy("report", "page").orderBy("text", "source").rowsBetween(Window.unboundedPreceding, -1)
-    placed = df.withColumn("part", F.coalesce(F.sum(n).over(part), F.lit(0)))
-    numbered = placed.join(page_offsets(counts), ["report", "page"])
+    numbered = placed.withColumn("part", F.coalesce(F.sum(F.when(F.col("rows") > 1, n)).over(part), F.lit(0)))
     return numbered.select(
         "report", "page", "source", (F.col("offset") + F.col("part")).alias("offset"), F.posexplode(chunk_words(F.col("text"), size, overlap)).alias("pos", "text")
     ).select((F.col("offset") + F.col("pos")).alias("id"), "page", "report", "text", "source")
@@ -209,6 +214,8 @@ def split_failures(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
         pages.withColumn("error", problem).filter(F.col("error").isNotNull())
         .groupBy("report").agg(F.min("error").alias("error"), F.count(F.lit(1)).alias("bad_pages"))
     )
+    # Sent to the pages while they are few, so that the texts are not shuffled.
+    bad = stored_small(bad, "bad-reports")
     return pages.join(bad.select("report"), "report", "left_anti"), bad
 
 

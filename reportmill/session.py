@@ -66,6 +66,12 @@ def within(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n")).first()["n"] <= max_rows
 
 
+def stored_small(df: DataFrame, name: str, max_rows: int = 100_000) -> DataFrame:
+    """A few computed rows for a join with a large table: stored, and sent to all tasks as long as they are few."""
+    stored = materialise(df, name)
+    return F.broadcast(stored) if within(stored, max_rows) else stored
+
+
 def beside(row: DataFrame, *others: DataFrame) -> DataFrame:
     """Put one-row results side by side, each as one scalar subquery instead of a join."""
     one = [o.select(F.struct(*o.columns)).scalar().alias(f"_row{i}") for i, o in enumerate(others)]
