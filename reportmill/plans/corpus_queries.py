@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import company_key, safe_folder, sector_key, squeeze, stem_slug
 from ..operators import corpus as C
 from ..operators import harvest as H
-from ..session import scratch_path
+from ..session import materialise, scratch_path
 from ..sources import files as S
 from ..sources.bucketed import BucketTable
 from . import inputs as I
@@ -19,7 +19,11 @@ WS_SQL = "[\\s\\x0b\\x1c-\\x1f\\x85\\xa0]+"
 
 def document_pages(spark, d):
     """Documents as pages: the source is the report, the document number its page."""
-    return I.spread_table(spark, d, "documents", "doc_id").select(
+    return pages_of(I.spread_table(spark, d, "documents", "doc_id"))
+
+
+def pages_of(docs):
+    return docs.select(
         F.col("source").alias("report"), (F.col("doc_id") + 1).cast("int").alias("page"), "text", F.col("source").alias("source")
     )
 
@@ -197,7 +201,8 @@ def _(spark, d):
     chunks = C.chunk_pages(document_pages(spark, d)).select(
         F.concat_ws("::", "report", F.col("id").cast("string")).alias("chunk_id"), "page", "text"
     )
-    old, new = _chunk_versions(chunks)
+    # The upsert reads the new rows several times.
+    old, new = _chunk_versions(materialise(chunks, "numbered-chunks"))
     table = BucketTable(spark, scratch_path(spark, "chunks"), old.schema, ["chunk_id"])
     table.create(old)
     table.replace(new)

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import scratch_path, stored_small
 from ..streaming import feeds as T
 from . import inputs as I
 from .account_queries import RATE_SQL
 from .catalog import query
-from .corpus_queries import document_pages
+from .corpus_queries import pages_of
 
 
 def _stream(spark, d, name):
@@ -42,16 +42,16 @@ def _finish(q):
 )
 def _(spark, d):
     folder, out, check = (scratch_path(spark, n) for n in ("pages-in", "index", "ck"))
-    pages = document_pages(spark, d).withColumn("mtime", F.lit("2024-01-01").cast("timestamp")).withColumn("stem", F.col("report"))
+    pages = pages_of(I.table(spark, d, "documents")).withColumn("mtime", F.lit("2024-01-01").cast("timestamp")).withColumn("stem", F.col("report"))
     # The folder gets a report's pages over several files and batches, then half of them again.
-    pages.repartition(6, F.xxhash64("page")).write.partitionBy("stem").json(folder)
+    pages.repartition(6, F.xxhash64("page")).write.partitionBy("stem").json(folder, compression="gzip")
     files = len(spark.read.schema(T.PAGE_SCHEMA).json(folder).inputFiles())
     watch = lambda: _finish(T.watch_reports(spark, folder, out, check, every=None, files_per_batch=max(1, files // 3)))
     watch()
     again = pages.filter(F.col("report").rlike("[02468]$"))
-    again.hint("rebalance", "report").write.mode("append").partitionBy("stem").json(folder)
+    again.hint("rebalance", "report").write.mode("append").partitionBy("stem").json(folder, compression="gzip")
     watch()
-    pages = T.indexed_reports(spark, out).select(F.col("stem").alias("report"), "pages")
+    pages = stored_small(T.indexed_reports(spark, out).select(F.col("stem").alias("report"), "pages"), "report-pages")
     chunks = T.indexed_chunks(spark, out).join(pages, "report")
     return chunks.select(F.concat_ws("::", "report", F.col("id").cast("string")).alias("chunk_id"), "report", "page", "id", "text", "pages")
 

@@ -16,15 +16,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
+from ..session import stored_small
+
 Merge = Callable[[DataFrame], DataFrame]
 BUCKETS, FAN = 16, 8
 _NAME = re.compile(r"run=(\d+)-(\d+)-(\d+)")
 
 
 def newest(*keys: str) -> Merge:
-    """Rows of a key's last batch; a key may have many rows."""
+    """Rows of a key's last batch; a key may have many rows, which are not shuffled while the keys are few."""
     def merge(rows: DataFrame) -> DataFrame:
-        last = rows.groupBy(*keys).agg(F.max("batch").alias("batch"))
+        last = stored_small(rows.groupBy(*keys).agg(F.max("batch").alias("batch")), "newest")
         return rows.join(last, [*keys, "batch"], "left_semi").select(*rows.columns)
 
     return merge
@@ -113,7 +115,7 @@ class RunTable:
         if "batch" in self.schema.names and "batch" not in rows.columns:
             rows = rows.withColumn("batch", F.lit(run.last).cast("bigint"))
         rows = rows.select(*self.schema.names).withColumn("bucket", self.bucket())
-        rows.repartition("bucket").sortWithinPartitions("bucket", self.bucket_by).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{run.name}")
+        rows.repartition("bucket").sortWithinPartitions("bucket", self.bucket_by).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{run.name}", compression="zstd")
 
     def add(self, rows: DataFrame, batch: int) -> None:
         """The rows of a batch, then a fold where enough earlier runs have gathered."""

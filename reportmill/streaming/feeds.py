@@ -22,6 +22,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from ..operators.accounts import DAILY_QUOTA, RATE_LIMIT, RATE_WINDOW_SECONDS
 from ..operators.corpus import chunk_pages, pending_sources, report_stats, split_failures
 from ..operators.events import _blank, enrich_events
+from ..session import stored_small
 from ..sources.runs import RunTable, every_row, folded, newest
 
 PAGE_SCHEMA = "report STRING, page INT, text STRING, source STRING, mtime TIMESTAMP"
@@ -65,12 +66,12 @@ def watch_reports(spark: SparkSession, folder: str, out: str, checkpoint: str, e
         fresh = batch.withColumn("stem", F.col("report"))
         fresh = pending_sources(fresh, fresh.select("stem").filter(F.lit(False)), tables["failed"].read(batch, "report", number))
         good, bad = split_failures(fresh)
-        new = good.select("report", "page", "text", "source").distinct().join(stored.select("report", "page"), ["report", "page"], "left_anti")
+        new = good.select("report", "page", "text", "source").join(stored.select("report", "page"), ["report", "page"], "left_anti").distinct()
         times = fresh.groupBy("stem").agg(F.max("mtime").alias("mtime"))
         tables["failed"].add(bad.select(F.col("report").alias("stem"), "error").join(times, "stem"), number)
         tables["pages"].add(new, number)
         batch.unpersist()
-        changed = tables["pages"].batch(number).select("report").distinct()
+        changed = stored_small(tables["pages"].batch(number).select("report").distinct(), "changed")
         both = tables["pages"].read(changed, "report", number + 1)
         tables["chunks"].add(chunk_pages(both.join(changed, "report", "left_semi")), number)
         chunks = tables["chunks"].batch(number)
