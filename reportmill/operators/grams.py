@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import materialise, stored_small
 
 #: Characters of an n-gram; a shorter word is its own n-gram.
 GRAM = 4
@@ -72,10 +72,11 @@ def containing_words(words: DataFrame, texts: DataFrame, stored: DataFrame | Non
     """`containing` for words without white space: such a word lies inside one token of a text.
 
     The n-gram index is that of the distinct tokens. `stored` is a kept `token_postings` of
-    these texts; without it the texts are cut into tokens twice.
+    these texts; without it the texts are cut into tokens twice. The tokens that hold a word
+    are sent to the texts while they are few, so that the lists of all texts are not shuffled.
     """
     tokens = token_postings(texts, text) if stored is None else stored
     vocabulary = materialise(tokens.select("token").distinct(), "vocabulary").select(F.col("token").alias("chunk_id"), F.col("token").alias(text))
-    inside = containing(words, vocabulary, None, text).select("word", F.col("chunk_id").alias("token"))
+    inside = stored_small(containing(words, vocabulary, None, text).select("word", F.col("chunk_id").alias("token")), "word-tokens")
     hits = tokens.join(inside, "token").select("word", "chunk_id").distinct()
     return texts.join(hits, "chunk_id").select("word", *texts.columns)

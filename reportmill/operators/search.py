@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.routing import NAME_STOP, keyword_score, keywords
 from ..functions.text import ascii_lower
 from ..functions.vocab import STATEMENT_METRICS
+from ..session import stored_small
 from .buckets import Buckets
 from .grams import containing_words
 
@@ -231,8 +232,10 @@ def hybrid_rank(prepared: DataFrame, chunks: DataFrame, nearest: DataFrame, k: i
 
     `nearest` is (qid, chunk_id, ord, distance). A chunk without distance that ranks among
     the first k also ranks among the first k by (score, order) alone, so the keyword top-k
-    plus the scored neighbours hold every candidate.
+    plus the scored neighbours hold every candidate. The neighbours are stored, and sent to the
+    chunks while they are few, so that the texts are not shuffled.
     """
+    nearest = stored_small(nearest.select("qid", "chunk_id", "ord", "distance"), "nearest")
     by_words = keyword_top_k(prepared, chunks, k, postings).select("qid", "chunk_id", "ord", "score")
     scored = (
         nearest.join(chunks.select("chunk_id", "text"), "chunk_id")

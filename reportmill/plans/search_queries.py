@@ -9,6 +9,7 @@ from ..functions.text import ascii_lower, halved_if_doubled
 from ..operators import search as R
 from ..operators.buckets import fit
 from ..operators.corpus import chunk_words
+from ..session import materialise, stored_small
 from . import inputs as I
 from .catalog import cte, query
 from .financial_queries import WORDS, fold_sql
@@ -88,14 +89,19 @@ def _near(spark, d, prepared, chunks):
     return R.best_distance(R.vector_top_k(_vectors(spark, d, prepared), chunks, K))
 
 
+def stored_corpus(spark, d):
+    """The chunks, cut once, for queries that read them several times."""
+    return materialise(corpus(spark, d), "corpus")
+
+
 def _ranked(spark, d):
-    prepared, chunks = R.prepare_questions(asked(spark, d)), corpus(spark, d)
+    prepared, chunks = R.prepare_questions(asked(spark, d)), stored_corpus(spark, d)
     return R.hybrid_rank(prepared, chunks, _near(spark, d, prepared, chunks), K), chunks
 
 
 def _hits(spark, d):
     ranked, chunks = _ranked(spark, d)
-    return ranked.join(chunks.drop("ord", "embedding"), "chunk_id")
+    return stored_small(ranked, "ranked").join(chunks.drop("ord", "embedding"), "chunk_id")
 
 
 # ---- questions over companies ---------------------------------------------------------
@@ -232,7 +238,7 @@ def _(spark, d):
     uses=("scored",),
 )
 def _(spark, d):
-    df = R.keyword_top_k(R.prepare_questions(asked(spark, d)), corpus(spark, d), K)
+    df = R.keyword_top_k(R.prepare_questions(asked(spark, d)), stored_corpus(spark, d), K)
     return df.select("qid", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
