@@ -95,6 +95,12 @@ def unit_of(text: Column, word_boundary: bool = False) -> Column:
     return let(squeeze(F.lower(text)), hit)
 
 
+# How most numbers are printed: digits in groups with an optional decimal comma, a unit word and a
+# closing note; in brackets they are negative. Group 1 is the number, which needs no further care.
+_DIGITS = r" *+[0-9][0-9 ]*+(?:,[0-9]++)?+"
+_UNIT, _NOTE = rf" *+(?i:{TRAILING_UNIT})?", r" *+(?:\([^)0-9-]++\))?"
+_PRINTED = rf"^(-?{_DIGITS}){_UNIT}{_NOTE}$"
+_IN_BRACKETS = rf"^\( *+-?({_DIGITS}){_UNIT} *+\){_NOTE}$"
 # Marks put into a number while its separators are sorted out.
 _MARK = "\x01"
 
@@ -107,14 +113,14 @@ def parse_number(text: Column, nbsp_as_space: bool = False) -> Column:
     """
     if nbsp_as_space:
         text = F.translate(text, "\u00a0\u202f", "  ")
-    # Digits in groups with an optional decimal comma need no further care.
-    simple = r"^-?[0-9][0-9 ]*(,[0-9]+)?$"
-    return let(
-        strip(text),
-        lambda t: F.when(F.regexp_like(t, F.lit(simple)), F.translate(t, ", ", ".").try_cast("double")).otherwise(
-            _parse_any(t)
-        ),
-    )
+    def read(t):
+        bracket = F.startswith(t, F.lit("("))
+        digits = F.when(bracket, F.regexp_extract(t, _IN_BRACKETS, 1)).otherwise(F.regexp_extract(t, _PRINTED, 1))
+        number = lambda d: F.concat(F.when(bracket, "-").otherwise(""), F.translate(d, ", ", ".")).try_cast("double")
+        # No rule of `_parse_any` makes a number of a text without digits.
+        return let(digits, lambda d: F.when(d != "", number(d)).when(F.regexp_like(t, F.lit("[0-9]")), _parse_any(t)))
+
+    return let(strip(text), read)
 
 
 def _parse_any(x: Column) -> Column:

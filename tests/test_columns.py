@@ -1,3 +1,4 @@
+import random
 import unicodedata
 import re
 
@@ -5,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from reportmill.functions.checks import balance_check, income_check
+from reportmill.functions import numbers
 from reportmill.functions.clients import is_private_ip, normalise_ip
 from reportmill.functions.numbers import parse_number, parse_value, unit_of
-from reportmill.functions.text import company_key, fold, halved_if_doubled, safe_folder, slug, stem_slug
+from reportmill.functions.text import company_key, fold, halved_if_doubled, safe_folder, slug, stem_slug, strip
 from reportmill.functions.vocab import metric_of
 from reportmill.operators.facts import fact_confidence
 
@@ -28,6 +30,18 @@ def test_numbers(spark):
     assert one(spark, ["1 245,5"], parse_number(F.col("x"), nbsp_as_space=True)) == [1245.5]
 
 
+def test_printed_numbers_need_no_care(spark, monkeypatch):
+    """Units, closing notes and brackets are read at once, to what the rules for any text make of them."""
+    rnd = random.Random(2)
+    parts = ["", "", "(", "-", " ", "- "], ["1", "12 345", "0", "7,", "3,25", "1.5", ",5", ""], ["", " ", "  "], ["", "MDH", " %", "Dh", "mille"], ["", ")", " )", "*"], ["", " (x)", "(y z) ", " (1)", "(-)", "\n"]
+    texts = ["".join(rnd.choice(p) for p in parts) for _ in range(3000)]
+    got = one(spark, texts, parse_number(F.col("x")).cast("string"))
+    assert got == one(spark, texts, numbers._parse_any(strip(F.col("x"))).cast("string"))
+    monkeypatch.setattr(numbers, "_parse_any", lambda x: F.lit(-99.0))
+    printed = {"1 245,5": 1245.5, "-12": -12.0, "(1 245,50)": -1245.5, "( -5 kdh ) (note)": -5.0, "12,5 MDH (estimé)": 12.5, "12 %": 12.0, "néant": None, "": None, "1.245": -99.0}
+    assert one(spark, list(printed), parse_number(F.col("x"))) == list(printed.values())
+
+
 def test_units(spark):
     cases = {
         "Montants en MAD": ("MAD", 1.0), "en milliers de dirhams": ("KMAD", 1e3), "En Millions de MAD": ("MMAD", 1e6),
