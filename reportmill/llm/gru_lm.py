@@ -20,8 +20,10 @@ CLASSES, SLOTS = 48, 64
 HIDDEN = 16
 #: Words whose counts are sent to every task: a fixed bound of 8 MiB.
 SENT = 1 << 19
-#: Documents walked side by side.
-SIDE_BY_SIDE = 4096
+#: Leading bits of a hash by which its place among the sent words is found.
+LEADING = 20
+#: Documents walked side by side, and states that are kept until their words are scored together.
+SIDE_BY_SIDE, KEPT = 4096, 1 << 15
 #: Every teaching row is learned once, in one of ROUNDS; weights of all tasks are averaged after each.
 ROUNDS, RATE = 3, 0.01
 #: Tokens of a stream that one update looks back over, the most streams, and updates a batch should make at least.
@@ -57,27 +59,44 @@ class Vocabulary:
         self.places[top] = np.arange(len(top))
         self.n_top = int(self.counts[top].sum())
         self.v_top = len(top)
+        self.firsts = np.searchsorted(self.hashes, np.arange(1 << LEADING, dtype=np.uint64) << np.uint64(64 - LEADING)).astype(np.int32)
 
     def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place, count) per hash; a hash that is not sent has place OTHER and count -1."""
         if not len(self.hashes):
             return np.full(len(h), self.OTHER, np.int32), np.full(len(h), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        at = self.firsts[(h >> np.uint64(64 - LEADING)).astype(np.int64)]
+        # Few words share their leading bits, so a few steps lead to the first that is not less.
+        behind = np.arange(len(h))
+        while len(behind):
+            here = at[behind]
+            behind = behind[(here < len(self.hashes)) & (self.hashes[np.minimum(here, len(self.hashes) - 1)] < h[behind])]
+            at[behind] += 1
+        at = np.minimum(at, len(self.hashes) - 1)
         held = self.hashes[at] == h
         return np.where(held, self.places[at], self.OTHER).astype(np.int32), np.where(held, self.counts[at], -1)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    x = np.negative(x)
+    np.exp(x, out=x)
+    x += 1
+    return np.divide(1, x, out=x)
 
 
-def _exps(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray | float]:
-    """(exponentials, what was taken off each row first): nothing as long as they cannot overflow."""
+def _exps(logits: np.ndarray, small: bool = False) -> tuple[np.ndarray, np.ndarray | float]:
+    """(exponentials in the place of logits, what was taken off each row first): nothing as long as they cannot overflow."""
     off: np.ndarray | float = 0.0
-    if logits.size and (logits.max() > 60 or logits.min() < -60):
+    if not small and logits.size and (logits.max() > 60 or logits.min() < -60):
         off = logits.max(axis=1, keepdims=True)
-        logits = logits - off
-    return np.exp(logits), off
+        logits -= off
+    return np.exp(logits, out=logits), off
+
+
+def _small(states: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> bool:
+    """Whether no logit of these states can be beyond 60, which spares a look at each."""
+    most = float(np.abs(states).max()) if states.size else 0.0
+    return bool((most * np.abs(weights).sum(axis=-2) + np.abs(bias)).max() <= 60)
 
 
 def _rows(x: np.ndarray) -> np.ndarray:
@@ -135,11 +154,19 @@ class Gru:
     def step(self, h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
         """Next state, with what back-propagation needs."""
         p, k = self.p, HIDDEN
-        a = p["embed"][x] + p["bias"]
+        a = p["embed"].take(x, axis=0)
+        a += p["bias"]
         u = h @ p["hidden"][:, : 2 * k]
-        z, r = _sigmoid(a[:, :k] + u[:, :k]), _sigmoid(a[:, k : 2 * k] + u[:, k:])
-        c = np.tanh(a[:, 2 * k :] + (r * h) @ p["hidden"][:, 2 * k :])
-        return h + z * (c - h), z, r, c
+        u += a[:, : 2 * k]
+        gates = _sigmoid(u)
+        z, r = gates[:, :k], gates[:, k:]
+        c = (r * h) @ p["hidden"][:, 2 * k :]
+        c += a[:, 2 * k :]
+        np.tanh(c, out=c)
+        new = c - h
+        new *= z
+        new += h
+        return new, z, r, c
 
     def _by_class(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(class of each place, order by class, where each class begins and the last ends)."""
@@ -150,25 +177,31 @@ class Gru:
     def log_probs(self, states: np.ndarray, places: np.ndarray) -> np.ndarray:
         """Natural log probability of each place (its class only for words without one)."""
         p = self.p
-        logits = states @ p["class_w"] + p["class_b"]
+        logits = states @ p["class_w"]
+        logits += p["class_b"]
         kind, order, cuts = self._by_class(places)
-        exps, off = _exps(logits)
-        out = logits[np.arange(len(places)), kind] - np.log(_rows(exps))
+        out = logits[np.arange(len(places)), kind]
+        exps, off = _exps(logits, _small(states, p["class_w"], p["class_b"]))
+        out -= np.log(_rows(exps))
         out -= off[:, 0] if isinstance(off, np.ndarray) else off
         sorted_states, slot = states[order], places[order]
+        small = _small(states, p["slot_w"], p["slot_b"])
         for c in range(CLASSES):
             a, b = cuts[c], cuts[c + 1]
             if a < b:
-                inner = sorted_states[a:b] @ p["slot_w"][c] + p["slot_b"][c]
-                exps, off = _exps(inner)
-                own = inner[np.arange(b - a), slot[a:b] - c * SLOTS] - np.log(_rows(exps))
+                inner = sorted_states[a:b] @ p["slot_w"][c]
+                inner += p["slot_b"][c]
+                own = inner[np.arange(b - a), slot[a:b] - c * SLOTS]
+                exps, off = _exps(inner, small)
+                own -= np.log(_rows(exps))
                 out[order[a:b]] += own - (off[:, 0] if isinstance(off, np.ndarray) else off)
         return out
 
     def totals(self, places: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Log likelihood of whole documents: the state is carried from window to window.
 
-        Documents are walked side by side from the longest on; one that ends drops out.
+        Documents are walked side by side from the longest on; one that ends drops out. Words are
+        scored when KEPT states have come together, however few documents are still under way.
         """
         order = np.argsort(-counts, kind="stable")
         starts = (np.cumsum(counts) - counts)[order]
@@ -176,16 +209,19 @@ class Gru:
         out = np.zeros(len(counts))
         h = np.zeros((len(counts), HIDDEN), np.float32)
         x = np.full(len(counts), Vocabulary.OTHER, np.int32)
-        for at in range(0, int(lengths[0]) if len(lengths) else 0, WINDOW):
-            states, said, whose = [], [], []
-            for t in range(at, min(at + WINDOW, int(lengths[0]))):
-                n = int(np.searchsorted(-lengths, -t, side="left"))
-                h = self.step(h[:n], x[:n])[0]
-                x = places[starts[:n] + t]
-                states.append(h)
-                said.append(x)
-                whose.append(np.arange(n))
-            out += np.bincount(np.concatenate(whose), self.log_probs(np.concatenate(states), np.concatenate(said)), minlength=len(out))
+        states, said, whose, kept = [], [], [], 0
+        n_by_step = np.searchsorted(-lengths, -np.arange(int(lengths[0]) if len(lengths) else 0), side="left")
+        for t, n in enumerate(n_by_step.tolist()):
+            h = self.step(h[:n], x[:n])[0]
+            x = places[starts[:n] + t]
+            states.append(h)
+            said.append(x)
+            whose.append(n)
+            kept += n
+            if kept >= KEPT or t + 1 == len(n_by_step):
+                owner = np.concatenate([np.arange(n) for n in whose])
+                out += np.bincount(owner, self.log_probs(np.concatenate(states), np.concatenate(said)), minlength=len(out))
+                states, said, whose, kept = [], [], [], 0
         result = np.zeros(len(counts))
         result[order] = out
         return result
@@ -202,16 +238,21 @@ class Gru:
         flat, places = np.concatenate(states), ys.ravel()
         g = {name: np.zeros_like(v) for name, v in p.items()}
         kind, order, cuts = self._by_class(places)
-        prob, _ = _exps(flat @ p["class_w"] + p["class_b"])
+        prob = flat @ p["class_w"]
+        prob += p["class_b"]
+        prob, _ = _exps(prob, _small(flat, p["class_w"], p["class_b"]))
         prob /= _rows(prob)[:, None]
         prob[np.arange(len(kind)), kind] -= 1
         g["class_w"], g["class_b"] = flat.T @ prob, _columns(prob)
         back = prob @ p["class_w"].T
-        flat, slot, inner_back = flat[order], places[order], np.zeros_like(back)
+        small = _small(flat, p["slot_w"], p["slot_b"])
+        flat, slot, inner_back = flat.take(order, axis=0), places.take(order), np.zeros_like(back)
         for c in range(CLASSES):
             a, b = cuts[c], cuts[c + 1]
             if a < b:
-                prob, _ = _exps(flat[a:b] @ p["slot_w"][c] + p["slot_b"][c])
+                prob = flat[a:b] @ p["slot_w"][c]
+                prob += p["slot_b"][c]
+                prob, _ = _exps(prob, small)
                 prob /= _rows(prob)[:, None]
                 prob[np.arange(b - a), slot[a:b] - c * SLOTS] -= 1
                 g["slot_w"][c], g["slot_b"][c] = flat[a:b].T @ prob, _columns(prob)
@@ -221,22 +262,26 @@ class Gru:
         dh = np.zeros_like(h)
         da = np.empty((len(xs), len(h), 3 * k), flat.dtype)
         gates, state = (np.ascontiguousarray(x.T) for x in (p["hidden"][:, : 2 * k], p["hidden"][:, 2 * k :]))
+        before, z, r, c = (np.stack(part) for part in zip(*kept))
+        to_c, to_z, to_r, on = z * (1 - c * c), (c - before) * z * (1 - z), before * r * (1 - r), 1 - z
         for t in range(len(xs) - 1, -1, -1):
-            before, z, r, c = kept[t]
             dh = dh + back[t]
-            dhz = dh * z
-            dc = dhz * (1 - c * c)
+            dc = np.multiply(dh, to_c[t], out=da[t, :, 2 * k :])
             drh = dc @ state
-            both = np.concatenate((dhz * (c - before) * (1 - z), drh * before * r * (1 - r)), axis=1)
-            da[t, :, : 2 * k], da[t, :, 2 * k :] = both, dc
-            dh = dh - dhz + drh * r + both @ gates
+            both = da[t, :, : 2 * k]
+            np.multiply(dh, to_z[t], out=both[:, :k])
+            np.multiply(drh, to_r[t], out=both[:, k:])
+            dh *= on[t]
+            drh *= r[t]
+            dh += drh
+            dh += both @ gates
         da, x = da.reshape(-1, 3 * k), xs.ravel()
-        before, gate = np.concatenate([s[0] for s in kept]), np.concatenate([s[2] for s in kept])
+        before, gate = before.reshape(-1, k), r.reshape(-1, k)
         g["hidden"][:, : 2 * k] = before.T @ da[:, : 2 * k]
         g["hidden"][:, 2 * k :] = (gate * before).T @ da[:, 2 * k :]
-        order = np.argsort(x, kind="stable")
+        order = np.argsort(x.astype(np.int16), kind="stable")
         at = np.flatnonzero(np.diff(x[order], prepend=-1))
-        g["embed"][x[order][at]] = np.add.reduceat(da[order], at)
+        g["embed"][x[order][at]] = np.add.reduceat(da.take(order, axis=0), at)
         g["bias"] = _columns(da)
         return g, h
 

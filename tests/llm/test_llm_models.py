@@ -95,6 +95,27 @@ def test_gru_gradients(monkeypatch):
         assert g[name][at] == pytest.approx((up - down) / 2e-5, rel=1e-4), name
 
 
+def test_gru_scores_the_tail_of_a_long_text_at_once(monkeypatch):
+    """Few documents under way: their words are scored when enough have come together."""
+    rng, calls, score = np.random.default_rng(5), [], gru_lm.Gru.log_probs
+    model, counts = gru_lm.Gru(), np.array([1, 2000, 40])
+    places = rng.integers(0, gru_lm.Vocabulary.OTHER + 1, counts.sum())
+    monkeypatch.setattr(gru_lm.Gru, "log_probs", lambda self, states, said: calls.append(len(said)) or score(self, states, said))
+    at_once = model.totals(places, counts)
+    assert calls == [counts.sum()]
+    monkeypatch.setattr(gru_lm, "KEPT", 7)
+    assert model.totals(places, counts) == pytest.approx(at_once, rel=1e-5) and sum(calls) == 2 * counts.sum()
+
+
+def test_places_of_words_with_equal_leading_bits():
+    rng = np.random.default_rng(6)
+    hashes = np.unique(np.concatenate((rng.integers(0, 1 << 64, 500, np.uint64), np.arange(40, dtype=np.uint64), ~np.arange(40, dtype=np.uint64))))
+    rng.shuffle(hashes)
+    held, out = hashes[:300], hashes[300:]
+    vocabulary = gru_lm.Vocabulary(held, np.arange(1, 301))
+    assert vocabulary.look_up(held)[1].tolist() == list(range(1, 301)) and set(vocabulary.look_up(out)[1].tolist()) == {-1}
+
+
 def test_whole_documents_one_by_one():
     """Documents walked side by side have the likelihood they have alone, whatever the window."""
     model, rng = gru_lm.Gru(), np.random.default_rng(4)
