@@ -263,15 +263,19 @@ class Gru:
         da = np.empty((len(xs), len(h), 3 * k), flat.dtype)
         gates, state = (np.ascontiguousarray(x.T) for x in (p["hidden"][:, : 2 * k], p["hidden"][:, 2 * k :]))
         before, z, r, c = (np.stack(part) for part in zip(*kept))
-        to_c, to_z, to_r, on = z * (1 - c * c), (c - before) * z * (1 - z), before * r * (1 - r), 1 - z
+        slope, moved, on, off = 1 - c * c, c - before, 1 - z, 1 - r
         for t in range(len(xs) - 1, -1, -1):
             dh = dh + back[t]
-            dc = np.multiply(dh, to_c[t], out=da[t, :, 2 * k :])
+            dhz = dh * z[t]
+            dc, both = da[t, :, 2 * k :], da[t, :, : 2 * k]
+            np.multiply(dhz, slope[t], out=dc)
             drh = dc @ state
-            both = da[t, :, : 2 * k]
-            np.multiply(dh, to_z[t], out=both[:, :k])
-            np.multiply(drh, to_r[t], out=both[:, k:])
-            dh *= on[t]
+            np.multiply(dhz, moved[t], out=both[:, :k])
+            both[:, :k] *= on[t]
+            np.multiply(drh, before[t], out=both[:, k:])
+            both[:, k:] *= r[t]
+            both[:, k:] *= off[t]
+            dh -= dhz
             drh *= r[t]
             dh += drh
             dh += both @ gates
