@@ -23,11 +23,14 @@ FLIPPED = 10
 SEED = 11
 
 
-def _matrix(vectors, metric: str) -> np.ndarray:
-    x = np.stack([np.asarray(v, np.float64) for v in vectors])
+def as_rows(x: np.ndarray, metric: str) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) if metric == "cosine" else x
 
 
+def _matrix(vectors, metric: str) -> np.ndarray:
+    return as_rows(np.stack([np.asarray(v, np.float64) for v in vectors]), metric)
+
+
 @dataclass(frozen=True)
 class Buckets:
     """Directions (bands x bits x length), thresholds (bands x bits) and probes per band."""
@@ -46,40 +49,82 @@ class Buckets:
     def buckets(self, sides: np.ndarray) -> np.ndarray:
         return (sides > 0) @ (1 << np.arange(sides.shape[2]))
 
-    def probe(self, sides: np.ndarray, probes: int) -> np.ndarray:
-        """Buckets by rising sum of squared distances of the bits that differ: rows x bands x probes."""
+    @property
+    def bits(self) -> int:
+        return self.thresholds.shape[1]
+
+    def _costs(self, sides: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sets of differing bits, the bits nearest to their threshold, and the sum of squared distances of each set."""
         flipped = min(sides.shape[2], FLIPPED)
         masks = (np.arange(1 << flipped)[:, None] >> np.arange(flipped)) & 1
+        nearest = np.argsort(np.abs(sides), axis=2, kind="stable")[:, :, :flipped]
+        return masks, nearest, np.take_along_axis(sides, nearest, 2) ** 2 @ masks.T
+
+    def probe(self, sides: np.ndarray, probes: int) -> np.ndarray:
+        """Buckets by rising sum of squared distances of the bits that differ: rows x bands x probes."""
         found = []
         for at in range(0, len(sides), 64):
             part = sides[at : at + 64]
-            nearest = np.argsort(np.abs(part), axis=2, kind="stable")[:, :, :flipped]
-            cost = np.take_along_axis(part, nearest, 2) ** 2 @ masks.T
+            masks, nearest, cost = self._costs(part)
             chosen = np.argsort(cost, axis=2, kind="stable")[:, :, :probes]
             flips = (masks[chosen] << nearest[:, :, None, :]).sum(axis=3)
             found.append(self.buckets(part)[:, :, None] ^ flips)
         return np.concatenate(found)
 
-    def _listed(self, vectors: Column, probes: int) -> Column:
+    def reach(self, sides: np.ndarray) -> np.ndarray:
+        """The cost of the last bucket that is probed: rows x bands."""
+        found = []
+        for at in range(0, len(sides), 64):
+            cost = self._costs(sides[at : at + 64])[2]
+            found.append(np.partition(cost, self.probes - 1, axis=2)[:, :, self.probes - 1])
+        return np.concatenate(found)
+
+    def within(self, sides: np.ndarray, reach: np.ndarray, buckets: np.ndarray, fixed: int | None = None) -> np.ndarray:
+        """Whether a question probes a bucket of one band, or any that shares its first `fixed` bits: rows x buckets."""
+        cost, bits = sides**2, sides.shape[1] if fixed is None else fixed
+        if sides.shape[1] > FLIPPED:
+            far = np.argsort(np.abs(sides), axis=1, kind="stable")[:, FLIPPED:]
+            np.put_along_axis(cost, far, np.finfo(np.float64).max / MAX_BITS, 1)
+        up, theirs = sides[:, :bits] > 0, (buckets[:, None] >> np.arange(bits)) & 1
+        cost = np.hstack([np.where(up, cost[:, :bits], 0.0), np.where(up, 0.0, cost[:, :bits])])
+        # A margin above the rounding error of sums in another order.
+        return cost @ np.hstack([1 - theirs, theirs]).T.astype(np.float64) <= reach[:, None] * (1 + 1e-9)
+
+    def own(self, vectors: Column) -> Column:
+        """The bucket of a vector in every band, band and bucket as one number."""
+
         @F.pandas_udf("array<bigint>")
         def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for part in parts:
                 out = []
                 for at in range(0, len(part), 1024):
-                    found = self.probe(self.sides(_matrix(part.iloc[at : at + 1024], self.metric)), probes)
-                    # Band and bucket as one number.
-                    out += list((np.arange(found.shape[1])[:, None] << MAX_BITS | found).reshape(len(found), -1))
+                    found = self.buckets(self.sides(_matrix(part.iloc[at : at + 1024], self.metric)))
+                    out += list(np.arange(found.shape[1]) << MAX_BITS | found)
                 yield pd.Series(out, index=part.index)
 
         return run(vectors)
 
-    def own(self, vectors: Column) -> Column:
-        """The bucket of a vector in every band."""
-        return self._listed(vectors, 1)
-
-    def probed(self, vectors: Column) -> Column:
-        """The buckets that a question looks into."""
-        return self._listed(vectors, self.probes)
+    def probed(self, vectors: Column, fixed: Column) -> Column:
+        """The cells (band and first `fixed` bits) in which a question probes any bucket, and its reach in every band."""
+
+        @F.pandas_udf("cells array<bigint>, reach array<double>")
+        def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+            for part, bits in parts:
+                cells, reaches = [None] * len(part), [None] * len(part)
+                for n in bits.unique():
+                    rows = np.flatnonzero(bits == n)
+                    numbers = np.arange(1 << n)
+                    for at in range(0, len(rows), 1024):
+                        some = rows[at : at + 1024]
+                        sides = self.sides(_matrix(part.iloc[some], self.metric))
+                        reach = self.reach(sides)
+                        met = [self.within(sides[:, b], reach[:, b], numbers, n) for b in range(sides.shape[1])]
+                        for i, row in enumerate(some):
+                            cells[row] = np.concatenate([b << MAX_BITS | np.flatnonzero(m[i]) for b, m in enumerate(met)])
+                            reaches[row] = reach[i]
+                yield pd.DataFrame({"cells": cells, "reach": reaches})
+
+        return run(vectors, fixed)
 
 
 def fit(chunks: DataFrame, k: int, metric: str = "l2", recall: float = 0.95, bands: int = BANDS, bucket_rows: int = BUCKET_ROWS, sample: int = SAMPLE) -> Buckets:

@@ -2,16 +2,17 @@
 
 Keywords find their chunks through the posting lists of `grams`. Vectors meet in parts: the
 exact search pairs a question with the chunks of its sector (or all), the approximate one with
-the chunks in the buckets it probes (`buckets`). A part is compared block by block; every pair
-of blocks keeps the best k per question, and only those rows are shuffled again.
+the chunks in the buckets it probes (`buckets`). A part is compared block by block, each pair of
+blocks in steps that only look for what beats the best k so far; it keeps the best k per
+question, and only those rows are shuffled again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,11 +20,13 @@ from ..functions.routing import NAME_STOP, keyword_score, keywords
 from ..functions.text import ascii_lower
 from ..functions.vocab import STATEMENT_METRICS
 from ..session import stored_small
-from .buckets import Buckets
+from .buckets import MAX_BITS, Buckets, as_rows
 from .grams import containing_words
 
 FILTERS = ("report", "company_normalized", "year", "sector")
-QUESTION_BLOCK, CHUNK_BLOCK = 2048, 4096
+QUESTION_BLOCK, CHUNK_BLOCK = 16384, 16384
+#: Rows of a block that are multiplied at once, chunks growing from the first step; pairs whose distances are taken at once.
+QUESTION_STEP, FIRST_STEP, CHUNK_STEP, PIECE = 512, 512, 2048, 65536
 TOP_K = 4
 
 
@@ -42,95 +45,145 @@ def matches(chunk_prefix: str = "", report=None, company=None, years=None, secto
     return test
 
 
-def _visible(q: pd.Series, chunks: pd.DataFrame) -> np.ndarray | None:
+def _visible(wanted: dict, chunks: pd.DataFrame) -> np.ndarray | None:
     mask = None
-    for name, wanted in (("report", q["f_report"]), ("company_normalized", q["f_company"]), ("sector", q["f_sector"])):
-        if isinstance(wanted, str) and wanted:
-            test = (chunks[name] == wanted).to_numpy()
+    for name, value in (("report", wanted["f_report"]), ("company_normalized", wanted["f_company"]), ("sector", wanted["f_sector"])):
+        if value:
+            test = (chunks[name] == value).to_numpy()
             mask = test if mask is None else mask & test
-    years = q["f_years"]
-    if years is not None and len(years):
-        test = chunks["year"].isin(list(years)).to_numpy()
+    years = wanted["f_years"]
+    if years:
+        test = chunks["year"].isin(years).to_numpy()
         mask = test if mask is None else mask & test
     return mask
 
 
-def _best(order_key: np.ndarray, ord_: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k least (order_key, ord) pairs."""
-    if len(order_key) > k:
-        limit = np.partition(order_key, k - 1)[k - 1]
-        cand = np.flatnonzero(order_key <= limit)
-    else:
-        cand = np.arange(len(order_key))
-    return cand[np.lexsort((ord_[cand], order_key[cand]))][:k]
+def _rows(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors as a matrix; they must be of one length."""
+    sizes = pc.min_max(pc.list_value_length(column)).as_py()
+    if sizes["min"] != sizes["max"]:
+        raise ValueError("vectors of different lengths")
+    return pc.list_flatten(column).to_numpy().astype(np.float64).reshape(len(column), sizes["max"] or 0)
+
+
+def _places(groups: np.ndarray) -> np.ndarray:
+    """The place of each element among its equals; equals stand together, in rising order."""
+    return np.arange(len(groups)) - np.searchsorted(groups, groups)
+
 
+def _few_copies(have: np.ndarray, ords: np.ndarray, k: int) -> np.ndarray:
+    """Positions without those chunks that k equal vectors precede in corpus order: they are never among k nearest."""
+    if not have.size:
+        return np.arange(len(have))
+    same = np.unique(np.ascontiguousarray(have).view(f"V{have.itemsize * have.shape[1]}").ravel(), return_inverse=True)[1].ravel()
+    order = np.lexsort((ords, same))
+    return np.sort(order[_places(same[order]) < k])
 
-def _vector_keys(queries: pd.DataFrame, metric: str):
-    """Per question the distance of each chunk that can be among its k nearest, else infinite.
 
-    One matrix product finds the candidates (with a margin far above its rounding error);
-    their distances are then taken from the differences, so equal vectors tie exactly.
+def _nearest(wanted: np.ndarray, have: np.ndarray, ords: np.ndarray, k: int, metric: str, meets=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(questions, chunks, distances): the k least (distance, ord) of every question, as positions.
+
+    Matrix products find the candidates: what is not farther than the k-th best so far (with a
+    margin far above the rounding error). Their distances are then taken from the differences, so
+    equal vectors tie exactly. `meets(questions, chunks)` tells which pairs count, as a matrix of
+    questions and buckets and the bucket of each chunk.
     """
-    wanted = np.stack(queries["embedding"].to_numpy()).astype(np.float64)
+    size, sizes = (wanted**2).sum(axis=1), (have**2).sum(axis=1)
+    fit = np.isfinite(sizes) & (sizes > 0) if metric == "cosine" else np.isfinite(sizes)
+    able = np.isfinite(size) & (size > 0) if metric == "cosine" else np.isfinite(size)
+    if metric == "cosine":
+        lengths, their_lengths = np.linalg.norm(wanted, axis=1), np.linalg.norm(have, axis=1)
+        left, right = -wanted / np.where(able, lengths, 1.0)[:, None], have / np.where(fit, their_lengths, 1.0)[:, None]
+        offset, margin = np.ones(len(wanted)), np.full(len(wanted), 1e-9)
+    else:
+        left, right = np.hstack([-2.0 * wanted, np.ones((len(wanted), 1))]), np.hstack([have, sizes[:, None]])
+        offset, margin = size, 1e-9 * (1.0 + size + sizes.max(where=fit, initial=0.0))
 
-    def exact(have: np.ndarray, q: np.ndarray) -> np.ndarray:
+    def exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
         if metric == "cosine":
-            return 1.0 - (have * q).sum(axis=1) / (np.linalg.norm(have, axis=1) * np.linalg.norm(q))
-        return ((have - q) ** 2).sum(axis=1)
-
-    def keys(chunks: pd.DataFrame, visible, k: int) -> Iterator[np.ndarray]:
-        have = np.stack(chunks["embedding"].to_numpy()).astype(np.float64)
-        dots = have @ wanted.T
-        sizes = (have**2).sum(axis=1)
-        for i, q in enumerate(wanted):
-            size = float((q**2).sum())
-            if metric == "cosine":
-                rough, margin = 1.0 - dots[:, i] / np.sqrt(sizes * size), 1e-9
-            else:
-                rough, margin = sizes + size - 2.0 * dots[:, i], 1e-9 * (1.0 + size + float(sizes.max()))
-            mask = visible(i)
-            if mask is not None:
-                rough = np.where(mask, rough, np.inf)
-            limit = np.partition(rough, k - 1)[k - 1] if len(rough) > k else np.inf
-            out = np.full(len(rough), np.inf)
-            near = np.flatnonzero((rough <= limit + margin) & np.isfinite(rough))
-            out[near] = exact(have[near], q)
-            yield out
-
-    return keys
+            return 1.0 - (have[c] * wanted[q]).sum(axis=1) / (their_lengths[c] * lengths[q])
+        return ((have[c] - wanted[q]) ** 2).sum(axis=1)
+
+    chunks = np.flatnonzero(fit)
+    chunks = chunks[_few_copies(have[chunks], ords[chunks], k)]
+    asking = np.flatnonzero(able)
+    parts = []
+    for at in range(0, len(asking), QUESTION_STEP):
+        asked = asking[at : at + QUESTION_STEP]
+        limit = np.full(len(asked), np.inf)
+        kept = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        start, step = 0, FIRST_STEP
+        while start < len(chunks):
+            block = chunks[start : start + step]
+            start, step = start + step, min(2 * step, CHUNK_STEP)
+            rows = np.arange(len(asked))
+            if meets is not None:
+                seen, bucket = meets(asked, block)
+                rows = np.flatnonzero(seen.any(axis=1))
+                seen = seen[rows]
+                if not len(rows):
+                    continue
+            rough = left[asked[rows]] @ right[block].T
+            extra = margin[asked[rows]]
+            bound = limit[rows] - offset[asked[rows]] + extra
+            new = np.flatnonzero(np.isinf(limit[rows]))
+            if len(new) and len(block) > k:
+                own = rough[new] if meets is None else np.where(seen[new][:, bucket], rough[new], np.inf)
+                bound[new] = np.partition(own, k - 1, axis=1)[:, k - 1] + extra[new]
+            i, j = np.divmod(np.flatnonzero(rough <= bound[:, None]), len(block))
+            if meets is not None:
+                ok = seen[i, bucket[j]]
+                i, j = i[ok], j[ok]
+            q, c = rows[i], block[j]
+            pieces = [slice(p, p + PIECE) for p in range(0, len(q), PIECE)]
+            key = np.concatenate([np.empty(0), *[exact(asked[q[p]], c[p]) for p in pieces]])
+            q, c, key = (np.concatenate(both) for both in zip(kept, (q, c, key)))
+            order = np.lexsort((ords[c], key, q))
+            q, c, key = q[order], c[order], key[order]
+            place = _places(q)
+            limit[q[place == k - 1]] = key[place == k - 1]
+            kept = tuple(column[place < k] for column in (q, c, key))
+        parts.append((asked[kept[0]], *kept[1:]))
+    empty = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+    return tuple(np.concatenate(columns) for columns in zip(empty, *parts))
 
 
 _OUT = "qid BIGINT, variant INT, chunk_id STRING, ord BIGINT, key DOUBLE"
-
-
-def _fold_batches(queries: pd.DataFrame, batches: Iterator[pd.DataFrame], k: int, metric: str) -> Iterator[pd.DataFrame]:
-    """Best k per question over a stream of chunk batches; state is k rows per question."""
-    if not len(queries):
-        return
-    score = _vector_keys(queries, metric)
-    rows = [q for _, q in queries.iterrows()]
-    kept: list[tuple[np.ndarray, ...] | None] = [None] * len(rows)
-    for chunks in batches:
-        if not len(chunks):
-            continue
-        ids, ords = chunks["chunk_id"].to_numpy(), chunks["ord"].to_numpy()
-        for i, key in enumerate(score(chunks, lambda i: _visible(rows[i], chunks), k)):
-            at = np.flatnonzero(np.isfinite(key))
-            if not len(at):
-                continue
-            at = at[_best(key[at], ords[at], k)]
-            part = (ids[at], ords[at], key[at])
-            if kept[i] is not None:
-                part = tuple(np.concatenate(both) for both in zip(kept[i], part))
-                first = _best(part[2], part[1], k)
-                part = tuple(column[first] for column in part)
-            kept[i] = part
-    found = [i for i, part in enumerate(kept) if part is not None]
-    if found:
-        sizes = [len(kept[i][0]) for i in found]
-        own = lambda name: np.repeat([rows[i][name] for i in found], sizes)
-        chunk_id, ord_, key = (np.concatenate([kept[i][c] for i in found]) for c in range(3))
-        yield pd.DataFrame({"qid": own("qid"), "variant": own("variant"), "chunk_id": chunk_id, "ord": ord_, "key": key})
+_FOUND = pa.schema([("qid", pa.int64()), ("variant", pa.int32()), ("chunk_id", pa.string()), ("ord", pa.int64()), ("key", pa.float64())])
+
+
+def _compare(left: pa.Table, right: pa.Table, k: int, metric: str, index: Buckets | None) -> pa.Table:
+    """Best k chunks per question of two blocks, questions with the same filters together."""
+    if not left.num_rows or not right.num_rows:
+        return _FOUND.empty_table()
+    wanted, have = _rows(left["embedding"]), _rows(right["embedding"])
+    ords = right["ord"].to_numpy()
+    chunks = right.select(list(FILTERS)).to_pandas()
+    alike: dict[tuple, list[int]] = {}
+    filters = ("f_report", "f_company", "f_years", "f_sector")
+    for i, values in enumerate(zip(*[left[f].to_pylist() for f in filters])):
+        alike.setdefault(tuple(tuple(v) if isinstance(v, list) else v for v in values), []).append(i)
+    if index is not None:
+        band = left["cell"][0].as_py() >> MAX_BITS
+        sides, reach = index.sides(as_rows(wanted, metric))[:, band], left["reach"].to_numpy()
+        buckets = right["bucket"].to_numpy() & ((1 << MAX_BITS) - 1)
+    parts = []
+    for values, questions in alike.items():
+        mask, q = _visible(dict(zip(filters, values)), chunks), np.array(questions)
+        c = np.arange(len(have)) if mask is None else np.flatnonzero(mask)
+        meets = None
+        if index is not None:
+            c = c[np.argsort(buckets[c], kind="stable")]
+
+            def meets(asked, block, q=q, c=c):
+                there, bucket = np.unique(buckets[c[block]], return_inverse=True)
+                return index.within(sides[q[asked]], reach[q[asked]], there), bucket
+
+        found = _nearest(wanted[q], have[c], ords[c], k, metric, meets)
+        parts.append((q[found[0]], c[found[1]], found[2]))
+    q, c, key = (np.concatenate(columns) for columns in zip(*parts))
+    columns = [left["qid"].take(q), left["variant"].take(q), right["chunk_id"].take(c), right["ord"].take(c), pa.array(key)]
+    return pa.Table.from_arrays(columns, schema=_FOUND)
 
 
 def _sector_parts(questions: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -140,24 +193,26 @@ def _sector_parts(questions: DataFrame, chunks: DataFrame) -> tuple[DataFrame, D
     return questions.withColumn("part", own), chunks.withColumn("part", of_chunk)
 
 
-def _top_k(questions: DataFrame, chunks: DataFrame, k: int, metric: str, question_block: int, chunk_block: int) -> DataFrame:
+def _top_k(questions: DataFrame, chunks: DataFrame, k: int, metric: str, question_block: int, chunk_block: int, index: Buckets | None = None) -> DataFrame:
     """Best k chunks per question of the parts they share; a chunk that is met in several parts counts once."""
-    q = questions.select("qid", "variant", "embedding", "f_report", "f_company", "f_years", "f_sector", "part")
-    asked = q.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / question_block).alias("n_q"))
+    probing, bucketed = (("cell", "reach"), ("bucket",)) if index is not None else ((), ())
+    q = questions.select(F.col("qid").cast("bigint").alias("qid"), F.col("variant").cast("int").alias("variant"), "embedding", "f_report", "f_company", "f_years", "f_sector", "part", *probing)
     # Columns of its own, since questions and chunks may come from one table.
-    c = chunks.select(*[F.col(n).alias(n) for n in ("chunk_id", "ord", "embedding", *FILTERS, "part")]).join(asked, "part")
-    parts = c.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / chunk_block).alias("n_c"), F.first("n_q").alias("n_q"))
+    c = chunks.select(F.col("chunk_id").cast("string").alias("chunk_id"), F.col("ord").cast("bigint").alias("ord"), *[F.col(n).alias(n) for n in ("embedding", *FILTERS, "part", *bucketed)])
+    blocks = lambda df, n, size: df.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(n))
+    # Sizes of the parts are stored, so that rows go to their blocks without a shuffle by part.
+    parts = stored_small(blocks(q, "n_q", question_block).join(blocks(c, "n_c", chunk_block), "part"), "parts")
     block = lambda key, n: F.pmod(F.xxhash64(*key), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     qs = q.join(parts, "part").withColumn("qb", block(("qid", "variant"), "n_q")).withColumn("cb", every("n_c")).drop("n_q", "n_c")
-    cs = c.drop("n_q").join(parts, "part").withColumn("cb", block(("chunk_id",), "n_c")).withColumn("qb", every("n_q")).drop("n_q", "n_c")
+    cs = c.join(parts, "part").withColumn("cb", block(("chunk_id",), "n_c")).withColumn("qb", every("n_q")).drop("n_q", "n_c")
 
-    def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = list(_fold_batches(left, iter([right]), k, metric))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=["qid", "variant", "chunk_id", "ord", "key"])
+    def pair(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _compare(left, right, k, metric, index)
 
-    found = qs.groupBy("part", "qb", "cb").cogroup(cs.groupBy("part", "qb", "cb")).applyInPandas(pair, _OUT)
-    found = found.groupBy("qid", "variant", "chunk_id").agg(F.min("ord").alias("ord"), F.min("key").alias("key"))
+    found = qs.groupBy("part", "qb", "cb").cogroup(cs.groupBy("part", "qb", "cb")).applyInArrow(pair, _OUT)
+    # A question's rows meet once: its chunks are told apart and ranked in the same place.
+    found = found.repartition("qid", "variant").groupBy("qid", "variant", "chunk_id").agg(F.min("ord").alias("ord"), F.min("key").alias("key"))
     best = Window.partitionBy("qid", "variant").orderBy("key", "ord")
     return found.withColumn("_rn", F.row_number().over(best)).filter(F.col("_rn") <= k).withColumnRenamed("_rn", "rank")
 
@@ -213,13 +268,21 @@ def near_vectors(vectors: DataFrame, chunks: DataFrame, index: Buckets, k: int =
     """`vector_top_k` over the chunks that share a bucket with the question: approximate, with exact distances.
 
     Every chunk is in one bucket of each band and every question probes several buckets of
-    each; the two meet by an equi-join on (sector, band, bucket). The index says how many
-    probes its sample needed for the recall that was asked for.
+    each; the two meet by an equi-join on (sector, band, cell), where a cell is as many buckets as
+    fill a block: those that agree in their first bits. So a question is sent once to a cell
+    however many of its buckets it probes, and meets only the chunks in these. The index says how
+    many probes its sample needed for the recall that was asked for.
     """
     q, c = _sector_parts(vectors, chunks.filter(F.col("embedding").isNotNull()))
-    both = lambda df, buckets: df.withColumn("bucket", F.explode(buckets)).withColumn("part", F.xxhash64("part", "bucket"))
-    hits = _top_k(both(q, index.probed(F.col("embedding"))), both(c, index.own(F.col("embedding"))), k, metric, question_block, chunk_block)
-    return hits.withColumnRenamed("key", "distance")
+    bits = F.ceil(F.log2(F.count(F.lit(1)) / chunk_block)).cast("int")
+    fixed = stored_small(c.groupBy("part").agg(F.least(F.greatest(bits, F.lit(0)), F.lit(index.bits)).alias("fixed")), "fixed")
+    in_cell = lambda df: df.withColumn("part", F.concat_ws("/", "part", F.col("cell").cast("string")))
+    band, low = F.lit(-1 << MAX_BITS), F.expr("shiftleft(1L, fixed) - 1")
+    q = q.join(fixed, "part").withColumn("probed", index.probed(F.col("embedding"), F.col("fixed"))).withColumn("cell", F.explode("probed.cells"))
+    q = in_cell(q.withColumn("reach", F.get("probed.reach", F.shiftright("cell", MAX_BITS).cast("int"))))
+    c = c.join(fixed, "part").withColumn("bucket", F.explode(index.own(F.col("embedding"))))
+    c = in_cell(c.withColumn("cell", F.col("bucket").bitwiseAND(band.bitwiseOR(low))))
+    return _top_k(q, c, k, metric, question_block, chunk_block, index).withColumnRenamed("key", "distance")
 
 
 def best_distance(hits: DataFrame) -> DataFrame:

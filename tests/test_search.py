@@ -1,6 +1,7 @@
 """Keyword index and vector buckets, against scans of all texts and vectors."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -116,3 +117,71 @@ def test_buckets_of_nothing(spark):
     assert index.probes == 1
     one = B.fit(chunks.limit(1), 4)
     assert R.near_vectors(asked, chunks.limit(1), one, 4).count() == 2
+
+
+def probed_pairs(x, sectors, index, k, metric):
+    """What `near_vectors` should find, from the buckets of all pairs."""
+    x = np.asarray(x, np.float32).astype(np.float64)
+    sides = index.sides(B.as_rows(x, metric))
+    own, probed = index.buckets(sides), index.probe(sides, index.probes)
+    out = {}
+    for i, q in enumerate(x):
+        meets = np.array([any(own[j, t] in set(probed[i, t]) for t in range(own.shape[1])) for j in range(len(x))])
+        seen = [j for j in np.flatnonzero(meets) if sectors[i] is None or sectors[j] == sectors[i]]
+        far = lambda j: 1 - (x[j] * q).sum() / (np.linalg.norm(x[j]) * np.linalg.norm(q)) if metric == "cosine" else ((x[j] - q) ** 2).sum()
+        best = sorted((round(far(j), 12), j) for j in seen if metric != "cosine" or (x[j].any() and q.any()))[:k]
+        out |= {(i, f"v{j}"): d for d, j in best}
+    return out
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+@pytest.mark.parametrize("block", [20, 10_000])
+def test_probed_search_meets_the_probed_buckets(spark, metric, block):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(160, 6))
+    x[:12], x[12] = x[0], 0.0
+    sectors = [None if i % 5 == 0 else f"s{i % 2}" for i in range(160)]
+    asked, chunks = vectors(spark, x, sectors)
+    fitted = B.fit(chunks, 3, metric, bucket_rows=5)
+    assert fitted.bits == 5
+    index = B.Buckets(fitted.directions, fitted.thresholds, 3, metric, 0.0)
+    want = probed_pairs(x, sectors, index, 3, metric)
+    rows = R.near_vectors(asked, chunks, index, 3, metric, question_block=block, chunk_block=block).collect()
+    got = {(r["qid"], r["chunk_id"]): r["distance"] for r in rows}
+    assert len(rows) == len(got) and set(got) == set(want)
+    assert all(abs(got[p] - want[p]) < 1e-9 for p in got)
+
+
+@pytest.mark.parametrize("bits", [4, 12])
+def test_reach_tells_the_probed_buckets(bits):
+    rng = np.random.default_rng(5)
+    index = B.Buckets(rng.normal(size=(2, bits, 8)), np.zeros((2, bits)), 9, "l2", 1.0)
+    sides = index.sides(rng.normal(size=(70, 8)))
+    probed, reach = index.probe(sides, index.probes), index.reach(sides)
+    for t in range(2):
+        within = index.within(sides[:, t], reach[:, t], np.arange(1 << bits))
+        assert [set(np.flatnonzero(row)) for row in within] == [set(row) for row in probed[:, t]]
+        cells = index.within(sides[:, t], reach[:, t], np.arange(4), 2)
+        assert all(set(np.flatnonzero(row)) >= {b & 3 for b in own} for row, own in zip(cells, probed[:, t]))
+
+
+def test_many_probes_do_not_multiply_questions(spark):
+    """Random directions need most buckets; a row for each of them would make millions of rows here."""
+    x = np.random.default_rng(9).normal(size=(6000, 32))
+    asked, chunks = vectors(spark, x, [f"s{i % 2}" for i in range(6000)])
+    index = B.fit(chunks, 4, "cosine", bucket_rows=6)
+    assert index.bits == 10 and index.probes > 50
+    started = time.time()
+    got = {(r["qid"], r["chunk_id"]) for r in R.near_vectors(asked, chunks, index, 4, "cosine").collect()}
+    assert time.time() - started < 60
+    want = {(r["qid"], r["chunk_id"]) for r in R.vector_top_k(asked, chunks, 4, "cosine").collect()}
+    assert len(got & want) >= 0.9 * len(want)
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_equal_vectors_come_in_corpus_order(spark, metric):
+    x = np.random.default_rng(4).normal(size=(900, 5))
+    x[:700] = x[0]
+    asked, chunks = vectors(spark, x, ["a"] * 900)
+    rows = R.vector_top_k(asked, chunks, 3, metric, 400, 300).filter("qid < 700").collect()
+    assert len(rows) == 2100 and all(r["chunk_id"] == f"v{r['rank'] - 1}" for r in rows)
