@@ -452,8 +452,14 @@ def score(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col:
                 new = np.flatnonzero(np.append(True, (fh[1:] != fh[:-1]) | (fo[1:] != fo[:-1]))) if len(fh) else np.zeros(0, np.int64)
                 times = np.diff(np.append(new, len(fh)))
                 cuts = pa.array(np.append(0, np.cumsum(np.bincount(fo[new], minlength=len(n)))).astype(np.int32))
+                # A text that is repeated is walked once: rounding of a matrix product depends on the row's place in it.
+                codes = batch.column(1).dictionary_encode("encode").indices.to_numpy()
+                _, first, copy = np.unique(codes, return_index=True, return_inverse=True)
+                once = np.zeros(len(n), bool)
+                once[first] = True
+                network = model.totals(places[np.repeat(once, n)], n[once])[np.argsort(np.argsort(first))[copy]] / _LN10
                 yield pa.record_batch([
-                    pa.array(np.arange(row, row + len(n))), batch.column(0), pa.array(n), *map(pa.array, sums), pa.array(model.totals(places, n) / _LN10),
+                    pa.array(np.arange(row, row + len(n))), batch.column(0), pa.array(n), *map(pa.array, sums), pa.array(network),
                     pa.ListArray.from_arrays(cuts, pa.array(fh[new].view(np.int64))), pa.ListArray.from_arrays(cuts, pa.array(times.astype(np.int32))),
                 ], names=["row", "id", "n_tokens", "near", "logs", "others", "other_logs", "network", "far", "times"])
                 row += len(n)
