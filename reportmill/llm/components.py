@@ -5,26 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import materialise, sized
 
 #: Links that one task of a round may hold; smaller link tables get fewer tasks.
 LINKS_PER_TASK = 100_000
+#: Links up to which Spark may send one side of a round's joins to all tasks; more are joined by shuffle.
+MAX_SENT = 200_000
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, few: bool) -> DataFrame:
     """Link every larger neighbour of a node to the least node around it."""
     around = edges.select(F.inline(F.array(
         F.struct(F.col("a").alias("a"), F.col("b").alias("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b")),
     )))
     least = around.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-    return around.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return around.filter("b > a").join(sized(least, few), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, few: bool) -> DataFrame:
     """Link a node and its smaller neighbours to the least of these. Edges are (larger, smaller)."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
     ends = F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
-    return edges.join(least, "a").select(F.inline(ends)).filter("a <> b")
+    return edges.join(sized(least, few), "a").select(F.inline(ends)).filter("a <> b")
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -48,8 +50,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             break
         state = (found["n"], found["h"])
         tasks = max(least_tasks, found["n"] // LINKS_PER_TASK)
-        large = materialise(_large_star(now).coalesce(tasks), name)  # read twice by the next step
-        now = materialise(_small_star(large).distinct().coalesce(tasks), name)
+        few = found["n"] <= MAX_SENT
+        large = materialise(_large_star(now, few).coalesce(tasks), name)  # read twice by the next step
+        now = materialise(_small_star(large, few).distinct().coalesce(tasks), name)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
         now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )

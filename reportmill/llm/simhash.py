@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise, within
+from ..session import materialise, sized, within
 from .common import fresh, sliced, small_batches
 from .components import components
 
@@ -26,7 +26,7 @@ _DRAWS = np.array([[(0xD1B54A32D192ED03 * (i + 1)) & 0xFFFFFFFFFFFFFFFF] for i i
 TILE = 4096
 #: Differing bits of 6 x 64 that stand for a similarity of 0.8: 58 on average, 7 the deviation, so about one deviation more.
 MAX_BITS = 66
-#: Larger buckets that may be sent to every task; more are joined by shuffle.
+#: Larger buckets, or fingerprints of rows, that may be sent to every task; more are joined by shuffle.
 MAX_SENT = 200_000
 
 
@@ -146,7 +146,9 @@ def close_pairs(fps: DataFrame, max_bits: int = 4, blocks: int = 7) -> DataFrame
     With more blocks than differing bits, `blocks - max_bits` blocks are equal in every close
     pair, so an equi-join on each choice of that many blocks finds all of them (no sampling,
     no cap). The condition keeps a pair only under the first choice that holds it, so each
-    link appears once. Key partitions that grow hot are split by adaptive skew joins.
+    link appears once. Both sides are shuffled: Spark takes a side for as small as the table
+    was before it grew by the number of choices, and would send it to all tasks by way of the
+    driver. Key partitions that grow hot are split by adaptive skew joins.
     """
     masks, before = _plan(blocks, blocks - max_bits)
     keyed = _keyed(fps.select("fp"), F.col("fp"), masks, ["fp"])
@@ -156,7 +158,7 @@ def close_pairs(fps: DataFrame, max_bits: int = 4, blocks: int = 7) -> DataFrame
     left_out = F.element_at(F.array(*[F.array(*map(F.lit, b)) if b else F.array().cast("array<bigint>") for b in before]), left["choice"] + 1)
     first = F.forall(left_out, lambda m: differ.bitwiseAND(m) != 0)
     on = (left["choice"] == right["choice"]) & (left["part"] == right["part"])
-    return left.join(right, on & (F.col("a") < F.col("b")) & (F.bit_count(differ) <= max_bits) & first).select("a", "b")
+    return left.join(right.hint("merge"), on & (F.col("a") < F.col("b")) & (F.bit_count(differ) <= max_bits) & first).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, blocks: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -170,10 +172,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, blocks
     """
     prints = materialise(fingerprints(docs, shingle, 1, id_col, text_col).select("id", F.col("fps")[0].alias("fp")), "simhash-prints")
     distinct = materialise(prints.groupBy("fp").agg(F.min("id").alias("first_id")), "simhash-distinct")
-    roots = components(close_pairs(distinct, max_bits, blocks), "simhash-links")
+    few = within(prints, MAX_SENT)
+    roots = sized(components(close_pairs(distinct, max_bits, blocks), "simhash-links"), few)
     rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("id", "fp", "component_id")
+    named = rooted.join(sized(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), few), "root").select("fp", "component_id")
+    return prints.join(sized(named, few), "fp").select("id", "fp", "component_id")
 
 
 def _forest(bits: np.ndarray, max_bits: int) -> list[tuple[int, int]]:

@@ -66,6 +66,14 @@ def within(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n")).first()["n"] <= max_rows
 
 
+def sized(df: DataFrame, few: bool) -> DataFrame:
+    """One side of a join whose rows were counted: Spark may send few to all tasks, many are joined by shuffle.
+
+    Spark itself goes by the bytes of the files behind it, packed, and by no rows that later steps add.
+    """
+    return df if few else df.hint("merge")
+
+
 def stored_small(df: DataFrame, name: str, max_rows: int = 100_000) -> DataFrame:
     """A few computed rows for a join with a large table: stored, and sent to all tasks as long as they are few."""
     stored = materialise(df, name)

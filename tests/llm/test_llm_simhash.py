@@ -5,8 +5,10 @@ import random
 import pytest
 import xxhash
 
+import reportmill.llm.components as links
 from reportmill.llm import simhash
 from reportmill.llm.components import components
+from reportmill.session import materialise
 
 SCHEMA = "doc_id long, text string"
 
@@ -81,6 +83,27 @@ def test_every_close_pair_is_found_once(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_grown_sides_are_not_sent(spark, monkeypatch):
+    """Fingerprints grow by the number of choices: no broadcast of them, however small their table looks."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    plans = []
+
+    def seen(df, name):
+        plans.append(plan(df))
+        return materialise(df, name)
+
+    pairs = simhash.close_pairs(spark.createDataFrame([(1,), (3,), (2**40,)], "fp long"))
+    assert [(r["a"], r["b"]) for r in pairs.collect()].count((1, 3)) == 1 and "Broadcast" not in plan(pairs)
+    for module in (simhash, links):
+        monkeypatch.setattr(module, "materialise", seen)
+        monkeypatch.setattr(module, "MAX_SENT", 0)
+    rows = texts(2)
+    found = simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA))
+    got = sorted([(r["id"], r["fp"] % 2**64, r["component_id"]) for r in found.collect()], key=str)
+    assert got == classes(rows)
+    assert len(plans) > 5 and not any("Broadcast" in p for p in [*plans, plan(found)])
+
+
 @pytest.mark.parametrize("edges", [[], [(1, 1), (None, 2)], [(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 30)] + [(50, 51), (52, 51)]])
 def test_components(spark, edges):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
